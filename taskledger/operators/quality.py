@@ -228,9 +228,10 @@ def validate_uploads(uploads: DataFrame, keys: Sequence[str]) -> DataFrame:
 def range_overlaps(entries: DataFrame) -> DataFrame:
     """Ranges of an archive that start before the previous one, in (start, end) order, has ended.
 
-    Columns archive, start, end and doc_id as the tie-breaker; empty ranges do not count.
+    Columns archive, size, start, end and doc_id as the tie-breaker. Empty ranges and negative offsets, which
+    have a rule of their own, do not count.
     """
-    filled = entries.filter(F.col("size") > 0)
+    filled = entries.filter((F.col("size") > 0) & (F.col("start") >= 0))
     return running(filled, ["archive"], ["start", "end", "doc_id"], previous={"previous_end": "end"}).filter(
         F.col("start") < F.coalesce("previous_end", F.lit(0))
     )

@@ -16,4 +16,10 @@ def all_checks() -> dict[str, str]:
 
 
 def _load() -> None:
-    from taskledger.plans import log_queries  # noqa: F401
+    from taskledger.plans import (  # noqa: F401
+        graph_queries,
+        log_queries,
+        memo_queries,
+        quality_queries,
+        run_queries,
+    )

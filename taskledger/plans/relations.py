@@ -92,8 +92,8 @@ RELATIONS: dict[str, str] = {
         sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS "end" FROM documents""",
     "manifest": """SELECT archive, doc_id, CASE WHEN doc_id % 89 = 0 THEN '../' ELSE 'docs/' END || doc_id AS name,
         size, "end" - size - CASE WHEN doc_id % 97 = 0 THEN 1 ELSE 0 END AS start, "end" FROM sized""",
-    "overlaps": """SELECT * FROM (SELECT *, lag("end") OVER (PARTITION BY archive ORDER BY start, "end", doc_id) AS previous_end
-        FROM manifest WHERE size > 0) WHERE start < coalesce(previous_end, 0)""",
+    "overlap_rows": """SELECT * FROM (SELECT *, lag("end") OVER (PARTITION BY archive ORDER BY start, "end", doc_id) AS previous_end
+        FROM manifest WHERE size > 0 AND start >= 0) WHERE start < coalesce(previous_end, 0)""",
     "memo_inputs": "SELECT p_partkey, p_brand AS brand, p_size::BIGINT AS size FROM part",
     "claimable": f"""SELECT * FROM runs r WHERE (claim_token IS NULL OR lease_until <= {AS_OF}) AND root_action_id IS NOT NULL
         AND EXISTS (SELECT 1 FROM actions a WHERE a.run_id = r.id AND a.status NOT IN {TERMINAL})""",
