@@ -280,32 +280,36 @@ def validate_graph(nodes: DataFrame, prereqs: DataFrame) -> DataFrame:
 def environment_order(envs: DataFrame, deps: DataFrame) -> DataFrame:
     """Dependency-first level of each environment in its submission, and a verdict.
 
-    `envs`: submission, id, name. `deps`: id, dependency_id. Level 0 has no dependency; `cycle` rows have
-    no level. A submission with two environments under one name is `ambiguous name`.
+    `envs`: submission, id, name. `deps`: id, dependency_id. Level 0 has no dependency; rows on a cycle, or
+    above one, have the verdict `cycle` and no level. A submission with two environments under one name is `ambiguous name`.
     """
-    open_edges = written(deps.select("id", "dependency_id").distinct(), "deps")
-    todo = written(envs.select("id"), "todo")
-    levels: list[DataFrame] = []
-    level = 0
-    while True:
-        free = written(todo.join(open_edges.select("id"), "id", "left_anti"), "free")
-        if free.isEmpty():
-            break
-        levels.append(free.withColumn("level", F.lit(level).cast("long")))
-        todo = written(todo.join(free, "id", "left_anti"), "todo")
-        open_edges = written(
-            open_edges.join(free.withColumnRenamed("id", "dependency_id"), "dependency_id", "left_anti"), "deps"
+    # A dependency is open while it has open dependencies itself; a node's level is the number of rounds
+    # in which it still had an open one.
+    rest = written(deps.select("id", "dependency_id").distinct(), "deps")
+    blocked: list[DataFrame] = []
+    before = rest.count()
+    while before:
+        waiting = rest.select("id").distinct()
+        blocked.append(waiting)
+        rest = written(
+            rest.join(waiting.withColumnRenamed("id", "dependency_id"), "dependency_id", "left_semi"), "deps"
         )
-        level += 1
+        after = rest.count()
+        if after == before:
+            break
+        before = after
+    looping = rest.select("id").distinct().withColumn("_loops", F.lit(True))
+    waits = _union(blocked) if blocked else rest.select("id")
+    levels = waits.groupBy("id").agg(F.count(F.lit(1)).alias("_rounds"))
     names = envs.groupBy("submission", "name").agg(F.count_distinct("id").alias("_ids")).filter("_ids > 1")
     ambiguous = names.select("submission").distinct().withColumn("_ambiguous", F.lit(True))
-    placed = envs.select("submission", "id", "name").join(ambiguous, "submission", "left")
-    if levels:
-        placed = placed.join(_union(levels), "id", "left")
-    else:
-        placed = placed.withColumn("level", F.lit(None).cast("long"))
-    return placed.select(
-        "submission", "id", "level",
-        F.when(F.col("level").isNull(), "cycle").when(F.col("_ambiguous"), "ambiguous name")
-        .otherwise("ok").alias("verdict"),
+    return (
+        envs.select("submission", "id").join(ambiguous, "submission", "left").join(levels, "id", "left")
+        .join(looping, "id", "left")
+        .select(
+            "submission", "id",
+            F.when(F.col("_loops").isNull(), F.coalesce("_rounds", F.lit(0).cast("long"))).alias("level"),
+            F.when(F.col("_loops"), "cycle").when(F.col("_ambiguous"), "ambiguous name").otherwise("ok")
+            .alias("verdict"),
+        )
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
 from taskledger.operators.scale import read_after, running
+from taskledger.session import written
 
 STREAM = ("run_id", "stream")
 
@@ -127,6 +128,8 @@ def append_reconcile(
     streams' last numbers.
     """
     key = [*STREAM, "append_id"]
+    # One narrow row per batch, used several times below: the digests are computed once.
+    batches = written(batches, "batches")
     named = F.coalesce(F.col("append_id"), F.lit("")) != ""
     first = batches.filter(named).groupBy(*key).agg(F.min_by("digest", "arrival").alias("_first_digest"),
                                                     F.min("arrival").alias("_first_arrival"))
@@ -153,6 +156,7 @@ def append_reconcile(
         .when(F.col("digest").eqNullSafe(F.col("_first_digest")), "replay")
         .otherwise("conflict"),
     )
+    marked = written(marked, "outcomes")
     placed = running(
         marked.filter("outcome = 'appended'").select(*key, "arrival", "n"),
         STREAM, ["arrival"], sums={"_last": "n"},

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
 from taskledger.operators.scale import first_rows, running
+from taskledger.session import written
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -139,10 +140,11 @@ def fold_transitions(
         F.col("id").alias("action_id"), "run_id", F.col("attempts").alias("_attempts"),
         X.is_terminal(F.col("status")).alias("_closed"),
     )
-    held = (
+    held = written(
         transitions.join(stored.select("action_id", "run_id"), "action_id")
         .join(lease, ["run_id", "claim_token"], "left_semi")
-        .select("action_id", "seq", "expected_attempt", "attempt", X.is_terminal(F.col("status")).alias("_ends"))
+        .select("action_id", "seq", "expected_attempt", "attempt", X.is_terminal(F.col("status")).alias("_ends")),
+        "held",
     )
     # Seek rows: from the stored state (seq 0 side) and from each transition that leaves the action open.
     # Descending position: the nearest candidate after a seek row is the previous row in that order.
@@ -165,7 +167,9 @@ def fold_transitions(
     events = candidate.unionByName(seek).unionByName(start).withColumn(
         "_one", F.when(F.col("_kind") == 1, 1).otherwise(0).cast("long")
     )
-    ranked = running(events, ["action_id", "_attempt"], ["_at", "_kind"], sums={"_nth": "_one"})
+    ranked = written(
+        running(events, ["action_id", "_attempt"], ["_at", "_kind"], sums={"_nth": "_one"}), "ranked"
+    )
     targets = ranked.filter("_kind = 1").select("action_id", "_attempt", "_nth", F.col("_target").alias("next_seq"))
     links = ranked.filter("_kind <> 1").select("action_id", "_attempt", "_nth", "_at", "_kind").join(
         targets, ["action_id", "_attempt", "_nth"]

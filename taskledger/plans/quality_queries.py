@@ -9,6 +9,7 @@ from taskledger.functions import expr as X
 from taskledger.operators import blobs
 from taskledger.operators import quality as ops
 from taskledger.plans.registry import query
+from taskledger.session import written
 from taskledger.sources import fixtures as fx
 from taskledger.sources.tables import blob_source, source_table
 
@@ -222,14 +223,18 @@ def verify_digests(spark: SparkSession, sf: str) -> DataFrame:
     FROM edges WHERE dependent_action_id NOT IN (SELECT id FROM kept)""")
 def check_table_constraints(spark: SparkSession, sf: str) -> DataFrame:
     """All relations, with the settings before their repeats are merged and the actions without canceled ones."""
+    actions = written(fx.actions(spark, sf).select("id", "run_id", "caller_action_id", "entrypoint_id", "environment_id", "status"))
+    edges = actions.filter("caller_action_id IS NOT NULL").select(
+        "run_id", F.col("id").alias("source_action_id"), F.col("caller_action_id").alias("dependent_action_id")
+    )
     return ops.check_table_constraints({
         "namespaces": fx.namespaces(spark, sf),
         "settings": fx._setting_rows(spark, sf),
         "task_environments": fx.environments(spark, sf),
         "image_builds": fx.image_builds(spark, sf),
         "runs": fx.runs(spark, sf),
-        "task_actions": fx.actions(spark, sf).filter("status <> 'canceled'"),
-        "task_action_edges": fx.edges(spark, sf),
+        "task_actions": actions.filter("status <> 'canceled'"),
+        "task_action_edges": edges,
     })
 
 

@@ -10,6 +10,7 @@ from taskledger.operators import runs as ops
 from taskledger.operators import tables
 from taskledger.plans.registry import query
 from taskledger.plans.relations import AS_OF, TERMINAL
+from taskledger.session import written
 from taskledger.sources import fixtures as fx
 from taskledger.sources.tables import source_table
 
@@ -299,7 +300,7 @@ def reset_inflight(spark: SparkSession, sf: str) -> DataFrame:
 
 def _folded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """One action per (run, action number), queued at attempt 0; its status events are the transitions."""
-    events = fx.status_events(spark, sf)
+    events = written(fx.status_events(spark, sf), "events")
     number = F.col("run_id") * 1000 + F.col("action")
     runs = fx.runs(spark, sf)
     acts = events.filter("seq = 1").select(
