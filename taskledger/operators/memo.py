@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
-from taskledger.session import written
+from taskledger.session import ship_package, written
 
 MAX_ERROR_DETAILS = 64 * 1024
 
@@ -42,6 +42,7 @@ def task_map(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema += f", output {result_type}, error string, error_code string, error_details string, attempts bigint"
     names, tries = list(inputs), max(max_attempts, 1)
+    ship_package(df.sparkSession)
 
     def call(args: dict[str, object]) -> tuple[object, str | None, str | None, str | None, int]:
         message = None

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_MAX_GROUP_ROWS = 1_000_000
 _local_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "taskledger", **conf: str) -> SparkSession:
@@ -64,3 +67,13 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
 def max_group_rows(spark: SparkSession) -> int:
     """Rows of one key that a single task may hold (spark.taskledger.maxGroupRows)."""
     return int(spark.conf.get("spark.taskledger.maxGroupRows", str(DEFAULT_MAX_GROUP_ROWS)))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application; nothing to do if it came as an archive."""
+    app, package = spark.sparkContext.applicationId, Path(__file__).parent
+    if app in _shipped or not package.is_dir():
+        return
+    base = f"{tempfile.mkdtemp(prefix='taskledger-py-')}/{package.name}"
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+    _shipped.add(app)

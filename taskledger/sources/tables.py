@@ -81,7 +81,10 @@ def log_source_stream(
 
 
 def blob_source(spark: SparkSession, glob: str) -> DataFrame:
-    """Files as content-addressed rows. Spark splits the work by file; content stays in its task."""
+    """Files as content-addressed rows. Spark splits the work by file; content stays in its task.
+
+    As with all of Spark's file sources, files of zero length do not show up.
+    """
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     # File name endings with a known type.
     known = {"txt": "text/plain", "json": "application/json", "html": "text/html", "csv": "text/csv",
