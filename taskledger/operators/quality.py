@@ -109,7 +109,7 @@ def validate_actions(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
 PROVIDERS = ("local", "docker", "e2b")
 RESERVED_NAMES = ("PATH", "HOME", "PYTHONPATH")
 RESERVED_PREFIXES = ("UV_",)
-ARCHIVE_MIME = "application/vnd.task-source+zstd"
+ARCHIVE_MIME = "application/x-tar+zstd"
 
 
 def _bad_command(args: Column) -> Column:
@@ -125,7 +125,7 @@ def validate_environments(
     envs: DataFrame, keys: Sequence[str], *, archive_mime: str = ARCHIVE_MIME,
     reserved_prefixes: Sequence[str] = RESERVED_PREFIXES,
 ) -> DataFrame:
-    """Rules on environment declarations.
+    """Rules on environment declarations. `reserved_prefixes` are variable names the platform keeps to itself.
 
     Columns: namespace_id, name, source_uri, provider, reference, build_context_uri, build_command
     (array), workdir, cpu_millis, memory_bytes, env_vars (map), dependencies (array of namespace_id, name,

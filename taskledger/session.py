@@ -64,6 +64,12 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_intermediates(spark: SparkSession) -> bool:
+    """Delete what this application wrote with `written`; call it when its results have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def max_group_rows(spark: SparkSession) -> int:
     """Rows of one key that a single task may hold (spark.taskledger.maxGroupRows)."""
     return int(spark.conf.get("spark.taskledger.maxGroupRows", str(DEFAULT_MAX_GROUP_ROWS)))

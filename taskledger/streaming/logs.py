@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from taskledger.functions import expr as X
-from taskledger.operators.logs import append_reconcile, batch_digest, spill_large_values
+from taskledger.operators.logs import append_reconcile, assign_sequence, batch_digest, spill_large_values
 from taskledger.operators.scale import running
 from taskledger.session import written
 
@@ -98,10 +98,8 @@ def append_log_sink(
         ).drop("_low")
         batches = batch_digest(entries, by, ["ord"]).join(arrivals, by)
         ledger = _earlier(spark, f"{target}/ledger", LEDGER, epoch)
-        known_ends = _earlier(spark, f"{target}/ends", ENDS, epoch)
-        if known_ends is not None:
-            # Each snapshot lists all streams; the last one before this batch is the state.
-            known_ends = known_ends.filter(F.col("epoch") == epoch - 1).drop("epoch")
+        # Each snapshot lists all streams; the one of the batch before this is the state.
+        known_ends = _stored(spark, f"{target}/ends/epoch={epoch - 1}", ENDS)
         decided = written(append_reconcile(batches, ledger, known_ends), "decided")
         accepted = decided.filter("outcome = 'appended'")
         attempts = arrivals.join(
@@ -135,11 +133,7 @@ def stream_assign_sequence(
 
     def number(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        ends = _earlier(spark, f"{target}/ends", ENDS, epoch)
-        if ends is not None:
-            ends = ends.filter(F.col("epoch") == epoch - 1).drop("epoch")
-        from taskledger.operators.logs import assign_sequence
-
+        ends = _stored(spark, f"{target}/ends/epoch={epoch - 1}", ENDS)
         numbered = assign_sequence(written(batch, "entries"), ends, order=order)
         path = f"{target}/records/epoch={epoch}"
         numbered.write.mode("overwrite").parquet(path)
