@@ -7,12 +7,17 @@ graph where whole levels are the result, and its logarithm where pointers can be
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
-from taskledger.session import written
+from taskledger.session import max_group_rows, ship_package, written
+
+# Rounds over all runs at once before the few runs that are deeper are finished one by one.
+SHARED_ROUNDS = 8
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -174,32 +179,100 @@ def due_retries(actions: DataFrame, as_of: Column) -> DataFrame:
 
 
 def _needs(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataFrame:
-    """Unmet needs of due nodes: id, prerequisite_id and the prerequisite's status (null: missing)."""
+    """Unmet needs of due nodes: run_id, id, prerequisite_id and the prerequisite's status (null: missing)."""
     status = nodes.select(F.col("id").alias("prerequisite_id"), F.col("status").alias("_status"))
     return (
-        prereqs.select("id", "prerequisite_id").join(_due(nodes, as_of).select("id"), "id", "left_semi")
+        prereqs.select("run_id", "id", "prerequisite_id")
+        .join(_due(nodes, as_of).select("id"), "id", "left_semi")
         .join(status, "prerequisite_id", "left")
         .filter(F.col("_status").isNull() | (F.col("_status") != "succeeded"))
     )
 
 
+def _split_by_run(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of runs that one task can hold, and the others."""
+    limit = max_group_rows(edges.sparkSession)
+    large = written(edges.groupBy("run_id").count().filter(F.col("count") > limit).select("run_id"), "large-runs")
+    return edges.join(large, "run_id", "left_anti"), edges.join(large, "run_id", "left_semi")
+
+
+def _one_way(edges: DataFrame, column: str) -> bool:
+    """Whether every node has at most one edge leading on."""
+    return edges.groupBy(column).count().filter("count > 1").isEmpty()
+
+
+def _spread(run: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of one run reached from its seed rows (prerequisite_id null) along its links."""
+    seeds = run.loc[run["prerequisite_id"].isna(), "id"].tolist()
+    onward = defaultdict(list)
+    for node, before in run.loc[run["prerequisite_id"].notna(), ["id", "prerequisite_id"]].itertuples(index=False):
+        onward[before].append(node)
+    seen, queue = set(seeds), list(seeds)
+    while queue:
+        for node in onward.pop(queue.pop(), ()):
+            if node not in seen:
+                seen.add(node)
+                queue.append(node)
+    return pd.DataFrame({"id": pd.Series(sorted(seen.difference(seeds)), dtype=run["id"].dtype)})
+
+
+def _spread_deep(links: DataFrame, fresh: DataFrame) -> list[DataFrame]:
+    """Failures that are still to come from `fresh` along `links`, for the runs with fresh failures."""
+    links = written(links.join(fresh.select("run_id").distinct(), "run_id", "left_semi"), "deep")
+    small, large = _split_by_run(links)
+    ship_package(links.sparkSession)
+    none = F.lit(None).cast(links.schema["prerequisite_id"].dataType)
+    seeds = fresh.select("run_id", "id", none.alias("prerequisite_id")).join(
+        small.select("run_id").distinct(), "run_id", "left_semi"
+    )
+    # Ids must not turn into floats beside nulls, so they travel as text.
+    as_text = [F.col(c).cast("string").alias(c) for c in ("id", "prerequisite_id")]
+    found = [
+        small.select("run_id", "id", "prerequisite_id").unionByName(seeds).select("run_id", *as_text)
+        .groupBy("run_id").applyInPandas(_spread, "id string")
+        .select(F.col("id").cast(links.schema["id"].dataType).alias("id"))
+    ]
+    if large.isEmpty():
+        return found
+    if _one_way(large, "id"):
+        # Each node waits for one other: follow the chains with doubling.
+        ends = large.select(F.col("prerequisite_id").alias("id")).distinct().join(large, "id", "left_anti")
+        chain = large.select("id", F.col("prerequisite_id").alias("parent")).unionByName(
+            ends.select("id", none.alias("parent"))
+        )
+        marked = _lowest_above(chain, fresh.select("id", F.lit(1).alias("label")))
+        return [*found, marked.filter("label IS NOT NULL").select("id")]
+    while not fresh.isEmpty():
+        large = written(large.join(fresh, "id", "left_anti"), "links")
+        fresh = written(_next_failed(large, fresh), "failed")
+        found.append(fresh.select("id"))
+    return found
+
+
+def _next_failed(links: DataFrame, fresh: DataFrame) -> DataFrame:
+    return links.join(
+        fresh.select(F.col("id").alias("prerequisite_id")), "prerequisite_id", "left_semi"
+    ).select("run_id", "id").distinct()
+
+
 def propagate_failures(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataFrame:
     """Due queued nodes with a missing or closed-but-not-succeeded prerequisite fail, to a fixpoint."""
     needs = written(_needs(nodes, prereqs, as_of), "needs")
     bad = F.col("_status").isNull() | X.is_terminal(F.col("_status"))
-    fresh = written(needs.filter(bad).select("id").distinct(), "failed")
-    failed = [fresh]
+    fresh = written(needs.filter(bad).select("run_id", "id").distinct(), "failed")
+    failed = [fresh.select("id")]
     # From here on only needs between due queued nodes can pass a failure on.
-    links = needs.filter(F.col("_status") == "queued").select("id", "prerequisite_id")
+    links = needs.filter(F.col("_status") == "queued").select("run_id", "id", "prerequisite_id")
+    rounds = 0
     while not fresh.isEmpty():
-        links = written(links.join(fresh, "id", "left_anti"), "links")
-        fresh = written(
-            links.join(fresh.withColumnRenamed("id", "prerequisite_id"), "prerequisite_id", "left_semi")
-            .select("id").distinct(),
-            "failed",
-        )
-        failed.append(fresh)
-    marks = _union(failed).withColumn("_failed", F.lit(True))
+        links = written(links.join(fresh.select("id"), "id", "left_anti"), "links")
+        if rounds == SHARED_ROUNDS:
+            failed += _spread_deep(links, fresh)
+            break
+        fresh = written(_next_failed(links, fresh), "failed")
+        failed.append(fresh.select("id"))
+        rounds += 1
+    marks = _union(failed).distinct().withColumn("_failed", F.lit(True))
     kept_error = F.col("error") if "error" in nodes.columns else F.lit("")
     return nodes.join(marks, "id", "left").select(
         *[c for c in nodes.columns if c not in ("status", "error")],
@@ -213,34 +286,83 @@ def ready_frontier(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataF
     return _due(nodes, as_of).join(_needs(nodes, prereqs, as_of).select("id"), "id", "left_anti")
 
 
-def _cycle_edges(edges: DataFrame) -> DataFrame:
-    """What is left of (id, needs) after taking away, round by round, edges that cannot be on a cycle."""
-    rest = written(edges.select("id", "needs").filter("id IS NOT NULL AND needs IS NOT NULL"), "edges")
-    before = rest.count()
-    while before:
-        starts = rest.select(F.col("id").alias("needs"))
-        ends = rest.select(F.col("needs").alias("id"))
-        rest = written(
-            rest.join(starts, "needs", "left_semi").join(ends, "id", "left_semi"), "edges"
-        )
+def _trim(edges: DataFrame) -> DataFrame:
+    """Take away edges (id needs needs) with nothing before or nothing behind them."""
+    starts = edges.select(F.col("id").alias("needs"))
+    ends = edges.select(F.col("needs").alias("id"))
+    return written(edges.join(starts, "needs", "left_semi").join(ends, "id", "left_semi"), "edges")
+
+
+def _trim_run(run: pd.DataFrame) -> pd.DataFrame:
+    """What is left of one run's edges when trimming comes to its end; linear in the edges."""
+    pairs = list(run[["id", "needs"]].itertuples(index=False, name=None))
+    alive = [True] * len(pairs)
+    for source, target in ((0, 1), (1, 0)):
+        # Drop edges into nodes without a way on, then the same in the other direction.
+        into, ways = defaultdict(list), defaultdict(int)
+        for n, pair in enumerate(pairs):
+            if alive[n]:
+                into[pair[target]].append(n)
+                ways[pair[source]] += 1
+        queue = [node for node in into if ways[node] == 0]
+        while queue:
+            for n in into.pop(queue.pop(), ()):
+                if alive[n]:
+                    alive[n] = False
+                    ways[pairs[n][source]] -= 1
+                    if ways[pairs[n][source]] == 0:
+                        queue.append(pairs[n][source])
+    return run[alive]
+
+
+def _cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes (run_id, id) on a prerequisite cycle, or between two of them. `edges`: run_id, id, needs."""
+    rest = written(edges.select("run_id", "id", "needs").filter("id IS NOT NULL AND needs IS NOT NULL"), "edges")
+    before, rounds = rest.count(), 0
+    while before and rounds < SHARED_ROUNDS:
+        rest, rounds = _trim(rest), rounds + 1
         after = rest.count()
         if after == before:
-            break
+            return rest.select("run_id", "id").distinct()
         before = after
-    return rest
-
-
-def _parent_cycles(nodes: DataFrame) -> DataFrame:
-    """Nodes whose parent chain never ends: still climbing after as many steps as their run has nodes."""
-    largest = nodes.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
-    state = nodes.filter("caller_action_id IS NOT NULL").select("run_id", "id", F.col("caller_action_id").alias("_up"))
+    if not before:
+        return rest.select("run_id", "id")
+    small, large = _split_by_run(rest)
+    ship_package(edges.sparkSession)
+    found = small.groupBy("run_id").applyInPandas(_trim_run, rest.schema).select("run_id", "id")
+    if not large.isEmpty():
+        if _one_way(large, "id"):
+            # After at least as many steps as there are edges, a pointer stands on a cycle, and every
+            # node of a cycle has a pointer on it.
+            large = large.select("run_id", "id", F.col("needs").alias("_up"))
+            found = found.unionByName(_climb(large, large.count()).select("run_id", F.col("_up").alias("id")))
+        else:
+            before, after = 0, large.count()
+            while before != after:
+                large, before = _trim(large), after
+                after = large.count()
+            found = found.unionByName(large.select("run_id", "id"))
+    return found.distinct()
+
+
+def _climb(state: DataFrame, steps: int) -> DataFrame:
+    """Pointers (run_id, id, _up) that are still climbing after at least `steps` steps, by doubling."""
     state = written(state, "climb")
-    for _ in range(math.ceil(math.log2(largest + 1)) + 1 if largest else 0):
+    for _ in range(math.ceil(math.log2(steps + 1)) + 1 if steps else 0):
         if state.isEmpty():
             break
         far = state.select(F.col("id").alias("_up"), F.col("_up").alias("_far"))
         state = written(state.join(far, "_up").select("run_id", "id", F.col("_far").alias("_up")), "climb")
-    return state.select("run_id", "id")
+    return state
+
+
+def _parent_cycles(nodes: DataFrame) -> DataFrame:
+    """Nodes whose parent chain never ends: still climbing after as many steps as their run has nodes."""
+    largest = nodes.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
+    chains = nodes.filter("caller_action_id IS NOT NULL").select(
+        "run_id", "id", F.col("caller_action_id").alias("_up")
+    )
+    return _climb(chains, largest).select("run_id", "id")
 
 
 def validate_graph(nodes: DataFrame, prereqs: DataFrame) -> DataFrame:
@@ -264,8 +386,7 @@ def validate_graph(nodes: DataFrame, prereqs: DataFrame) -> DataFrame:
         F.count_if(F.col("caller_action_id").isNull()).alias("_roots")
     )
     unique = nodes.dropDuplicates(["run_id", "id"])
-    looping = _cycle_edges(prereqs.select("id", F.col("prerequisite_id").alias("needs")))
-    on_cycle = prereqs.join(looping.select("id").distinct(), "id", "left_semi").select("run_id", "id").distinct()
+    on_cycle = _cycle_nodes(prereqs.select("run_id", "id", F.col("prerequisite_id").alias("needs")))
     return _union([
         verdict(duplicates, "duplicate node"),
         verdict(missing.select("run_id", "id").distinct(), "missing prerequisite"),

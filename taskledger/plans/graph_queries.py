@@ -50,7 +50,7 @@ def ancestors(spark: SparkSession, sf: str) -> DataFrame:
     SELECT u.id, a.id AS closure, CASE a.status WHEN 'succeeded' THEN 'parent action completed'
       WHEN 'failed' THEN 'parent action failed' ELSE 'ancestor canceled' END AS reason
     FROM up u JOIN actions a ON a.id = u.above WHERE a.status IN {TERMINAL}
-    UNION ALL SELECT a.id, a.run_id * 1000 + 2 * (CASE WHEN o.status = 'failed' THEN 1 ELSE 0 END), CASE o.status WHEN 'failed'
+    UNION ALL SELECT a.id, a.run_id * 1000000 + 2 * (CASE WHEN o.status = 'failed' THEN 1 ELSE 0 END), CASE o.status WHEN 'failed'
       THEN 'run canceled' ELSE 'root action completed' END
     FROM actions a JOIN runs r ON r.id = a.run_id JOIN actions o ON o.id = r.root_action_id WHERE o.status IN ('succeeded', 'failed')),
   firsts AS (SELECT id, arg_min(reason, closure) AS reason, min(closure) AS closure FROM labels GROUP BY id)
@@ -69,7 +69,7 @@ def close_subtree(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("closure"), kind.alias("kind"), "run_id", F.col("id").alias("action_id")
     )
     on_runs = closed.filter("pos = 1 AND status <> 'canceled'").select(
-        (F.col("run_id") * 1000 + F.when(F.col("status") == "failed", 2).otherwise(0)).alias("closure"),
+        (F.col("run_id") * fx.NODES_PER_RUN + F.when(F.col("status") == "failed", 2).otherwise(0)).alias("closure"),
         F.when(F.col("status") == "failed", "run_canceled").otherwise("root_done").alias("kind"), "run_id",
         F.lit(None).cast("long").alias("action_id"),
     )

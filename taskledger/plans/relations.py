@@ -26,8 +26,8 @@ RELATIONS: dict[str, str] = {
         UNION ALL SELECT submission, id, id - 2 FROM environments WHERE id % 10 >= 2""",
     "lines": f"""SELECT *, {STATUS} AS status, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS pos FROM lineitem""",
-    "actions": """SELECT l_orderkey * 1000 + pos AS id, l_orderkey AS run_id,
-        CASE WHEN pos > 1 THEN l_orderkey * 1000 + pos // 2 END AS caller_action_id, l_suppkey AS environment_id,
+    "actions": """SELECT l_orderkey * 1000000 + pos AS id, l_orderkey AS run_id,
+        CASE WHEN pos > 1 THEN l_orderkey * 1000000 + pos // 2 END AS caller_action_id, l_suppkey AS environment_id,
         l_linenumber::BIGINT AS entrypoint_id, status, l_linenumber::BIGINT AS attempts, l_partkey % 4 AS failures,
         1 + l_partkey % 3 AS max_attempts,
         CASE WHEN status = 'queued' AND l_partkey % 2 = 0 THEN l_shipdate + to_days(l_linenumber) END AS next_attempt_at,
@@ -36,7 +36,7 @@ RELATIONS: dict[str, str] = {
         CASE WHEN o_orderkey % 3 <> 0 THEN 'w' || (o_orderkey % 7) END AS claim_token,
         CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + to_days((o_orderkey % 61)::INTEGER) END AS lease_until,
         o_orderdate AS created_at,
-        CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN o_orderkey * 1000 + 1 END AS root_action_id
+        CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN o_orderkey * 1000000 + 1 END AS root_action_id
         FROM orders""",
     "edges": """SELECT run_id, id AS source_action_id, caller_action_id AS dependent_action_id FROM actions
         WHERE caller_action_id IS NOT NULL""",

@@ -11,6 +11,7 @@ from taskledger.sources.tables import source_table
 
 AS_OF = "1999-06-01 00:00:00"
 SPILL_OVER = 4096
+NODES_PER_RUN = 1_000_000
 
 
 def namespaces(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +75,7 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
         ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"],
         count="pos",
     )
-    base = F.col("l_orderkey") * 1000
+    base = F.col("l_orderkey") * NODES_PER_RUN
     hours = F.make_dt_interval(hours=F.col("l_quantity").cast("int"))
     days = F.make_dt_interval(days=F.col("l_linenumber"))
     return (
@@ -127,7 +128,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
                 claimed, F.col("o_orderdate") + F.make_dt_interval(days=(key % 61).cast("int"))
             ).alias("lease_until"),
             F.col("o_orderdate").alias("created_at"),
-            F.when(F.col("_has_lines"), key * 1000 + 1).alias("root_action_id"),
+            F.when(F.col("_has_lines"), key * NODES_PER_RUN + 1).alias("root_action_id"),
         )
     )
 
