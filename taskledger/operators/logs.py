@@ -335,18 +335,80 @@ def run_timeline(runs: DataFrame, status: DataFrame, logs: DataFrame, with_logs:
     return feed.unionByName(changes, allowMissingColumns=True).unionByName(lines, allowMissingColumns=True)
 
 
-def render_run_log(timeline: DataFrame) -> DataFrame:
-    """Text lines of a timeline with columns run_id, ts, seq, source, message.
+def _messages(events: DataFrame, *items: Column) -> DataFrame:
+    """One row per message (struct of source and message, or null) of each event, in order."""
+    return events.select(
+        "run_id", "ts", "seq", F.posexplode(F.array_compact(F.array(*items))).alias("part", "_item")
+    ).select("run_id", "ts", "seq", F.col("part").cast("long").alias("part"), "_item.source", "_item.message")
+
+
+def _message(source: Column | str, pattern: str, *columns: str) -> Column:
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.struct(
+        (F.lit(source) if isinstance(source, str) else source).alias("source"),
+        F.format_string(pattern, *texts).alias("message"),
+    )
+
+
+def action_messages(events: DataFrame) -> DataFrame:
+    """Messages of action events.
+
+    Columns run_id, ts, seq, action_id, caller_action_id, entrypoint_id, status, attempt, error, cache_hit.
+    """
+    fault = F.col("status").isin("queued", "failed", "canceled") & (F.coalesce("error", F.lit("")) != "")
+    return _messages(
+        events,
+        F.when(F.col("cache_hit"), _message("cache", "hit entrypoint=%s action=%s", "entrypoint_id", "action_id")),
+        _message("task", "entrypoint=%s %s action=%s parent=%s attempt=%s",
+                 "entrypoint_id", "status", "action_id", "caller_action_id", "attempt"),
+        F.when(fault, _message("error", "entrypoint=%s action=%s attempt=%s | %s",
+                               "entrypoint_id", "action_id", "attempt", "error")),
+    )
+
+
+def line_messages(lines: DataFrame) -> DataFrame:
+    """Messages of task log lines. Columns run_id, ts, seq, source, action_id, attempt, message."""
+    source = F.coalesce("source", F.lit("task"))
+    return _messages(lines, _message(source, "action=%s attempt=%s | %s", "action_id", "attempt", "message"))
+
+
+def run_messages(states: DataFrame) -> DataFrame:
+    """Messages of a run's states: where it runs (once), status with elapsed time, and each new error.
+
+    Columns run_id, ts, seq, entrypoint_id, namespace_id, version, root_action_id, status, error,
+    created_at, updated_at.
+    """
+    placed = running(
+        states.withColumn("error", F.coalesce("error", F.lit(""))), ["run_id"], ["seq"],
+        count="_nth", previous={"_error_before": "error"},
+    )
+    first = F.col("_nth") == 1
+    elapsed = F.concat(F.lit(" elapsed="), X.elapsed_seconds(F.col("created_at"), F.col("updated_at")), F.lit("s"))
+    placed = placed.withColumn("_state", F.concat("status", F.coalesce(elapsed, F.lit(""))))
+    new_error = (F.col("error") != "") & (F.col("error") != F.coalesce("_error_before", F.lit("")))
+    return _messages(
+        placed,
+        F.when(first & F.col("version").isNotNull(),
+               _message("deployment", "entrypoint=%s namespace_id=%s version=%s", "entrypoint_id", "namespace_id", "version")),
+        F.when(first & F.col("root_action_id").isNotNull(), _message("root", "action=%s", "root_action_id")),
+        _message("status", "%s", "_state"),
+        F.when(new_error, _message("error", "%s", "error")),
+    )
+
+
+def render_run_log(messages: DataFrame) -> DataFrame:
+    """Text lines of messages with columns run_id, ts, seq, source, message and, optionally, part.
 
     The source is padded to twelve characters; a message gives one line per line of text.
     """
-    return timeline.select(
-        "run_id", "ts", "seq",
+    keys = ["run_id", "ts", "seq", *(["part"] if "part" in messages.columns else [])]
+    return messages.select(
+        *keys,
         F.when(F.col("source") == "error", "warning").otherwise("info").alias("level"),
         "source",
         F.posexplode(X.text_lines(F.coalesce("message", F.lit("")))).alias("line_no", "_text"),
     ).select(
-        "run_id", "ts", "seq", F.col("line_no").cast("long").alias("line_no"), "level",
+        *keys, F.col("line_no").cast("long").alias("line_no"), "level",
         F.format_string("%-12s  %s", "source", "_text").alias("line"),
     )
 

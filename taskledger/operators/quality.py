@@ -106,7 +106,7 @@ def validate_actions(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # Fixed values.
-PROVIDERS = ("local", "docker", "e2b")
+PROVIDERS = ("local-python", "docker", "e2b")
 RESERVED_NAMES = ("PATH", "HOME", "PYTHONPATH")
 RESERVED_PREFIXES = ("UV_",)
 ARCHIVE_MIME = "application/x-tar+zstd"
@@ -131,7 +131,7 @@ def validate_environments(
     (array), workdir, cpu_millis, memory_bytes, env_vars (map), dependencies (array of namespace_id, name,
     version), entrypoints (array of command, cache, task_version, max_attempts).
     """
-    local = F.coalesce(F.col("provider") == "local", F.lit(False))
+    local = F.coalesce(F.col("provider") == PROVIDERS[0], F.lit(False))
     reference = F.coalesce("reference", F.lit(""))
     names, texts = F.map_keys("env_vars"), F.map_values("env_vars")
     size = F.aggregate(

@@ -237,3 +237,16 @@ def retry_plan(attempts: DataFrame, at: str = "at") -> DataFrame:
         "failures": failures,
         "next_attempt_at": F.when(again, F.col(at) + wait),
     })
+
+
+def retry_policy(declared: DataFrame) -> DataFrame:
+    """Attempts allowed by a declared `retry` (none or idempotent) and `max_attempts` (null: the default)."""
+    mode, given = F.col("retry"), F.col("max_attempts")
+    attempts = F.coalesce(given, F.when(mode == "none", 1).otherwise(3))
+    return declared.withColumns({
+        "verdict": F.when(~F.coalesce(mode.isin("none", "idempotent"), F.lit(False)), "invalid retry mode")
+        .when(~attempts.between(1, 100), "attempts out of range")
+        .when((mode == "none") & (attempts != 1), "one attempt only")
+        .otherwise("ok"),
+        "attempts": attempts,
+    })

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taskledger.functions import expr as X
 from taskledger.operators import blobs, logs
 from taskledger.plans.registry import query
+from taskledger.plans.relations import frame
 from taskledger.session import fresh_path, written
 from taskledger.sources import fixtures as fx
 from taskledger.sources.tables import log_source_batch, log_source_stream, source_table
@@ -264,6 +266,53 @@ def render_run_log(spark: SparkSession, sf: str) -> DataFrame:
     return logs.render_run_log(said).select("run_id", "seq", "line_no", "level", "line")
 
 
+@query("""WITH told AS (SELECT id AS action_id, run_id, caller_action_id, entrypoint_id, status, attempts,
+    entrypoint_id = 3 AS hit FROM actions)
+ SELECT run_id, action_id AS seq, p::BIGINT AS part, CASE source WHEN 'error' THEN 'warning' ELSE 'info' END AS level,
+   rpad(source, 12, ' ') || '  ' || message AS line FROM (
+  SELECT *, 0 AS p, 'cache' AS source, 'hit entrypoint=' || entrypoint_id || ' action=' || action_id AS message FROM told WHERE hit
+  UNION ALL SELECT *, CASE WHEN hit THEN 1 ELSE 0 END, 'task', 'entrypoint=' || entrypoint_id || ' ' || status || ' action=' || action_id
+    || ' parent=' || coalesce(caller_action_id::VARCHAR, '') || ' attempt=' || attempts FROM told
+  UNION ALL SELECT *, CASE WHEN hit THEN 2 ELSE 1 END, 'error', 'entrypoint=' || entrypoint_id || ' action=' || action_id
+    || ' attempt=' || attempts || ' | stopped' FROM told WHERE status IN ('queued', 'failed', 'canceled'))""")
+def render_action_events(spark: SparkSession, sf: str) -> DataFrame:
+    events = fx.actions(spark, sf).select(
+        "run_id", F.col("updated_at").alias("ts"), F.col("id").alias("seq"), F.col("id").alias("action_id"), "caller_action_id",
+        "entrypoint_id", "status", F.col("attempts").alias("attempt"), F.lit("stopped").alias("error"),
+        (F.col("entrypoint_id") == 3).alias("cache_hit"),
+    )
+    return logs.render_run_log(logs.action_messages(events)).select("run_id", "seq", "part", "level", "line")
+
+
+@query("""WITH told AS (SELECT r.id AS run_id, r.root_action_id, a.entrypoint_id, e.namespace_id, e.version, a.status,
+    printf('%.3f', (epoch_us(a.updated_at) - epoch_us(r.created_at)) / 1000000.0) AS elapsed
+  FROM runs r JOIN actions a ON a.id = r.root_action_id JOIN environments e ON e.id = a.environment_id)
+ SELECT run_id, 'info' AS level, rpad('deployment', 12, ' ') || '  entrypoint=' || entrypoint_id || ' namespace_id=' || namespace_id
+   || ' version=' || version AS line FROM told
+ UNION ALL SELECT run_id, 'info', rpad('root', 12, ' ') || '  action=' || root_action_id FROM told
+ UNION ALL SELECT run_id, 'info', rpad('status', 12, ' ') || '  ' || status || ' elapsed=' || elapsed || 's' FROM told
+ UNION ALL SELECT run_id, 'warning', rpad('error', 12, ' ') || '  root failed' FROM told WHERE status = 'failed'""")
+def render_run_states(spark: SparkSession, sf: str) -> DataFrame:
+    from taskledger.operators.runs import run_detail
+
+    states = run_detail(fx.runs(spark, sf), fx.actions(spark, sf), fx.environments(spark, sf)).select(
+        "run_id", F.col("updated_at").alias("ts"), F.lit(1).cast("long").alias("seq"), "entrypoint_id", "namespace_id", "version",
+        "root_action_id", "status", F.when(F.col("status") == "failed", "root failed").alias("error"),
+        F.col("run_created_at").alias("created_at"), "updated_at",
+    )
+    return logs.render_run_log(logs.run_messages(states)).select("run_id", "level", "line")
+
+
+@query(f"""WITH named AS (SELECT conv_id AS run_id, turn, turn || '/state/' || role AS key FROM conversations)
+  SELECT run_id, turn, key, turn || ':' || sha256(unhex({frame('key')} || {frame("run_id::VARCHAR")})) AS append_id FROM named""")
+def checkpoint_keys(spark: SparkSession, sf: str) -> DataFrame:
+    key = X.checkpoint_key(F.col("turn"), "state", F.col("role"))
+    return source_table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("run_id"), "turn", key.alias("key"),
+        X.event_append_id(F.col("turn"), key, F.col("conv_id").cast("string")).alias("append_id"),
+    )
+
+
 # Streams ---------------------------------------------------------------------------------------------
 
 

@@ -112,7 +112,7 @@ def validate_actions(spark: SparkSession, sf: str) -> DataFrame:
 def validate_environments(spark: SparkSession, sf: str) -> DataFrame:
     k, balance = F.col("s_suppkey"), F.col("s_acctbal")
     provider = F.element_at(
-        F.array(*[F.lit(p) for p in ("local", "docker", "e2b", "podman")]), (F.col("s_nationkey") % 4 + 1).cast("int")
+        F.array(*[F.lit(p) for p in (*ops.PROVIDERS, "podman")]), (F.col("s_nationkey") % 4 + 1).cast("int")
     )
     digest = F.sha2("s_name", 256)
     source = X.blob_uri(F.when(k % 9 == 0, "text/plain").otherwise(ops.ARCHIVE_MIME), digest)

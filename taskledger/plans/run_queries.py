@@ -381,3 +381,27 @@ def expire_memo(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT session, CASE WHEN size = 0 THEN 0 ELSE (size + 8388607) // 8388608 END AS parts FROM uploads""")
 def part_counts(spark: SparkSession, sf: str) -> DataFrame:
     return fx.uploads(spark, sf).select("session", X.part_count(F.col("size")).alias("parts"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN p_size::BIGINT * 1048576 WHEN p_type = 'STANDARD' THEN p_size::BIGINT * 1000000000
+    END::VARCHAR AS memory, CASE WHEN p_size % 2 = 0 AND p_size > 0 THEN p_size::BIGINT * 5 END AS cpu FROM part""")
+def resource_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    """Memory as `<size>Mi`, `<size>G` or a malformed text; cores as a decimal text, some not whole thousandths."""
+    unit = F.when(F.col("p_type") == "ECONOMY", "Mi").when(F.col("p_type") == "STANDARD", "G").otherwise("MB")
+    cores = F.when(F.col("p_size") % 2 == 0, (F.col("p_size") * 5 / 1000).cast("decimal(10,4)").cast("string")).otherwise("0.0005")
+    return source_table(spark, sf, "part").select(
+        "p_partkey", X.memory_bytes(F.concat(F.col("p_size").cast("string"), unit)).cast("string").alias("memory"),
+        X.cpu_millis(cores).alias("cpu"),
+    )
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'invalid retry mode' WHEN p_size % 10 > 0 AND p_size * 3 > 100
+    THEN 'attempts out of range' WHEN p_type = 'ECONOMY' AND p_size % 10 > 0 AND p_size * 3 <> 1 THEN 'one attempt only' ELSE 'ok' END
+  AS verdict FROM part""")
+def retry_policy(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("p_type")
+    declared = source_table(spark, sf, "part").select(
+        "p_partkey", F.when(kind == "PROMO", "always").when(kind == "ECONOMY", "none").otherwise("idempotent").alias("retry"),
+        F.when(F.col("p_size") % 10 > 0, F.col("p_size") * 3).alias("max_attempts"),
+    )
+    return ops.retry_policy(declared).select("p_partkey", "verdict")

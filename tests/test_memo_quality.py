@@ -110,7 +110,7 @@ def test_manifest_rules(spark, rows):
 
 def test_environment_rules(spark, rows):
     source = f"blob:{quality.ARCHIVE_MIME},{NAME}"
-    good = dict(k=1, namespace_id="n", name="env", source_uri=source, provider="local", reference=None, build_context_uri=source,
+    good = dict(k=1, namespace_id="n", name="env", source_uri=source, provider="local-python", reference=None, build_context_uri=source,
                 build_command=["make"], workdir="a/b", cpu_millis=0, memory_bytes=0, env_vars={"A": "b"},
                 dependencies=[("n", "dep", "0" * 64)], entrypoints=[(["python"], True, "1.0.0", 1)])
     cases = [
