@@ -108,3 +108,35 @@ def test_render(spark):
     df = spark.createDataFrame([(1, 1, "error", "a\nb"), (1, 2, "task", "")], "run_id int, seq int, source string, message string")
     got = [(r.level, r.line) for r in logs.render_run_log(df.withColumn("ts", F.lit(None).cast("timestamp"))).orderBy("seq", "line_no").collect()]
     assert got == [("warning", "error         a"), ("warning", "error         b"), ("info", "task          ")]
+
+
+def test_messages_of_a_run(spark):
+    from taskledger.functions import expr as X
+
+    states = spark.createDataFrame(
+        [(1, 1, 2, "n", "v", 10, "running", None), (1, 2, 2, "n", "v", 10, "running", "a\nb"), (1, 3, 2, "n", "v", 10, "failed", "a\nb")],
+        "run_id int, seq int, entrypoint_id int, namespace_id string, version string, root_action_id int, status string, error string",
+    ).withColumns({"ts": X.as_ntz("2024-01-01 00:00:02"), "created_at": X.as_ntz("2024-01-01 00:00:00"),
+                   "updated_at": X.as_ntz("2024-01-01 00:00:01.5")})
+    got = logs.render_run_log(logs.run_messages(states)).orderBy("seq", "part", "line_no").collect()
+    assert [(r.seq, r.level, r.line) for r in got] == [
+        (1, "info", "deployment    entrypoint=2 namespace_id=n version=v"), (1, "info", "root          action=10"),
+        (1, "info", "status        running elapsed=1.500s"), (2, "info", "status        running elapsed=1.500s"),
+        (2, "warning", "error         a"), (2, "warning", "error         b"), (3, "info", "status        failed elapsed=1.500s"),
+    ]
+
+
+def test_messages_of_actions_and_lines(spark):
+    events = spark.createDataFrame(
+        [(1, 1, "x", None, 3, "failed", 2, "no", True), (1, 2, "y", "x", 3, "running", 1, "no", False)],
+        "run_id int, seq int, action_id string, caller_action_id string, entrypoint_id int, status string, attempt int, "
+        "error string, cache_hit boolean",
+    ).withColumn("ts", F.lit(None).cast("timestamp"))
+    got = [(r.source, r.message) for r in logs.action_messages(events).orderBy("seq", "part").collect()]
+    assert got == [
+        ("cache", "hit entrypoint=3 action=x"), ("task", "entrypoint=3 failed action=x parent= attempt=2"),
+        ("error", "entrypoint=3 action=x attempt=2 | no"), ("task", "entrypoint=3 running action=y parent=x attempt=1"),
+    ]
+    lines = spark.createDataFrame([(1, 1, None, "x", 1, "hi")], "run_id int, seq int, source string, action_id string, attempt int, message string")
+    line = logs.line_messages(lines.withColumn("ts", F.lit(None).cast("timestamp"))).first()
+    assert (line.source, line.message) == ("task", "action=x attempt=1 | hi")

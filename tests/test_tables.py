@@ -133,3 +133,12 @@ def test_retry_plan(spark, rows):
     got = {r.id: (r.next_status, r.failures, str(r.next_attempt_at)[-8:]) for r in runs.retry_plan(df).collect()}
     assert got == {1: ("queued", 1, "00:00:01"), 2: ("failed", 3, "None"), 3: ("failed", 1, "None"), 4: ("failed", 1, "None"),
                    5: ("queued", 10, "00:01:04")}
+
+
+def test_retry_policy(spark, rows):
+    df = spark.createDataFrame([(1, "none", None), (2, "idempotent", None), (3, "none", 2), (4, "idempotent", 101), (5, "always", 1), (6, None, 1)],
+                               "id int, retry string, max_attempts int")
+    assert rows(runs.retry_policy(df), "id", "attempts", "verdict") == [
+        (1, 1, "ok"), (2, 3, "ok"), (3, 2, "one attempt only"), (4, 101, "attempts out of range"), (5, 1, "invalid retry mode"),
+        (6, 1, "invalid retry mode"),
+    ]
