@@ -2,14 +2,14 @@
 
 Sinks write one folder per micro-batch and overwrite it on a repeated batch, so a restarted query leaves
 each record once. State that a later batch needs (stream ends, accepted batches) is stored the same way
-and read from earlier batches only.
+and read from earlier batches only. A target belongs to one checkpoint: with a new checkpoint, take a new
+target.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,17 +26,19 @@ LEDGER = (
 ENDS = "run_id bigint, stream string, end_seq bigint"
 
 
-def _stored(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return None
+def _before(spark: SparkSession, path: str, schema: str, epoch: int) -> DataFrame | None:
+    """State written by the micro-batch before `epoch`; None before the first.
+
+    Every micro-batch writes its state, so a missing folder is an error and never an empty state.
+    """
+    return None if epoch == 0 else spark.read.schema(schema).parquet(f"{path}/epoch={epoch - 1}")
 
 
-def _earlier(spark: SparkSession, path: str, schema: str, epoch: int) -> DataFrame | None:
-    """Rows written by batches before `epoch`; the folder name carries the batch number."""
-    found = _stored(spark, path, schema + ", epoch bigint")
-    return None if found is None else found.filter(F.col("epoch") < epoch)
+def _all_before(spark: SparkSession, path: str, schema: str, epoch: int) -> DataFrame | None:
+    """Rows of all micro-batches before `epoch`; the folder name carries the number."""
+    if epoch == 0:
+        return None
+    return spark.read.schema(schema + ", epoch bigint").parquet(path).filter(F.col("epoch") < epoch)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -97,9 +99,9 @@ def append_log_sink(
             heads, ["run_id", "stream"], ["attempt", "_low", "append_id"], count="arrival"
         ).drop("_low")
         batches = batch_digest(entries, by, ["ord"]).join(arrivals, by)
-        ledger = _earlier(spark, f"{target}/ledger", LEDGER, epoch)
+        ledger = _all_before(spark, f"{target}/ledger", LEDGER, epoch)
         # Each snapshot lists all streams; the one of the batch before this is the state.
-        known_ends = _stored(spark, f"{target}/ends/epoch={epoch - 1}", ENDS)
+        known_ends = _before(spark, f"{target}/ends", ENDS, epoch)
         decided = written(append_reconcile(batches, ledger, known_ends), "decided")
         accepted = decided.filter("outcome = 'appended'")
         attempts = arrivals.join(
@@ -133,7 +135,7 @@ def stream_assign_sequence(
 
     def number(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        ends = _stored(spark, f"{target}/ends/epoch={epoch - 1}", ENDS)
+        ends = _before(spark, f"{target}/ends", ENDS, epoch)
         numbered = assign_sequence(written(batch, "entries"), ends, order=order)
         path = f"{target}/records/epoch={epoch}"
         numbered.write.mode("overwrite").parquet(path)

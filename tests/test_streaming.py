@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from taskledger.sources.tables import log_source_stream
 from taskledger.streaming import logs as live
@@ -90,3 +91,26 @@ def test_replays_within_a_watermark(spark, tmp_path):
     put(spark, src, schema, [(1, "s", "a", 1, datetime(2024, 1, 1)), (1, "s", "a", 1, datetime(2024, 1, 1, 0, 1))], 1)
     got = live.run_to_end(live.drop_replays_within(open_stream(spark, src, schema), "at", "10 minutes"), out, state)
     assert got.count() == 1
+
+
+def test_a_batch_that_broke_off_is_repeated_without_duplicates(spark, tmp_path, monkeypatch):
+    from pyspark.errors import StreamingQueryException
+
+    src, target, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    put(spark, src, ENTRY, [entry(1, "s", "a", 1, 1, "x")], 1)
+    live.append_log_sink(open_stream(spark, src, ENTRY), target, state).awaitTermination()
+    put(spark, src, ENTRY, [entry(1, "s", "b", 1, 2, "y"), entry(1, "s", "a", 2, 3, "x")], 2)
+    read_state = live._before
+
+    def broken(session, path, schema, epoch):
+        # The records of the second batch are written, then the state cannot be.
+        found = read_state(session, path, schema, epoch)
+        return found.withColumn("end_seq", F.raise_error(F.lit("disk gone")).cast("bigint")) if epoch else found
+
+    monkeypatch.setattr(live, "_before", broken)
+    with pytest.raises(StreamingQueryException):
+        live.append_log_sink(open_stream(spark, src, ENTRY), target, state).awaitTermination()
+    monkeypatch.setattr(live, "_before", read_state)
+    live.append_log_sink(open_stream(spark, src, ENTRY), target, state).awaitTermination()
+    assert sorted((r.seq, r.value) for r in spark.read.parquet(f"{target}/records").collect()) == [(1, "x"), (2, "y")]
+    assert sorted(r.outcome for r in spark.read.parquet(f"{target}/outcomes").collect()) == ["appended", "appended", "replay"]
