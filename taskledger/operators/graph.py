@@ -19,6 +19,12 @@ from taskledger.session import max_group_rows, ship_package, written
 # Rounds over all runs at once before the few runs that are deeper are finished one by one.
 SHARED_ROUNDS = 8
 
+# Why an action was canceled.
+REASONS = (
+    "parent action completed", "parent action failed", "ancestor canceled", "action canceled",
+    "root action completed", "run canceled",
+)
+
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
@@ -136,11 +142,12 @@ def close_subtree(actions: DataFrame, closures: DataFrame) -> DataFrame:
              "node_canceled": "ancestor canceled"}
     whole = {"root_done": "root action completed", "run_canceled": "run canceled"}
 
-    def reason(texts: dict[str, str]) -> Column:
-        return F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])[F.col("kind")]
-
-    def label(texts: dict[str, str]) -> Column:
-        return F.struct(F.col("closure").cast("long").alias("closure"), reason(texts).alias("reason"))
+    def label(reasons: dict[str, str]) -> Column:
+        """Closure number and reason in one number, so that the smallest label is the first closure."""
+        code = F.lit(None).cast("int")
+        for kind, reason in reasons.items():
+            code = F.when(F.col("kind") == kind, REASONS.index(reason)).otherwise(code)
+        return F.col("closure").cast("long") * 8 + code
 
     on_nodes = closures.filter(F.col("kind").isin(*below))
     run_labels = closures.filter(F.col("kind").isin(*whole)).groupBy("run_id").agg(
@@ -160,11 +167,13 @@ def close_subtree(actions: DataFrame, closures: DataFrame) -> DataFrame:
     )
     hit = F.col("_first").isNotNull() & ~X.is_terminal(F.col("status"))
     kept_error = F.col("error") if "error" in actions.columns else F.lit("")
+    texts = F.array(*[F.lit(r) for r in REASONS])
     return marked.select(
         *[c for c in actions.columns if c not in ("status", "error")],
         F.when(hit, "canceled").otherwise(F.col("status")).alias("status"),
-        F.when(hit, F.col("_first.reason")).otherwise(kept_error).alias("error"),
-        F.when(hit, F.col("_first.closure")).alias("closed_by"),
+        F.when(hit, F.element_at(texts, (F.pmod("_first", F.lit(8)) + 1).cast("int"))).otherwise(kept_error)
+        .alias("error"),
+        F.when(hit, F.shiftright("_first", 3)).alias("closed_by"),
     )
 
 
