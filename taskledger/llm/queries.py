@@ -6,6 +6,7 @@ from taskledger.llm import (  # noqa: F401
     language_id,
     quality_classifier,
     quality_rules,
+    simhash_dedup,
 )
 from taskledger.llm.registry import CHECKS, QUERIES, Query
 
