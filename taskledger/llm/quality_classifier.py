@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskledger.llm.common import documents, fit_logistic, keep_rows, logistic, per_text, remainder
@@ -96,16 +96,17 @@ def fit(
     if len(counted) < 2:
         return Model(b"", b"", [], prior)
     fits = texts.filter(f"length(_text) between 1 and {max_sample_chars}")
-    chosen = (
-        known.join(fits.select("_id", F.xxhash64("_text").alias("_hash")), "_id")
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_label").orderBy(
-            F.xxhash64("_id", F.lit("sample")), "_id", "_hash")))
-        .filter(F.col("_rank") <= per_class)
-    )
-    sample = chosen.join(fits.withColumn("_hash", F.xxhash64("_text")), ["_id", "_hash"]).select("_label", "_rank", "_text")
+    hashed = fits.withColumn("_hash", F.xxhash64("_text"))
+    ids = known.join(hashed.select("_id", "_hash"), "_id")
+    order = (F.xxhash64("_id", F.lit("sample")), F.col("_id"), F.col("_hash"))
+    chosen = ids.filter("_label = 1").orderBy(*order).limit(per_class).unionByName(
+        ids.filter("_label = 0").orderBy(*order).limit(per_class)
+    ).distinct()
+    # at most 2 * per_class narrow rows, so a broadcast has a fixed bound and no text is shuffled
+    sample = hashed.join(F.broadcast(chosen), ["_id", "_hash"]).select("_label", "_id", "_text")
     half: dict[tuple[int, int], list[bytes]] = {(a, b): [] for a in (0, 1) for b in (0, 1)}
-    for row in sorted(sample.collect(), key=lambda r: (r[0], r[1], r[2])):
-        half[row[0], row[1] % 2].append(row[2].encode())
+    for i, row in enumerate(sorted(sample.collect(), key=lambda r: (r[0], str(r[1]), r[2]))):
+        half[row[0], i % 2].append(row[2].encode())
     if not (half[1, 1] and half[0, 1]):
         return Model(b"", b"", [], prior)
     good, bad = _dictionary(half[1, 1]), _dictionary(half[0, 1])
