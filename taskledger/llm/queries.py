@@ -7,6 +7,7 @@ from taskledger.llm import (  # noqa: F401
     quality_classifier,
     quality_rules,
     simhash_dedup,
+    substring_dedup,
 )
 from taskledger.llm.registry import CHECKS, QUERIES, Query
 
