@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from taskledger.llm import (  # noqa: F401
     language_id,
+    packing,
     quality_classifier,
     quality_rules,
     simhash_dedup,
     substring_dedup,
+    url_filters,
 )
 from taskledger.llm.registry import CHECKS, QUERIES, Query
 
