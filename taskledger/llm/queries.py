@@ -5,6 +5,7 @@ from __future__ import annotations
 from taskledger.llm import (  # noqa: F401
     language_id,
     packing,
+    pii,
     quality_classifier,
     quality_rules,
     simhash_dedup,
