@@ -15,6 +15,7 @@ labels are not learned from. Equal probabilities go to the first label in alphab
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -32,7 +33,8 @@ PER_LANGUAGE = 250
 MAX_LANGUAGES = 32
 MAX_SAMPLE_CHARS = 50_000
 TABLE_BITS = 17
-ROUNDS = 30
+ROUNDS = 20
+NGRAMS = (2, 3, 4, 5)
 RUN_WORDS, SEQUENCE_WORDS = 25, 100
 LONG_WORD = 64  # of a longer word, the first and last half as many bytes make its n-grams
 CACHED_WORDS = 300_000
@@ -53,70 +55,99 @@ def has_letter(text: bytes | None) -> bool:
     return bool(LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode()))
 
 
-def features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of each word, one after the other, and where each word's begin."""
+class Index(dict):
+    """Numbers words in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams at each byte position of the words (one row per length), where each word begins, hashed words.
+
+    A position where an n-gram would leave its word has the last row of the weight table, which stays zero.
+    """
     ends = [w if len(w) <= LONG_WORD else w[: LONG_WORD // 2] + b"\x01" + w[-LONG_WORD // 2:] for w in found]
-    text = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in ends), dtype=np.uint8).astype(np.uint64)
-    sizes = np.fromiter((len(w) + 2 for w in ends), dtype=np.int64, count=len(ends))
-    word = np.repeat(np.arange(len(ends)), sizes)
-    kept, owner = [], []
+    text = np.frombuffer(b"\x02" + b"\x03\x02".join(ends) + b"\x03", dtype=np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, ends), dtype=np.int64, count=len(ends)) + 2
+    starts = np.cumsum(sizes) - sizes
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(text))  # bytes of the word from here on
+    grams = np.full((len(NGRAMS), len(text)), 1 << TABLE_BITS, dtype=np.int64)
     rolling = text.copy()
-    for n in range(2, 6):
+    for row, n in enumerate(NGRAMS):
         rolling = rolling[:-1] * np.uint64(257) + text[n - 1:]
-        same = word[: len(rolling)] == word[n - 1:]
-        kept.append(((rolling[same] + np.uint64(n)) * _MIX) >> np.uint64(64 - TABLE_BITS))
-        owner.append(word[: len(rolling)][same])
-    lexicon = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in found), dtype=np.uint64, count=len(found))
-    kept.append(lexicon >> np.uint64(64 - TABLE_BITS))
-    owner.append(np.arange(len(found)))
-    owners = np.concatenate(owner)
-    order = np.argsort(owners, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(found)))[:-1]])
-    return np.concatenate(kept)[order].astype(np.int64), starts.astype(np.int64)
+        hashed = (((rolling + np.uint64(n)) * _MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        grams[row, : len(hashed)] = np.where(left[: len(hashed)] >= n, hashed, 1 << TABLE_BITS)
+    digest = xxhash.xxh64_intdigest
+    lexicon = np.fromiter((digest(w, 7) for w in found), dtype=np.uint64, count=len(found))
+    return grams, starts, (lexicon >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def emissions(found: list[bytes], weights: np.ndarray) -> np.ndarray:
-    if not found:
-        return np.zeros((0, weights.shape[1]), dtype=np.float32)
-    index, starts = features(found)
-    return np.add.reduceat(weights[index], starts, axis=0)
+def emissions(made: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
+    grams, starts, lexicon = made
+    total = weights[grams[0]]
+    for row in grams[1:]:
+        total += weights[row]
+    return np.add.reduceat(total, starts, axis=0) + weights[lexicon]
 
 
 def marginals(emitted: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Label probabilities of each word of texts that lie one after the other, by forward-backward.
-
-    All texts advance together, longest first, so a step works on those that have a word there.
-    """
+    """Label probabilities of each word of texts that lie one after the other, by forward-backward."""
     return _forward_backward(emitted, lengths, transitions)[0]
 
 
-def _forward_backward(emitted, lengths, transitions, pairs: bool = False):
+def _forward_backward(emitted: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
+    """Label probabilities, and the expected number of each transition if `pairs`.
+
+    All texts advance together, the longest first: words are laid out by position, so a step works on one slice.
+    """
     n_labels = emitted.shape[1]
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
-    local = np.exp(emitted - emitted.max(axis=1, keepdims=True, initial=-np.inf)).astype(np.float64) if len(emitted) else emitted
+    lengths = np.asarray(lengths, dtype=np.int64)
+    rank = np.empty(len(lengths), dtype=np.int64)
+    rank[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
+    longest = int(lengths.max(initial=0))
+    active = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(1, longest + 1), side="left")
+    offset = np.append(0, np.cumsum(active))
+    starts = np.cumsum(lengths) - lengths
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    layout = offset[np.arange(len(emitted)) - starts[text]] + rank[text]
+    del text
+    local = np.empty((len(emitted), n_labels))
+    local[layout] = np.exp(emitted - emitted.max(axis=1, keepdims=True)) if len(emitted) else emitted
     step = np.exp(transitions - transitions.max())
     forward = np.empty_like(local)
-    for t, n in enumerate(active):
-        at = starts[:n] + t
-        now = local[at] if t == 0 else (forward[at - 1] @ step) * local[at]
-        forward[at] = now / now.sum(axis=1, keepdims=True)
-    back = np.ones_like(local)
+    bounds = offset.tolist()
+    for t in range(longest):
+        a, b = bounds[t], bounds[t + 1]
+        now = forward[a:b]
+        if t:
+            np.matmul(forward[a - active[t - 1]: a - active[t - 1] + b - a], step, out=now)
+            now *= local[a:b]
+        else:
+            now[:] = local[a:b]
+        if t % 4 == 0 or pairs:
+            now /= now.sum(axis=1, keepdims=True)
     expected = np.zeros((n_labels, n_labels))
-    for t in range(len(active) - 1, 0, -1):
-        at = starts[: active[t]] + t
-        carried = local[at] * back[at]
-        before = carried @ step.T
-        scale = before.sum(axis=1, keepdims=True)
-        back[at - 1] = before / scale
-        if pairs:
-            joint = forward[at - 1]
-            norm = ((joint @ step) * carried).sum(axis=1, keepdims=True)
-            expected += step * ((joint / norm).T @ carried)
-    both = forward * back
-    return both / both.sum(axis=1, keepdims=True) if len(both) else both, expected
+    back = np.ones((len(lengths), n_labels))
+    turned = np.ascontiguousarray(step.T)
+    for t in range(longest - 1, -1, -1):
+        a, b = bounds[t], bounds[t + 1]
+        own = back[: b - a]
+        if t:
+            carried = local[a:b] * own
+            before = bounds[t - 1]
+            if pairs:
+                joint = forward[before: before + b - a]
+                norm = ((joint @ step) * carried).sum(axis=1, keepdims=True)
+                expected += step * ((joint / norm).T @ carried)
+        forward[a:b] *= own
+        if t:
+            np.matmul(carried, turned, out=own)
+            if t % 4 == 0:
+                own /= own.sum(axis=1, keepdims=True)
+    forward /= forward.sum(axis=1, keepdims=True)
+    return forward[layout], expected
 
 
 def train(runs: list[tuple[int, list[bytes]]], labels: list[str], rounds: int = ROUNDS, seed: int = 11) -> Model:
@@ -124,32 +155,36 @@ def train(runs: list[tuple[int, list[bytes]]], labels: list[str], rounds: int =
     n_labels = len(labels)
     rng = np.random.default_rng(seed)
     runs = [runs[i] for i in rng.permutation(len(runs))]
-    index: dict[bytes, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for _, found in runs for w in found], dtype=np.int64)
+    index = Index()
+    ids = np.fromiter((index[w] for _, found in runs for w in found), dtype=np.int64)
     gold = np.repeat([k for k, _ in runs], [len(found) for _, found in runs])
     lengths = np.full(-(-len(ids) // SEQUENCE_WORDS), SEQUENCE_WORDS)
     lengths[-1] = len(ids) - SEQUENCE_WORDS * (len(lengths) - 1)
     first = np.arange(len(ids)) % SEQUENCE_WORDS == 0
-    feats, starts = features(list(index))
-    per_word = np.diff(np.append(starts, len(feats)))
-    weights, transitions = np.zeros((1 << TABLE_BITS, n_labels), dtype=np.float32), np.zeros((n_labels, n_labels))
+    made = grams, starts, lexicon = features(list(index))
+    per_word = np.diff(np.append(starts, grams.shape[1]))
+    weights, transitions = np.zeros(((1 << TABLE_BITS) + 1, n_labels), dtype=np.float32), np.zeros((n_labels, n_labels))
     seen, seen_t = np.full(weights.shape, 1e-6, dtype=np.float32), np.full(transitions.shape, 1e-6)
     held = np.zeros_like(transitions)
     np.add.at(held, (gold[:-1][~first[1:]], gold[1:][~first[1:]]), 1)
     balance = np.bincount(gold, minlength=n_labels).astype(float)
     balance = (balance.sum() / n_labels / np.maximum(balance, 1))[gold]  # each language weighs the same
     for _ in range(rounds):
-        by_word = np.add.reduceat(weights[feats], starts, axis=0)
-        found, expected = _forward_backward(by_word[ids], lengths, transitions, pairs=True)
+        found, expected = _forward_backward(emissions(made, weights)[ids], lengths, transitions, pairs=True)
         off = -found
         off[np.arange(len(ids)), gold] += 1
         off *= balance[:, None]
         for k in range(n_labels):
             of_word = np.bincount(ids, weights=off[:, k], minlength=len(index))
-            slope = np.bincount(feats, weights=np.repeat(of_word, per_word), minlength=len(weights)) / len(ids)
+            slope = np.bincount(lexicon, weights=of_word, minlength=len(weights))
+            at_byte = np.repeat(of_word, per_word)
+            for row in grams:
+                slope += np.bincount(row, weights=at_byte, minlength=len(weights))
+            slope /= len(ids)
             slope -= 1e-7 * weights[:, k]
             seen[:, k] += slope.astype(np.float32) ** 2
             weights[:, k] += 0.1 * slope / np.sqrt(seen[:, k])
+        weights[-1] = 0
         slope = (held - expected) / len(ids)
         seen_t += slope**2
         transitions += 0.2 * slope / np.sqrt(seen_t)
@@ -180,7 +215,7 @@ def fit(
         if row[0] in labels:
             runs += [(labels.index(row[0]), found[i: i + RUN_WORDS]) for i in range(0, len(found), RUN_WORDS)]
     if not runs:
-        return Model([], np.zeros((1, 0), dtype=np.float32), np.zeros((0, 0)))
+        return Model([], np.zeros((0, 0), dtype=np.float32), np.zeros((0, 0)))
     return train(runs, labels)
 
 
@@ -189,25 +224,25 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model = model
-        self.index: dict[bytes, int] = {}
+        self.index = Index()
         self.table = np.zeros((0, len(model.labels)), dtype=np.float32)
         self.lettered = np.zeros(0, dtype=bool)
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of all words, whether each has a letter, and the number of words of each text."""
         if len(self.index) > CACHED_WORDS:
-            self.index, self.table, self.lettered = {}, self.table[:0], self.lettered[:0]
+            self.index, self.table, self.lettered = Index(), self.table[:0], self.lettered[:0]
         index, split = self.index, [t.lower().split() if t else [] for t in texts]
-        before = len(index)
-        ids = np.fromiter((index.setdefault(w, len(index)) for found in split for w in found), dtype=np.int64,
-                          count=sum(map(len, split)))
-        fresh = list(index)[before:] if len(index) > before else []
-        if fresh:
-            made = emissions(fresh, self.model.weights)
+        before, flat = len(index), list(itertools.chain.from_iterable(split))
+        ids = np.fromiter(map(index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        del flat
+        if len(index) > before:
+            fresh = list(itertools.islice(index, before, None))
+            made = emissions(features(fresh), self.model.weights)
             wordy = np.fromiter((bool(LETTER.search(w)) or not w.isascii() for w in fresh), dtype=bool, count=len(fresh))
             made[~wordy] = 0
             self.table = np.concatenate([self.table, made])
-            self.lettered = np.concatenate([self.lettered[:before], wordy])
+            self.lettered = np.concatenate([self.lettered, wordy])
         lengths = np.array([len(found) for found in split], dtype=np.int64)
         if not len(ids):
             return np.zeros((0, len(self.model.labels))), np.zeros(0, dtype=bool), lengths
@@ -237,7 +272,7 @@ def predict(
         score = np.where(lettered, shares.max(axis=1), 0.0)
         return [pa.array(labels[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1))]
 
-    return per_text(docs, judge, "lang_pred string, score double", doc_id=doc_id, text=text, carry=carry)
+    return per_text(docs, judge, "lang_pred string, score double", doc_id=doc_id, text=text, carry=carry, limit=8 << 20)
 
 
 def spans(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
