@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from taskledger.llm import (  # noqa: F401
+    decontamination,
     language_id,
     packing,
     pii,
