@@ -5,6 +5,7 @@ from __future__ import annotations
 from taskledger.llm import (  # noqa: F401
     decontamination,
     language_id,
+    lm_scoring,
     packing,
     pii,
     quality_classifier,
