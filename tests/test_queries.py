@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from taskledger.plans import all_checks, all_queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, CHECKS = contract.queries(), contract.oracle_sql()
+QUERIES, CHECKS = all_queries(), all_checks()
 ROWS_ONLY = {"blob_source"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
