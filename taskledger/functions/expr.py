@@ -92,7 +92,10 @@ def parses_as_time(text: Column) -> Column:
 
 
 def nanos_to_time(nanos: Column) -> Column:
-    return F.timestamp_micros(F.floor(nanos / 1000).cast("long"))
+    """The microsecond at or before a number of nanoseconds, in whole numbers throughout."""
+    nanos = nanos.cast("long")
+    below = F.pmod(nanos, F.lit(1000).cast("long"))
+    return F.timestamp_micros(F.call_function("div", nanos - below, F.lit(1000).cast("long")))
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
@@ -203,7 +206,7 @@ def memory_bytes(text: Column) -> Column:
 
 def cpu_millis(cores: Column) -> Column:
     """Cores as whole thousandths; null when not positive, fractional or over 32 bits."""
-    millis = cores.try_cast("decimal(20,10)") * 1000
+    millis = cores.try_cast("decimal(38,18)") * 1000
     whole = millis.cast("decimal(15,0)")
     return F.when((millis == whole) & (millis > 0) & (whole <= 2**32 - 1), whole.cast("long"))
 

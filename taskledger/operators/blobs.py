@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 from taskledger.functions import expr as X
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def parse_blob_uri(uri: Column) -> Column:
     """Struct of digest (hex), mime_type, resolve and verdict for `blob:<mime>[;resolve],<base64>`."""
     after = F.substring(uri, 6, 2**31 - 1)
     has_comma = F.instr(after, ",") > 0
     head = F.substring_index(after, ",", 1)
     name = F.substring(after, F.length(head) + 2, F.lit(2**31 - 1))
-    flag = head.endswith(";resolve") | head.endswith(";resolve=true")
-    mime = F.regexp_replace(F.regexp_replace(head, r";resolve=true\z", ""), r";resolve\z", "")
+    # the short flag goes first, then the long one: only one of each can stand there, in this order from the end
+    short = F.regexp_replace(head, r";resolve\z", "")
+    mime = F.regexp_replace(short, r";resolve=true\z", "")
+    flag = mime != head
     raw = F.try_to_binary(name, F.lit("base64"))
     canonical = F.coalesce((F.octet_length(raw) == 32) & (F.base64(raw) == name), F.lit(False))
     verdict = (
         F.when(~F.coalesce(uri.startswith("blob:"), F.lit(False)), "not a blob URI")
-        .when(~has_comma | (F.trim(head) == ""), "no mime type or digest")
+        .when(~has_comma | (_stripped(head) == ""), "no mime type or digest")
         .when(~canonical, "invalid digest")
-        .when(~X.matches(F.trim(mime), X.MIME_TYPE), "invalid mime type")
+        .when(~X.matches(_stripped(mime), X.MIME_TYPE), "invalid mime type")
         .otherwise("ok")
     )
     ok = verdict == "ok"
@@ -50,7 +57,13 @@ def resolve_blobs(records: DataFrame, blobs: DataFrame, wanted: list[str]) -> Da
         "digest", F.col("_uri.digest")
     ).drop("_uri")
     stored = blobs.select("digest", *wanted, F.lit(True).alias("_stored"))
-    return linked.join(stored, "digest", "left").withColumn(
+    # rows without a digest have nothing to look up; in the join they would all share one null key
+    found = linked.filter(F.col("digest").isNotNull()).join(stored, "digest", "left")
+    kinds = {name: blobs.schema[name].dataType for name in wanted}
+    unlinked = linked.filter(F.col("digest").isNull()).withColumns(
+        {name: F.lit(None).cast(kind) for name, kind in kinds.items()} | {"_stored": F.lit(None).cast("boolean")}
+    )
+    return found.unionByName(unlinked).withColumn(
         "availability",
         F.when(F.col("value_uri").isNull(), "inline").when(F.col("_stored"), "stored").otherwise("unavailable"),
     ).drop("_stored")

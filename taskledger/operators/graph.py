@@ -1,23 +1,22 @@
-"""Graph jobs over all runs at once. Nodes carry run_id, id and caller_action_id; ids are unique.
+"""Graph jobs over all runs at once. A node is named by run_id and id; it may have a caller_action_id.
 
-Loops write their state once per round and stop when nothing is left. Rounds follow the depth of the
-graph where whole levels are the result, and its logarithm where pointers can be doubled.
+Loops write their state once per round and stop when a round finds nothing new, also on cycles. Chains of nodes
+with one way on are followed by pointer doubling, so rounds grow with the logarithm of their length. In graphs
+where nodes have several prerequisites such chains are first shortened to one step; what is left takes a round
+per level.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
-from taskledger.session import max_group_rows, ship_package, written
+from taskledger.session import written
 
-# Rounds over all runs at once before the few runs that are deeper are finished one by one.
-SHARED_ROUNDS = 8
+NODE = ["run_id", "id"]
 
 # Why an action was canceled.
 REASONS = (
@@ -27,55 +26,62 @@ REASONS = (
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return reduce(DataFrame.unionByName, parts)
 
 
-def descendants(actions: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Every node below each seed (column id), with its depth; the seed itself is left out."""
-    children = actions.filter(F.col("caller_action_id").isNotNull()).select(
-        "run_id", F.col("id").alias("node_id"), F.col("caller_action_id").alias("_at")
-    )
-    level = seeds.select(F.col("id").alias("seed_id")).distinct().withColumn("_at", F.col("seed_id"))
-    levels: list[DataFrame] = []
-    depth = 0
-    while True:
-        depth += 1
-        # A node has one parent, so a walk down can only come back to its own seed.
-        level = written(
-            children.join(level.select("seed_id", "_at"), "_at")
-            .filter(F.col("node_id") != F.col("seed_id"))
-            .select("run_id", "seed_id", "node_id", F.lit(depth).cast("long").alias("depth"),
-                    F.col("node_id").alias("_at")),
-            "descendants",
+def _parents(actions: DataFrame) -> DataFrame:
+    return actions.filter("id IS NOT NULL AND caller_action_id IS NOT NULL").select(
+        *NODE, F.col("caller_action_id").alias("up")
+    ).distinct()
+
+
+def _seeds(actions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """run_id, seed of the seeds; without a run they stand for every node with their id."""
+    if "run_id" not in seeds.columns:
+        seeds = actions.select(*NODE).join(seeds.select("id").distinct(), "id", "left_semi")
+    return seeds.select("run_id", F.col("id").alias("seed")).distinct()
+
+
+def _related(parents: DataFrame, seeds: DataFrame, *, down: bool) -> DataFrame:
+    """run_id, seed, node, steps: all nodes above (or below) each seed with their smallest distance.
+
+    Round k knows all nodes up to 2^k steps away and, for every node, the one exactly 2^k steps above it; joined they
+    give the nodes up to 2^(k+1) away. A round without a new pair is the last, on a cycle too.
+    """
+    near, far = ("up", "id") if down else ("id", "up")
+    jump, length = written(parents, "jump"), 1
+
+    def ahead(found: DataFrame) -> DataFrame:
+        return found.join(jump.withColumnRenamed(near, "node"), ["run_id", "node"]).select(
+            "run_id", "seed", F.col(far).alias("node"), (F.col("steps") + length).alias("steps")
+        )
+
+    start = seeds.select("run_id", "seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("steps"))
+    found = written(start.unionByName(ahead(start)).groupBy("run_id", "seed", "node").agg(F.min("steps").alias("steps")), "related")
+    before, now = 0, found.count()
+    while now > before:
+        found = written(
+            found.unionByName(ahead(found)).groupBy("run_id", "seed", "node").agg(F.min("steps").alias("steps")), "related"
         )
-        levels.append(level.drop("_at"))
-        if level.isEmpty():
-            return _union(levels)
+        before, now = now, found.count()
+        onward = jump.select("run_id", F.col("id").alias("up"), F.col("up").alias("_far"))
+        jump = written(jump.join(onward, ["run_id", "up"]).select(*NODE, F.col("_far").alias("up")), "jump")
+        length *= 2
+    return found.filter(F.col("steps") > 0)
+
+
+def descendants(actions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Every node below each seed (column id, and run_id if ids repeat), with its depth; the seed is left out."""
+    found = _related(_parents(actions), _seeds(actions, seeds), down=True)
+    return found.select("run_id", F.col("seed").alias("seed_id"), F.col("node").alias("node_id"), F.col("steps").alias("depth"))
 
 
 def ancestors(actions: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Parent chain of each seed with the distance. Parent cycles must be ruled out first."""
-    parents = actions.filter(F.col("caller_action_id").isNotNull()).select(
-        F.col("id").alias("_at"), "run_id", F.col("caller_action_id").alias("ancestor_id")
+    """Parent chain of each seed with the distance; on a parent cycle the other nodes of the cycle."""
+    found = _related(_parents(actions), _seeds(actions, seeds), down=False)
+    return found.select(
+        "run_id", F.col("seed").alias("node_id"), F.col("node").alias("ancestor_id"), F.col("steps").alias("distance")
     )
-    level = seeds.select(F.col("id").alias("node_id")).distinct().withColumn("_at", F.col("node_id"))
-    levels: list[DataFrame] = []
-    distance = 0
-    while True:
-        distance += 1
-        level = written(
-            level.select("node_id", "_at").join(parents, "_at").select(
-                "run_id", "node_id", "ancestor_id", F.lit(distance).cast("long").alias("distance"),
-                F.col("ancestor_id").alias("_at"),
-            ),
-            "ancestors",
-        )
-        levels.append(level.drop("_at"))
-        if level.isEmpty():
-            return _union(levels)
 
 
 def reachable_by_doubling(
@@ -97,38 +103,37 @@ def reachable_by_doubling(
     return found
 
 
-def _lowest_above(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """For each node the smallest label on any node above it (pointer doubling).
+def _follow(pointers: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """run_id, id, top, label of nodes that each point to one other (run_id, id, up), by pointer doubling.
 
-    `nodes`: id, parent (null at the top). `labels`: id, label. Result: id, label (null when none).
+    `top` is the node at the end of the chain, which points nowhere; null where the chain never ends. `label` is the
+    smallest label (run_id, id, label) of the nodes the chain leads over, the top included.
     """
-    own = labels.groupBy("id").agg(F.min("label").alias("_own"))
-    marked = nodes.select("id", F.col("parent").alias("_up")).join(own, "id", "left")
-    above = marked.select(F.col("id").alias("_up"), F.col("_own").alias("label"), F.lit(True).alias("_there"))
-    state = written(
-        marked.join(above, "_up", "left").select(
-            "id", F.when(F.col("_there"), F.col("_up")).alias("_up"), "label"
-        ),
-        "labels",
-    )
-    settled: list[DataFrame] = []
-    while True:
-        settled.append(state.filter("_up IS NULL").select("id", "label"))
-        open_nodes = state.filter("_up IS NOT NULL")
-        if open_nodes.isEmpty():
-            return _union(settled)
-        # Pointers may lead to nodes that settled in an earlier round, so the far side is all nodes.
-        everyone = _union([s.withColumn("_up", F.lit(None).cast(state.schema["_up"].dataType)) for s in settled]
-                          + [open_nodes.select("id", "label", "_up")])
-        far = everyone.select(
-            F.col("id").alias("_up"), F.col("label").alias("_far_label"), F.col("_up").alias("_far_up")
-        )
-        state = written(
-            open_nodes.join(far, "_up").select(
-                "id", F.col("_far_up").alias("_up"), F.least("label", "_far_label").alias("label")
-            ),
-            "labels",
+    state = pointers.select(*NODE, "up")
+    if labels is None:
+        state = state.withColumn("label", F.lit(None).cast("long"))
+    else:
+        own = labels.groupBy("run_id", F.col("id").alias("up")).agg(F.min("label").alias("label"))
+        state = state.join(own, ["run_id", "up"], "left")
+    state = written(state.select(*NODE, "up", "label", F.lit(True).alias("open")), "chains")
+    longest = state.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):
+        far = state.select("run_id", F.col("id").alias("up"), F.col("up").alias("_far"), F.col("label").alias("_far_label"))
+        moved = state.filter("open").join(far, ["run_id", "up"], "left").select(
+            *NODE, F.coalesce("_far", "up").alias("up"), F.least("label", "_far_label").alias("label"),
+            F.col("_far").isNotNull().alias("open"),
         )
+        state = written(state.filter("NOT open").unionByName(moved), "chains")
+        if state.filter("open").isEmpty():
+            break
+    return state.select(*NODE, F.when(~F.col("open"), F.col("up")).alias("top"), "label")
+
+
+def _only_need(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pointers of the nodes with one need, and the links (run_id, id, needs) of those with several."""
+    counted = written(links.groupBy(*NODE).agg(F.count_distinct("needs").alias("_n"), F.min("needs").alias("up")), "needs")
+    single = counted.filter("_n = 1").select(*NODE, "up")
+    return single, links.join(counted.filter("_n > 1").select(*NODE), NODE, "left_semi").distinct()
 
 
 def close_subtree(actions: DataFrame, closures: DataFrame) -> DataFrame:
@@ -153,16 +158,15 @@ def close_subtree(actions: DataFrame, closures: DataFrame) -> DataFrame:
     run_labels = closures.filter(F.col("kind").isin(*whole)).groupBy("run_id").agg(
         F.min(label(whole)).alias("_run_label")
     )
-    self_labels = closures.filter("kind = 'node_canceled'").groupBy(F.col("action_id").alias("id")).agg(
+    self_labels = closures.filter("kind = 'node_canceled'").groupBy("run_id", F.col("action_id").alias("id")).agg(
         F.min(label({"node_canceled": "action canceled"})).alias("_self_label")
     )
     affected = actions.join(on_nodes.select("run_id").distinct(), "run_id", "left_semi")
-    above = _lowest_above(
-        affected.select("id", F.col("caller_action_id").alias("parent")),
-        on_nodes.select(F.col("action_id").alias("id"), label(below).alias("label")),
-    ).withColumnRenamed("label", "_above_label")
+    above = _follow(
+        _parents(affected), on_nodes.select("run_id", F.col("action_id").alias("id"), label(below).alias("label"))
+    ).select(*NODE, F.col("label").alias("_above_label"))
     marked = (
-        actions.join(above, "id", "left").join(self_labels, "id", "left").join(run_labels, "run_id", "left")
+        actions.join(above, NODE, "left").join(self_labels, NODE, "left").join(run_labels, "run_id", "left")
         .withColumn("_first", F.least("_above_label", "_self_label", "_run_label"))
     )
     hit = F.col("_first").isNotNull() & ~X.is_terminal(F.col("status"))
@@ -189,101 +193,54 @@ def due_retries(actions: DataFrame, as_of: Column) -> DataFrame:
 
 def _needs(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataFrame:
     """Unmet needs of due nodes: run_id, id, prerequisite_id and the prerequisite's status (null: missing)."""
-    status = nodes.select(F.col("id").alias("prerequisite_id"), F.col("status").alias("_status"))
+    status = nodes.select("run_id", F.col("id").alias("prerequisite_id"), F.col("status").alias("_status"))
     return (
         prereqs.select("run_id", "id", "prerequisite_id")
-        .join(_due(nodes, as_of).select("id"), "id", "left_semi")
-        .join(status, "prerequisite_id", "left")
+        .join(_due(nodes, as_of).select(*NODE), NODE, "left_semi")
+        .join(status, ["run_id", "prerequisite_id"], "left")
         .filter(F.col("_status").isNull() | (F.col("_status") != "succeeded"))
     )
 
 
-def _split_by_run(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges of runs that one task can hold, and the others."""
-    limit = max_group_rows(edges.sparkSession)
-    large = written(edges.groupBy("run_id").count().filter(F.col("count") > limit).select("run_id"), "large-runs")
-    return edges.join(large, "run_id", "left_anti"), edges.join(large, "run_id", "left_semi")
-
-
-def _one_way(edges: DataFrame, column: str) -> bool:
-    """Whether every node has at most one edge leading on."""
-    return edges.groupBy(column).count().filter("count > 1").isEmpty()
-
-
-def _spread(run: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of one run reached from its seed rows (prerequisite_id null) along its links."""
-    seeds = run.loc[run["prerequisite_id"].isna(), "id"].tolist()
-    onward = defaultdict(list)
-    for node, before in run.loc[run["prerequisite_id"].notna(), ["id", "prerequisite_id"]].itertuples(index=False):
-        onward[before].append(node)
-    seen, queue = set(seeds), list(seeds)
-    while queue:
-        for node in onward.pop(queue.pop(), ()):
-            if node not in seen:
-                seen.add(node)
-                queue.append(node)
-    return pd.DataFrame({"id": pd.Series(sorted(seen.difference(seeds)), dtype=run["id"].dtype)})
-
-
-def _spread_deep(links: DataFrame, fresh: DataFrame) -> list[DataFrame]:
-    """Failures that are still to come from `fresh` along `links`, for the runs with fresh failures."""
-    links = written(links.join(fresh.select("run_id").distinct(), "run_id", "left_semi"), "deep")
-    small, large = _split_by_run(links)
-    ship_package(links.sparkSession)
-    none = F.lit(None).cast(links.schema["prerequisite_id"].dataType)
-    seeds = fresh.select("run_id", "id", none.alias("prerequisite_id")).join(
-        small.select("run_id").distinct(), "run_id", "left_semi"
+def _reached(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes (run_id, id) that need a seed (run_id, id) over any number of links (run_id, id, needs); no seed itself."""
+    links = written(links.join(seeds, NODE, "left_anti"), "links")
+    single, several = _only_need(links)
+    followed = written(_follow(single, seeds.withColumn("label", F.lit(1).cast("long"))), "followed")
+    # Links of nodes with several needs, led past the nodes with one need to where their chains end.
+    past = followed.select("run_id", F.col("id").alias("needs"), "top", F.col("label").alias("_hit"))
+    marks = seeds.select("run_id", F.col("id").alias("needs"), F.lit(True).alias("_seed"))
+    led = written(
+        several.join(past, ["run_id", "needs"], "left").join(marks, ["run_id", "needs"], "left").select(
+            *NODE, F.coalesce("top", "needs").alias("needs"), (F.col("_hit").isNotNull() | F.col("_seed").isNotNull()).alias("hit")
+        ),
+        "led",
     )
-    # Ids must not turn into floats beside nulls, so they travel as text.
-    as_text = [F.col(c).cast("string").alias(c) for c in ("id", "prerequisite_id")]
-    found = [
-        small.select("run_id", "id", "prerequisite_id").unionByName(seeds).select("run_id", *as_text)
-        .groupBy("run_id").applyInPandas(_spread, "id string")
-        .select(F.col("id").cast(links.schema["id"].dataType).alias("id"))
-    ]
-    if large.isEmpty():
-        return found
-    if _one_way(large, "id"):
-        # Each node waits for one other: follow the chains with doubling.
-        ends = large.select(F.col("prerequisite_id").alias("id")).distinct().join(large, "id", "left_anti")
-        chain = large.select("id", F.col("prerequisite_id").alias("parent")).unionByName(
-            ends.select("id", none.alias("parent"))
-        )
-        marked = _lowest_above(chain, fresh.select("id", F.lit(1).alias("label")))
-        return [*found, marked.filter("label IS NOT NULL").select("id")]
+    fresh = written(led.filter("hit").select(*NODE).distinct(), "reached")
+    found = [fresh]
     while not fresh.isEmpty():
-        large = written(large.join(fresh, "id", "left_anti"), "links")
-        fresh = written(_next_failed(large, fresh), "failed")
-        found.append(fresh.select("id"))
-    return found
-
-
-def _next_failed(links: DataFrame, fresh: DataFrame) -> DataFrame:
-    return links.join(
-        fresh.select(F.col("id").alias("prerequisite_id")), "prerequisite_id", "left_semi"
-    ).select("run_id", "id").distinct()
+        led = written(led.join(fresh, NODE, "left_anti"), "led")
+        fresh = written(
+            led.join(fresh.withColumnRenamed("id", "needs"), ["run_id", "needs"], "left_semi").select(*NODE).distinct(), "reached"
+        )
+        found.append(fresh)
+    several_reached = _union(found)
+    through = followed.filter("label IS NULL").join(
+        several_reached.withColumnRenamed("id", "top"), ["run_id", "top"], "left_semi"
+    )
+    return _union([several_reached, followed.filter("label IS NOT NULL").select(*NODE), through.select(*NODE)])
 
 
 def propagate_failures(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataFrame:
     """Due queued nodes with a missing or closed-but-not-succeeded prerequisite fail, to a fixpoint."""
     needs = written(_needs(nodes, prereqs, as_of), "needs")
     bad = F.col("_status").isNull() | X.is_terminal(F.col("_status"))
-    fresh = written(needs.filter(bad).select("run_id", "id").distinct(), "failed")
-    failed = [fresh.select("id")]
+    first = written(needs.filter(bad).select(*NODE).distinct(), "failed")
     # From here on only needs between due queued nodes can pass a failure on.
-    links = needs.filter(F.col("_status") == "queued").select("run_id", "id", "prerequisite_id")
-    rounds = 0
-    while not fresh.isEmpty():
-        links = written(links.join(fresh.select("id"), "id", "left_anti"), "links")
-        if rounds == SHARED_ROUNDS:
-            failed += _spread_deep(links, fresh)
-            break
-        fresh = written(_next_failed(links, fresh), "failed")
-        failed.append(fresh.select("id"))
-        rounds += 1
-    marks = _union(failed).distinct().withColumn("_failed", F.lit(True))
+    links = needs.filter(F.col("_status") == "queued").select(*NODE, F.col("prerequisite_id").alias("needs"))
+    marks = first.unionByName(_reached(links, first)).distinct().withColumn("_failed", F.lit(True))
     kept_error = F.col("error") if "error" in nodes.columns else F.lit("")
-    return nodes.join(marks, "id", "left").select(
+    return nodes.join(marks, NODE, "left").select(
         *[c for c in nodes.columns if c not in ("status", "error")],
         F.when(F.col("_failed"), "failed").otherwise(F.col("status")).alias("status"),
         F.when(F.col("_failed"), "prerequisite failed").otherwise(kept_error).alias("error"),
@@ -292,86 +249,44 @@ def propagate_failures(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> D
 
 def ready_frontier(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataFrame:
     """Due queued nodes whose prerequisites have all succeeded."""
-    return _due(nodes, as_of).join(_needs(nodes, prereqs, as_of).select("id"), "id", "left_anti")
-
-
-def _trim(edges: DataFrame) -> DataFrame:
-    """Take away edges (id needs needs) with nothing before or nothing behind them."""
-    starts = edges.select(F.col("id").alias("needs"))
-    ends = edges.select(F.col("needs").alias("id"))
-    return written(edges.join(starts, "needs", "left_semi").join(ends, "id", "left_semi"), "edges")
-
-
-def _trim_run(run: pd.DataFrame) -> pd.DataFrame:
-    """What is left of one run's edges when trimming comes to its end; linear in the edges."""
-    pairs = list(run[["id", "needs"]].itertuples(index=False, name=None))
-    alive = [True] * len(pairs)
-    for source, target in ((0, 1), (1, 0)):
-        # Drop edges into nodes without a way on, then the same in the other direction.
-        into, ways = defaultdict(list), defaultdict(int)
-        for n, pair in enumerate(pairs):
-            if alive[n]:
-                into[pair[target]].append(n)
-                ways[pair[source]] += 1
-        queue = [node for node in into if ways[node] == 0]
-        while queue:
-            for n in into.pop(queue.pop(), ()):
-                if alive[n]:
-                    alive[n] = False
-                    ways[pairs[n][source]] -= 1
-                    if ways[pairs[n][source]] == 0:
-                        queue.append(pairs[n][source])
-    return run[alive]
+    return _due(nodes, as_of).join(_needs(nodes, prereqs, as_of).select(*NODE), NODE, "left_anti")
+
+
+def _leads_to_cycle(links: DataFrame) -> DataFrame:
+    """Nodes (run_id, id) from which a way along the links (run_id, id, needs) never ends."""
+    single, several = _only_need(links)
+    followed = written(_follow(single).select(*NODE, "top", F.col("top").isNull().alias("loops")), "followed")
+    past = followed.withColumnRenamed("id", "needs")
+    led = written(
+        several.join(past, ["run_id", "needs"], "left").select(
+            *NODE, F.coalesce("top", "needs").alias("needs"), F.coalesce("loops", F.lit(False)).alias("sure")
+        ),
+        "led",
+    )
+    sure = written(led.filter("sure").select(*NODE).distinct(), "sure")
+    rest = led.filter("NOT sure").select(*NODE, "needs").distinct()
+    before, now = -1, 0
+    while before != now:  # take away links to nodes that have no way on
+        going = rest.select(*NODE).unionByName(sure).distinct().withColumnRenamed("id", "needs")
+        rest = written(rest.join(going, ["run_id", "needs"], "left_semi"), "rest")
+        before, now = now, rest.count()
+        if now == 0:
+            break
+    endless = rest.select(*NODE).unionByName(sure).distinct()
+    through = followed.filter("NOT loops").join(endless.withColumnRenamed("id", "top"), ["run_id", "top"], "left_semi")
+    return _union([endless, followed.filter("loops").select(*NODE), through.select(*NODE)])
 
 
 def _cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes (run_id, id) on a prerequisite cycle, or between two of them. `edges`: run_id, id, needs."""
-    rest = written(edges.select("run_id", "id", "needs").filter("id IS NOT NULL AND needs IS NOT NULL"), "edges")
-    before, rounds = rest.count(), 0
-    while before and rounds < SHARED_ROUNDS:
-        rest, rounds = _trim(rest), rounds + 1
-        after = rest.count()
-        if after == before:
-            return rest.select("run_id", "id").distinct()
-        before = after
-    if not before:
-        return rest.select("run_id", "id")
-    small, large = _split_by_run(rest)
-    ship_package(edges.sparkSession)
-    found = small.groupBy("run_id").applyInPandas(_trim_run, rest.schema).select("run_id", "id")
-    if not large.isEmpty():
-        if _one_way(large, "id"):
-            # After at least as many steps as there are edges, a pointer stands on a cycle, and every
-            # node of a cycle has a pointer on it.
-            large = large.select("run_id", "id", F.col("needs").alias("_up"))
-            found = found.unionByName(_climb(large, large.count()).select("run_id", F.col("_up").alias("id")))
-        else:
-            before, after = 0, large.count()
-            while before != after:
-                large, before = _trim(large), after
-                after = large.count()
-            found = found.unionByName(large.select("run_id", "id"))
-    return found.distinct()
-
-
-def _climb(state: DataFrame, steps: int) -> DataFrame:
-    """Pointers (run_id, id, _up) that are still climbing after at least `steps` steps, by doubling."""
-    state = written(state, "climb")
-    for _ in range(math.ceil(math.log2(steps + 1)) + 1 if steps else 0):
-        if state.isEmpty():
-            break
-        far = state.select(F.col("id").alias("_up"), F.col("_up").alias("_far"))
-        state = written(state.join(far, "_up").select("run_id", "id", F.col("_far").alias("_up")), "climb")
-    return state
+    links = written(edges.select(*NODE, "needs").filter("id IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
+    back = links.select("run_id", F.col("needs").alias("id"), F.col("id").alias("needs"))
+    return _leads_to_cycle(links).join(_leads_to_cycle(back), NODE, "left_semi").distinct()
 
 
 def _parent_cycles(nodes: DataFrame) -> DataFrame:
-    """Nodes whose parent chain never ends: still climbing after as many steps as their run has nodes."""
-    largest = nodes.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
-    chains = nodes.filter("caller_action_id IS NOT NULL").select(
-        "run_id", "id", F.col("caller_action_id").alias("_up")
-    )
-    return _climb(chains, largest).select("run_id", "id")
+    """Nodes whose parent chain never ends."""
+    return _follow(_parents(nodes)).filter("top IS NULL").select(*NODE)
 
 
 def validate_graph(nodes: DataFrame, prereqs: DataFrame) -> DataFrame:
