@@ -5,13 +5,14 @@ takes a piece in logarithmic time. Pieces are dealt at random into groups of abo
 task, so no task holds the corpus; a group ends with at most a few bins that are not full. Those are what lies above the
 lower bound of tokens / sequence length.
 
-The tokenizer works on words between white space, so a word's ids are computed once and kept. A document is its ids and
+The tokenizer works on words between white space, so a word's ids are computed once and kept by the worker process. A document is its ids and
 one end id (0). Null and empty texts are the end id alone. Repeated rows are packed once each.
 """
 
 from __future__ import annotations
 
 import importlib
+import itertools
 import math
 import os
 import zlib
@@ -30,49 +31,103 @@ SEQUENCE = 2048
 GROUP_PIECES = 200_000
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+class Index(dict):
+    """Numbers words in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class WordIds:
-    """Token ids of texts by way of a store of the ids of each word."""
+    """Token ids of texts by way of a store of the ids of each word.
+
+    The tokenizer puts letters in lower case and separates them from what follows. So words are stored in lower case
+    (A-Z), and the ids of a word that ends in a letter and one full stop or comma are those of both parts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.ends = {mark: self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids for mark in (b".", b",")}
+        self.index = Index()
         self.flat, self.begin, self.size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.met = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that have been met again, if they are not too many."""
+        kept = np.flatnonzero(self.met > 1)
+        kept = kept if len(kept) <= CACHED_WORDS // 2 else kept[:0]
+        words = list(self.index)
+        size = self.size[kept]
+        at = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(self.begin[kept] - at, size) + np.arange(int(size.sum()))]
+        self.index = Index((words[k], i) for i, k in enumerate(kept.tolist()))
+        self.begin, self.size, self.met = at, size, np.zeros(len(kept), dtype=np.int64)
+
+    def _learn(self, before: int) -> None:
+        """Store the ids of the words numbered from `before` on, and of stems they bring along."""
+        index = self.index
+        stems = {}
+        for w in list(itertools.islice(index, before, None)):
+            if w[-1:] in self.ends and len(w) > 1 and 97 <= w[-2] <= 122:
+                stems[w] = index[w[:-1]]
+        fresh = list(itertools.islice(index, before, None))
+        whole = [w.decode() for w in fresh if w not in stems]
+        encoded = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        made: list[list[int]] = [[] if w in stems else next(encoded).ids for w in fresh]
+        for i, w in enumerate(fresh):
+            if w in stems:
+                k = stems[w]
+                stem = made[k - before] if k >= before else self.flat[self.begin[k]: self.begin[k] + self.size[k]].tolist()
+                made[i] = stem + self.ends[w[-1:]]
+        size = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+        flat = np.fromiter(itertools.chain.from_iterable(made), dtype=np.uint32, count=int(size.sum()))
+        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.flat)])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
+        self.met = np.concatenate([self.met, np.zeros(len(size), dtype=np.int64)])
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with its end id, and the number of ids of each."""
         if len(self.index) > CACHED_WORDS:
-            self._clear()
-        index, split = self.index, [t.split() if t else [] for t in texts]
-        before = len(index)
-        rows = np.fromiter((index.setdefault(w, len(index)) for found in split for w in found), dtype=np.int64,
-                           count=sum(map(len, split)))
-        if len(index) > before:
-            fresh = [w.decode() for w in list(index)[before:]]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-            flat = np.fromiter((i for ids in made for i in ids), dtype=np.uint32, count=int(size.sum()))
-            self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.flat)])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, flat])
-        n_words = np.array([len(found) for found in split], dtype=np.int64)
+            self._forget()
+        split = [t.lower().split() if t else [] for t in texts]
+        before, flat = len(self.index), list(itertools.chain.from_iterable(split))
+        rows = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        if len(self.index) > before:
+            self._learn(before)
+        self.met += np.bincount(rows, minlength=len(self.met))
+        n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         size = self.size[rows]
-        at = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.begin[rows] - at, size) + np.arange(int(size.sum()))]
-        per_text = np.bincount(np.repeat(np.arange(len(texts)), n_words), weights=size, minlength=len(texts)).astype(np.int64)
-        return np.insert(ids, np.cumsum(per_text), END_ID), per_text + 1
+        last = np.cumsum(size)
+        ends = np.append(0, np.cumsum(n_words))
+        per_text = np.diff(np.append(0, last)[ends])
+        # every id moves on by the end ids of the texts before it
+        shift = np.repeat(np.arange(len(split)), per_text)
+        ids = np.full(int(size.sum()) + len(split), END_ID, dtype=np.uint32)
+        at = np.arange(len(shift))
+        ids[at + shift] = self.flat[np.repeat(self.begin[rows] - (last - size), size) + at]
+        return ids, per_text + 1
+
+
+_stores: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One store for each worker process, so that tasks share it."""
+    if path not in _stores:
+        _stores[path] = WordIds(path)
+    return _stores[path]
 
 
 def pieces(
@@ -84,7 +139,7 @@ def pieces(
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = word_ids(path)
         for block in blocks(batches, "_text", 2 << 20):
             ids, sizes = encode(binary(block.column(1)))
             data = memoryview(ids.astype("<u4").tobytes())
