@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
 from taskledger.operators.scale import read_after, running
-from taskledger.session import written
+from taskledger.session import ship_package, written
 
 STREAM = ("run_id", "stream")
 
@@ -94,28 +96,45 @@ def batch_limits(
     )
 
 
-def batch_digest(
-    entries: DataFrame, by: Sequence[str], order: Sequence[str], max_batch: int = X.MAX_BATCH
-) -> DataFrame:
+def batch_digest(entries: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """SHA-256 over a batch's entries in order, every key and value preceded by its length.
 
-    A batch over `max_batch` bytes is never accepted, so it gets no digest; it is found by a sum with
-    map-side combine and leaves before any entry is gathered. What is gathered is thus bounded.
+    Entries are sorted within their batch's task and the hash is carried from one Arrow batch to the next, so a batch
+    of any size is never gathered.
     """
     by = list(by)
-    size = X.byte_length(F.col("key")) + X.byte_length(F.col("value"))
-    totals = entries.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("_bytes"))
-    too_large = totals.filter(F.col("_bytes") > max_batch).select(*by, "n")
-    framed = entries.join(too_large, by, "left_anti").select(
-        *by, F.struct(*order, X.framed_hex(F.col("key"), F.col("value")).alias("_hex")).alias("_entry")
-    )
-    digests = framed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_entry")).alias("_entries")
-    ).select(
-        *by, "n",
-        F.sha2(F.unhex(F.array_join(F.transform("_entries", lambda e: e["_hex"]), "")), 256).alias("digest"),
+    ship_package(entries.sparkSession)
+    sorted_entries = (
+        entries.select(*by, *order, F.col("key").cast("binary").alias("_key"), F.col("value").cast("binary").alias("_value"))
+        .repartition(*by).sortWithinPartitions(*by, *order).select(*by, "_key", "_value")
     )
-    return digests.unionByName(too_large.withColumn("digest", F.lit(None).cast("string")))
+    head = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n, sha, schema = None, 0, None, None
+        for batch in batches:
+            done, schema = [], batch.schema
+            for row in zip(*[batch.column(i).to_pylist() for i in range(head + 2)], strict=True):
+                if sha is None or row[:head] != current:
+                    if sha is not None:
+                        done.append((*current, n, sha.hexdigest()))
+                    current, n, sha = row[:head], 0, hashlib.sha256()
+                for part in row[head:]:
+                    part = part or b""
+                    sha.update(len(part).to_bytes(8, "big") + part)
+                n += 1
+            if done:
+                yield rows(done, schema)
+        if sha is not None:
+            yield rows([(*current, n, sha.hexdigest())], schema)
+
+    def rows(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        kinds = [*[schema.field(i).type for i in range(head)], pa.int64(), pa.string()]
+        names = [*by, "n", "digest"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], names=names)
+
+    kinds = ", ".join(f"`{c}` {sorted_entries.schema[c].dataType.simpleString()}" for c in by)
+    return sorted_entries.mapInArrow(run, f"{kinds}, n long, digest string")
 
 
 def append_reconcile(
@@ -137,20 +156,21 @@ def append_reconcile(
     if ledger is not None:
         known = ledger.select(
             *key, F.col("digest").alias("_known"), F.col("first_seq").alias("_known_first"),
-            F.col("last_seq").alias("_known_last"),
+            F.col("last_seq").alias("_known_last"), F.lit(True).alias("_is_known"),
         )
         marked = marked.join(known, key, "left")
     else:
         nothing = F.lit(None).cast("long")
         marked = marked.withColumns(
-            {"_known": F.lit(None).cast("string"), "_known_first": nothing, "_known_last": nothing}
+            {"_known": F.lit(None).cast("string"), "_known_first": nothing, "_known_last": nothing,
+             "_is_known": F.lit(None).cast("boolean")}
         )
     marked = marked.withColumn(
         "outcome",
         F.when(~named, "appended")
         .when(
-            F.col("_known").isNotNull(),
-            F.when(F.col("_known") == F.col("digest"), "replay").otherwise("conflict"),
+            F.col("_is_known"),
+            F.when(F.col("_known").eqNullSafe(F.col("digest")), "replay").otherwise("conflict"),
         )
         .when(F.col("arrival") == F.col("_first_arrival"), "appended")
         .when(F.col("digest").eqNullSafe(F.col("_first_digest")), "replay")
@@ -199,20 +219,24 @@ def read_limit(limit: Column) -> Column:
 def cursor_read(records: DataFrame, requests: DataFrame) -> DataFrame:
     """Records after each request's cursor, with `truncated` when more remain.
 
-    `requests`: request_id, run_id, stream, after_seq, key (null for any), limit. Requests with a
-    negative cursor or a limit outside the range give no rows.
+    `requests`: request_id, run_id, stream, after_seq, key (null for any), limit. Every request gets a row: one
+    that is refused (`verdict` invalid limit or invalid cursor) or finds nothing has null record columns.
     """
     # One selector per exact key, one for whole streams; each record is numbered per selector.
-    valid = requests.withColumn("limit", read_limit(F.col("limit"))).filter(
-        F.col("limit").isNotNull() & (F.col("after_seq") >= 0)
-    ).withColumn("_select", F.coalesce(F.hex("key"), F.lit("*")))
+    judged = requests.withColumn("limit", read_limit(F.col("limit"))).withColumn(
+        "verdict",
+        F.when(F.col("limit").isNull(), "invalid limit")
+        .when(F.coalesce(F.col("after_seq") < 0, F.lit(True)), "invalid cursor").otherwise("ok"),
+    )
+    valid = judged.filter("verdict = 'ok'").withColumn("_select", F.coalesce(F.hex("key"), F.lit("*")))
     selectors = valid.select(*STREAM, "_select").distinct()
     offered = records.withColumn(
         "_select", F.explode(F.array(F.lit("*"), F.hex("key")))
     ).join(selectors, [*STREAM, "_select"], "left_semi")
-    return _read_selected(offered, valid.withColumnRenamed("after_seq", "seq")).withColumnRenamed(
+    read = _read_selected(offered, valid.drop("verdict").withColumnRenamed("after_seq", "seq")).withColumnRenamed(
         "more", "truncated"
-    )
+    ).drop("run_id", "stream")
+    return judged.select("request_id", *STREAM, "verdict").join(read, "request_id", "left")
 
 
 def _read_selected(offered: DataFrame, requests: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from taskledger.functions import expr as X
 from taskledger.session import ship_package, written
@@ -24,12 +26,17 @@ class CacheableError(Exception):
     """A failure that the same input always gives, so it may be stored and replayed."""
 
     def __init__(self, code: str, details: object = None) -> None:
-        if not re.fullmatch(X.ERROR_CODE.strip("^$"), code):
-            raise ValueError("invalid cacheable error code")
-        self.code, self.details = code, json.dumps(details)
-        if len(self.details.encode()) > MAX_ERROR_DETAILS:
-            raise ValueError("cacheable error details exceed 64 KiB")
         super().__init__(code)
+        text = json.dumps(details)
+        problems = {
+            f"not an error code: {code!r}": re.fullmatch(X.ERROR_CODE.strip("^$"), code) is None,
+            f"details take more than {MAX_ERROR_DETAILS} bytes": len(text.encode("utf-8")) > MAX_ERROR_DETAILS,
+        }
+        for problem, there in problems.items():
+            if there:
+                raise ValueError(problem)
+        self.code = code
+        self.details = text
 
 
 def task_map(
@@ -37,11 +44,17 @@ def task_map(
 ) -> DataFrame:
     """Call `fn(**inputs)` for every row: adds output, error, error_code, error_details and attempts.
 
-    A CacheableError is never retried; other exceptions are, up to `max_attempts` calls.
+    A CacheableError is never retried; other exceptions are, up to `max_attempts` calls. Columns travel as Arrow
+    arrays, so whole numbers stay whole numbers beside nulls; a null input is None. An output that does not fit the
+    result type is an error of its row.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += f", output {result_type}, error string, error_code string, error_details string, attempts bigint"
+    added = StructType.fromDDL(
+        f"output {result_type}, error string, error_code string, error_details string, attempts bigint"
+    )
+    schema = StructType([*df.schema.fields, *added.fields])
+    output_kind = to_arrow_type(added["output"].dataType)
     names, tries = list(inputs), max(max_attempts, 1)
+    places = [df.columns.index(n) for n in names]
     ship_package(df.sparkSession)
 
     def call(args: dict[str, object]) -> tuple[object, str | None, str | None, str | None, int]:
@@ -55,17 +68,26 @@ def task_map(
                 message = str(failure) or type(failure).__name__
         return None, message, None, None, tries
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [call(dict(zip(names, values))) for values in zip(*[frame[n].tolist() for n in names])]
-            added = pd.DataFrame(
-                rows, columns=["output", "error", "error_code", "error_details", "attempts"], index=frame.index
-            )
-            for text in ("error", "error_code", "error_details"):
-                added[text] = added[text].astype(object)
-            yield pd.concat([frame, added], axis=1)
+    def outputs(rows: list[tuple]) -> pa.Array:
+        try:
+            return pa.array([r[0] for r in rows], output_kind)
+        except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError):
+            for i, row in enumerate(rows):
+                try:
+                    pa.array([row[0]], output_kind)
+                except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError) as failure:
+                    rows[i] = (None, str(failure), None, None, row[4])
+            return pa.array([r[0] for r in rows], output_kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = [batch.column(i).to_pylist() for i in places]
+            rows = [call(dict(zip(names, values, strict=True))) for values in zip(*given, strict=True)]
+            columns = [outputs(rows), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2, 3)]]
+            columns.append(pa.array([r[4] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
-    return df.mapInPandas(batches, schema)
+    return df.mapInArrow(run, schema)
 
 
 def cache_key(
@@ -99,6 +121,7 @@ def memo_map(
     `df` has a column cache_key. Returns all rows with output, error, attempts (0 on a hit) and cache_hit,
     and the rows to add to the cache: results and cacheable errors, nothing else.
     """
+    cache = cache.dropDuplicates(["cache_key"])
     stored = cache.select(
         "cache_key", F.col("output").alias("_output"), F.col("error_code").alias("_code"),
         F.lit(True).alias("_stored"),

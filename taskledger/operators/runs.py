@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from taskledger.functions import expr as X
 from taskledger.operators.scale import first_rows, read_after, running
 
-UPSTREAMS_PER_ROW = 10_000
 
 
 def terminal_flag(df: DataFrame) -> DataFrame:
@@ -42,26 +41,16 @@ def action_detail(actions: DataFrame, envs: DataFrame) -> DataFrame:
     return actions.join(_environment_columns(envs), "environment_id")
 
 
-def actions_with_upstreams(
-    actions: DataFrame, edges: DataFrame, per_row: int = UPSTREAMS_PER_ROW
-) -> DataFrame:
-    """Sorted source ids of each action; an empty array when there are none.
+def actions_with_upstreams(actions: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per source of each action, in the order of their ids: `position` from 1 and `upstream_id`.
 
-    An action with more than `per_row` sources continues in further rows (`part` 1, 2, ...), so no array
-    and no task grows with one action's share of the edges.
+    An action without sources has one row with null in both. No array grows with an action's share of the edges.
     """
     placed = running(
-        edges.select(F.col("dependent_action_id").alias("id"), F.col("source_action_id").alias("_source")),
-        ["id"], ["_source"], count="_nth",
-    )
-    lists = placed.withColumn("part", F.floor((F.col("_nth") - 1) / per_row)).groupBy("id", "part").agg(
-        F.sort_array(F.collect_list("_source")).alias("upstream_ids")
+        edges.select(F.col("dependent_action_id").alias("id"), F.col("source_action_id").alias("upstream_id")).distinct(),
+        ["id"], ["upstream_id"], count="position",
     )
-    empty = F.array().cast(lists.schema["upstream_ids"].dataType)
-    return actions.join(lists, "id", "left").withColumns({
-        "part": F.coalesce("part", F.lit(0).cast("long")),
-        "upstream_ids": F.coalesce("upstream_ids", empty),
-    })
+    return actions.join(placed, "id", "left")
 
 
 def active_callers(actions: DataFrame, envs: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
@@ -119,7 +108,12 @@ def idempotency_reconcile(
     first = requests.filter("key IS NOT NULL").groupBy(*on).agg(
         F.min("arrival").alias("_first"), F.min_by("payload", "arrival").alias("_payload")
     )
-    marked = requests.join(first, on, "left")
+    # Requests without a key are new whatever else there is; in the joins they would all share one null key.
+    keyed = requests.filter(F.col("key").isNotNull())
+    unkeyed = requests.filter(F.col("key").isNull()).select(
+        *requests.columns, F.lit("new").alias("outcome"), F.col("arrival").alias("first_arrival")
+    )
+    marked = keyed.join(first, on, "left")
     stored = F.lit(False)
     if existing is not None:
         known = existing.filter("key IS NOT NULL").select(
@@ -132,11 +126,9 @@ def idempotency_reconcile(
         same = F.col("payload").eqNullSafe(F.col("_payload"))
     return marked.select(
         *requests.columns,
-        F.when(F.col("key").isNull(), "new")
-        .when(~stored & (F.col("arrival") == F.col("_first")), "new")
-        .when(same, "replay").otherwise("conflict").alias("outcome"),
-        F.when(F.col("key").isNull(), F.col("arrival")).when(~stored, F.col("_first")).alias("first_arrival"),
-    )
+        F.when(~stored & (F.col("arrival") == F.col("_first")), "new").when(same, "replay").otherwise("conflict").alias("outcome"),
+        F.when(~stored, F.col("_first")).alias("first_arrival"),
+    ).unionByName(unkeyed)
 
 
 def resolve_namespace(requests: DataFrame, namespaces: DataFrame) -> DataFrame:

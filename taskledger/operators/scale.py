@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from taskledger.session import max_group_rows, written
 
-MAX_PIECES = 20_000
 READ_BUCKET = 1024
 
 
@@ -71,7 +70,7 @@ def running(
     large, large_rows = found
     small_part = with_windows(df.join(large, keys, "left_anti"), keys, count)
 
-    pieces = min(MAX_PIECES, max(2, math.ceil(2 * large_rows / limit)))
+    pieces = max(2, math.ceil(2 * large_rows / limit))
     ranged = written(
         df.join(large, keys, "left_semi")
         .repartitionByRange(pieces, *keys, *order)
@@ -83,7 +82,7 @@ def running(
     if previous:
         carried = F.struct(*[F.col(column).alias(out) for out, column in previous.items()])
         at_end.append(F.max_by(carried, F.struct(*order)).alias("_last"))
-    # One row per (key, piece): at most MAX_PIECES rows for any key.
+    # One narrow row per (key, piece): a key's rows divided by half the limit.
     earlier = Window.partitionBy(*keys).orderBy("_piece")
     before = earlier.rowsBetween(Window.unboundedPreceding, -1)
     carry = {"_before": F.coalesce(F.sum("_n").over(before), F.lit(0))}

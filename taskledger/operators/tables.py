@@ -75,10 +75,9 @@ def expire_memo(cache: DataFrame, as_of: Column) -> DataFrame:
     return cache.filter(~((F.col("status") == "building") & (F.col("lease_until") <= as_of)))
 
 
-def expired_uploads(uploads: DataFrame, as_of: Column, cap: int | None = 100) -> DataFrame:
-    """Upload sessions past their end, oldest first; one sweep takes at most `cap`."""
-    ended = uploads.filter(F.col("expires_at") <= as_of)
-    return ended if cap is None else ended.orderBy("expires_at", "session").limit(cap)
+def expired_uploads(uploads: DataFrame, as_of: Column) -> DataFrame:
+    """All upload sessions past their end."""
+    return uploads.filter(F.col("expires_at") <= as_of)
 
 
 def active_uploads(uploads: DataFrame, as_of: Column) -> DataFrame:

@@ -73,7 +73,7 @@ def key_prefix_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reads(records: DataFrame) -> DataFrame:
-    """Per stream: the second half, three at a time; and everything under the key of the first record."""
+    """Per stream: the second half, three at a time; everything under the key of the first record; two refused ones."""
     ends = logs.stream_end(records)
     halves = ends.select(
         F.concat_ws("/", F.col("run_id").cast("string"), "stream", F.lit("half")).alias("request_id"),
@@ -84,23 +84,30 @@ def _reads(records: DataFrame) -> DataFrame:
         F.concat_ws("/", F.col("run_id").cast("string"), "stream", F.lit("key")).alias("request_id"),
         "run_id", "stream", F.lit(0).cast("long").alias("after_seq"), "key", F.lit(0).alias("limit"),
     )
-    return halves.unionByName(keyed)
+    place = F.regexp_replace("request_id", "key$", "")
+    wide = keyed.withColumns({"request_id": F.concat(place, F.lit("wide")), "limit": F.lit(1001)})
+    back = keyed.withColumns({"request_id": F.concat(place, F.lit("back")), "after_seq": F.lit(-1).cast("long")})
+    return halves.unionByName(keyed).unionByName(wide).unionByName(back)
 
 
 @query("""WITH reads AS (
   SELECT run_id || '/' || stream || '/half' AS request_id, run_id, stream, max(seq) // 2 AS after_seq,
     NULL AS key, 3 AS lim FROM log_records GROUP BY run_id, stream
-  UNION ALL SELECT run_id || '/' || stream || '/key', run_id, stream, 0, key, 100 FROM log_records WHERE seq = 1),
+  UNION ALL SELECT run_id || '/' || stream || '/key', run_id, stream, 0, key, 100 FROM log_records WHERE seq = 1
+  UNION ALL SELECT run_id || '/' || stream || '/wide', run_id, stream, 0, key, 1001 FROM log_records WHERE seq = 1
+  UNION ALL SELECT run_id || '/' || stream || '/back', run_id, stream, -1, key, 100 FROM log_records WHERE seq = 1),
  hits AS (SELECT q.request_id, r.run_id, r.stream, r.seq, r.key, r.value, q.lim,
     row_number() OVER (PARTITION BY q.request_id ORDER BY r.seq) AS position,
     count(*) OVER (PARTITION BY q.request_id) AS total
   FROM reads q JOIN log_records r ON r.run_id = q.run_id AND r.stream = q.stream AND r.seq > q.after_seq
-    AND (q.key IS NULL OR r.key = q.key))
- SELECT request_id, run_id, stream, seq, key, value, position, total > lim AS truncated FROM hits WHERE position <= lim""")
+    AND (q.key IS NULL OR r.key = q.key) WHERE q.lim <= 1000 AND q.after_seq >= 0)
+ SELECT q.request_id, q.run_id, q.stream, h.seq, h.key, h.value, h.position, h.total > h.lim AS truncated,
+   CASE WHEN q.lim > 1000 THEN 'invalid limit' WHEN q.after_seq < 0 THEN 'invalid cursor' ELSE 'ok' END AS verdict
+ FROM reads q LEFT JOIN hits h ON h.request_id = q.request_id AND h.position <= h.lim""")
 def cursor_read(spark: SparkSession, sf: str) -> DataFrame:
     records = written(fx.log_records(spark, sf), "records")
     return _text_key(logs.cursor_read(records, _reads(records))).select(
-        "request_id", "run_id", "stream", "seq", "key", "value", "position", "truncated"
+        "request_id", "run_id", "stream", "seq", "key", "value", "position", "truncated", "verdict"
     )
 
 
@@ -383,10 +390,15 @@ def stream_assign_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{target}/records").select("run_id", "stream", "ord", "seq")
 
 
-def _append(spark: SparkSession, sf: str) -> str:
-    target, checkpoint = _places(spark, "append")
-    entries = fx.shape_log_batches(fx.shape_log_entries(_live(spark, sf, "events")))
-    live.append_log_sink(entries, target, checkpoint).awaitTermination()
+def _append(spark: SparkSession, sf: str, sink=live.append_log_sink) -> str:
+    """Append the events in several micro-batches: one folder for each attempt, so replays come after the first."""
+    source, (target, checkpoint) = fresh_path(spark, "arriving"), _places(spark, "append")
+    entries = fx.log_batches_in(spark, sf)
+    schema = entries.schema
+    parts = [r[0] for r in entries.select("attempt").distinct().orderBy("attempt").collect()]
+    for part in parts:  # a handful of attempts
+        entries.filter(F.col("attempt") == part).coalesce(1).write.parquet(f"{source}/part={part}")
+        sink(log_source_stream(spark, f"{source}/*", schema, files_per_trigger=1), target, checkpoint).awaitTermination()
     return target
 
 
@@ -398,10 +410,10 @@ def append_log_sink(spark: SparkSession, sf: str) -> DataFrame:
     return _text_key(records.select("run_id", "stream", "seq", "key", "value"))
 
 
-@query("SELECT run_id, stream, append_id, arrival, outcome, first_seq, last_seq FROM decided")
+@query("SELECT run_id, stream, append_id, attempt - 1 AS epoch, outcome, first_seq, last_seq FROM decided")
 def stream_append_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    outcomes = spark.read.parquet(f"{_append(spark, sf)}/outcomes")
-    return outcomes.select("run_id", "stream", "append_id", "arrival", "outcome", "first_seq", "last_seq")
+    outcomes = spark.read.parquet(f"{_append(spark, sf, live.stream_append_dedup)}/outcomes")
+    return outcomes.select("run_id", "stream", "append_id", F.col("epoch").cast("long"), "outcome", "first_seq", "last_seq")
 
 
 @query("""WITH closed AS (SELECT run_id, action, arg_min(status, seq) AS status, min(seq) AS seq FROM status_events

@@ -38,11 +38,11 @@ def action_detail(spark: SparkSession, sf: str) -> DataFrame:
     return ops.action_detail(wanted, fx.environments(spark, sf))
 
 
-@query("""SELECT a.id, 0::BIGINT AS part, coalesce(string_agg(e.source_action_id::VARCHAR, ',' ORDER BY e.source_action_id), '')
-  AS upstream_ids FROM actions a LEFT JOIN edges e ON e.dependent_action_id = a.id GROUP BY a.id""")
+@query("""SELECT a.id, e.source_action_id AS upstream_id,
+    CASE WHEN e.source_action_id IS NOT NULL THEN row_number() OVER (PARTITION BY a.id ORDER BY e.source_action_id) END AS position
+  FROM actions a LEFT JOIN edges e ON e.dependent_action_id = a.id""")
 def actions_with_upstreams(spark: SparkSession, sf: str) -> DataFrame:
-    found = ops.actions_with_upstreams(fx.actions(spark, sf).select("id"), fx.edges(spark, sf))
-    return found.withColumn("upstream_ids", F.array_join(F.col("upstream_ids").cast("array<string>"), ","))
+    return ops.actions_with_upstreams(fx.actions(spark, sf).select("id"), fx.edges(spark, sf))
 
 
 @query(f"""SELECT a.id, a.run_id, a.status, a.attempts, a.environment_id, r.claim_token, e.name AS environment_name
@@ -133,7 +133,7 @@ def expired_leases_swept(spark: SparkSession, sf: str) -> DataFrame:
     return tables.expired_leases(fx.image_builds(spark, sf), fx.as_of())[1].select("id", "image_key", "status")
 
 
-@query(f"""SELECT session, size, expires_at FROM uploads WHERE expires_at <= {AS_OF} ORDER BY expires_at, session LIMIT 100""")
+@query(f"""SELECT session, size, expires_at FROM uploads WHERE expires_at <= {AS_OF}""")
 def expired_uploads(spark: SparkSession, sf: str) -> DataFrame:
     return tables.expired_uploads(fx.uploads(spark, sf), fx.as_of()).select("session", "size", "expires_at")
 

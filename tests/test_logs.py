@@ -13,12 +13,13 @@ ENTRY = "run_id bigint, stream string, append_id string, ord int, key string, va
 def test_batch_digest(spark):
     data = [(1, "s", "a", 2, "k2", "v2"), (1, "s", "a", 1, "k", "1v1"), (1, "s", "b", 1, "k1", "v1"), (1, "s", "big", 1, "k", "x" * 50)]
     got = {r.append_id: r for r in logs.batch_digest(
-        spark.createDataFrame(data, ENTRY), ["run_id", "stream", "append_id"], ["ord"], max_batch=40).collect()}
+        spark.createDataFrame(data, ENTRY), ["run_id", "stream", "append_id"], ["ord"]).collect()}
     want = hashlib.sha256(b"".join(len(p).to_bytes(8, "big") + p for p in (b"k", b"1v1", b"k2", b"v2"))).hexdigest()
     assert got["a"].digest == want and got["a"].n == 2
     # The same bytes split differently between key and value are another batch.
     assert got["b"].digest != hashlib.sha256(b"k" + b"1v1").hexdigest()
-    assert got["big"].digest is None and got["big"].n == 1
+    assert got["big"].digest == hashlib.sha256(
+        b"".join(len(p).to_bytes(8, "big") + p for p in (b"k", b"x" * 50))).hexdigest()
 
 
 def test_append_reconcile(spark, rows):
@@ -52,7 +53,9 @@ def test_cursor_read(spark, rows):
         ("all", 1, "s", 0, None, 0), ("two", 1, "s", 7, None, 1), ("key", 1, "s", 0, bytearray(b"action/1"), 2), ("end", 1, "s", 9, None, 5),
         ("bad", 1, "s", 0, None, 1001), ("neg", 1, "s", -1, None, 5), ("max", 1, "s", 0, None, 1000),
     ], "request_id string, run_id bigint, stream string, after_seq bigint, key binary, limit int")
-    got = rows(logs.cursor_read(records(spark), asked), "request_id", "seq", "truncated")
+    read = logs.cursor_read(records(spark), asked)
+    assert dict(rows(read.filter("seq IS NULL"), "request_id", "verdict")) == {"end": "ok", "bad": "invalid limit", "neg": "invalid cursor"}
+    got = rows(read.filter("seq IS NOT NULL"), "request_id", "seq", "truncated")
     by = {}
     for rid, seq, cut in got:
         by.setdefault(rid, []).append((seq, cut))

@@ -139,3 +139,17 @@ def test_split_valid(spark, rows):
     assert rows(found, "id", "rule") == [(2, "large"), (2, "odd"), (3, "large"), (3, "odd")]
     good, bad = quality.split_valid(df, found, ["id"])
     assert [r.id for r in good.collect()] == [1] and sorted(r.id for r in bad.collect()) == [2, 3]
+
+
+def test_whole_numbers_stay_whole_beside_nulls_and_failures(spark, rows):
+    def double(x):
+        if x is None:
+            raise ValueError("nothing")
+        return 2 * x
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(1, big, None), (2, None, big), (3, 2**62, big)], "id bigint, x bigint, other bigint")
+    got = rows(memo.task_map(df, double, ["x"], "bigint"), "id", "x", "other", "output", "error")
+    assert got[0] == (1, big, None, 2 * big, None)
+    assert got[1] == (2, None, big, None, "nothing")
+    assert got[2][:4] == (3, 2**62, big, None) and got[2][4]

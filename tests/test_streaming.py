@@ -100,17 +100,53 @@ def test_a_batch_that_broke_off_is_repeated_without_duplicates(spark, tmp_path,
     put(spark, src, ENTRY, [entry(1, "s", "a", 1, 1, "x")], 1)
     live.append_log_sink(open_stream(spark, src, ENTRY), target, state).awaitTermination()
     put(spark, src, ENTRY, [entry(1, "s", "b", 1, 2, "y"), entry(1, "s", "a", 2, 3, "x")], 2)
-    read_state = live._before
+    read_state = live._ends_before
 
-    def broken(session, path, schema, epoch):
-        # The records of the second batch are written, then the state cannot be.
-        found = read_state(session, path, schema, epoch)
+    def broken(session, path, epoch):
+        # The state of the second batch cannot be read while it is written.
+        found = read_state(session, path, epoch)
         return found.withColumn("end_seq", F.raise_error(F.lit("disk gone")).cast("bigint")) if epoch else found
 
-    monkeypatch.setattr(live, "_before", broken)
+    monkeypatch.setattr(live, "_ends_before", broken)
     with pytest.raises(StreamingQueryException):
         live.append_log_sink(open_stream(spark, src, ENTRY), target, state).awaitTermination()
-    monkeypatch.setattr(live, "_before", read_state)
+    monkeypatch.setattr(live, "_ends_before", read_state)
     live.append_log_sink(open_stream(spark, src, ENTRY), target, state).awaitTermination()
     assert sorted((r.seq, r.value) for r in spark.read.parquet(f"{target}/records").collect()) == [(1, "x"), (2, "y")]
     assert sorted(r.outcome for r in spark.read.parquet(f"{target}/outcomes").collect()) == ["appended", "appended", "replay"]
+
+
+def test_bad_and_unnamed_batches(spark, tmp_path):
+    src, target, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    put(spark, src, ENTRY, [
+        entry(1, "s", None, 1, 1, "x"), entry(1, "s", "a", 1, 2, "y"), entry(1, "bad stream!", "b", 1, 3, "z"),
+        entry(1, "s", "c", 1, 4, ""), entry(1, "s", "d" * 201, 1, 5, "w"), (1, "s", "e", 1, 6, bytearray(b"k" * 2000), "v"),
+    ], 1)
+    put(spark, src, ENTRY, [entry(1, "s", None, 2, 7, "x"), entry(1, "s", "a", None, 8, "y")], 2)
+    live.append_log_sink(open_stream(spark, src, ENTRY), target, state).awaitTermination()
+    assert sorted((r.seq, r.value) for r in spark.read.parquet(f"{target}/records").collect()) == [(1, "x"), (2, "y"), (3, "x")]
+    got = sorted((r.append_id[:1], r.epoch, r.outcome, r.reason or "") for r in spark.read.parquet(f"{target}/outcomes").collect())
+    assert got == [
+        ("", 0, "appended", ""), ("", 1, "appended", ""), ("a", 0, "appended", ""), ("a", 1, "replay", ""),
+        ("b", 0, "rejected", "invalid stream name"), ("c", 0, "rejected", "record too large or empty"),
+        ("d", 0, "rejected", "append id too long"), ("e", 0, "rejected", "key too large"),
+    ]
+
+
+def test_state_reads_do_not_grow_with_history(monkeypatch):
+    monkeypatch.setattr(live, "SNAPSHOT_EVERY", 4)
+    assert [len(live._since_snapshot("p", epoch)) for epoch in range(1, 10)] == [1, 2, 3, 4, 1, 2, 3, 4, 1]
+    assert live._since_snapshot("p", 6) == ["p/epoch=4", "p/epoch=5"]
+
+
+def test_current_rows_over_snapshots(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "SNAPSHOT_EVERY", 2)
+    schema = "run_id bigint, action bigint, seq bigint, status string"
+    src, target, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for n in range(5):
+        put(spark, src, schema, [(1, n, n, "queued"), (1, 0, n, "running")], n + 1)
+    live.stream_run_status(open_stream(spark, src, schema), target, state).awaitTermination()
+    got = live.read_current(spark, target, "run_id bigint, action bigint, status string, seq bigint", ["run_id", "action"])
+    assert sorted((r.action, r.status, r.seq) for r in got.collect()) == [
+        (0, "running", 4), (1, "queued", 1), (2, "queued", 2), (3, "queued", 3), (4, "queued", 4),
+    ]

@@ -119,11 +119,11 @@ def test_page_tokens_lead_through_all_rows(spark, rows):
     assert runs.with_page_tokens(bad).first().bad_token
 
 
-def test_many_upstreams_continue_in_further_rows(spark, rows):
+def test_every_upstream_has_a_row(spark, rows):
     acts = spark.createDataFrame([(1,), (2,)], "id bigint")
     edges = spark.createDataFrame([(1, 10 + i) for i in range(7)], "dependent_action_id bigint, source_action_id bigint")
-    assert rows(runs.actions_with_upstreams(acts, edges, per_row=3), "id", "part", "upstream_ids") == [
-        (1, 0, [10, 11, 12]), (1, 1, [13, 14, 15]), (1, 2, [16]), (2, 0, []),
+    assert rows(runs.actions_with_upstreams(acts, edges), "id", "position", "upstream_id") == [
+        *[(1, i + 1, 10 + i) for i in range(7)], (2, None, None),
     ]
 
 
