@@ -299,51 +299,102 @@ def orphans(
     return broken_rows(df.join(known, list(on), "left_anti"), keys, table, rule, F.lit(True))
 
 
+ACTION_STATUS = "'queued', 'running', 'waiting', 'succeeded', 'failed', 'canceled'"
+
+
 def check_table_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """Key, reference and row constraints of the stored relations, for those present in `tables`."""
+    """Key, reference and row constraints of the stored relations, for those present in `tables`.
+
+    A rule on a column that a table lacks is left out. All row rules of a table are taken in one pass.
+    """
     found: list[DataFrame] = []
 
-    def unique(table: str, keys: list[str], rule: str, where: str | None = None) -> None:
-        if table in tables:
+    def has(table: str, *columns: str) -> bool:
+        return table in tables and {*columns} <= {*tables[table].columns}
+
+    def unique(table: str, keys: list[str], rule: str = "primary key", where: str | None = None, needs: Sequence[str] = ()) -> None:
+        if has(table, *keys, *needs):
             df = tables[table] if where is None else tables[table].filter(where)
             found.append(duplicate_keys(df, keys, table, rule))
 
-    def check(table: str, keys: list[str], rule: str, bad: str) -> None:
-        if table in tables:
-            found.append(broken_rows(tables[table], keys, table, rule, F.expr(bad)))
+    def check(table: str, keys: list[str], rules: dict[str, tuple[str, ...]]) -> None:
+        """`rules`: what is broken, by rule, and the columns that are looked at."""
+        own = {rule: bad for rule, (bad, *columns) in rules.items() if has(table, *keys, *columns)}
+        if own:
+            marks = F.array(*[F.when(F.expr(bad), F.lit(rule)) for rule, bad in own.items()])
+            key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+            found.append(tables[table].select(
+                F.lit(table).alias("table_name"), F.explode(F.array_compact(marks)).alias("rule"), key.alias("row_key")
+            ))
 
     def refers(table: str, keys: list[str], parent: str, on: dict[str, str], rule: str) -> None:
-        if table in tables and parent in tables:
+        if has(table, *keys, *on) and has(parent, *on.values()):
             found.append(orphans(tables[table], keys, tables[parent], on, table, rule))
 
+    unique("namespaces", ["id"])
     unique("namespaces", ["slug"], "unique slug")
-    unique("settings", ["namespace_id", "path"], "primary key")
+    unique("settings", ["namespace_id", "path"])
+    refers("settings", ["namespace_id", "path"], "namespaces", {"namespace_id": "id"}, "namespace exists")
+    unique("task_environments", ["id"])
     unique("task_environments", ["namespace_id", "name", "version"], "unique version")
-    unique("image_builds", ["image_key"], "one build in progress", "status = 'building'")
-    check("image_builds", ["id"], "ready has artifact", "status = 'ready' AND artifact_uri = ''")
-    unique("runs", ["id"], "primary key")
-    unique("task_actions", ["id"], "primary key")
-    unique("task_actions", ["run_id"], "one root", "caller_action_id IS NULL")
-    check("task_actions", ["id"], "entrypoint range", "NOT entrypoint_id BETWEEN 1 AND 4294967295")
+    refers("task_environments", ["id"], "namespaces", {"namespace_id": "id"}, "namespace exists")
+    unique("image_builds", ["id"])
+    unique("image_builds", ["image_key"], "one build in progress", "status = 'building'", ["status"])
+    check("image_builds", ["id"], {
+        "ready has artifact": ("status = 'ready' AND artifact_uri = ''", "status", "artifact_uri"),
+        "status": ("status NOT IN ('building', 'ready', 'failed')", "status"),
+    })
+    unique("task_cache", ["cache_key"])
+    check("task_cache", ["cache_key"], {
+        "key length": ("NOT cache_key RLIKE '^[0-9a-f]{64}$'",),
+        "status": ("status NOT IN ('building', 'ready')", "status"),
+        "ready has result": ("status = 'ready' AND output IS NULL AND error_code = ''", "status", "output", "error_code"),
+    })
+    unique("runs", ["id"])
+    unique("runs", ["namespace_id", "root_idempotency_key"], "unique idempotency key", "root_idempotency_key IS NOT NULL")
+    refers("runs", ["id"], "namespaces", {"namespace_id": "id"}, "namespace exists")
+    refers("runs", ["id"], "task_actions", {"id": "run_id", "root_action_id": "id"}, "root exists")
+    unique("task_actions", ["id"])
+    unique("task_actions", ["run_id"], "one root", "caller_action_id IS NULL", ["caller_action_id"])
+    unique("task_actions", ["run_id", "idempotency_key"], "unique idempotency key", "idempotency_key IS NOT NULL")
+    check("task_actions", ["id"], {
+        "entrypoint range": ("NOT entrypoint_id BETWEEN 1 AND 4294967295", "entrypoint_id"),
+        "status": (f"status NOT IN ({ACTION_STATUS})", "status"),
+    })
     refers("task_actions", ["id"], "runs", {"run_id": "id"}, "run exists")
     refers("task_actions", ["id"], "task_environments", {"environment_id": "id"}, "environment exists")
     refers("task_actions", ["id"], "task_actions", {"run_id": "run_id", "caller_action_id": "id"}, "caller exists")
-    refers("runs", ["id"], "task_actions", {"id": "run_id", "root_action_id": "id"}, "root exists")
     edge = ["run_id", "source_action_id", "dependent_action_id"]
-    unique("task_action_edges", edge, "primary key")
-    check("task_action_edges", edge, "no self edge", "source_action_id = dependent_action_id")
-    refers("task_action_edges", edge, "task_actions", {"run_id": "run_id", "source_action_id": "id"}, "source exists")
-    refers(
-        "task_action_edges", edge, "task_actions", {"run_id": "run_id", "dependent_action_id": "id"},
-        "dependent exists",
-    )
-    unique("run_log_records", ["run_id", "stream", "seq"], "primary key")
-    check("run_log_records", ["run_id", "stream", "seq"], "inline or stored",
-          "(value IS NOT NULL) = (value_uri IS NOT NULL)")
-    check("run_log_records", ["run_id", "stream", "seq"], "sequence starts at 1", "seq < 1")
-    unique("run_log_appends", ["run_id", "stream", "append_id"], "primary key")
-    check("run_log_appends", ["run_id", "stream", "append_id"], "range", "first_seq < 1 OR last_seq < first_seq")
-    unique("blobs", ["sha256"], "primary key")
+    unique("task_action_edges", edge)
+    check("task_action_edges", edge, {"no self edge": ("source_action_id = dependent_action_id",)})
+    refers("task_action_edges", edge, "runs", {"run_id": "id"}, "run exists")
+    for end in ("source", "dependent"):
+        refers("task_action_edges", edge, "task_actions", {"run_id": "run_id", f"{end}_action_id": "id"}, f"{end} exists")
+    stream = ["run_id", "stream"]
+    unique("run_log_streams", stream)
+    check("run_log_streams", stream, {
+        "stream name": (f"NOT stream RLIKE '{X.STREAM_NAME[:-1]}\\\\z'",), "next number": ("next_seq < 1", "next_seq"),
+    })
+    refers("run_log_streams", stream, "runs", {"run_id": "id"}, "run exists")
+    record = [*stream, "seq"]
+    unique("run_log_records", record)
+    check("run_log_records", record, {
+        "inline or stored": ("(value IS NOT NULL) = (value_uri IS NOT NULL)", "value", "value_uri"),
+        "sequence starts at 1": ("seq < 1",), "key length": (f"octet_length(key) > {X.MAX_KEY}", "key"),
+        "payload size": ("payload_size <= 0", "payload_size"),
+    })
+    refers("run_log_records", record, "run_log_streams", {c: c for c in stream}, "stream exists")
+    append = [*stream, "append_id"]
+    unique("run_log_appends", append)
+    check("run_log_appends", append, {
+        "range": ("first_seq < 1 OR last_seq < first_seq", "first_seq", "last_seq"),
+        "append id length": (f"length(append_id) NOT BETWEEN 1 AND {X.MAX_APPEND_ID}",),
+        "digest length": ("NOT batch_digest RLIKE '^[0-9a-f]{64}$'", "batch_digest"),
+    })
+    refers("run_log_appends", append, "run_log_streams", {c: c for c in stream}, "stream exists")
+    unique("blobs", ["sha256"])
+    check("blobs", ["sha256"], {"digest length": ("NOT sha256 RLIKE '^[0-9a-f]{64}$'",)})
+    unique("blob_uploads", ["session_id"])
     unique("blob_uploads", ["object_key"], "unique object")
     whole = found[0]
     for part in found[1:]:

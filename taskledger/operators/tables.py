@@ -84,10 +84,19 @@ def active_uploads(uploads: DataFrame, as_of: Column) -> DataFrame:
     return uploads.filter(F.col("expires_at") > as_of)
 
 
-def cancel_active(actions: DataFrame, runs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stamped(df: DataFrame, hit: Column, as_of: Column | None) -> dict[str, Column]:
+    """The change time of the rows that are hit, where the table keeps one."""
+    if as_of is None or "updated_at" not in df.columns:
+        return {}
+    return {"updated_at": F.when(hit, as_of).otherwise(F.col("updated_at"))}
+
+
+def cancel_active(
+    actions: DataFrame, runs: DataFrame, ids: DataFrame, as_of: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Cancel the open actions of the given runs while the root is open; clear the claim either way.
 
-    `ids` has a column run_id. Returns the new actions and runs.
+    `ids` has a column run_id. Returns the new actions, changed at `as_of`, and runs.
     """
     asked = ids.select("run_id").distinct()
     roots = runs.join(asked.withColumnRenamed("run_id", "id"), "id", "left_semi").select(
@@ -99,7 +108,7 @@ def cancel_active(actions: DataFrame, runs: DataFrame, ids: DataFrame) -> tuple[
     new_actions = actions.join(closing, "run_id", "left").withColumns({
         "error": F.when(hit, "run canceled").otherwise(F.col("error") if "error" in actions.columns else F.lit("")),
         "status": F.when(hit, "canceled").otherwise(F.col("status")),
-    }).drop("_closing")
+    } | _stamped(actions, hit, as_of)).drop("_closing")
     cleared = asked.select(F.col("run_id").alias("id"), F.lit(True).alias("_asked"))
     new_runs = runs.join(cleared, "id", "left").withColumns({
         "claim_token": F.when(F.col("_asked").isNull(), F.col("claim_token")),
@@ -116,8 +125,8 @@ def reset_inflight(actions: DataFrame, runs: DataFrame, claims: DataFrame, as_of
         .select("run_id", F.lit(True).alias("_held"))
     )
     hit = F.col("_held").isNotNull() & F.col("status").isin(*X.INFLIGHT)
-    return actions.join(held, "run_id", "left").withColumn(
-        "status", F.when(hit, "queued").otherwise(F.col("status"))
+    return actions.join(held, "run_id", "left").withColumns(
+        {"status": F.when(hit, "queued").otherwise(F.col("status"))} | _stamped(actions, hit, as_of)
     ).drop("_held")
 
 
@@ -126,8 +135,9 @@ def fold_transitions(
 ) -> tuple[DataFrame, DataFrame]:
     """Apply ordered transitions to actions; returns the new actions and a verdict per transition.
 
-    `transitions`: action_id, seq (order), claim_token, expected_attempt, attempt, failures, status. One is
-    applied only while its token holds the run's lease, the action's attempt number is the expected one and
+    `transitions`: action_id, seq (order), claim_token, expected_attempt, attempt, failures, status, and if there are
+    any output, error, next_attempt_at. The last applied one is written with all its columns and `as_of` as the
+    time of change. One is applied only while its token holds the run's lease, the action's attempt number is the expected one and
     the action is open; otherwise its verdict is `lease lost`. Verdicts of one action follow from each other,
     so they are settled in rounds: every transition looks up the next one its outcome lets in, and the path
     from the stored state is followed with doubling steps. All work is joins over (action, attempt) keys.
@@ -179,18 +189,36 @@ def fold_transitions(
     verdicts = transitions.join(
         applied.withColumn("_applied", F.lit(True)), ["action_id", "seq"], "left"
     ).withColumn("verdict", F.when(F.col("_applied"), "applied").otherwise("lease lost")).drop("_applied")
+    written_columns = {"status": "status", "attempts": "attempt", "failures": "failures"} | {
+        c: c for c in ("output", "error", "next_attempt_at") if c in transitions.columns and c in actions.columns
+    }
     last = verdicts.filter("verdict = 'applied'").groupBy("action_id").agg(
-        F.max_by(F.struct("status", "attempt", "failures"), "seq").alias("_new")
+        F.max_by(F.struct(*written_columns.values()), "seq").alias("_new")
     )
     changed = actions.join(last.withColumnRenamed("action_id", "id"), "id", "left")
+    hit = F.col("_new").isNotNull()
     new_actions = changed.withColumns({
-        "status": F.coalesce("_new.status", "status"),
-        "attempts": F.coalesce(F.col("_new.attempt"), F.col("attempts")),
-        "failures": F.coalesce(F.col("_new.failures"), F.col("failures")),
-    }).select(*actions.columns)
+        mine: F.when(hit, F.col("_new").getField(theirs)).otherwise(F.col(mine)) for mine, theirs in written_columns.items()
+    } | _stamped(actions, hit, as_of)).select(*actions.columns)
     return new_actions, verdicts
 
 
+def transition_events(actions: DataFrame, verdicts: DataFrame, runs: DataFrame) -> DataFrame:
+    """What each applied transition puts in the run's log: its action's new status, and the run's if it is the root.
+
+    Columns run_id, action_id (null for an event of the run), seq, status.
+    """
+    applied = verdicts.filter("verdict = 'applied'").select("action_id", "seq", "status").join(
+        actions.select(F.col("id").alias("action_id"), "run_id"), "action_id"
+    )
+    roots = runs.select(F.col("id").alias("run_id"), F.col("root_action_id").alias("action_id"))
+    of_runs = applied.join(roots, ["run_id", "action_id"], "left_semi").withColumn(
+        "action_id", F.lit(None).cast(applied.schema["action_id"].dataType)
+    )
+    columns = ["run_id", "action_id", "seq", "status"]
+    return applied.select(*columns).unionByName(of_runs.select(*columns))
+
+
 def promote_uploads(
     uploads: DataFrame, objects: DataFrame, parts: DataFrame | None, blobs: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

@@ -95,17 +95,40 @@ def ready_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return ops.ready_frontier(nodes, _prereqs(nodes), fx.as_of()).select("id", "run_id")
 
 
-@query("""WITH kept AS (SELECT * FROM actions WHERE status <> 'canceled'),
-  roots AS (SELECT run_id, count(*) FILTER (caller_action_id IS NULL) AS n FROM kept GROUP BY run_id)
-  SELECT DISTINCT p.run_id, 'missing prerequisite' AS rule, p.id AS node_id FROM prereqs p JOIN kept k ON k.id = p.id
-    WHERE p.prerequisite_id NOT IN (SELECT id FROM kept)
-  UNION ALL SELECT run_id, 'missing parent', id FROM kept WHERE caller_action_id NOT IN (SELECT id FROM kept)
+@query("""WITH RECURSIVE sizes AS (SELECT run_id, max(pos) AS top FROM actions GROUP BY run_id),
+  base AS (SELECT a.run_id, a.id, a.pos, a.status, s.top, CASE WHEN a.pos = 4 AND a.status = 'canceled' THEN -a.caller_action_id
+    WHEN a.pos = 1 AND a.run_id % 13 = 0 AND s.top >= 2 THEN a.id + 1 WHEN a.pos = 3 AND a.run_id % 11 = 0 THEN NULL
+    ELSE a.caller_action_id END AS up FROM actions a JOIN sizes s USING (run_id)),
+  climb AS (SELECT run_id, id, up, 1 AS n FROM base WHERE up IS NOT NULL
+    UNION ALL SELECT c.run_id, c.id, p.up, n + 1 FROM climb c JOIN base p ON p.run_id = c.run_id AND p.id = c.up
+    WHERE p.up IS NOT NULL AND n <= 40),
+  roots AS (SELECT run_id, count(*) FILTER (up IS NULL) AS n FROM base GROUP BY run_id)
+  SELECT run_id, 'duplicate node' AS rule, id AS node_id FROM base WHERE run_id % 7 = 0 AND pos = 2
+  UNION ALL SELECT run_id, 'missing parent', id FROM base WHERE pos = 4 AND status = 'canceled'
+  UNION ALL SELECT run_id, 'missing prerequisite', id FROM base WHERE pos = 5 AND status = 'canceled'
+  UNION ALL SELECT run_id, 'prerequisite cycle', id FROM base WHERE run_id % 5 = 0 AND top >= 3 AND pos IN (1, 3)
   UNION ALL SELECT run_id, 'no root', NULL FROM roots WHERE n = 0
-  UNION ALL SELECT run_id, 'several roots', NULL FROM roots WHERE n > 1""")
+  UNION ALL SELECT run_id, 'several roots', NULL FROM roots WHERE n > 1
+  UNION ALL SELECT run_id, 'parent cycle', id FROM climb WHERE n > 40""", recursive=True)
 def validate_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph without its canceled nodes, which leaves gaps of every kind but cycles."""
-    nodes = _nodes(spark, sf).filter("status <> 'canceled'")
-    return ops.validate_graph(nodes, _prereqs(nodes))
+    """Faults made in the columns of some runs: a repeated node, parents and prerequisites that are not there, a second
+    root, a prerequisite cycle of nodes 1 and 3, a root under its own child."""
+    nodes = _nodes(spark, sf)
+    top = nodes.groupBy("run_id").agg(F.max("pos").alias("top"))
+    nodes = nodes.join(top, "run_id")
+    run, pos, canceled = F.col("run_id"), F.col("pos"), F.col("status") == "canceled"
+    caller = (
+        F.when((pos == 4) & canceled, -F.col("caller_action_id"))
+        .when((pos == 1) & (run % 13 == 0) & (F.col("top") >= 2), F.col("id") + 1)
+        .when((pos == 3) & (run % 11 == 0), F.lit(None))
+        .otherwise(F.col("caller_action_id"))
+    )
+    needs = nodes.filter("pos >= 3").select(
+        "run_id", "id", F.when((pos == 5) & canceled, -F.col("id")).otherwise(F.col("id") - 2).alias("prerequisite_id")
+    ).unionByName(nodes.filter("pos = 1 AND top >= 3 AND run_id % 5 = 0").select("run_id", "id", (F.col("id") + 2).alias("prerequisite_id")))
+    changed = nodes.withColumn("caller_action_id", caller)
+    changed = changed.unionByName(changed.filter((run % 7 == 0) & (pos == 2)))
+    return ops.validate_graph(changed, needs)
 
 
 @query("""WITH RECURSIVE reach AS (SELECT id, 0::BIGINT AS level FROM environments

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from taskledger.functions import expr as X
 from taskledger.operators import blobs, logs
@@ -11,7 +14,8 @@ from taskledger.plans.registry import query
 from taskledger.plans.relations import frame
 from taskledger.session import fresh_path, written
 from taskledger.sources import fixtures as fx
-from taskledger.sources.tables import log_source_batch, log_source_stream, source_table
+from taskledger.sources.tables import SCHEMAS, log_source_batch, log_source_stream, source_table
+from taskledger.sources.tables import load_tables as read_tables
 from taskledger.streaming import logs as live
 
 
@@ -19,26 +23,37 @@ def _text_key(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.decode("key", "UTF-8"))
 
 
-@query("""SELECT 'namespaces' AS relation, count(*) AS n FROM namespaces
-  UNION ALL SELECT 'settings', count(*) FROM settings UNION ALL SELECT 'environments', count(*) FROM environments
-  UNION ALL SELECT 'runs', count(*) FROM runs UNION ALL SELECT 'actions', count(*) FROM actions
-  UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'log_entries', count(*) FROM log_entries
-  UNION ALL SELECT 'image_builds', count(*) FROM image_builds UNION ALL SELECT 'contents', count(*) FROM contents
-  UNION ALL SELECT 'checkpoints', count(*) FROM checkpoints""")
+_STORED = {
+    "namespaces": ("namespaces", "id"), "settings": ("settings", "path"), "environments": ("task_environments", "id"),
+    "runs": ("runs", "id"), "actions": ("task_actions", "id"), "edges": ("task_action_edges", "source_action_id"),
+    "image_builds": ("image_builds", "id"),
+}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{stored}' AS relation, count(*) AS n, min({key}::VARCHAR) AS first, max({key}::VARCHAR) AS last FROM {name}"
+    for name, (stored, key) in _STORED.items()))
 def load_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The relations stored in their own types, one folder each, and loaded again."""
     makers = {
         "namespaces": fx.namespaces, "settings": fx.settings, "environments": fx.environments, "runs": fx.runs,
-        "actions": fx.actions, "edges": fx.edges, "log_entries": fx.log_entries, "image_builds": fx.image_builds,
-        "contents": fx.values, "checkpoints": fx.checkpoints,
+        "actions": fx.actions, "edges": fx.edges, "image_builds": fx.image_builds,
     }
+    folder = fresh_path(spark, "relations")
+    for name, make in makers.items():
+        stored = _STORED[name][0]
+        df = make(spark, sf)
+        df.select(*[
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in StructType.fromDDL(SCHEMAS[stored]).fields
+        ]).write.parquet(f"{folder}/{stored}")
+    loaded = read_tables(spark, folder, [stored for stored, _ in _STORED.values()])
     parts = [
-        make(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n")
-        for name, make in makers.items()
+        loaded[stored].agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).select(
+            F.lit(stored).alias("relation"), "n", "first", "last")
+        for stored, key in _STORED.values()
     ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT run_id, stream, ord, key, value FROM log_entries WHERE stream IN ('click', 'view')", name="log_source_batch")

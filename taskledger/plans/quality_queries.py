@@ -9,7 +9,7 @@ from taskledger.functions import expr as X
 from taskledger.operators import blobs
 from taskledger.operators import quality as ops
 from taskledger.plans.registry import query
-from taskledger.session import written
+from taskledger.session import fresh_path, written
 from taskledger.sources import fixtures as fx
 from taskledger.sources.tables import blob_source, source_table
 
@@ -223,6 +223,7 @@ def verify_digests(spark: SparkSession, sf: str) -> DataFrame:
     FROM edges WHERE dependent_action_id NOT IN (SELECT id FROM kept)""")
 def check_table_constraints(spark: SparkSession, sf: str) -> DataFrame:
     """All relations, with the settings before their repeats are merged and the actions without canceled ones."""
+    runs = written(fx.runs(spark, sf), "runs")
     actions = written(fx.actions(spark, sf).select("id", "run_id", "caller_action_id", "entrypoint_id", "environment_id", "status"))
     edges = actions.filter("caller_action_id IS NOT NULL").select(
         "run_id", F.col("id").alias("source_action_id"), F.col("caller_action_id").alias("dependent_action_id")
@@ -232,7 +233,7 @@ def check_table_constraints(spark: SparkSession, sf: str) -> DataFrame:
         "settings": fx._setting_rows(spark, sf),
         "task_environments": fx.environments(spark, sf),
         "image_builds": fx.image_builds(spark, sf),
-        "runs": fx.runs(spark, sf),
+        "runs": runs,
         "task_actions": actions.filter("status <> 'canceled'"),
         "task_action_edges": edges,
     })
@@ -252,6 +253,13 @@ def split_valid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(name="blob_source")
+@query("""SELECT s_suppkey AS id, sha256(s_name || chr(10)) AS digest, octet_length(encode(s_name)) + 1 AS size,
+  'text/plain' AS mime_type FROM supplier""", name="blob_source")
 def blob_source_files(spark: SparkSession, sf: str) -> DataFrame:
-    return blob_source(spark, f"{sf}/*.parquet").drop("content")
+    """Supplier names written as one text file each, and read back as content-addressed rows."""
+    folder = fresh_path(spark, "files")
+    source_table(spark, sf, "supplier").select("s_suppkey", "s_name").repartition("s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    found = blob_source(spark, f"{folder}/*/*.txt")
+    return found.select(
+        F.regexp_extract("path", "s_suppkey=([0-9]+)/", 1).cast("long").alias("id"), "digest", "size", "mime_type"
+    )

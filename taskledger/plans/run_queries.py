@@ -270,15 +270,16 @@ def _insert(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _cancelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     runs = fx.runs(spark, sf)
     ids = runs.filter("namespace_id < 5").select(F.col("id").alias("run_id"))
-    return tables.cancel_active(fx.actions(spark, sf), runs, ids)
+    return tables.cancel_active(fx.actions(spark, sf), runs, ids, fx.as_of())
 
 
 @query(f"""SELECT a.id, CASE WHEN a.status NOT IN {TERMINAL} AND r.namespace_id < 5 AND o.status NOT IN {TERMINAL}
     THEN 'canceled' ELSE a.status END AS status,
-  CASE WHEN a.status NOT IN {TERMINAL} AND r.namespace_id < 5 AND o.status NOT IN {TERMINAL} THEN 'run canceled' ELSE '' END AS error
+  CASE WHEN a.status NOT IN {TERMINAL} AND r.namespace_id < 5 AND o.status NOT IN {TERMINAL} THEN 'run canceled' ELSE '' END AS error,
+  CASE WHEN a.status NOT IN {TERMINAL} AND r.namespace_id < 5 AND o.status NOT IN {TERMINAL} THEN {AS_OF} ELSE a.updated_at END AS updated_at
   FROM actions a JOIN runs r ON r.id = a.run_id JOIN actions o ON o.id = r.root_action_id""")
 def cancel_active(spark: SparkSession, sf: str) -> DataFrame:
-    return _cancelled(spark, sf)[0].select("id", "status", "error")
+    return _cancelled(spark, sf)[0].select("id", "status", "error", "updated_at")
 
 
 @query("""SELECT id, CASE WHEN namespace_id >= 5 THEN claim_token END AS claim_token,
@@ -288,43 +289,57 @@ def cancel_active_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT a.id, CASE WHEN a.status IN ('running', 'waiting') AND r.claim_token = 'w' || ((a.run_id + r.namespace_id) % 7)
-    AND r.lease_until > {AS_OF} THEN 'queued' ELSE a.status END AS status FROM actions a JOIN runs r ON r.id = a.run_id""")
+    AND r.lease_until > {AS_OF} THEN 'queued' ELSE a.status END AS status,
+    CASE WHEN a.status IN ('running', 'waiting') AND r.claim_token = 'w' || ((a.run_id + r.namespace_id) % 7)
+    AND r.lease_until > {AS_OF} THEN {AS_OF} ELSE a.updated_at END AS updated_at FROM actions a JOIN runs r ON r.id = a.run_id""")
 def reset_inflight(spark: SparkSession, sf: str) -> DataFrame:
     runs = fx.runs(spark, sf)
     claims = runs.select(
         F.col("id").alias("run_id"),
         F.concat(F.lit("w"), ((F.col("id") + F.col("namespace_id")) % 7).cast("string")).alias("claim_token"),
     )
-    return tables.reset_inflight(fx.actions(spark, sf), runs, claims, fx.as_of()).select("id", "status")
+    return tables.reset_inflight(fx.actions(spark, sf), runs, claims, fx.as_of()).select("id", "status", "updated_at")
 
 
 def _folded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """One action per (run, action number), queued at attempt 0; its status events are the transitions."""
     events = written(fx.status_events(spark, sf), "events")
-    number = F.col("run_id") * 1000 + F.col("action")
+    number = F.concat_ws("/", F.col("run_id").cast("string"), F.col("action").cast("string"))
     runs = fx.runs(spark, sf)
     acts = events.filter("seq = 1").select(
         number.alias("id"), "run_id", F.lit("queued").alias("status"), F.lit(0).cast("long").alias("attempts"),
-        F.lit(0).cast("long").alias("failures"),
+        F.lit(0).cast("long").alias("failures"), F.lit("").alias("error"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
     )
     moves = events.select(
         number.alias("action_id"), "seq", F.concat(F.lit("w"), (F.col("run_id") % 7).cast("string")).alias("claim_token"),
         (F.col("seq") - 1).alias("expected_attempt"), F.col("seq").alias("attempt"),
         F.lit(0).cast("long").alias("failures"), "status",
+        F.when(F.col("status") == "failed", F.concat(F.lit("at "), F.col("seq").cast("string"))).otherwise("").alias("error"),
     )
     return tables.fold_transitions(acts, moves, runs, fx.as_of())
 
 
-_FOLD = f"""WITH moves AS (SELECT e.run_id * 1000 + e.action AS action_id, e.seq, e.status,
+_FOLD = f"""WITH moves AS (SELECT e.run_id || '/' || e.action AS action_id, e.run_id, e.seq, e.status,
     coalesce(r.claim_token = 'w' || (e.run_id % 7) AND r.lease_until > {AS_OF}, false) AND coalesce(max(CASE WHEN e.status IN {TERMINAL}
       THEN 1 ELSE 0 END) OVER (PARTITION BY e.run_id, e.action ORDER BY e.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0
       AS applied FROM status_events e JOIN runs r ON r.id = e.run_id)"""
 
 
 @query(_FOLD + """ SELECT action_id AS id, coalesce(arg_max(status, seq) FILTER (applied), 'queued') AS status,
-  coalesce(max(seq) FILTER (applied), 0) AS attempts FROM moves GROUP BY action_id""")
+  coalesce(max(seq) FILTER (applied), 0) AS attempts,
+  coalesce(arg_max(CASE WHEN status = 'failed' THEN 'at ' || seq ELSE '' END, seq) FILTER (applied), '') AS error,
+  CASE WHEN bool_or(applied) THEN """ + AS_OF + """ END AS updated_at FROM moves GROUP BY action_id""")
 def fold_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return _folded(spark, sf)[0].select("id", "status", "attempts")
+    return _folded(spark, sf)[0].select("id", "status", "attempts", "error", "updated_at")
+
+
+@query(_FOLD + """ SELECT run_id, action_id, seq, status FROM moves WHERE applied
+  UNION ALL SELECT run_id, NULL, seq, status FROM moves WHERE applied AND action_id = run_id || '/1'""")
+def transition_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Action 1 of each run stands for its root."""
+    actions, verdicts = _folded(spark, sf)
+    roots = actions.select(F.col("run_id").alias("id"), F.concat_ws("/", F.col("run_id").cast("string"), F.lit("1")).alias("root_action_id"))
+    return tables.transition_events(actions, verdicts, roots.distinct())
 
 
 @query(_FOLD + " SELECT action_id, seq, CASE WHEN applied THEN 'applied' ELSE 'lease lost' END AS verdict FROM moves")
