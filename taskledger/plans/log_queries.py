@@ -240,6 +240,25 @@ def resolve_blobs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""WITH asked AS (SELECT arrival, content, digest, digest IN (SELECT digest FROM known_blobs) AS there,
+    'blob:text/plain;resolve,' || to_base64(unhex(digest)) AS uri FROM contents)
+  SELECT arrival AS id, sha256(CASE WHEN there THEN content ELSE uri END) AS value_digest, NOT there AS unresolved FROM asked""")
+def resolve_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text by reference; a reference to what is not stored stays one."""
+    contents = fx.values(spark, sf)
+    asked = contents.select(
+        F.col("arrival").alias("id"), X.blob_uri(F.lit("text/plain;resolve"), F.col("digest")).alias("value")
+    )
+    stored = contents.join(fx.known_blobs(spark, sf), "digest", "left_semi").groupBy("digest").agg(F.min("content").alias("content"))
+    found = blobs.resolve_nested(asked, stored, depth=2)
+    return found.select("id", F.sha2("value", 256).alias("value_digest"), "unresolved")
+
+
+@query("""SELECT doc_id, replace(uri, ';resolve', '') AS base, contains(uri, ';resolve') AS resolve, 'text/plain' AS mime_type FROM uris""")
+def uri_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.uris(spark, sf).select("doc_id", X.uri_attributes(F.col("uri")).alias("_uri")).select("doc_id", "_uri.*")
+
+
 @query("SELECT arrival, digest FROM contents WHERE digest NOT IN (SELECT digest FROM known_blobs)")
 def missing_blobs(spark: SparkSession, sf: str) -> DataFrame:
     return blobs.missing_blobs(fx.values(spark, sf).select("arrival", "digest"), fx.known_blobs(spark, sf))
@@ -431,6 +450,13 @@ def stream_append_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return outcomes.select("run_id", "stream", "append_id", F.col("epoch").cast("long"), "outcome", "first_seq", "last_seq")
 
 
+@query("SELECT DISTINCT run_id, stream, append_id, ord FROM log_batches_in")
+def drop_replays_within(spark: SparkSession, sf: str) -> DataFrame:
+    entries = fx.shape_log_batches(fx.shape_log_entries(_live(spark, sf, "events"))).withColumn("at", F.col("arrival").cast("timestamp"))
+    fresh = live.drop_replays_within(entries, "at", "400 days")
+    return live.run_to_end(fresh.select("run_id", "stream", "append_id", "ord"), *_places(spark, "fresh"))
+
+
 @query("""WITH closed AS (SELECT run_id, action, arg_min(status, seq) AS status, min(seq) AS seq FROM status_events
     WHERE status IN ('succeeded', 'failed', 'canceled') GROUP BY ALL),
  newest AS (SELECT run_id, action, arg_max(status, seq) AS status FROM status_events GROUP BY ALL)
