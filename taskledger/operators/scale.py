@@ -3,12 +3,14 @@
 A window partitioned by a key sends all rows of that key to one task. The functions here measure the
 keys first. Keys up to the limit use the ordinary window. Rows of larger keys are range-partitioned by
 (key, order), each piece is computed on its own, and the pieces are joined up through a table of
-per-piece totals. Both ways give the same rows.
+per-piece totals. Both ways give the same rows. An input that takes more than a scan is stored first, so it is
+computed once however often it is read here.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,15 @@ from taskledger.session import max_group_rows, written
 READ_BUCKET = 1024
 
 
+_COSTLY = re.compile(r"\b(Join|Aggregate|Window|Generate|Repartition\w*|Sort|Union|Distinct|MapIn\w+|FlatMap\w+)\b")
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """`df`, stored if it takes more than a scan: it is read several times below but should be computed once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return written(df, "running") if _COSTLY.search(plan) else df
+
+
 def _large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, int] | None:
     """The keys with more than `limit` rows and their total row count, or None if there are none."""
     if df.count() <= limit:
@@ -63,6 +74,7 @@ def running(
             added[out] = F.lag(column).over(window)
         return rows.withColumns(added)
 
+    df = _once(df)
     found = _large_keys(df, keys, limit)
     if found is None:
         return with_windows(df, keys, count)
