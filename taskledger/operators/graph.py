@@ -280,8 +280,11 @@ def _leads_to_cycle(links: DataFrame) -> DataFrame:
 def _cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes (run_id, id) on a prerequisite cycle, or between two of them. `edges`: run_id, id, needs."""
     links = written(edges.select(*NODE, "needs").filter("id IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
-    back = links.select("run_id", F.col("needs").alias("id"), F.col("id").alias("needs"))
-    return _leads_to_cycle(links).join(_leads_to_cycle(back), NODE, "left_semi").distinct()
+    ahead = written(_leads_to_cycle(links).distinct(), "ahead")
+    # A way back to a cycle only leads over nodes that have a way on to one.
+    among = links.join(ahead, NODE, "left_semi").join(ahead.withColumnRenamed("id", "needs"), ["run_id", "needs"], "left_semi")
+    back = written(among.select("run_id", F.col("needs").alias("id"), F.col("id").alias("needs")), "back")
+    return back.limit(0).select(*NODE) if back.isEmpty() else _leads_to_cycle(back).distinct()
 
 
 def _parent_cycles(nodes: DataFrame) -> DataFrame:
