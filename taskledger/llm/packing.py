@@ -31,7 +31,7 @@ SEQUENCE = 2048
 GROUP_PIECES = 200_000
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -46,6 +46,16 @@ class Index(dict):
         return number
 
 
+def _byte_characters() -> dict[int, int]:
+    """Byte-level models write printable Latin-1 bytes as themselves and number the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
 class WordIds:
     """Token ids of texts by way of a store of the ids of each word.
 
@@ -59,10 +69,35 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = {mark: self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids for mark in (b".", b",")}
+        self.plain_letters = self._same_letters()
         self.index = Index()
         self.flat, self.begin, self.size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.met = np.zeros(0, dtype=np.int64)
 
+    def _letters(self, word: bytes) -> str | None:
+        """A word of small Latin letters as the model's byte characters: nothing before the model changes or cuts it.
+
+        None for other words, and for all if this tokenizer treats such words in another way.
+        """
+        if not self.plain_letters:
+            return None
+        if word.isalpha():
+            return word.decode()
+        if word.isascii():
+            return None
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0250" and text == text.lower():
+            return word.decode("latin-1").translate(_BYTE_CHARACTERS)
+        return None
+
+    def _same_letters(self) -> bool:
+        self.plain_letters = True
+        samples = (b"token", b"stra\xc3\x9fe", b"\xc3\xb1and\xc3\xba", b"\xc3\xa0\xc4\x8d")
+        return all(
+            [t.id for t in self.tokenizer.model.tokenize(self._letters(w))]
+            == self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in samples
+        )
+
     def _forget(self) -> None:
         """Keep the words that have been met again, if they are not too many."""
         kept = np.flatnonzero(self.met > 1)
@@ -82,9 +117,14 @@ class WordIds:
             if w[-1:] in self.ends and len(w) > 1 and 97 <= w[-2] <= 122:
                 stems[w] = index[w[:-1]]
         fresh = list(itertools.islice(index, before, None))
-        whole = [w.decode() for w in fresh if w not in stems]
+        tokenize = self.tokenizer.model.tokenize
+        letters = [self._letters(w) if w not in stems else None for w in fresh]
+        whole = [w.decode() for w, own in zip(fresh, letters, strict=True) if own is None and w not in stems]
         encoded = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-        made: list[list[int]] = [[] if w in stems else next(encoded).ids for w in fresh]
+        made: list[list[int]] = [
+            [token.id for token in tokenize(own)] if own is not None else [] if w in stems else next(encoded).ids
+            for w, own in zip(fresh, letters, strict=True)
+        ]
         for i, w in enumerate(fresh):
             if w in stems:
                 k = stems[w]

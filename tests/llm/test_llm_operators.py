@@ -475,3 +475,19 @@ def test_base_counts_of_rules(docs, rows, nothing):
 def test_jensen_shannon_bounds():
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.0, 0.0, 1.0])
     assert quality_rules.jensen_shannon(p, p) == 0 and quality_rules.jensen_shannon(p, q) == 1
+
+
+def test_word_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    tokenizer, store = Tokenizer.from_file(path), packing.WordIds(path)
+    assert store.plain_letters
+    rng = random.Random(12)
+    parts = ["thing", "É", "é", "ß", "İ", "ſ", "ñ", "ª", "é", "中", "9", "42", ".", ",", "..", "'s", "'LL", "don't", "A", "|", "#", " ", "ŉ", "ǆ", "Σ", "<|endoftext|>"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(30)) for _ in range(300)]
+    ids, sizes = store([t.encode() for t in texts])
+    at = 0
+    for text, size in zip(texts, sizes.tolist(), strict=True):
+        assert ids[at: at + size].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text
+        at += size
