@@ -31,7 +31,7 @@ from taskledger.session import ship_package, written
 SHINGLE = 4
 RADIUS = 2  # half of the 4 differing bits
 SEED = 42
-MOST_VARIANTS = 1 << 21  # that a task holds at a time
+MOST_VARIANTS = 1 << 20  # that a task holds at a time
 LEAST_PREFIX_BITS = 4
 
 
@@ -194,15 +194,17 @@ def dedup_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest id, and of repeated rows with that
     id the one with the smallest text. Rows with a null id name nothing and all stay."""
-    groups = dedup_groups(docs, doc_id=doc_id, text=text).filter("doc_id = component_id").select(
-        F.col("doc_id").alias(doc_id)
-    ).distinct()
-    named = docs.filter(F.col(doc_id).isNotNull()).join(groups, doc_id, "left_semi")
+    first = written(
+        dedup_groups(docs, doc_id=doc_id, text=text).filter("doc_id = component_id")
+        .groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("_rows")), "first-of-groups",
+    )
+    named = docs.filter(F.col(doc_id).isNotNull())
+    once = named.join(first.filter("_rows = 1").select(doc_id), doc_id, "left_semi")
     rest = [c for c in docs.columns if c != doc_id]
-    first = named.groupBy(doc_id).agg(F.min_by(F.struct(*rest), F.col(text)).alias("_row"))
-    return first.select(
-        *[F.col(doc_id) if c == doc_id else F.col("_row").getField(c).alias(c) for c in docs.columns]
-    ).unionByName(docs.filter(F.col(doc_id).isNull()))
+    repeated = named.join(first.filter("_rows > 1").select(doc_id), doc_id, "left_semi").groupBy(doc_id).agg(
+        F.min_by(F.struct(*rest), F.col(text)).alias("_row")
+    ).select(*[F.col(doc_id) if c == doc_id else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return once.select(*docs.columns).unionByName(repeated).unionByName(docs.filter(F.col(doc_id).isNull()))
 
 
 @query()
