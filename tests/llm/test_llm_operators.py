@@ -379,10 +379,10 @@ def test_bytes_share_a_probability_of_one():
     tables = {name: rng.integers(0, 1 << 16, 1 << bits, dtype=np.uint16) for name, bits in lm_scoring.TABLES.items()}
     weights = rng.normal(size=(lm_scoring.GATES, len(tables) + 1)).astype(np.float32)
     refined = rng.normal(size=(lm_scoring.GATES, lm_scoring.REFINE_STEPS)).astype(np.float32)
-    model = lm_scoring.Model(tables, weights, refined)
+    model = lm_scoring.Model(tables, weights, refined, lm_scoring.bit_code(rng.integers(0, 5000, 256)))
     hashed, text, starts = lm_scoring.contexts([b"th" + bytes([b]) for b in range(256)], np.full(256, 3))
-    third = model._bytes(hashed, text)[starts + 2]
-    assert abs((10**third).sum() - 1) < 1e-6
+    third = model.log10_bytes(hashed, text)[starts + 2]
+    assert abs((10**third).sum() - 1) < 1e-4
 
 
 def test_context_classes_follow_the_last_marked_word():
