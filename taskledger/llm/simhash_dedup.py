@@ -199,7 +199,8 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
         .groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("_rows")), "first-of-groups",
     )
     named = docs.filter(F.col(doc_id).isNotNull())
-    once = named.join(first.filter("_rows = 1").select(doc_id), doc_id, "left_semi")
+    # one way of joining at every size: the ids of a small table would be broadcast, those of a large one not
+    once = named.join(first.filter("_rows = 1").select(doc_id).hint("merge"), doc_id, "left_semi")
     rest = [c for c in docs.columns if c != doc_id]
     repeated = named.join(first.filter("_rows > 1").select(doc_id), doc_id, "left_semi").groupBy(doc_id).agg(
         F.min_by(F.struct(*rest), F.col(text)).alias("_row")
