@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from taskledger.llm.common import documents, per_text
 from taskledger.llm.registry import query
@@ -178,34 +179,59 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def dedup_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id connected, itself included) for every row."""
-    prints = written(fingerprints(docs, doc_id=doc_id, text=text), "prints")
-    smallest = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
+def _classes(prints: DataFrame, first: Column) -> DataFrame:
+    """fp, root, first (smallest value of `first`) of every distinct fingerprint; equal roots are one component."""
+    smallest = written(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct-prints")
     roots = components(ball_links(smallest))
-    placed = smallest.join(roots, F.col("fp") == F.col("node"), "left").select(
+    return smallest.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
+
+
+def dedup_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id connected, itself included) for every row."""
+    prints = written(fingerprints(docs, doc_id=doc_id, text=text), "prints")
+    placed = _classes(prints, F.col("doc_id"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = placed.join(named, "root").select("fp", "component_id")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def row_hashes(docs: DataFrame, text: str) -> tuple[Column, Column]:
+    """Hash of the text, and hash of all columns with which of them are null: together the key of a row's content."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nested = [isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in docs.schema]
+    plain = [F.to_json(F.struct(c)) if deep else c for c, deep in zip(columns, nested, strict=True)]
+    return F.xxhash64(F.col(text)), F.xxhash64(*[c.isNull() for c in columns], *plain)
+
+
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: the one with the smallest id, and of repeated rows with that
-    id the one with the smallest text. Rows with a null id name nothing and all stay."""
+    """One row of each component, with all its columns: the one with the smallest id, and of several with that id the
+    one with the smallest hashes of its text and of its columns. A null id comes after all others."""
+    by_text, by_row = row_hashes(docs, text)
+    prints = written(
+        per_text(
+            docs, lambda texts: [pa.array([fingerprint(t) for t in texts], pa.int64())], "fp long",
+            doc_id=doc_id, text=text, carry={"by_text": by_text, "by_row": by_row},
+        ).groupBy("fp", "doc_id", "by_text", "by_row").agg(F.count(F.lit(1)).alias("n")), "prints",
+    )
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "by_text", "by_row", "n")
+    keys = ["_text_of_row", "_hash_of_row"]
     first = written(
-        dedup_groups(docs, doc_id=doc_id, text=text).filter("doc_id = component_id")
-        .groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("_rows")), "first-of-groups",
+        _classes(prints, row).groupBy("root").agg(F.min("first").alias("first")).select(
+            F.col("first.by_text").alias(keys[0]), F.col("first.by_row").alias(keys[1]), F.col("first.n").alias("n")
+        ), "first-of-groups",
     )
-    named = docs.filter(F.col(doc_id).isNotNull())
-    # one way of joining at every size: the ids of a small table would be broadcast, those of a large one not
-    once = named.join(first.filter("_rows = 1").select(doc_id).hint("merge"), doc_id, "left_semi")
-    rest = [c for c in docs.columns if c != doc_id]
-    repeated = named.join(first.filter("_rows > 1").select(doc_id), doc_id, "left_semi").groupBy(doc_id).agg(
-        F.min_by(F.struct(*rest), F.col(text)).alias("_row")
-    ).select(*[F.col(doc_id) if c == doc_id else F.col("_row").getField(c).alias(c) for c in docs.columns])
-    return once.select(*docs.columns).unionByName(repeated).unionByName(docs.filter(F.col(doc_id).isNull()))
+    several = written(first.filter("n > 1").select(*keys), "first-of-copies")
+    keyed = docs.select("*", by_text.alias(keys[0]), by_row.alias(keys[1]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # one way of joining at every size: the keys of a small table would be broadcast, those of a large one not
+    once = keyed.join(first.filter("n = 1").select(*keys).hint("merge"), keys, "left_semi")
+    # equal rows: grouped by one value of both keys, so that they are combined before they are sent
+    copies = keyed.join(several, keys, "left_semi").groupBy(F.struct(*keys).alias("_key")).agg(
+        F.first(F.struct(*columns)).alias("_row")
+    ).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return once.select(*columns).unionByName(copies)
 
 
 @query()
