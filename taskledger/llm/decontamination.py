@@ -7,12 +7,15 @@ around it, is verified with Myers' bit-parallel distance. What is reported is th
 
 Test items are a stated query set. They are taken in blocks of at most `BLOCK_CHARS` characters, one pass over the texts
 for each block, so the automaton a task holds has a fixed bound. Items with fewer than `min_chars` characters in that
-form, and null items, are not looked for. Null and empty texts match nothing. Repeated rows are reported each; items
-with the same text are reported each.
+form have to occur unchanged, and in scripts that write spaces between words they have to begin and end with a word;
+those without a letter or digit have to stand between spaces. Null and blank items are not looked for. Null and empty texts match nothing. Repeated rows are reported
+each; items with the same text are reported each.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +29,11 @@ from taskledger.session import ship_package
 ERROR_RATE = 0.08
 MIN_CHARS = 20
 BLOCK_CHARS = 1_000_000
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han: words are written without spaces.
+UNSPACED = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uaa60-\uaa7f"
+    "\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]"
+)
 
 
 def plain(text: bytes | str | None) -> str:
@@ -62,17 +70,33 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return None if end < 0 else (best, end)
 
 
+def _in_word(c: str) -> bool:
+    return (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not UNSPACED.match(c)
+
+
+def within_words(text: str, first: int, last: int) -> bool:
+    """Whether a word of a script with spaces goes on over an end of text[first:last]."""
+    if not any(map(str.isalnum, text[first:last])):
+        return (first > 0 and text[first - 1] != " ") or (last < len(text) and text[last] != " ")
+    return (first > 0 and _in_word(text[first - 1]) and _in_word(text[first])) or (
+        last < len(text) and _in_word(text[last - 1]) and _in_word(text[last])
+    )
+
+
 class Searcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[str], error_rate: float):
-        self.items, self.error_rate, self.automaton = items, error_rate, None
+    def __init__(self, items: list[str], error_rate: float, min_chars: int = MIN_CHARS):
+        self.items, self.error_rate, self.min_chars, self.automaton = items, error_rate, min_chars, None
 
     def __getstate__(self) -> dict:
-        return {"items": self.items, "error_rate": self.error_rate, "automaton": None}
+        return self.__dict__ | {"automaton": None}
+
+    def short(self, item: str) -> bool:
+        return len(item) < self.min_chars
 
     def budget(self, item: str) -> int:
-        return int(len(item) * self.error_rate)
+        return 0 if self.short(item) else int(len(item) * self.error_rate)
 
     def _build(self):
         import ahocorasick
@@ -90,13 +114,19 @@ class Searcher:
         return automaton
 
     def places(self, text: str) -> dict[int, list[list[int]]]:
-        """For each item with a piece in `text` the stretches to verify, overlapping ones joined."""
+        """For each item with a piece in `text` the stretches to verify, overlapping ones joined; of a short item its
+        first place."""
         if self.automaton is None:
             self.automaton = self._build()
         found: dict[int, list[list[int]]] = {}
         for last, where in self.automaton.iter(text):
             for number, end in where:
                 item = self.items[number]
+                if self.short(item):
+                    first = last + 1 - len(item)
+                    if number not in found and not within_words(text, first, last + 1):
+                        found[number] = [[first, last + 1]]
+                    continue
                 k = self.budget(item)
                 first = max(0, last + 1 - end - k)
                 until = last + 1 - end + len(item) + k
@@ -113,6 +143,9 @@ class Searcher:
         """(item number, distance, first, last) of each item's best place; positions in the plain form, end exclusive."""
         for number, stretches in self.places(text).items():
             item, best = self.items[number], None
+            if self.short(item):
+                yield number, 0, *stretches[0]
+                continue
             for first, until in stretches:
                 found = myers(item, text[first:until], self.budget(item) if best is None else best[0] - 1)
                 if found:
@@ -137,16 +170,16 @@ def item_blocks(
     size = 0
     for row in items.select(F.col(item_id), F.col(text)).filter(F.col(text).isNotNull()).toLocalIterator():
         form = plain(row[1])
-        if len(form) < min_chars:
+        if not form:
             continue
         if form not in names:
             if names and size + len(form) > block_chars:
-                yield list(names.values()), Searcher(list(names), error_rate)
+                yield list(names.values()), Searcher(list(names), error_rate, min_chars)
                 names, size = {}, 0
             size += len(form)
         names.setdefault(form, []).append(row[0])
     if names:
-        yield list(names.values()), Searcher(list(names), error_rate)
+        yield list(names.values()), Searcher(list(names), error_rate, min_chars)
 
 
 def find_items(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskledger.llm import simhash_dedup
+from taskledger.llm import decontamination, simhash_dedup
 
 TEXTS = {
     "a": " ".join(f"alpha{i}" for i in range(60)), "b": " ".join(f"beta{i}" for i in range(60)),
@@ -25,3 +25,20 @@ def test_every_component_keeps_one_row_with_repeated_and_null_ids(spark):
     assert sorted((str(r[0]), str(r[1])) for r in rows) == sorted(
         [("5", TEXTS["a"]), ("5", TEXTS["b"]), ("3", TEXTS["c"]), ("None", TEXTS["d"]), ("8", "None")]
     )
+
+
+def test_short_items_are_found_unchanged_and_between_word_borders(spark):
+    items = ["Blue whale", "7 km", "中国的首都是哪座城市", "?!", "", None, "été"]
+    texts = [
+        "The answer is: BLUE  whale.", "two blue whales", "about 17 km away", "about 7 km", "问题：中国的首都是哪座城市？", "中国的首都在哪座城市",
+        "un été chaud", "what?!", "say ?! now", "", None, "de l'\u00e9t\u00e9", "étés",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.find_items(docs, table).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 0), (3, 1), (4, 2), (6, 6), (8, 3), (11, 6)]
+    for r in got:
+        form = decontamination.plain(texts[r["doc_id"]])
+        assert form[r["first"]: r["last"]] == decontamination.plain(items[r["item_id"]]) and r["distance"] == 0
+    clean = decontamination.keep_clean(docs, table)
+    assert sorted(r["doc_id"] for r in clean.collect()) == [1, 2, 5, 7, 9, 10, 12]
