@@ -1,7 +1,8 @@
 """Linear-chain conditional random field that labels every word of a text with a language.
 
 A word's features are its anchored byte n-grams (prefixes and suffixes), its inner n-grams and itself (the lexicon),
-hashed into a weight table. Emissions and the transitions between neighbouring labels are learned together by gradient
+hashed into a weight table. A word of over LONG_WORD bytes is read in full; its n-grams count in the mean over its parts
+of that size, so that in texts without spaces a sentence weighs as much as other words. Emissions and the transitions between neighbouring labels are learned together by gradient
 steps on the exact likelihood. Forward-backward gives each word's label probabilities, so a text may switch languages;
 a document's language is the one with the largest mean probability over its words with letters.
 
@@ -36,7 +37,8 @@ TABLE_BITS = 17
 ROUNDS = 20
 NGRAMS = (2, 3, 4, 5)
 RUN_WORDS, SEQUENCE_WORDS = 25, 100
-LONG_WORD = 64  # of a longer word, the first and last half as many bytes make its n-grams
+LONG_WORD = 64  # the n-grams of a longer word weigh as much as those of this many bytes
+BYTES_AT_ONCE = 1 << 20  # whose n-grams are looked up at a time
 CACHED_WORDS = 300_000
 LETTER = re.compile(rb"[A-Za-z]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,33 +65,78 @@ class Index(dict):
         return number
 
 
-def features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams at each byte position of the words (one row per length), where each word begins, hashed words.
+def _hashed(text: np.ndarray) -> list[np.ndarray]:
+    """Row of the weight table for each n-gram of the bytes, one array per length."""
+    rolling, out = text, []
+    for n in range(2, max(NGRAMS) + 1):
+        rolling = rolling[:-1] * np.uint64(257) + text[n - 1:]
+        if n in NGRAMS:
+            out.append((((rolling + np.uint64(n)) * _MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
+    return out
+
+
+def _shares(sizes: np.ndarray) -> np.ndarray:
+    """What an n-gram of each word counts: one over the word's parts of LONG_WORD bytes."""
+    return (1 / np.maximum(1, -(-sizes // LONG_WORD))).astype(np.float32)
+
+
+def _lexicon(found: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    hashed = np.fromiter((digest(w, 7) for w in found), dtype=np.uint64, count=len(found))
+    return (hashed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams at each byte position of the words (one row per length), where each word begins, hashed words,
+    and what an n-gram of each word counts.
 
     A position where an n-gram would leave its word has the last row of the weight table, which stays zero.
     """
-    ends = [w if len(w) <= LONG_WORD else w[: LONG_WORD // 2] + b"\x01" + w[-LONG_WORD // 2:] for w in found]
-    text = np.frombuffer(b"\x02" + b"\x03\x02".join(ends) + b"\x03", dtype=np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, ends), dtype=np.int64, count=len(ends)) + 2
+    text = np.frombuffer(b"\x02" + b"\x03\x02".join(found) + b"\x03", dtype=np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 2
     starts = np.cumsum(sizes) - sizes
     left = np.repeat(starts + sizes, sizes) - np.arange(len(text))  # bytes of the word from here on
     grams = np.full((len(NGRAMS), len(text)), 1 << TABLE_BITS, dtype=np.int64)
-    rolling = text.copy()
-    for row, n in enumerate(NGRAMS):
-        rolling = rolling[:-1] * np.uint64(257) + text[n - 1:]
-        hashed = (((rolling + np.uint64(n)) * _MIX) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        grams[row, : len(hashed)] = np.where(left[: len(hashed)] >= n, hashed, 1 << TABLE_BITS)
-    digest = xxhash.xxh64_intdigest
-    lexicon = np.fromiter((digest(w, 7) for w in found), dtype=np.uint64, count=len(found))
-    return grams, starts, (lexicon >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    for row, n, hashed in zip(grams, NGRAMS, _hashed(text), strict=True):
+        row[: len(hashed)] = np.where(left[: len(hashed)] >= n, hashed, 1 << TABLE_BITS)
+    return grams, starts, _lexicon(found), _shares(sizes - 2)
 
 
-def emissions(made: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
-    grams, starts, lexicon = made
+def emissions(made: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
+    grams, starts, lexicon, shares = made
     total = weights[grams[0]]
     for row in grams[1:]:
         total += weights[row]
-    return np.add.reduceat(total, starts, axis=0) + weights[lexicon]
+    return np.add.reduceat(total, starts, axis=0) * shares[:, None] + weights[lexicon]
+
+
+def word_emissions(found: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """Emissions of words of any number and length, of which a bounded number of bytes is taken at a time."""
+    limit = max(1 << 12, BYTES_AT_ONCE * 4 // max(4, weights.shape[1]))
+    parts, start, held = [], 0, 0
+    for i, word in enumerate(found):
+        size = len(word) + 2
+        if i > start and held + size > limit:
+            parts.append(emissions(features(found[start:i]), weights))
+            start, held = i, 0
+        if size > limit:
+            parts.append(_long_emission(word, weights, limit))
+            start, held = i + 1, 0
+        else:
+            held += size
+    if start < len(found):
+        parts.append(emissions(features(found[start:]), weights))
+    return np.concatenate(parts) if parts else np.zeros((0, weights.shape[1]), dtype=weights.dtype)
+
+
+def _long_emission(word: bytes, weights: np.ndarray, limit: int) -> np.ndarray:
+    text = np.frombuffer(b"\x02" + word + b"\x03", dtype=np.uint8)
+    total = np.zeros(weights.shape[1])
+    for at in range(0, len(text), limit):
+        for n, hashed in zip(NGRAMS, _hashed(text[at: at + limit + max(NGRAMS) - 1].astype(np.uint64)), strict=True):
+            # those that begin here; the bytes after them only complete them
+            total += weights[hashed[: min(limit, len(text) - at - n + 1)]].sum(axis=0, dtype=np.float64)
+    return (total * _shares(np.array([len(word)])) + weights[_lexicon([word])]).astype(weights.dtype)
 
 
 def marginals(emitted: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -161,7 +208,7 @@ def train(runs: list[tuple[int, list[bytes]]], labels: list[str], rounds: int =
     lengths = np.full(-(-len(ids) // SEQUENCE_WORDS), SEQUENCE_WORDS)
     lengths[-1] = len(ids) - SEQUENCE_WORDS * (len(lengths) - 1)
     first = np.arange(len(ids)) % SEQUENCE_WORDS == 0
-    made = grams, starts, lexicon = features(list(index))
+    made = grams, starts, lexicon, shares = features(list(index))
     per_word = np.diff(np.append(starts, grams.shape[1]))
     weights, transitions = np.zeros(((1 << TABLE_BITS) + 1, n_labels), dtype=np.float32), np.zeros((n_labels, n_labels))
     seen, seen_t = np.full(weights.shape, 1e-6, dtype=np.float32), np.full(transitions.shape, 1e-6)
@@ -177,7 +224,7 @@ def train(runs: list[tuple[int, list[bytes]]], labels: list[str], rounds: int =
         for k in range(n_labels):
             of_word = np.bincount(ids, weights=off[:, k], minlength=len(index))
             slope = np.bincount(lexicon, weights=of_word, minlength=len(weights))
-            at_byte = np.repeat(of_word, per_word)
+            at_byte = np.repeat(of_word * shares, per_word)
             for row in grams:
                 slope += np.bincount(row, weights=at_byte, minlength=len(weights))
             slope /= len(ids)
@@ -238,7 +285,7 @@ class Tagger:
         del flat
         if len(index) > before:
             fresh = list(itertools.islice(index, before, None))
-            made = emissions(features(fresh), self.model.weights)
+            made = word_emissions(fresh, self.model.weights)
             wordy = np.fromiter((bool(LETTER.search(w)) or not w.isascii() for w in fresh), dtype=bool, count=len(fresh))
             made[~wordy] = 0
             self.table = np.concatenate([self.table, made])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from taskledger.llm import decontamination, simhash_dedup
+import numpy as np
+import pytest
+
+from taskledger.llm import decontamination, language_id, simhash_dedup
 
 TEXTS = {
     "a": " ".join(f"alpha{i}" for i in range(60)), "b": " ".join(f"beta{i}" for i in range(60)),
@@ -42,3 +45,29 @@ def test_short_items_are_found_unchanged_and_between_word_borders(spark):
         assert form[r["first"]: r["last"]] == decontamination.plain(items[r["item_id"]]) and r["distance"] == 0
     clean = decontamination.keep_clean(docs, table)
     assert sorted(r["doc_id"] for r in clean.collect()) == [1, 2, 5, 7, 9, 10, 12]
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 1])
+def test_every_byte_of_a_long_word_is_read(monkeypatch, at_once):
+    monkeypatch.setattr(language_id, "BYTES_AT_ONCE", at_once)
+    weights = np.random.default_rng(1).normal(size=((1 << language_id.TABLE_BITS) + 1, 3)).astype(np.float32)
+    weights[-1] = 0
+    words = [b"short", ("文" * 3000 + "字" + "文" * 3000).encode(), ("文" * 6001).encode(), b"x" * 64, b"y" * 65, b"end"]
+    got = language_id.word_emissions(words, weights)
+    whole = language_id.emissions(language_id.features(words), weights)
+    assert got.shape == (6, 3) and np.allclose(got, whole, atol=2e-2)
+    alone = [language_id.emissions(language_id.features([w]), weights)[0] for w in words]
+    assert np.allclose(whole, alone, atol=2e-2)
+    # an edit in the middle changes the n-grams, not the word's own weight alone
+    own = weights[language_id.features(words)[2]]
+    assert np.abs((got - own)[1] - (got - own)[2]).max() > 1e-3
+
+
+def test_a_text_without_spaces_is_judged_by_its_middle():
+    chars = {"zh": "你我他是在有这那来去", "ja": "のはがをにでともへや"}
+    runs = [(k, ["".join(c[(i * j + j) % 10] for j in range(1, 12)).encode()]) for k, c in enumerate(chars.values()) for i in range(60)]
+    model = language_id.train(runs, list(chars))
+    edge = "你我他是在有这那来去你我他"
+    text = (edge + "のはがをにでともへや" * 40 + edge).encode()
+    found, counts, _ = language_id.Tagger(model)([text])
+    assert counts.all() and found[0].argmax() == 1
