@@ -6,8 +6,9 @@ of that size, so that in texts without spaces a sentence weighs as much as other
 steps on the exact likelihood. Forward-backward gives each word's label probabilities, so a text may switch languages;
 a document's language is the one with the largest mean probability over its words with letters.
 
-Fitting uses a bounded sample: for each of the (at most MAX_LANGUAGES, most frequent) labels up to `per_language` rows,
-by the smallest hashes of their ids, of texts of at most `max_sample_chars` characters. Runs of words from different
+Every label is learned, so weights grow with the labels. Fitting uses a bounded sample: for each label up to
+`per_language` rows, by the smallest hashes of their ids, of which the first `max_sample_chars` characters each are read
+and together a share that shrinks with the square of the labels, as a step costs so much (LEAST_CHARS at least). Runs of words from different
 texts are put one after the other, so that transitions see switches. Labelling takes every whole text.
 
 Null texts and texts without a letter are `und` with score 0; so is every text if nothing could be learned. Null
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 
 from taskledger.llm.common import binary, blocks, documents, per_text, remainder
 from taskledger.llm.registry import query
-from taskledger.session import ship_package
+from taskledger.session import ship_package, written
 
 PER_LANGUAGE = 250
-MAX_LANGUAGES = 32
 MAX_SAMPLE_CHARS = 50_000
+SAMPLE_CHARS, LEAST_CHARS = 800_000_000, 2_000
 TABLE_BITS = 17
 ROUNDS = 20
 NGRAMS = (2, 3, 4, 5)
@@ -40,6 +41,8 @@ RUN_WORDS, SEQUENCE_WORDS = 25, 100
 LONG_WORD = 64  # the n-grams of a longer word weigh as much as those of this many bytes
 BYTES_AT_ONCE = 1 << 20  # whose n-grams are looked up at a time
 CACHED_WORDS = 300_000
+FEW_LABELS = 8  # with more, blocks and kept words are fewer in proportion
+TRAINED_AT_ONCE = 1 << 22  # words times labels of a step of training
 LETTER = re.compile(rb"[A-Za-z]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,13 +219,20 @@ def train(runs: list[tuple[int, list[bytes]]], labels: list[str], rounds: int =
     np.add.at(held, (gold[:-1][~first[1:]], gold[1:][~first[1:]]), 1)
     balance = np.bincount(gold, minlength=n_labels).astype(float)
     balance = (balance.sum() / n_labels / np.maximum(balance, 1))[gold]  # each language weighs the same
+    at_once = max(1, TRAINED_AT_ONCE // (n_labels * SEQUENCE_WORDS))  # sequences
     for _ in range(rounds):
-        found, expected = _forward_backward(emissions(made, weights)[ids], lengths, transitions, pairs=True)
-        off = -found
-        off[np.arange(len(ids)), gold] += 1
-        off *= balance[:, None]
-        for k in range(n_labels):
-            of_word = np.bincount(ids, weights=off[:, k], minlength=len(index))
+        of_words, expected = np.zeros((n_labels, len(index))), np.zeros_like(held)
+        emitted = emissions(made, weights)
+        for part in range(0, len(lengths), at_once):
+            rows = slice(part * SEQUENCE_WORDS, (part + at_once) * SEQUENCE_WORDS)
+            found, passed = _forward_backward(emitted[ids[rows]], lengths[part: part + at_once], transitions, pairs=True)
+            off = -found
+            off[np.arange(len(off)), gold[rows]] += 1
+            off *= balance[rows, None]
+            expected += passed
+            for k in range(n_labels):
+                of_words[k] += np.bincount(ids[rows], weights=off[:, k], minlength=len(index))
+        for k, of_word in enumerate(of_words):
             slope = np.bincount(lexicon, weights=of_word, minlength=len(weights))
             at_byte = np.repeat(of_word * shares, per_word)
             for row in grams:
@@ -246,21 +256,27 @@ def fit(
     known = docs.filter(learn).select(
         F.col(doc_id).alias("_id"), F.col(language).cast("string").alias("_lang"), F.col(text).alias("_text")
     ).filter("_lang is not null and _text is not null")
-    counted = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()
-    labels = sorted(r[0] for r in counted)
-    fits = known.filter(f"length(_text) between 1 and {max_sample_chars}")
+    fits = known.filter("length(_text) > 0").withColumn("_hash", F.xxhash64("_text"))
     order = (F.xxhash64("_id", F.lit("sample")), F.col("_id"), F.col("_hash"))
-    chosen = (
-        fits.select("_id", "_lang", F.xxhash64("_text").alias("_hash"))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(*order)))
-        .filter(F.col("_rank") <= per_language).drop("_rank")
+    hashed = fits.select(
+        "_id", "_lang", "_hash", F.least(F.length("_text"), F.lit(max_sample_chars)).cast("long").alias("_size")
     )
-    sample = fits.withColumn("_hash", F.xxhash64("_text")).join(F.broadcast(chosen), ["_id", "_lang", "_hash"])
-    runs = []
-    for row in sorted(sample.select("_lang", "_id", "_text").collect(), key=lambda r: (r[0], str(r[1]), r[2])):
+    chosen = written(
+        hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(*order)))
+        .filter(F.col("_rank") <= per_language), "sample-of-languages",
+    )
+    labels = sorted(r[0] for r in chosen.select("_lang").distinct().collect())
+    share = max(LEAST_CHARS, SAMPLE_CHARS // max(1, len(labels)) ** 2)
+    before = F.sum("_size").over(Window.partitionBy("_lang").orderBy("_rank")) - F.col("_size")
+    read = chosen.withColumn("_read", F.least("_size", F.lit(share) - before)).filter("_read > 0").groupBy(
+        "_id", "_lang", "_hash").agg(F.max("_read").cast("int").alias("_read"))
+    sample = fits.join(read, ["_id", "_lang", "_hash"]).select(
+        "_lang", "_id", F.substring("_text", F.lit(1), F.col("_read")).alias("_text")
+    ).distinct()
+    number, runs = {label: k for k, label in enumerate(labels)}, []
+    for row in sorted(sample.collect(), key=lambda r: (r[0], str(r[1]), r[2])):
         found = row[2].encode().lower().split()
-        if row[0] in labels:
-            runs += [(labels.index(row[0]), found[i: i + RUN_WORDS]) for i in range(0, len(found), RUN_WORDS)]
+        runs += [(number[row[0]], found[i: i + RUN_WORDS]) for i in range(0, len(found), RUN_WORDS)]
     if not runs:
         return Model([], np.zeros((0, 0), dtype=np.float32), np.zeros((0, 0)))
     return train(runs, labels)
@@ -277,7 +293,7 @@ class Tagger:
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of all words, whether each has a letter, and the number of words of each text."""
-        if len(self.index) > CACHED_WORDS:
+        if len(self.index) > CACHED_WORDS * FEW_LABELS // max(FEW_LABELS, len(self.model.labels)):
             self.index, self.table, self.lettered = Index(), self.table[:0], self.lettered[:0]
         index, split = self.index, [t.lower().split() if t else [] for t in texts]
         before, flat = len(index), list(itertools.chain.from_iterable(split))
@@ -296,6 +312,10 @@ class Tagger:
         return marginals(self.table[ids], lengths, self.model.transitions), self.lettered[ids], lengths
 
 
+def block_bytes(model: Model) -> int:
+    return (8 << 20) * FEW_LABELS // max(FEW_LABELS, len(model.labels))
+
+
 def predict(
     docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -319,7 +339,7 @@ def predict(
         score = np.where(lettered, shares.max(axis=1), 0.0)
         return [pa.array(labels[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1))]
 
-    return per_text(docs, judge, "lang_pred string, score double", doc_id=doc_id, text=text, carry=carry, limit=8 << 20)
+    return per_text(docs, judge, "lang_pred string, score double", doc_id=doc_id, text=text, carry=carry, limit=block_bytes(model))
 
 
 def spans(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,7 +350,7 @@ def spans(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         tagger = Tagger(model)
-        for block in blocks(batches, "_text"):
+        for block in blocks(batches, "_text", block_bytes(model) // 2):
             found, _, lengths = tagger(binary(block.column(1)))
             if not len(found) or not model.labels:
                 continue

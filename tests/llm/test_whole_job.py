@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from taskledger.llm import decontamination, language_id, simhash_dedup
+from taskledger.llm import decontamination, language_id, quality_rules, simhash_dedup
 
 TEXTS = {
     "a": " ".join(f"alpha{i}" for i in range(60)), "b": " ".join(f"beta{i}" for i in range(60)),
@@ -71,3 +74,42 @@ def test_a_text_without_spaces_is_judged_by_its_middle():
     text = (edge + "のはがをにでともへや" * 40 + edge).encode()
     found, counts, _ = language_id.Tagger(model)([text])
     assert counts.all() and found[0].argmax() == 1
+
+
+def many_languages(n: int) -> list[tuple]:
+    """Texts of n languages with own words; the later ones have fewer and the last only a long text."""
+    rng, rows = random.Random(2), []
+    for k in range(n):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüñø") for _ in range(rng.randint(3, 7))) for _ in range(25)]
+        for i in range(3 if k > n // 2 else 4):
+            length = 9000 if k == n - 1 else 80
+            rows.append((100 * k + i, " ".join(rng.choice(words) for _ in range(length)), f"l{k:03d}"))
+    return rows
+
+
+def test_every_language_is_learned(spark):
+    rows = many_languages(40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.col("doc_id") % 100 != 1)
+    assert model.labels == sorted({r[2] for r in rows})
+    held = docs.filter("doc_id % 100 = 1")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(held, model).collect()}
+    assert got == {r[0]: r[2] for r in rows if r[0] % 100 == 1}
+
+
+def test_steps_of_training_in_parts_are_those_of_one(monkeypatch):
+    runs = [(k, [f"{c}{i}{j}".encode() for j in range(25)]) for k, c in enumerate("abc") for i in range(20)]
+    whole = language_id.train(runs, list("abc"), rounds=3)
+    monkeypatch.setattr(language_id, "TRAINED_AT_ONCE", 700)
+    parts = language_id.train(runs, list("abc"), rounds=3)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-5) and np.allclose(whole.transitions, parts.transitions)
+
+
+def test_every_language_has_a_reference_for_its_texts(spark):
+    rows = many_languages(70)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality_rules.references(docs)
+    assert sorted(refs.languages) == sorted({r[2] for r in rows})
+    by_id = {r["doc_id"]: r for r in quality_rules.judge(docs, refs).collect()}
+    assert all(by_id[i]["nearest_language"] == lang for i, _, lang in rows)
+    assert all(r["kept"] for r in by_id.values() if not r["base_failed"])
