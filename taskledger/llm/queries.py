@@ -6,11 +6,13 @@ from taskledger.llm import (  # noqa: F401
     decontamination,
     language_id,
     lm_scoring,
+    merkle_manifest,
     packing,
     pii,
     quality_classifier,
     quality_rules,
     simhash_dedup,
+    spelling_variants,
     substring_dedup,
     url_filters,
 )
