@@ -14,6 +14,7 @@ from taskledger.llm import (  # noqa: F401
     simhash_dedup,
     spelling_variants,
     substring_dedup,
+    token_files,
     url_filters,
 )
 from taskledger.llm.registry import CHECKS, QUERIES, Query
