@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +40,35 @@ INTERVAL = 256
 BLOCK_TOKENS = 1 << 18
 SLICE = 1 << 20
 RANGE_TOKENS = 1 << 25
-CACHED_PARTS = 300_000
+CACHED_PARTS = 200_000
+TEXT_BYTES = 2 << 20  # encoded together
 #: Before a space and such a character every text can be cut: byte-level pre-tokenization begins anew there.
 CUT = re.compile(r" (?=[!-~\w])")
+#: Texts with none of these can be cut at every space: a space before white space or at the end, the mark of first parts.
+ODD = r"\x00| (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+FIRST = "\x00"
 
 
 class PartIds:
-    """Ids of texts by way of a store of the ids of their parts, cut at spaces before words."""
+    """Ids of texts by way of a store of the ids of their parts, cut at spaces before words.
+
+    A part stands for itself after a space. The first of a text, which has none, is stored behind a mark.
+    """
 
     def __init__(self, path: str, end: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        # a byte-level token has a character for each byte; an added token is text
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
+        ends = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.marks = {m: ids[0] for m, ids in ends.items() if len(ids) == 1}
         self.index = Index()
         self.flat, self.begin, self.size, self.met = (np.zeros(0, dtype=t) for t in (np.uint32, np.int64, np.int64, np.int64))
 
@@ -66,48 +82,100 @@ class PartIds:
         self.index = Index((parts[k], i) for i, k in enumerate(kept.tolist()))
         self.begin, self.size, self.met = at, size, np.zeros(len(kept), dtype=np.int64)
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, before: int) -> None:
+        index, marks = self.index, self.marks
         # pre-tokenization parts a letter from a mark behind it
-        stems = {
-            p: self.index[p[:-1]] for p in list(itertools.islice(self.index, before, None))
-            if len(p) > 2 and p[-1] in self.marks and p[-2].isascii() and p[-2].isalpha()
-        }
-        fresh = list(itertools.islice(self.index, before, None))
-        # a part stands for itself after a space; the first of a text, which has none, is stored with a space in front
-        texts = [p[1:] if p[:1] == " " else " " + p for p in fresh if p not in stems]
-        encoded = iter(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-        made = [[] if p in stems else next(encoded).ids for p in fresh]
-        for i, p in enumerate(fresh):
-            if p in stems:
-                k = stems[p]
-                stem = made[k - before] if k >= before else self.flat[self.begin[k]: self.begin[k] + self.size[k]].tolist()
-                made[i] = stem + self.marks[p[-1]]
-        size = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-        flat = np.fromiter(itertools.chain.from_iterable(made), dtype=np.uint32, count=int(size.sum()))
-        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.flat)])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        marked = [p for p in itertools.islice(index, before, None) if p[-1:] in marks and p[-2:-1].isalpha() and p.isascii()]
+        stems = np.fromiter((index[p[:-1]] for p in marked), dtype=np.int64, count=len(marked))
+        fresh = list(itertools.islice(index, before, None))
+        rows = np.fromiter((index[p] for p in marked), dtype=np.int64, count=len(marked))
+        is_marked = np.zeros(len(fresh), dtype=bool)
+        is_marked[rows - before] = True
+        own = [p for p, skip in zip(fresh, is_marked.tolist(), strict=True) if not skip]
+        size = np.zeros(len(fresh), dtype=np.int64)
+        begin = np.zeros(len(fresh), dtype=np.int64)
+        size[~is_marked], order, made = self._sizes(own)
+        unmarked = np.flatnonzero(~is_marked)[order]
+        begin[unmarked] = np.cumsum(size[unmarked]) - size[unmarked] + len(self.flat)
+        self.flat = np.concatenate([self.flat, *made])
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+        if len(rows):
+            n = self.size[stems]
+            self.size[rows] = n + 1
+            ends = np.cumsum(n + 1)
+            self.begin[rows] = ends - n - 1 + len(self.flat)
+            more = np.empty(int(ends[-1]), dtype=np.uint32)
+            more[ends - 1] = [marks[p[-1]] for p in marked]
+            at = np.repeat(self.begin[stems] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            more[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = self.flat[at]
+            self.flat = np.concatenate([self.flat, more])
         self.met = np.concatenate([self.met, np.zeros(len(size), dtype=np.int64)])
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _sizes(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The number of ids of each part; the parts in the order in which the ids follow; the ids."""
+        size, made = np.zeros(len(parts), dtype=np.int64), []
+        first = [i for i, p in enumerate(parts) if p[:1] == FIRST]
+        inner = [i for i, p in enumerate(parts) if p[:1] != FIRST]
+        for i, ids in zip(first, self._encode([parts[i][1:] for i in first]), strict=True):
+            size[i] = len(ids)
+            made.append(ids)
+        # parts one after the other are a text whose tokens keep to their borders
+        for a in range(0, len(inner), 2000):
+            rows = inner[a: a + 2000]
+            own = [" " + parts[i] for i in rows]
+            whole = "".join(own)
+            ids = self._encode([whole])[0]
+            lengths = map(len, own) if whole.isascii() else (len(p.encode()) for p in own)
+            ends = np.cumsum(np.fromiter(lengths, dtype=np.int64, count=len(own)))
+            upto = np.cumsum(self.bytes[ids])
+            last = np.searchsorted(upto, ends)
+            if len(ids) and last[-1] < len(ids) and (upto[last] == ends).all():
+                size[rows] = np.diff(np.append(-1, last))
+                made.append(ids)
+            else:
+                for i, part in zip(rows, self._encode(own), strict=True):
+                    size[i] = len(part)
+                    made.append(part)
+        return size, np.array(first + inner, dtype=np.int64), made
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's with its end id, and the number of ids of each."""
         if len(self.index) > CACHED_PARTS:
             self._forget()
-        split = [CUT.split(t) if t else [] for t in texts]
-        for parts in split:
-            if parts:
-                parts[0] = " " + parts[0]
-        before, flat = len(self.index), list(itertools.chain.from_iterable(split))
-        rows = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, ODD)
+        plain = texts.filter(pc.invert(odd))
+        mark, nothing = pa.scalar(FIRST, pa.large_string()), pa.scalar("", pa.large_string())
+        split = [CUT.split(t) for t in texts.filter(odd).to_pylist()]
+        for own in split:
+            own[0] = FIRST + own[0]
+        lists = pc.split_pattern(pc.binary_join_element_wise(mark, plain, nothing), " ")
+        per_row = np.concatenate([pc.list_value_length(lists).to_numpy(), np.fromiter(map(len, split), np.int64, len(split))]).astype(np.int64)
+        rest = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string())
+        coded = pa.concat_arrays([lists.flatten(), rest]).dictionary_encode()
+        parts, at_part = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        before = len(self.index)
+        known = np.fromiter(map(self.index.__getitem__, parts), dtype=np.int64, count=len(parts))
         if len(self.index) > before:
             self._learn(before)
-        self.met += np.bincount(rows, minlength=len(self.met))
+        self.met[known] += 1
+        # back to the order of the texts
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        place = np.empty(len(is_odd), dtype=np.int64)
+        place[np.append(np.flatnonzero(~is_odd), np.flatnonzero(is_odd))] = np.arange(len(is_odd))
+        begin = (np.cumsum(per_row) - per_row)[place]
+        per_row = per_row[place]
+        moved = np.repeat(begin - (np.cumsum(per_row) - per_row), per_row) + np.arange(int(per_row.sum()))
+        rows = known[at_part[moved]]
         size = self.size[rows]
         last = np.cumsum(size)
-        per_text = np.diff(np.append(0, last)[np.append(0, np.cumsum(list(map(len, split)), dtype=np.int64))])
-        shift = np.repeat(np.arange(len(split)), per_text)
-        ids = np.full(int(size.sum()) + len(split), self.end, dtype=np.uint32)
-        at = np.arange(len(shift))
-        ids[at + shift] = self.flat[np.repeat(self.begin[rows] - (last - size), size) + at]
+        per_text = np.diff(np.append(0, last)[np.append(0, np.cumsum(per_row))])
+        ids = np.full(int(size.sum()) + len(per_row), self.end, dtype=np.uint32)
+        place = np.arange(int(size.sum()))
+        ids[place + np.repeat(np.arange(len(per_row)), per_text)] = self.flat[np.repeat(self.begin[rows] - (last - size), size) + place]
         return ids, per_text + 1
 
 
@@ -122,24 +190,26 @@ def part_ids(path: str) -> PartIds:
 
 
 def token_ids(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian, unsigned, of two bytes if the vocabulary allows), checksum for every row."""
+    """doc_id, ids (little-endian, unsigned), width (their bytes: two if the vocabulary allows), checksum for every row."""
     ship_package(docs.sparkSession)
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = part_ids(path)
-        for block in blocks(batches, "_text", 2 << 20):
-            ids, sizes = encode(block.column(1).to_pylist())
-            data = memoryview(ids.astype("<u4").tobytes())
-            ends = np.cumsum(sizes).tolist()
-            spans = list(zip([0, *ends[:-1]], ends, strict=True))
+        for block in blocks(batches, "_text", TEXT_BYTES):
+            ids, sizes = encode(block.column(1))
+            data, n = memoryview(ids.astype("<u4").tobytes()), block.num_rows
+            ends = np.cumsum(sizes)
+            crc = [zlib.crc32(data[4 * a: 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            offsets = np.append(0, ends * encode.width).astype(np.int64)
+            stored = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{encode.width}"))])
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([data[4 * a: 4 * b] for a, b in spans], pa.binary()),
-                 pa.array([zlib.crc32(data[4 * a: 4 * b]) for a, b in spans], pa.int64())], names=["doc_id", "ids", "checksum"],
+                [block.column(0), stored.cast(pa.binary()), pa.array([encode.width] * n, pa.int32()), pa.array(crc, pa.int64())],
+                names=["doc_id", "ids", "width", "checksum"],
             )
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary, checksum long")
+    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary, width int, checksum long")
 
 
 def count_ids(tokens: DataFrame) -> list[tuple[int, int]]:
@@ -148,14 +218,15 @@ def count_ids(tokens: DataFrame) -> list[tuple[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, dtype=np.int64)
         for block in blocks(batches, "ids", 16 << 20):
-            for data in block.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(data, dtype="<u4"), minlength=len(counts))
+            for width in set(block.column(1).to_pylist()):
+                there = block.filter(pc.equal(block.column(1), width)).column(0)
+                own = np.bincount(np.frombuffer(b"".join(there.to_pylist()), dtype=f"<u{width}"), minlength=len(counts))
                 own[: len(counts)] += counts
                 counts = own
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["id", "n"])
 
-    summed = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    summed = tokens.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return sorted((r["id"], r["n"]) for r in summed.collect())
 
 
@@ -285,8 +356,8 @@ def write_ids(tokens: DataFrame, folder: str, *, limit: int = LIMIT, block_token
         for batch in batches:
             for part in blocks([batch], "ids", 4 << 20):
                 piece = part.column(2)[0].as_py()
-                for own, data in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(data, dtype="<u4")
+                for own, data, width in zip(part.column(0), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    ids = np.frombuffer(data, dtype=f"<u{width}")
                     if held and waiting + len(ids) > block_tokens:
                         yield block()
                         waiting = 0
@@ -298,7 +369,7 @@ def write_ids(tokens: DataFrame, folder: str, *, limit: int = LIMIT, block_token
     names = ["piece", "number", "place", "n_tokens", "doc_ids", "sizes", "stream", "checkpoints"]
     order = ["doc_id", "checksum", "_row"]
     stored.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
-        "doc_id", "ids", F.spark_partition_id().alias("piece")
+        "doc_id", "ids", F.spark_partition_id().alias("piece"), "width"
     ).mapInArrow(
         run, f"piece int, number long, place long, n_tokens long, doc_ids array<{kind}>, sizes array<bigint>, stream binary, checkpoints binary"
     ).write.parquet(f"{folder}/blocks")
