@@ -15,6 +15,7 @@ longer document is alone in one, and is coded and decoded in slices. Other colum
 
 from __future__ import annotations
 
+import gc
 import itertools
 import math
 import os
@@ -40,19 +41,22 @@ INTERVAL = 256
 BLOCK_TOKENS = 1 << 18
 SLICE = 1 << 20
 RANGE_TOKENS = 1 << 25
-CACHED_PARTS = 200_000
-TEXT_BYTES = 2 << 20  # encoded together
+CACHED_PARTS = 400_000
+TEXT_BYTES = 4 << 20  # encoded together
 #: Before a space and such a character every text can be cut: byte-level pre-tokenization begins anew there.
 CUT = re.compile(r" (?=[!-~\w])")
-#: Texts with none of these can be cut at every space: a space before white space or at the end, the mark of first parts.
-ODD = r"\x00| (?:[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+_WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts with none of these can be cut at every space and around every line end: a space or line end beside other white
+#: space or at the end of the text, the mark of first parts.
+ODD = rf"\x00|[ \n](?:{_WHITE}|\z)|{_WHITE}\n"
 FIRST = "\x00"
+BATCH_PARTS = 2000
 
 
 class PartIds:
     """Ids of texts by way of a store of the ids of their parts, cut at spaces before words.
 
-    A part stands for itself after a space. The first of a text, which has none, is stored behind a mark.
+    A part stands for itself after a space. The first of a text or line, which has none, is stored behind a mark.
     """
 
     def __init__(self, path: str, end: int = END_ID):
@@ -88,7 +92,7 @@ class PartIds:
     def _learn(self, before: int) -> None:
         index, marks = self.index, self.marks
         # pre-tokenization parts a letter from a mark behind it
-        marked = [p for p in itertools.islice(index, before, None) if p[-1:] in marks and p[-2:-1].isalpha() and p.isascii()]
+        marked = [p for p in itertools.islice(index, before, None) if p[-1:] in marks and "@" < p[-2:-1] < "\u0250" and p[-2].isalpha()]
         stems = np.fromiter((index[p[:-1]] for p in marked), dtype=np.int64, count=len(marked))
         fresh = list(itertools.islice(index, before, None))
         rows = np.fromiter((index[p] for p in marked), dtype=np.int64, count=len(marked))
@@ -116,30 +120,40 @@ class PartIds:
 
     def _sizes(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """The number of ids of each part; the parts in the order in which the ids follow; the ids."""
-        size, made = np.zeros(len(parts), dtype=np.int64), []
-        first = [i for i, p in enumerate(parts) if p[:1] == FIRST]
-        inner = [i for i, p in enumerate(parts) if p[:1] != FIRST]
-        for i, ids in zip(first, self._encode([parts[i][1:] for i in first]), strict=True):
+        size, made, order = np.zeros(len(parts), dtype=np.int64), [], []
+        first, inner, single = [], [], []
+        for i, p in enumerate(parts):
+            (inner if p[:1] != FIRST else first if len(p.split()) == 1 and p[1:2] > " " else single).append(i)
+        # parts after a space, or without one behind a line end, are a text whose tokens keep to their borders
+        for rows, between, start in ((inner, " ", 0), (first, "\n", 1)):
+            for a in range(0, len(rows), BATCH_PARTS):
+                taken = rows[a: a + BATCH_PARTS]
+                whole = between + between.join([parts[i][start:] for i in taken])
+                ids = self._encode([whole])[0]
+                own = (parts[i][start:] for i in taken)
+                lengths = map(len, own) if whole.isascii() else (len(p.encode()) for p in own)
+                ends = np.cumsum(np.fromiter(lengths, dtype=np.int64, count=len(taken)) + 1)
+                upto = np.cumsum(self.bytes[ids])
+                last = np.searchsorted(upto, ends)
+                before = np.append(-1, last[:-1])
+                if start and len(ids):  # the line ends have tokens of their own
+                    before += 1
+                    sound = last[-1] < len(ids) and (upto[last] == ends).all() and (ids[before] == ids[0]).all() and (
+                        upto[before] == np.append(0, ends[:-1]) + 1).all()
+                    ids = np.delete(ids, before) if sound else ids
+                else:
+                    sound = len(ids) > 0 and last[-1] < len(ids) and (upto[last] == ends).all()
+                if sound:
+                    size[taken] = last - before
+                    made.append(ids)
+                    order += taken
+                else:
+                    single += taken
+        texts = [parts[i][1:] if parts[i][:1] == FIRST else " " + parts[i] for i in single]
+        for i, ids in zip(single, self._encode(texts), strict=True):
             size[i] = len(ids)
             made.append(ids)
-        # parts one after the other are a text whose tokens keep to their borders
-        for a in range(0, len(inner), 2000):
-            rows = inner[a: a + 2000]
-            own = [" " + parts[i] for i in rows]
-            whole = "".join(own)
-            ids = self._encode([whole])[0]
-            lengths = map(len, own) if whole.isascii() else (len(p.encode()) for p in own)
-            ends = np.cumsum(np.fromiter(lengths, dtype=np.int64, count=len(own)))
-            upto = np.cumsum(self.bytes[ids])
-            last = np.searchsorted(upto, ends)
-            if len(ids) and last[-1] < len(ids) and (upto[last] == ends).all():
-                size[rows] = np.diff(np.append(-1, last))
-                made.append(ids)
-            else:
-                for i, part in zip(rows, self._encode(own), strict=True):
-                    size[i] = len(part)
-                    made.append(part)
-        return size, np.array(first + inner, dtype=np.int64), made
+        return size, np.array(order + single, dtype=np.int64), made
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's with its end id, and the number of ids of each."""
@@ -152,7 +166,8 @@ class PartIds:
         split = [CUT.split(t) for t in texts.filter(odd).to_pylist()]
         for own in split:
             own[0] = FIRST + own[0]
-        lists = pc.split_pattern(pc.binary_join_element_wise(mark, plain, nothing), " ")
+        plain = pc.replace_substring(pc.binary_join_element_wise(mark, plain, nothing), "\n", f" {FIRST}\n {FIRST}")
+        lists = pc.split_pattern(plain, " ")
         per_row = np.concatenate([pc.list_value_length(lists).to_numpy(), np.fromiter(map(len, split), np.int64, len(split))]).astype(np.int64)
         rest = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string())
         coded = pa.concat_arrays([lists.flatten(), rest]).dictionary_encode()
@@ -189,6 +204,14 @@ def part_ids(path: str) -> PartIds:
     return _stores[path]
 
 
+def release() -> None:
+    """Give back the memory of the stores of a worker that goes on with other work."""
+    if _stores:
+        _stores.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def token_ids(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (little-endian, unsigned), width (their bytes: two if the vocabulary allows), checksum for every row."""
     ship_package(docs.sparkSession)
@@ -216,6 +239,7 @@ def count_ids(tokens: DataFrame) -> list[tuple[int, int]]:
     """(id, how often it occurs) for all ids: at most one for each entry of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(0, dtype=np.int64)
         for block in blocks(batches, "ids", 16 << 20):
             for width in set(block.column(1).to_pylist()):
@@ -335,6 +359,7 @@ def write_ids(tokens: DataFrame, folder: str, *, limit: int = LIMIT, block_token
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(n for _, n in counts) / RANGE_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         code, place, number = Code(*table), 0, 0
         held: list[tuple[pa.Scalar, np.ndarray]] = []
 
@@ -392,6 +417,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     starts = stored.groupBy("piece").agg(F.sum("n_tokens").alias("n")).select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         code = Code(*table)
         for batch in batches:
             for k in range(batch.num_rows):
