@@ -1,22 +1,26 @@
 """Graph jobs over all runs at once. A node is named by run_id and id; it may have a caller_action_id.
 
 Loops write their state once per round and stop when a round finds nothing new, also on cycles. Chains of nodes
-with one way on are followed by pointer doubling, so rounds grow with the logarithm of their length. In graphs
-where nodes have several prerequisites such chains are first shortened to one step; what is left takes a round
-per level.
+with one way on are followed by pointer doubling, so rounds grow with the logarithm of their length. Graphs in which
+nodes have several ways on are followed by shortcuts: pairs of nodes one, two, four, eight ... steps apart. Their join is
+sized before it is made; where it would pass `SHORTCUTS` pairs a link, the shortcuts stay as long as they are and a
+round moves on by that many steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
 from taskledger.session import written
 
 NODE = ["run_id", "id"]
+SHORTCUTS = 16
+LEAST_SHORTCUTS = 100_000
 
 # Why an action was canceled.
 REASONS = (
@@ -129,11 +133,139 @@ def _follow(pointers: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return state.select(*NODE, F.when(~F.col("open"), F.col("up")).alias("top"), "label")
 
 
-def _only_need(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pointers of the nodes with one need, and the links (run_id, id, needs) of those with several."""
-    counted = written(links.groupBy(*NODE).agg(F.count_distinct("needs").alias("_n"), F.min("needs").alias("up")), "needs")
-    single = counted.filter("_n = 1").select(*NODE, "up")
-    return single, links.join(counted.filter("_n > 1").select(*NODE), NODE, "left_semi").distinct()
+class Shortcuts:
+    """Pairs (keys, id, needs) of nodes that a walk of exactly `steps` links leads from and to; `double` doubles them."""
+
+    def __init__(self, links: DataFrame, keys: Sequence[str]):
+        self.keys, self.steps, self.full = list(keys), 1, False
+        self.pairs = written(links.select(*keys, "id", "needs").distinct(), "links")
+        self.most = LEAST_SHORTCUTS + SHORTCUTS * self.pairs.count()
+
+    def double(self) -> bool:
+        """False if the pairs stay as they are, because the join would give more than `most` rows."""
+        if self.full:
+            return False
+        into = self.pairs.groupBy(*self.keys, F.col("needs").alias("_via")).agg(F.count(F.lit(1)).alias("_into"))
+        out = self.pairs.groupBy(*self.keys, F.col("id").alias("_via")).agg(F.count(F.lit(1)).alias("_out"))
+        size = into.join(out, [*self.keys, "_via"]).agg(F.sum(F.col("_into") * F.col("_out"))).first()[0] or 0
+        if size > self.most:
+            self.full = True
+            return False
+        first = self.pairs.withColumnRenamed("needs", "_via")
+        second = self.pairs.withColumnRenamed("id", "_via")
+        self.pairs = written(first.join(second, [*self.keys, "_via"]).select(*self.keys, "id", "needs").distinct(), "shortcuts")
+        self.steps *= 2
+        return True
+
+    def into(self, nodes: DataFrame) -> DataFrame:
+        """Nodes (keys, id) that a walk of `steps` links leads to one of `nodes`."""
+        ends = nodes.select(*self.keys, F.col("id").alias("needs"))
+        return self.pairs.join(ends, [*self.keys, "needs"], "left_semi").select(*self.keys, "id").distinct()
+
+
+def _reaching(links: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Nodes (keys, id) from which links (keys, id, needs) lead to a seed (keys, id); the seeds are among them.
+
+    Before a round all nodes fewer than `steps` links away are known, so a round without a new one is the last.
+    """
+    ways = Shortcuts(links, keys)
+    found = [written(seeds.select(*keys, "id").distinct(), "reaching")]
+    while True:
+        known = _union(found)
+        fresh = written(ways.into(known).join(known, [*keys, "id"], "left_anti"), "reaching")
+        if fresh.isEmpty():
+            return known
+        found = [written(known.unionByName(fresh), "reaching")] if len(found) > 4 else [*found, fresh]
+        ways.double()
+
+
+def _endless(links: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Nodes (keys, id) from which a walk along the links (keys, id, needs) never ends."""
+    ways = Shortcuts(links, keys)
+    most = ways.pairs.groupBy(*keys).agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0] or 0
+    while ways.steps <= most:  # a walk over more nodes than there are comes back to one
+        if not ways.double():
+            break
+        if ways.pairs.isEmpty():
+            return ways.pairs.select(*keys, "id")
+    alive = written(ways.pairs.select(*keys, "id").distinct(), "endless")
+    if ways.steps > most:
+        return alive
+    before, now = -1, alive.count()
+    while before != now:
+        alive = written(ways.into(alive).join(alive, [*keys, "id"], "left_semi"), "endless")
+        before, now = now, alive.count()
+    return alive
+
+
+def _within(links: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The links both of whose ends are among `nodes`."""
+    ends = nodes.select(*keys, F.col("id").alias("needs"))
+    return links.join(nodes, [*keys, "id"], "left_semi").join(ends, [*keys, "needs"], "left_semi").select(*keys, "id", "needs")
+
+
+def _turned(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return links.select(*keys, F.col("needs").alias("id"), F.col("id").alias("needs"))
+
+
+def _between_cycles(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The links between nodes that both come from a cycle and lead to one."""
+    ahead = _within(links, _endless(links, keys), keys)
+    ahead = written(ahead, "ahead")
+    if ahead.isEmpty():
+        return ahead
+    return written(_within(ahead, _endless(_turned(ahead, keys), keys), keys), "between")
+
+
+def cycle_nodes(links: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Nodes (keys, id) that lie on a cycle of the links (keys, id, needs).
+
+    Links that neither come from a cycle nor lead to one go first. What is left of a run are cycles and ways between them.
+    If all its nodes have one way on, it is cycles only. Otherwise a pivot is taken; what it reaches and is reached from is
+    one strongly connected component. No other component crosses the borders of these two sets, so each of the parts
+    goes on by itself, all in the same round.
+    """
+    keys = list(keys)
+    links = written(links.select(*keys, "id", "needs").filter("id IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
+    found = [links.filter("id = needs").select(*keys, "id").distinct()]
+    split = [*keys, "_part"]
+    rest = _between_cycles(links.filter("id <> needs"), keys).withColumn("_part", F.lit(0).cast("long"))
+    while not rest.isEmpty():
+        ways = rest.groupBy(*split, "id").agg(F.count(F.lit(1)).alias("_ways"))
+        simple = written(ways.groupBy(*split).agg(F.max("_ways").alias("_ways")).filter("_ways = 1").select(*split), "simple")
+        found.append(rest.join(simple, split, "left_semi").select(*keys, "id").distinct())
+        rest = written(rest.join(simple, split, "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        pivots = written(
+            rest.join(ways, [*split, "id"]).groupBy(*split).agg(F.max_by("id", F.struct("_ways", F.xxhash64("id"), "id")).alias("id")), "pivots"
+        )
+        reached = _reaching(_turned(rest, split), pivots, split).withColumn("_after", F.lit(1))
+        leading = _reaching(rest, pivots, split).withColumn("_before", F.lit(1))
+        both = written(reached.join(leading, [*split, "id"], "full").select(
+            *split, "id", F.coalesce("_after", F.lit(0)).alias("_after"), F.coalesce("_before", F.lit(0)).alias("_before")
+        ), "sides")
+        pivot = pivots.withColumn("_pivot", F.lit(True))
+        component = both.filter("_after = 1 AND _before = 1").join(pivot, [*split, "id"], "left")
+        # a pivot alone in its component is on no cycle
+        several = component.groupBy(*split).count().filter("count > 1").select(*split)
+        found.append(component.join(several, split, "left_semi").select(*keys, "id"))
+
+        def side(end: str, both: DataFrame = both) -> DataFrame:
+            return both.select(*split, F.col("id").alias(end), (F.col("_after") * 2 + F.col("_before")).alias(f"_side_{end}"))
+
+        sided = rest.join(side("id"), [*split, "id"], "left").join(side("needs"), [*split, "needs"], "left")
+        none = F.lit(0)
+        same = F.coalesce("_side_id", none) == F.coalesce("_side_needs", none)
+        parted = written(sided.filter(same & (F.coalesce("_side_id", none) < 3)).select(
+            *keys, F.struct("_part", F.coalesce("_side_id", none).alias("side")).alias("_split"), "id", "needs"
+        ), "parted")
+        numbers = parted.select(*keys, "_split").distinct().withColumn("_number", F.dense_rank().over(
+            Window.partitionBy(*keys).orderBy("_split")).cast("long"))
+        rest = _between_cycles(
+            parted.join(numbers, [*keys, "_split"]).select(*keys, F.col("_number").alias("_part"), "id", "needs"), split
+        )
+    return _union(found).distinct()
 
 
 def close_subtree(actions: DataFrame, closures: DataFrame) -> DataFrame:
@@ -202,35 +334,6 @@ def _needs(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def _reached(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Nodes (run_id, id) that need a seed (run_id, id) over any number of links (run_id, id, needs); no seed itself."""
-    links = written(links.join(seeds, NODE, "left_anti"), "links")
-    single, several = _only_need(links)
-    followed = written(_follow(single, seeds.withColumn("label", F.lit(1).cast("long"))), "followed")
-    # Links of nodes with several needs, led past the nodes with one need to where their chains end.
-    past = followed.select("run_id", F.col("id").alias("needs"), "top", F.col("label").alias("_hit"))
-    marks = seeds.select("run_id", F.col("id").alias("needs"), F.lit(True).alias("_seed"))
-    led = written(
-        several.join(past, ["run_id", "needs"], "left").join(marks, ["run_id", "needs"], "left").select(
-            *NODE, F.coalesce("top", "needs").alias("needs"), (F.col("_hit").isNotNull() | F.col("_seed").isNotNull()).alias("hit")
-        ),
-        "led",
-    )
-    fresh = written(led.filter("hit").select(*NODE).distinct(), "reached")
-    found = [fresh]
-    while not fresh.isEmpty():
-        led = written(led.join(fresh, NODE, "left_anti"), "led")
-        fresh = written(
-            led.join(fresh.withColumnRenamed("id", "needs"), ["run_id", "needs"], "left_semi").select(*NODE).distinct(), "reached"
-        )
-        found.append(fresh)
-    several_reached = _union(found)
-    through = followed.filter("label IS NULL").join(
-        several_reached.withColumnRenamed("id", "top"), ["run_id", "top"], "left_semi"
-    )
-    return _union([several_reached, followed.filter("label IS NOT NULL").select(*NODE), through.select(*NODE)])
-
-
 def propagate_failures(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataFrame:
     """Due queued nodes with a missing or closed-but-not-succeeded prerequisite fail, to a fixpoint."""
     needs = written(_needs(nodes, prereqs, as_of), "needs")
@@ -238,7 +341,7 @@ def propagate_failures(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> D
     first = written(needs.filter(bad).select(*NODE).distinct(), "failed")
     # From here on only needs between due queued nodes can pass a failure on.
     links = needs.filter(F.col("_status") == "queued").select(*NODE, F.col("prerequisite_id").alias("needs"))
-    marks = first.unionByName(_reached(links, first)).distinct().withColumn("_failed", F.lit(True))
+    marks = _reaching(links, first).withColumn("_failed", F.lit(True))
     kept_error = F.col("error") if "error" in nodes.columns else F.lit("")
     return nodes.join(marks, NODE, "left").select(
         *[c for c in nodes.columns if c not in ("status", "error")],
@@ -252,41 +355,6 @@ def ready_frontier(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataF
     return _due(nodes, as_of).join(_needs(nodes, prereqs, as_of).select(*NODE), NODE, "left_anti")
 
 
-def _leads_to_cycle(links: DataFrame) -> DataFrame:
-    """Nodes (run_id, id) from which a way along the links (run_id, id, needs) never ends."""
-    single, several = _only_need(links)
-    followed = written(_follow(single).select(*NODE, "top", F.col("top").isNull().alias("loops")), "followed")
-    past = followed.withColumnRenamed("id", "needs")
-    led = written(
-        several.join(past, ["run_id", "needs"], "left").select(
-            *NODE, F.coalesce("top", "needs").alias("needs"), F.coalesce("loops", F.lit(False)).alias("sure")
-        ),
-        "led",
-    )
-    sure = written(led.filter("sure").select(*NODE).distinct(), "sure")
-    rest = led.filter("NOT sure").select(*NODE, "needs").distinct()
-    before, now = -1, 0
-    while before != now:  # take away links to nodes that have no way on
-        going = rest.select(*NODE).unionByName(sure).distinct().withColumnRenamed("id", "needs")
-        rest = written(rest.join(going, ["run_id", "needs"], "left_semi"), "rest")
-        before, now = now, rest.count()
-        if now == 0:
-            break
-    endless = rest.select(*NODE).unionByName(sure).distinct()
-    through = followed.filter("NOT loops").join(endless.withColumnRenamed("id", "top"), ["run_id", "top"], "left_semi")
-    return _union([endless, followed.filter("loops").select(*NODE), through.select(*NODE)])
-
-
-def _cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes (run_id, id) on a prerequisite cycle, or between two of them. `edges`: run_id, id, needs."""
-    links = written(edges.select(*NODE, "needs").filter("id IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
-    ahead = written(_leads_to_cycle(links).distinct(), "ahead")
-    # A way back to a cycle only leads over nodes that have a way on to one.
-    among = links.join(ahead, NODE, "left_semi").join(ahead.withColumnRenamed("id", "needs"), ["run_id", "needs"], "left_semi")
-    back = written(among.select("run_id", F.col("needs").alias("id"), F.col("id").alias("needs")), "back")
-    return back.limit(0).select(*NODE) if back.isEmpty() else _leads_to_cycle(back).distinct()
-
-
 def _parent_cycles(nodes: DataFrame) -> DataFrame:
     """Nodes whose parent chain never ends."""
     return _follow(_parents(nodes)).filter("top IS NULL").select(*NODE)
@@ -313,7 +381,7 @@ def validate_graph(nodes: DataFrame, prereqs: DataFrame) -> DataFrame:
         F.count_if(F.col("caller_action_id").isNull()).alias("_roots")
     )
     unique = nodes.dropDuplicates(["run_id", "id"])
-    on_cycle = _cycle_nodes(prereqs.select("run_id", "id", F.col("prerequisite_id").alias("needs")))
+    on_cycle = cycle_nodes(prereqs.select("run_id", "id", F.col("prerequisite_id").alias("needs")))
     return _union([
         verdict(duplicates, "duplicate node"),
         verdict(missing.select("run_id", "id").distinct(), "missing prerequisite"),
@@ -328,36 +396,49 @@ def validate_graph(nodes: DataFrame, prereqs: DataFrame) -> DataFrame:
 def environment_order(envs: DataFrame, deps: DataFrame) -> DataFrame:
     """Dependency-first level of each environment in its submission, and a verdict.
 
-    `envs`: submission, id, name. `deps`: id, dependency_id. Level 0 has no dependency; rows on a cycle, or
+    `envs`: submission, id, name. `deps`: submission, id, dependency_id. Level 0 has no dependency; rows on a cycle, or
     above one, have the verdict `cycle` and no level. A submission with two environments under one name is `ambiguous name`.
     """
-    # A dependency is open while it has open dependencies itself; a node's level is the number of rounds
-    # in which it still had an open one.
-    rest = written(deps.select("id", "dependency_id").distinct(), "deps")
-    blocked: list[DataFrame] = []
-    before = rest.count()
-    while before:
-        waiting = rest.select("id").distinct()
-        blocked.append(waiting)
-        rest = written(
-            rest.join(waiting.withColumnRenamed("id", "dependency_id"), "dependency_id", "left_semi"), "deps"
-        )
-        after = rest.count()
-        if after == before:
-            break
-        before = after
-    looping = rest.select("id").distinct().withColumn("_loops", F.lit(True))
-    waits = _union(blocked) if blocked else rest.select("id")
-    levels = waits.groupBy("id").agg(F.count(F.lit(1)).alias("_rounds"))
-    names = envs.groupBy("submission", "name").agg(F.count_distinct("id").alias("_ids")).filter("_ids > 1")
-    ambiguous = names.select("submission").distinct().withColumn("_ambiguous", F.lit(True))
+    key = ["submission"]
+    links = written(deps.select(*key, "id", F.col("dependency_id").alias("needs")).distinct(), "deps")
+    looping = written(_reaching(links, cycle_nodes(links, key), key), "looping")
+    levels = longest_walks(links.join(looping, [*key, "id"], "left_anti"), key)
+    names = envs.groupBy(*key, "name").agg(F.count_distinct("id").alias("_ids")).filter("_ids > 1")
+    ambiguous = names.select(*key).distinct().withColumn("_ambiguous", F.lit(True))
+    loops = looping.withColumn("_loops", F.lit(True))
     return (
-        envs.select("submission", "id").join(ambiguous, "submission", "left").join(levels, "id", "left")
-        .join(looping, "id", "left")
+        envs.select(*key, "id").join(ambiguous, key, "left").join(levels, [*key, "id"], "left").join(loops, [*key, "id"], "left")
         .select(
-            "submission", "id",
-            F.when(F.col("_loops").isNull(), F.coalesce("_rounds", F.lit(0).cast("long"))).alias("level"),
+            *key, "id",
+            F.when(F.col("_loops").isNull(), F.coalesce("length", F.lit(0).cast("long"))).alias("level"),
             F.when(F.col("_loops"), "cycle").when(F.col("_ambiguous"), "ambiguous name").otherwise("ok")
             .alias("verdict"),
         )
     )
+
+
+def longest_walks(links: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """keys, id, length of the longest walk from each node that has a link on, in links (keys, id, needs) without a cycle.
+
+    Max-plus doubling: with the lengths below `steps` known, the best node that a shortcut leads to gives those below
+    twice as many.
+    """
+    ways, keys = Shortcuts(links, keys), list(keys)
+    known = written(ways.pairs.select(*keys, "id").distinct().withColumn("length", F.lit(1).cast("long")), "lengths")
+    before = None
+    while True:
+        doubled = ways.double()
+        if ways.pairs.isEmpty():
+            return known
+        ends = known.select(*keys, F.col("id").alias("needs"), F.col("length").alias("_beyond"))
+        far = ways.pairs.join(ends, [*keys, "needs"], "left").groupBy(*keys, "id").agg(
+            (F.max(F.coalesce("_beyond", F.lit(0).cast("long"))) + ways.steps).alias("_far")
+        )
+        known = written(known.join(far, [*keys, "id"], "left").select(
+            *keys, "id", F.greatest("length", "_far").alias("length")
+        ), "lengths")
+        if not doubled:
+            now = known.agg(F.sum("length")).first()[0]
+            if now == before:
+                return known
+            before = now

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,12 +109,14 @@ def ready_frontier(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT run_id, 'missing parent', id FROM base WHERE pos = 4 AND status = 'canceled'
   UNION ALL SELECT run_id, 'missing prerequisite', id FROM base WHERE pos = 5 AND status = 'canceled'
   UNION ALL SELECT run_id, 'prerequisite cycle', id FROM base WHERE run_id % 5 = 0 AND top >= 3 AND pos IN (1, 3)
+  UNION ALL SELECT run_id, 'prerequisite cycle', id FROM base WHERE run_id % 10 = 0 AND top >= 7 AND pos IN (5, 7)
   UNION ALL SELECT run_id, 'no root', NULL FROM roots WHERE n = 0
   UNION ALL SELECT run_id, 'several roots', NULL FROM roots WHERE n > 1
   UNION ALL SELECT run_id, 'parent cycle', id FROM climb WHERE n > 40""", recursive=True)
 def validate_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Faults made in the columns of some runs: a repeated node, parents and prerequisites that are not there, a second
-    root, a prerequisite cycle of nodes 1 and 3, a root under its own child."""
+    root, a prerequisite cycle of nodes 1 and 3, one of nodes 5 and 7 with nodes 4 and 2 between them, a root under its
+    own child."""
     nodes = _nodes(spark, sf)
     top = nodes.groupBy("run_id").agg(F.max("pos").alias("top"))
     nodes = nodes.join(top, "run_id")
@@ -125,15 +129,46 @@ def validate_graph(spark: SparkSession, sf: str) -> DataFrame:
     )
     needs = nodes.filter("pos >= 3").select(
         "run_id", "id", F.when((pos == 5) & canceled, -F.col("id")).otherwise(F.col("id") - 2).alias("prerequisite_id")
-    ).unionByName(nodes.filter("pos = 1 AND top >= 3 AND run_id % 5 = 0").select("run_id", "id", (F.col("id") + 2).alias("prerequisite_id")))
+    )
+
+    def added(where: str, *, ahead: int) -> DataFrame:
+        return nodes.filter(where).select("run_id", "id", (F.col("id") + ahead).alias("prerequisite_id"))
+
+    long = "top >= 7 AND run_id % 10 = 0"
+    needs = reduce(DataFrame.unionByName, [
+        needs, added("pos = 1 AND top >= 3 AND run_id % 5 = 0", ahead=2), added(f"pos = 5 AND {long}", ahead=2),
+        added(f"pos = 5 AND {long}", ahead=-1), added(f"pos = 2 AND {long}", ahead=-1),
+    ])
     changed = nodes.withColumn("caller_action_id", caller)
     changed = changed.unionByName(changed.filter((run % 7 == 0) & (pos == 2)))
     return ops.validate_graph(changed, needs)
 
 
-@query("""WITH RECURSIVE reach AS (SELECT id, 0::BIGINT AS level FROM environments
-    UNION SELECT d.id, r.level + 1 FROM reach r JOIN environment_deps d ON d.dependency_id = r.id)
-  SELECT e.submission, e.id, max(r.level) AS level, 'ok' AS verdict FROM environments e JOIN reach r ON r.id = e.id GROUP BY ALL""",
-       recursive=True)
+@query("""WITH RECURSIVE envs AS (SELECT submission, id, CASE WHEN submission % 5 = 1 AND id % 10 = 9 THEN 'env-' || ((id - 1) % 40) ELSE name END AS name
+      FROM environments UNION ALL SELECT -1, id, 'all-' || id FROM environments),
+  deps AS (SELECT * FROM environment_deps UNION ALL SELECT submission, id, id + 3 FROM environments WHERE submission % 7 = 3 AND id % 10 = 2
+    UNION ALL SELECT -1, a.id, b.id FROM environments a JOIN environments b ON b.id = a.id - 1),
+  above AS (SELECT submission, id, dependency_id AS below FROM deps
+    UNION SELECT a.submission, a.id, d.dependency_id FROM above a JOIN deps d ON d.submission = a.submission AND d.id = a.below),
+  looping AS (SELECT DISTINCT a.submission, a.id FROM above a JOIN above c ON c.submission = a.submission AND c.id = a.below AND c.id = c.below
+    UNION SELECT submission, id FROM above WHERE id = below),
+  sound AS (SELECT * FROM deps d WHERE NOT EXISTS (SELECT 1 FROM looping l WHERE l.submission = d.submission AND l.id = d.id)),
+  reach AS (SELECT submission, id, 0::BIGINT AS level FROM envs
+    UNION SELECT d.submission, d.id, r.level + 1 FROM reach r JOIN sound d ON d.submission = r.submission AND d.dependency_id = r.id),
+  names AS (SELECT DISTINCT submission FROM (SELECT submission, name FROM envs GROUP BY ALL HAVING count(DISTINCT id) > 1))
+  SELECT e.submission, e.id, CASE WHEN any_value(l.id) IS NULL THEN max(r.level) END AS level, CASE WHEN any_value(l.id) IS NOT NULL THEN 'cycle'
+    WHEN any_value(n.submission) IS NOT NULL THEN 'ambiguous name' ELSE 'ok' END AS verdict
+  FROM envs e JOIN reach r ON r.submission = e.submission AND r.id = e.id LEFT JOIN looping l ON l.submission = e.submission AND l.id = e.id
+    LEFT JOIN names n ON n.submission = e.submission GROUP BY e.submission, e.id""", recursive=True)
 def environment_order(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.environment_order(fx.environments(spark, sf), fx.environment_deps(spark, sf))
+    """The given submissions, some with a cycle or with one name twice, and one more in which each environment needs the one
+    before it."""
+    given, deps = fx.environments(spark, sf), fx.environment_deps(spark, sf)
+    twice = (F.col("submission") % 5 == 1) & (F.col("id") % 10 == 9)
+    name = F.when(twice, F.concat(F.lit("env-"), (F.col("id") - 1) % 40)).otherwise(F.col("name"))
+    every = given.select(F.lit(-1).cast("long").alias("submission"), "id", F.concat(F.lit("all-"), "id").alias("name"))
+    envs = given.select("submission", "id", name.alias("name")).unionByName(every)
+    back = given.filter("submission % 7 = 3 AND id % 10 = 2").select("submission", "id", (F.col("id") + 3).alias("dependency_id"))
+    before = every.select((F.col("id") + 1).alias("id"), F.col("id").alias("dependency_id"))
+    chain = every.select("submission", "id").join(before, "id").select("submission", "id", "dependency_id")
+    return ops.environment_order(envs, reduce(DataFrame.unionByName, [deps, back, chain]))
