@@ -6,7 +6,8 @@ task, so no task holds the corpus; a group ends with at most a few bins that are
 lower bound of tokens / sequence length.
 
 The tokenizer works on words between white space, so a word's ids are computed once and kept by the worker process. A document is its ids and
-one end id (0). Null and empty texts are the end id alone. Repeated rows are packed once each.
+one end id (0). Null and empty texts are the end id alone. Repeated rows are packed once each, also with a null id; pieces
+of equal length are taken in any order. An empty table gives no pieces, other columns than id and text are not read.
 """
 
 from __future__ import annotations
@@ -68,6 +69,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # these are matched before anything is put in lower case
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = {mark: self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids for mark in (b".", b",")}
         self.plain_letters = self._same_letters()
         self.index = Index()
@@ -137,11 +140,21 @@ class WordIds:
         self.flat = np.concatenate([self.flat, flat])
         self.met = np.concatenate([self.met, np.zeros(len(size), dtype=np.int64)])
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Words in lower case; those with an added token, in whatever case, as they are."""
+        small = text.lower()
+        if not any(a in small for a in self.added):
+            return small.split()
+        return [
+            word if any(a in low for a in self.added) else low
+            for word, low in zip(text.split(), small.split(), strict=True)
+        ]
+
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with its end id, and the number of ids of each."""
         if len(self.index) > CACHED_WORDS:
             self._forget()
-        split = [t.lower().split() if t else [] for t in texts]
+        split = [self._words(t) if t else [] for t in texts]
         before, flat = len(self.index), list(itertools.chain.from_iterable(split))
         rows = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
         if len(self.index) > before:

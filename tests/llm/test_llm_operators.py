@@ -484,7 +484,7 @@ def test_word_ids_are_those_of_the_tokenizer():
     tokenizer, store = Tokenizer.from_file(path), packing.WordIds(path)
     assert store.plain_letters
     rng = random.Random(12)
-    parts = ["thing", "É", "é", "ß", "İ", "ſ", "ñ", "ª", "é", "中", "9", "42", ".", ",", "..", "'s", "'LL", "don't", "A", "|", "#", " ", "ŉ", "ǆ", "Σ", "<|endoftext|>"]
+    parts = ["thing", "É", "é", "ß", "İ", "ſ", "ñ", "ª", "é", "中", "9", "42", ".", ",", "..", "'s", "'LL", "don't", "A", "|", "#", " ", "ŉ", "ǆ", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>"]
     texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(30)) for _ in range(300)]
     ids, sizes = store([t.encode() for t in texts])
     at = 0
