@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskledger.llm.common import blocks, documents
-from taskledger.llm.packing import Index, vocabulary_path
+from taskledger.llm.packing import vocabulary_path
 from taskledger.llm.registry import query
 from taskledger.session import fresh_path, ship_package, written
 
@@ -41,7 +41,7 @@ INTERVAL = 256
 BLOCK_TOKENS = 1 << 18
 SLICE = 1 << 20
 RANGE_TOKENS = 1 << 25
-CACHED_PARTS = 400_000
+CACHED_PARTS = 250_000
 TEXT_BYTES = 4 << 20  # encoded together
 #: Before a space and such a character every text can be cut: byte-level pre-tokenization begins anew there.
 CUT = re.compile(r" (?=[!-~\w])")
@@ -54,7 +54,7 @@ BATCH_PARTS = 2000
 
 
 class PartIds:
-    """Ids of texts by way of a store of the ids of their parts, cut at spaces before words.
+    """Ids of texts by way of a store of the ids of their parts, cut at spaces before words and around line ends.
 
     A part stands for itself after a space. The first of a text or line, which has none, is stored behind a mark.
     """
@@ -71,93 +71,90 @@ class PartIds:
             self.bytes[i] = len(token)
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.bytes[i] = len(token.content.encode())
-        ends = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
-        self.marks = {m: ids[0] for m, ids in ends.items() if len(ids) == 1}
-        self.index = Index()
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.keys = pa.array([], pa.large_string())
         self.flat, self.begin, self.size, self.met = (np.zeros(0, dtype=t) for t in (np.uint32, np.int64, np.int64, np.int64))
 
     def _forget(self) -> None:
         """Keep the parts met more than once, if they are not too many."""
         kept = np.flatnonzero(self.met > 1)
         kept = kept if len(kept) <= CACHED_PARTS // 2 else kept[:0]
-        parts, size = list(self.index), self.size[kept]
+        size = self.size[kept]
         at = np.cumsum(size) - size
         self.flat = self.flat[np.repeat(self.begin[kept] - at, size) + np.arange(int(size.sum()))]
-        self.index = Index((parts[k], i) for i, k in enumerate(kept.tolist()))
+        self.keys = self.keys.take(pa.array(kept))
         self.begin, self.size, self.met = at, size, np.zeros(len(kept), dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, before: int) -> None:
-        index, marks = self.index, self.marks
+    def _learn(self, fresh: pa.Array) -> None:
+        """Store the ids of new parts."""
+        before = len(self.keys)
         # pre-tokenization parts a letter from a mark behind it
-        marked = [p for p in itertools.islice(index, before, None) if p[-1:] in marks and "@" < p[-2:-1] < "\u0250" and p[-2].isalpha()]
-        stems = np.fromiter((index[p[:-1]] for p in marked), dtype=np.int64, count=len(marked))
-        fresh = list(itertools.islice(index, before, None))
-        rows = np.fromiter((index[p] for p in marked), dtype=np.int64, count=len(marked))
-        is_marked = np.zeros(len(fresh), dtype=bool)
-        is_marked[rows - before] = True
-        own = [p for p, skip in zip(fresh, is_marked.tolist(), strict=True) if not skip]
-        size = np.zeros(len(fresh), dtype=np.int64)
-        begin = np.zeros(len(fresh), dtype=np.int64)
-        size[~is_marked], order, made = self._sizes(own)
-        unmarked = np.flatnonzero(~is_marked)[order]
-        begin[unmarked] = np.cumsum(size[unmarked]) - size[unmarked] + len(self.flat)
-        self.flat = np.concatenate([self.flat, *made])
-        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
-        if len(rows):
-            n = self.size[stems]
-            self.size[rows] = n + 1
-            ends = np.cumsum(n + 1)
-            self.begin[rows] = ends - n - 1 + len(self.flat)
-            more = np.empty(int(ends[-1]), dtype=np.uint32)
-            more[ends - 1] = [marks[p[-1]] for p in marked]
-            at = np.repeat(self.begin[stems] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            more[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = self.flat[at]
-            self.flat = np.concatenate([self.flat, more])
-        self.met = np.concatenate([self.met, np.zeros(len(size), dtype=np.int64)])
-
-    def _sizes(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """The number of ids of each part; the parts in the order in which the ids follow; the ids."""
-        size, made, order = np.zeros(len(parts), dtype=np.int64), [], []
-        first, inner, single = [], [], []
-        for i, p in enumerate(parts):
-            (inner if p[:1] != FIRST else first if len(p.split()) == 1 and p[1:2] > " " else single).append(i)
-        # parts after a space, or without one behind a line end, are a text whose tokens keep to their borders
-        for rows, between, start in ((inner, " ", 0), (first, "\n", 1)):
-            for a in range(0, len(rows), BATCH_PARTS):
-                taken = rows[a: a + BATCH_PARTS]
-                whole = between + between.join([parts[i][start:] for i in taken])
-                ids = self._encode([whole])[0]
-                own = (parts[i][start:] for i in taken)
-                lengths = map(len, own) if whole.isascii() else (len(p.encode()) for p in own)
-                ends = np.cumsum(np.fromiter(lengths, dtype=np.int64, count=len(taken)) + 1)
-                upto = np.cumsum(self.bytes[ids])
-                last = np.searchsorted(upto, ends)
-                before = np.append(-1, last[:-1])
-                if start and len(ids):  # the line ends have tokens of their own
-                    before += 1
-                    sound = last[-1] < len(ids) and (upto[last] == ends).all() and (ids[before] == ids[0]).all() and (
-                        upto[before] == np.append(0, ends[:-1]) + 1).all()
-                    ids = np.delete(ids, before) if sound else ids
+        marked = pc.match_substring_regex(fresh, r"\pL[.,]\z") if all(len(i) == 1 for i in self.marks.values()) else pa.array([False] * len(fresh))
+        plain, ends = fresh.filter(pc.invert(marked)), fresh.filter(marked)
+        stems = pc.utf8_slice_codeunits(ends, 0, -1).dictionary_encode()
+        stored = pc.index_in(stems.dictionary, value_set=self.keys)
+        more = stems.dictionary.filter(pc.and_(pc.is_null(stored), pc.invert(pc.is_in(stems.dictionary, value_set=plain))))
+        plain = pa.concat_arrays([plain, more])
+        first = pc.match_substring_regex(plain, r"\A\x00[!-~\pL]+\z")
+        alone = pc.and_(pc.starts_with(plain, FIRST), pc.invert(first))
+        made: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        single = [plain.filter(alone)]
+        for chosen, between in ((pc.invert(pc.or_(first, alone)), " "), (first, "\n")):
+            own = plain.filter(chosen)
+            for at in range(0, len(own), BATCH_PARTS):
+                part = own[at: at + BATCH_PARTS]
+                joined = self._joined(part, between)
+                if joined:
+                    made.append((part, *joined))
                 else:
-                    sound = len(ids) > 0 and last[-1] < len(ids) and (upto[last] == ends).all()
-                if sound:
-                    size[taken] = last - before
-                    made.append(ids)
-                    order += taken
-                else:
-                    single += taken
-        texts = [parts[i][1:] if parts[i][:1] == FIRST else " " + parts[i] for i in single]
-        for i, ids in zip(single, self._encode(texts), strict=True):
-            size[i] = len(ids)
-            made.append(ids)
-        return size, np.array(order + single, dtype=np.int64), made
+                    single.append(part)
+        for part in single:
+            texts = [p[1:] if p[:1] == FIRST else " " + p for p in part.to_pylist()]
+            ids = self._encode(texts)
+            made.append((part, np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate([np.zeros(0, np.uint32), *ids])))
+        keys, sizes = pa.concat_arrays([k for k, _, _ in made]), np.concatenate([n for _, n, _ in made])
+        self._add(keys, sizes, [i for _, _, i in made])
+        if len(ends):
+            found = pc.coalesce(stored.cast(pa.int64()), pc.add(pc.index_in(stems.dictionary, value_set=keys), before).cast(pa.int64()))
+            at = found.to_numpy()[stems.indices.to_numpy()]
+            n = self.size[at]
+            whole = np.empty(int(n.sum()) + len(n), dtype=np.uint32)
+            place = np.arange(int(n.sum()))
+            whole[place + np.repeat(np.arange(len(n)), n)] = self.flat[np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + place]
+            stop = pc.ends_with(ends, ".").to_numpy(zero_copy_only=False)
+            whole[np.cumsum(n + 1) - 1] = np.where(stop, self.marks["."][0], self.marks[","][0])
+            self._add(ends, n + 1, [whole])
+
+    def _add(self, keys: pa.Array, sizes: np.ndarray, ids: list[np.ndarray]) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.begin = np.concatenate([self.begin, np.cumsum(sizes) - sizes + len(self.flat)])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, *ids])
+        self.met = np.concatenate([self.met, np.zeros(len(sizes), dtype=np.int64)])
+
+    def _joined(self, parts: pa.Array, between: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The number of ids of each part, and the ids: parts one after the other, each behind a space or a line end, are a text whose tokens keep to their borders."""
+        texts = pc.utf8_slice_codeunits(parts, 1) if between == "\n" else parts
+        ids = self._encode([between + between.join(texts.to_pylist())])[0]
+        ends = np.cumsum(pc.binary_length(texts).to_numpy() + 1)
+        upto = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(upto, ends)
+        if last[-1] >= len(ids) or (upto[last] != ends).any():
+            return None
+        before = np.append(-1, last[:-1])
+        if between == "\n":  # the line ends have tokens of their own
+            before += 1
+            if (ids[before] != ids[0]).any() or (upto[before] != np.append(0, ends[:-1]) + 1).any():
+                return None
+            ids = np.delete(ids, before)
+        return last - before, ids
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's with its end id, and the number of ids of each."""
-        if len(self.index) > CACHED_PARTS:
+        if len(self.keys) > CACHED_PARTS:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, ODD)
@@ -171,11 +168,13 @@ class PartIds:
         per_row = np.concatenate([pc.list_value_length(lists).to_numpy(), np.fromiter(map(len, split), np.int64, len(split))]).astype(np.int64)
         rest = pa.array(list(itertools.chain.from_iterable(split)), pa.large_string())
         coded = pa.concat_arrays([lists.flatten(), rest]).dictionary_encode()
-        parts, at_part = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        before = len(self.index)
-        known = np.fromiter(map(self.index.__getitem__, parts), dtype=np.int64, count=len(parts))
-        if len(self.index) > before:
-            self._learn(before)
+        met = pc.index_in(coded.dictionary, value_set=self.keys)
+        if met.null_count:
+            before, fresh = len(self.keys), coded.dictionary.filter(pc.is_null(met))
+            self._learn(fresh)
+            learned = pc.add(pc.index_in(fresh, value_set=self.keys[before:]), before)
+            met = pc.replace_with_mask(met.cast(pa.int64()), pc.is_null(met), learned.cast(pa.int64()))
+        known = met.to_numpy()
         self.met[known] += 1
         # back to the order of the texts
         is_odd = odd.to_numpy(zero_copy_only=False)
@@ -184,7 +183,7 @@ class PartIds:
         begin = (np.cumsum(per_row) - per_row)[place]
         per_row = per_row[place]
         moved = np.repeat(begin - (np.cumsum(per_row) - per_row), per_row) + np.arange(int(per_row.sum()))
-        rows = known[at_part[moved]]
+        rows = known[coded.indices.to_numpy()[moved]]
         size = self.size[rows]
         last = np.cumsum(size)
         per_text = np.diff(np.append(0, last)[np.append(0, np.cumsum(per_row))])
