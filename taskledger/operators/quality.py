@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from taskledger.functions import expr as X
 from taskledger.operators.blobs import parse_blob_uri
 from taskledger.operators.scale import running
+from taskledger.session import written
 
 Rule = tuple[str, Column]
 
@@ -276,61 +278,108 @@ def validate_manifest(entries: DataFrame, keys: Sequence[str] = ("archive", "doc
     return found
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], table: str, rule: str) -> DataFrame:
-    """Keys that occur more than once, as constraint violations."""
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), key.alias("row_key")
-    )
-
-
-def broken_rows(df: DataFrame, keys: Sequence[str], table: str, rule: str, bad: Column) -> DataFrame:
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return df.filter(bad).select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), key.alias("row_key"))
-
-
-def orphans(
-    df: DataFrame, keys: Sequence[str], parent: DataFrame, on: dict[str, str], table: str, rule: str
-) -> DataFrame:
-    """Rows whose reference (child column to parent column) has no parent row; null references are fine."""
-    for column in on:
-        df = df.filter(F.col(column).isNotNull())
-    known = parent.select(*[F.col(theirs).alias(mine) for mine, theirs in on.items()]).distinct()
-    return broken_rows(df.join(known, list(on), "left_anti"), keys, table, rule, F.lit(True))
-
-
 ACTION_STATUS = "'queued', 'running', 'waiting', 'succeeded', 'failed', 'canceled'"
 
 
-def check_table_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """Key, reference and row constraints of the stored relations, for those present in `tables`.
+class _Constraints:
+    """Rules of the relations in `tables`, turned into tags: (space, key, side) of keys, owners and references.
 
-    A rule on a column that a table lacks is left out. All row rules of a table are taken in one pass.
+    A space is one unique rule, or the columns of a parent that references point to. Rules on columns a table lacks are
+    left out.
     """
-    found: list[DataFrame] = []
-
-    def has(table: str, *columns: str) -> bool:
-        return table in tables and {*columns} <= {*tables[table].columns}
 
-    def unique(table: str, keys: list[str], rule: str = "primary key", where: str | None = None, needs: Sequence[str] = ()) -> None:
-        if has(table, *keys, *needs):
-            df = tables[table] if where is None else tables[table].filter(where)
-            found.append(duplicate_keys(df, keys, table, rule))
-
-    def check(table: str, keys: list[str], rules: dict[str, tuple[str, ...]]) -> None:
-        """`rules`: what is broken, by rule, and the columns that are looked at."""
-        own = {rule: bad for rule, (bad, *columns) in rules.items() if has(table, *keys, *columns)}
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.tables = tables
+        self.spaces: list[tuple[str, str]] = []
+        self.tags: dict[str, list[Column]] = {}
+        self.references: list[tuple[str, list[str], list[str], int, str]] = []
+        self.rows: list[DataFrame] = []
+        self.owners: dict[tuple[str, ...], int] = {}
+
+    def has(self, table: str, *columns: str) -> bool:
+        return table in self.tables and {*columns} <= {*self.tables[table].columns}
+
+    @staticmethod
+    def shown(keys: Sequence[str]) -> Column:
+        return F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+
+    @staticmethod
+    def key(columns: Sequence[str]) -> Column:
+        """One text for the values of the columns; no two lists of values have the same."""
+        return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+
+    def _space(self, table: str, rule: str) -> int:
+        self.spaces.append((table, rule))
+        return len(self.spaces) - 1
+
+    def _tag(self, table: str, space: int, columns: Sequence[str], side: str, shown: Column, where: Column) -> None:
+        self.tags.setdefault(table, []).append(F.when(where, F.struct(
+            F.lit(space).alias("space"), self.key(columns).alias("key"), F.lit(side).alias("side"), shown.alias("row_key")
+        )))
+
+    def unique(self, table: str, keys: list[str], rule: str = "primary key", where: str = "true", needs: Sequence[str] = ()) -> None:
+        if self.has(table, *keys, *needs):
+            self._tag(table, self._space(table, rule), keys, "key", self.shown(keys), F.expr(where))
+
+    def refers(self, table: str, keys: list[str], parent: str, on: dict[str, str], rule: str) -> None:
+        """`on`: child column to parent column. A null in a child column refers to nothing."""
+        if not (self.has(table, *keys, *on) and self.has(parent, *on.values())):
+            return
+        pairs = sorted(on.items(), key=lambda x: x[1])
+        mine, theirs = [m for m, _ in pairs], [t for _, t in pairs]
+        place = (parent, *theirs)
+        nothing = F.lit(None).cast("string")
+        if place not in self.owners:
+            self.owners[place] = self._space(parent, "")
+            self._tag(parent, self.owners[place], theirs, "owner", nothing, F.lit(True))
+        set_ = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in mine])
+        self._tag(table, self.owners[place], mine, "reference", nothing, set_)
+        self.references.append((table, keys, mine, self.owners[place], rule))
+
+    def check(self, table: str, keys: list[str], rules: dict[str, tuple[str, ...]]) -> None:
+        """`rules`: what is broken, by rule, and the columns that are looked at. One pass over the table."""
+        own = {rule: bad for rule, (bad, *columns) in rules.items() if self.has(table, *keys, *columns)}
         if own:
             marks = F.array(*[F.when(F.expr(bad), F.lit(rule)) for rule, bad in own.items()])
-            key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-            found.append(tables[table].select(
-                F.lit(table).alias("table_name"), F.explode(F.array_compact(marks)).alias("rule"), key.alias("row_key")
+            self.rows.append(self.tables[table].select(
+                F.lit(table).alias("table_name"), F.explode(F.array_compact(marks)).alias("rule"), self.shown(keys).alias("row_key")
             ))
 
-    def refers(table: str, keys: list[str], parent: str, on: dict[str, str], rule: str) -> None:
-        if has(table, *keys, *on) and has(parent, *on.values()):
-            found.append(orphans(tables[table], keys, tables[parent], on, table, rule))
+    def met(self) -> DataFrame:
+        """space, key, keys, owners, row_key: all tags of all relations in one shuffle, summed before it.
+
+        However many rows refer to one key, a task sends one row for it.
+        """
+        tagged = [self.tables[t].select(F.explode(F.array_compact(F.array(*tags))).alias("t")).select("t.*") for t, tags in self.tags.items()]
+        return reduce(DataFrame.unionByName, tagged).groupBy("space", "key").agg(
+            F.count_if(F.col("side") == "key").alias("keys"), F.count_if(F.col("side") == "owner").alias("owners"),
+            F.count_if(F.col("side") == "reference").alias("references"), F.min("row_key").alias("row_key"),
+        ).filter("keys > 1 OR (references > 0 AND owners = 0)")
+
+    def violations(self) -> DataFrame:
+        bad = written(self.met(), "broken-keys")
+        names = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(r).alias("rule")) for t, r in self.spaces])
+        name = F.get(names, F.col("space"))
+        found = [*self.rows, bad.filter("keys > 1").select(name["table_name"].alias("table_name"), name["rule"].alias("rule"), "row_key")]
+        lost = bad.filter("keys = 0").select("space", "key")
+        # only the relations that have such references are looked at again, for the rows they are in
+        spaces = {r["space"] for r in lost.select("space").distinct().collect()}
+        for table, keys, mine, space, rule in self.references:
+            if space in spaces:
+                rows = self.tables[table].select(F.lit(space).alias("space"), self.key(mine).alias("key"), F.lit(table).alias("table_name"),
+                                                 F.lit(rule).alias("rule"), self.shown(keys).alias("row_key"))
+                found.append(rows.join(lost, ["space", "key"], "left_semi").select("table_name", "rule", "row_key"))
+        return reduce(DataFrame.unionByName, found)
+
 
+def check_table_constraints(tables: dict[str, DataFrame]) -> DataFrame:
+    """Key, reference and row constraints of the stored relations, for those present in `tables`.
+
+    A rule on a column that a table lacks is left out. All row rules of a table are taken in one pass; keys and references
+    of all tables meet in one shuffle.
+    """
+    rules = _Constraints(tables)
+    unique, refers, check = rules.unique, rules.refers, rules.check
     unique("namespaces", ["id"])
     unique("namespaces", ["slug"], "unique slug")
     unique("settings", ["namespace_id", "path"])
@@ -396,7 +445,4 @@ def check_table_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     check("blobs", ["sha256"], {"digest length": ("NOT sha256 RLIKE '^[0-9a-f]{64}$'",)})
     unique("blob_uploads", ["session_id"])
     unique("blob_uploads", ["object_key"], "unique object")
-    whole = found[0]
-    for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return rules.violations()

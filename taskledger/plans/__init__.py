@@ -17,6 +17,7 @@ def all_checks() -> dict[str, str]:
 
 def _load() -> None:
     from taskledger.plans import (  # noqa: F401
+        constraint_queries,
         graph_queries,
         log_queries,
         memo_queries,

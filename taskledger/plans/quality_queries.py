@@ -210,35 +210,6 @@ def verify_digests(spark: SparkSession, sf: str) -> DataFrame:
     return blobs.verify_digests(docs, max_size=20000).select("arrival", "verdict")
 
 
-@query("""WITH kept AS (SELECT * FROM actions WHERE status <> 'canceled')
-  SELECT 'settings' AS table_name, 'primary key' AS rule, namespace_id || '|' || path AS row_key FROM setting_rows
-    GROUP BY namespace_id, path HAVING count(*) > 1
-  UNION ALL SELECT 'image_builds', 'one build in progress', image_key::VARCHAR FROM image_builds WHERE status = 'building'
-    GROUP BY image_key HAVING count(*) > 1
-  UNION ALL SELECT 'task_actions', 'caller exists', id::VARCHAR FROM kept WHERE caller_action_id NOT IN (SELECT id FROM kept)
-  UNION ALL SELECT 'runs', 'root exists', id::VARCHAR FROM runs WHERE root_action_id NOT IN (SELECT id FROM kept)
-  UNION ALL SELECT 'task_action_edges', 'source exists', run_id || '|' || source_action_id || '|' || dependent_action_id
-    FROM edges WHERE source_action_id NOT IN (SELECT id FROM kept)
-  UNION ALL SELECT 'task_action_edges', 'dependent exists', run_id || '|' || source_action_id || '|' || dependent_action_id
-    FROM edges WHERE dependent_action_id NOT IN (SELECT id FROM kept)""")
-def check_table_constraints(spark: SparkSession, sf: str) -> DataFrame:
-    """All relations, with the settings before their repeats are merged and the actions without canceled ones."""
-    runs = written(fx.runs(spark, sf), "runs")
-    actions = written(fx.actions(spark, sf).select("id", "run_id", "caller_action_id", "entrypoint_id", "environment_id", "status"))
-    edges = actions.filter("caller_action_id IS NOT NULL").select(
-        "run_id", F.col("id").alias("source_action_id"), F.col("caller_action_id").alias("dependent_action_id")
-    )
-    return ops.check_table_constraints({
-        "namespaces": fx.namespaces(spark, sf),
-        "settings": fx._setting_rows(spark, sf),
-        "task_environments": fx.environments(spark, sf),
-        "image_builds": fx.image_builds(spark, sf),
-        "runs": runs,
-        "task_actions": actions.filter("status <> 'canceled'"),
-        "task_action_edges": edges,
-    })
-
-
 @query("""WITH bad AS (SELECT doc_id FROM manifest WHERE doc_id % 89 = 0 OR start < 0 UNION SELECT doc_id FROM overlap_rows)
   SELECT archive, count(*) FILTER (doc_id NOT IN (FROM bad)) AS good, count(*) FILTER (doc_id IN (FROM bad)) AS quarantined
   FROM manifest GROUP BY archive""")
