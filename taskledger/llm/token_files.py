@@ -8,13 +8,14 @@ side by side, and a span of tokens can be read from the checkpoint before it. Bl
 commits, splits and reads them on any store. The place of a token in the whole is its place in its range of documents
 plus the tokens of the ranges before.
 
-Null and empty texts are the end id alone. Rows with a null id come first, equal ids are ordered by the checksum of their
-ids, repeated rows are written each. An empty table makes files without blocks. A block has about `BLOCK_TOKENS` tokens; a
+Null and empty texts are the end id alone. Rows with a null id come first, equal ids are ordered by a hash of their
+tokens, repeated rows are written each. An empty table makes files without blocks. A block has about `BLOCK_TOKENS` tokens; a
 longer document is alone in one, and is coded and decoded in slices. Other columns than id and text are not read.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import math
@@ -41,8 +42,8 @@ INTERVAL = 256
 BLOCK_TOKENS = 1 << 18
 SLICE = 1 << 20
 RANGE_TOKENS = 1 << 25
-CACHED_PARTS = 250_000
-TEXT_BYTES = 4 << 20  # encoded together
+CACHED_PARTS = 500_000
+TEXT_BYTES = 3 << 20  # encoded together
 #: Before a space and such a character every text can be cut: byte-level pre-tokenization begins anew there.
 CUT = re.compile(r" (?=[!-~\w])")
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -72,6 +73,9 @@ class PartIds:
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.bytes[i] = len(token.content.encode())
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.clear()
+
+    def clear(self) -> None:
         self.keys = pa.array([], pa.large_string())
         self.flat, self.begin, self.size, self.met = (np.zeros(0, dtype=t) for t in (np.uint32, np.int64, np.int64, np.int64))
 
@@ -197,22 +201,25 @@ _stores: dict[str, PartIds] = {}
 
 
 def part_ids(path: str) -> PartIds:
-    """One store for each worker process, so that tasks share it."""
+    """One store for each worker process, so that its tasks share the tokenizer."""
     if path not in _stores:
         _stores[path] = PartIds(path)
     return _stores[path]
 
 
 def release() -> None:
-    """Give back the memory of the stores of a worker that goes on with other work."""
-    if _stores:
-        _stores.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+    """Clear the stores of this worker and give their memory back to the system."""
+    for store in _stores.values():
+        store.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def token_ids(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian, unsigned), width (their bytes: two if the vocabulary allows), checksum for every row."""
+    """doc_id, ids (little-endian, unsigned), width (their bytes: two if the vocabulary allows) for every row."""
     ship_package(docs.sparkSession)
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -221,24 +228,21 @@ def token_ids(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str =
         encode = part_ids(path)
         for block in blocks(batches, "_text", TEXT_BYTES):
             ids, sizes = encode(block.column(1))
-            data, n = memoryview(ids.astype("<u4").tobytes()), block.num_rows
-            ends = np.cumsum(sizes)
-            crc = [zlib.crc32(data[4 * a: 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-            offsets = np.append(0, ends * encode.width).astype(np.int64)
+            n = block.num_rows
+            offsets = np.append(0, np.cumsum(sizes) * encode.width).astype(np.int64)
             stored = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{encode.width}"))])
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), stored.cast(pa.binary()), pa.array([encode.width] * n, pa.int32()), pa.array(crc, pa.int64())],
-                names=["doc_id", "ids", "width", "checksum"],
+                [block.column(0), stored.cast(pa.binary()), pa.array([encode.width] * n, pa.int32())], names=["doc_id", "ids", "width"],
             )
+        release()  # the store serves one task: what a worker keeps between tasks is the tokenizer
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary, width int, checksum long")
+    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary, width int")
 
 
 def count_ids(tokens: DataFrame) -> list[tuple[int, int]]:
     """(id, how often it occurs) for all ids: at most one for each entry of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         counts = np.zeros(0, dtype=np.int64)
         for block in blocks(batches, "ids", 16 << 20):
             for width in set(block.column(1).to_pylist()):
@@ -358,7 +362,6 @@ def write_ids(tokens: DataFrame, folder: str, *, limit: int = LIMIT, block_token
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(n for _, n in counts) / RANGE_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         code, place, number = Code(*table), 0, 0
         held: list[tuple[pa.Scalar, np.ndarray]] = []
 
@@ -391,8 +394,8 @@ def write_ids(tokens: DataFrame, folder: str, *, limit: int = LIMIT, block_token
             yield block()
 
     names = ["piece", "number", "place", "n_tokens", "doc_ids", "sizes", "stream", "checkpoints"]
-    order = ["doc_id", "checksum", "_row"]
-    stored.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
+    order = ["doc_id", "_hash", "_row"]
+    stored.withColumns({"_hash": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()}).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
         "doc_id", "ids", F.spark_partition_id().alias("piece"), "width"
     ).mapInArrow(
         run, f"piece int, number long, place long, n_tokens long, doc_ids array<{kind}>, sizes array<bigint>, stream binary, checkpoints binary"
@@ -416,7 +419,6 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     starts = stored.groupBy("piece").agg(F.sum("n_tokens").alias("n")).select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         code = Code(*table)
         for batch in batches:
             for k in range(batch.num_rows):
