@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
+from taskledger.operators.graph import follow
+from taskledger.session import written
 
 
 def _stripped(text: Column) -> Column:
@@ -69,22 +71,34 @@ def resolve_blobs(records: DataFrame, blobs: DataFrame, wanted: list[str]) -> Da
     ).drop("_stored")
 
 
-def resolve_nested(values: DataFrame, blobs: DataFrame, depth: int) -> DataFrame:
-    """Follow values that are themselves references, one join per level; deeper ones stay unresolved.
+def resolve_nested(values: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Follow values that are references to content, which may be a reference itself, to any depth.
 
-    `values`: id, value. `blobs`: digest, content. A reference is a blob URI with the resolve flag.
+    `values`: id, value. `blobs`: digest, content; a digest that is there more than once counts once. A reference is a
+    blob URI with the resolve flag. Chains are followed between distinct digests by pointer doubling, so each is looked at
+    once however many values lead to it, and rounds grow with the logarithm of the longest chain. `outcome` is `plain`,
+    `resolved`, `missing` (a digest on the way is not stored) or `cycle`; the last two keep their value.
     """
-    current = values.withColumn("unresolved", F.lit(False))
-    for _ in range(depth):
-        uri = parse_blob_uri(F.col("value"))
-        current = (
-            current.withColumn("digest", F.when(uri["resolve"], uri["digest"]))
-            .join(blobs.select("digest", "content"), "digest", "left")
-            .withColumn("value", F.coalesce("content", "value"))
-            .drop("content", "digest")
-        )
-    still = parse_blob_uri(F.col("value"))
-    return current.withColumn("unresolved", F.coalesce(still["resolve"], F.lit(False)))
+    def target(value: str) -> Column:
+        uri = parse_blob_uri(F.col(value))
+        return F.when(F.startswith(F.col(value).cast("string"), F.lit("blob:")) & uri["resolve"], uri["digest"])
+
+    stored = written(blobs.select("digest", target("content").alias("up")).dropDuplicates(["digest"]), "references")
+    ends = follow(stored.filter("up IS NOT NULL").select(F.lit(0).alias("run_id"), F.col("digest").alias("id"), "up")).select(
+        F.col("id").alias("digest"), "top", F.lit(True).alias("_onward")
+    )
+    asked = values.withColumn("digest", target("value"))
+    # plain values have nothing to look up; in the join they would all share one null key
+    plain = asked.filter("digest IS NULL").withColumn("outcome", F.lit("plain")).drop("digest")
+    led = asked.filter("digest IS NOT NULL").join(ends, "digest", "left").withColumn(
+        "_end", F.when(F.col("_onward"), F.col("top")).otherwise(F.col("digest"))
+    )
+    endless = led.filter("_end IS NULL").select(*values.columns, F.lit("cycle").alias("outcome"))
+    content = blobs.dropDuplicates(["digest"]).select(F.col("digest").alias("_end"), F.col("content").alias("_content"), F.lit(True).alias("_there"))
+    found = led.filter("_end IS NOT NULL").join(content, "_end", "left")
+    kept = [F.when(F.col("_there"), F.col("_content")).otherwise(F.col(c)).alias(c) if c == "value" else F.col(c) for c in values.columns]
+    settled = found.select(*kept, F.when(F.col("_there"), "resolved").otherwise("missing").alias("outcome"))
+    return plain.unionByName(endless).unionByName(settled)
 
 
 def verify_digests(

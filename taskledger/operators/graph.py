@@ -107,7 +107,7 @@ def reachable_by_doubling(
     return found
 
 
-def _follow(pointers: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def follow(pointers: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """run_id, id, top, label of nodes that each point to one other (run_id, id, up), by pointer doubling.
 
     `top` is the node at the end of the chain, which points nowhere; null where the chain never ends. `label` is the
@@ -294,7 +294,7 @@ def close_subtree(actions: DataFrame, closures: DataFrame) -> DataFrame:
         F.min(label({"node_canceled": "action canceled"})).alias("_self_label")
     )
     affected = actions.join(on_nodes.select("run_id").distinct(), "run_id", "left_semi")
-    above = _follow(
+    above = follow(
         _parents(affected), on_nodes.select("run_id", F.col("action_id").alias("id"), label(below).alias("label"))
     ).select(*NODE, F.col("label").alias("_above_label"))
     marked = (
@@ -357,7 +357,7 @@ def ready_frontier(nodes: DataFrame, prereqs: DataFrame, as_of: Column) -> DataF
 
 def _parent_cycles(nodes: DataFrame) -> DataFrame:
     """Nodes whose parent chain never ends."""
-    return _follow(_parents(nodes)).filter("top IS NULL").select(*NODE)
+    return follow(_parents(nodes)).filter("top IS NULL").select(*NODE)
 
 
 def validate_graph(nodes: DataFrame, prereqs: DataFrame) -> DataFrame:

@@ -437,16 +437,17 @@ def render_run_log(messages: DataFrame) -> DataFrame:
     )
 
 
-def check_cursors(cursors: Sequence[Mapping[str, object]]) -> None:
-    """At least one cursor, valid stream names, none twice, no negative position."""
-    import re
-
-    if not cursors:
+def check_cursors(cursors: DataFrame) -> None:
+    """At least one cursor (run_id, stream, after_seq), valid stream names, none twice, no negative position."""
+    valid = X.matches(F.col("stream"), X.STREAM_NAME)
+    one = cursors.groupBy("run_id", "stream").agg(
+        F.count(F.lit(1)).alias("n"), F.max((~F.coalesce(valid, F.lit(False))).cast("int")).alias("bad"), F.min("after_seq").alias("low")
+    ).agg(F.max("n").alias("n"), F.max("bad").alias("bad"), F.min("low").alias("low")).first()
+    if one["n"] is None:
         raise ValueError("at least one stream cursor is required")
-    names = [str(c["stream"]) for c in cursors]
-    if any(not re.fullmatch(X.STREAM_NAME, n) for n in names):
+    if one["bad"]:
         raise ValueError("invalid stream")
-    if len(set(names)) < len(names):
-        raise ValueError("duplicate stream cursor")
-    if any(int(c.get("after_seq", 0)) < 0 for c in cursors):
+    if one["low"] is not None and one["low"] < 0:
         raise ValueError("after_seq must not be negative")
+    if one["n"] > 1:
+        raise ValueError("duplicate stream cursor")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -169,17 +169,16 @@ def append_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return logs.append_reconcile(_batches(spark, sf).drop("attempt"))
 
 
-@query("""WITH measured AS (SELECT run_id, stream, append_id, ord, octet_length(encode(key)) AS ks,
-    octet_length(encode(value)) AS vs FROM log_batches_in WHERE attempt = 1),
- totals AS (SELECT *, sum(ks + vs) OVER (PARTITION BY run_id, stream, append_id ORDER BY ord) AS so_far FROM measured),
+@query("""WITH measured AS (SELECT run_id, stream, append_id, attempt, ord, octet_length(encode(key)) AS ks,
+    octet_length(encode(value)) AS vs FROM log_batches_in),
+ totals AS (SELECT *, sum(ks + vs) OVER (PARTITION BY run_id, stream, append_id, attempt ORDER BY ord) AS so_far FROM measured),
  faults AS (SELECT *, CASE WHEN ks > 3 THEN 'key too large' WHEN vs = 0 OR ks + vs > 6 THEN 'record too large or empty'
    WHEN so_far > 20 THEN 'batch too large' END AS fault FROM totals)
- SELECT run_id, stream, append_id, count(*) AS entries, sum(ks + vs)::BIGINT AS bytes,
+ SELECT run_id, stream, append_id, attempt, count(*) AS entries, sum(ks + vs)::BIGINT AS bytes,
    coalesce(arg_min(fault, ord) FILTER (fault IS NOT NULL), 'ok') AS verdict FROM faults GROUP BY ALL""")
 def batch_limits(spark: SparkSession, sf: str) -> DataFrame:
-    entries = fx.log_batches_in(spark, sf).filter("attempt = 1")
     return logs.batch_limits(
-        entries, ["run_id", "stream", "append_id"], max_key=3, max_record=6, max_batch=20
+        fx.log_batches_in(spark, sf), ["run_id", "stream", "append_id", "attempt"], max_key=3, max_record=6, max_batch=20
     )
 
 
@@ -240,18 +239,34 @@ def resolve_blobs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""WITH asked AS (SELECT arrival, content, digest, digest IN (SELECT digest FROM known_blobs) AS there,
-    'blob:text/plain;resolve,' || to_base64(unhex(digest)) AS uri FROM contents)
-  SELECT arrival AS id, sha256(CASE WHEN there THEN content ELSE uri END) AS value_digest, NOT there AS unresolved FROM asked""")
+@query("""WITH asked AS (SELECT c.arrival, c.content, c.digest, c.digest IN (SELECT digest FROM known_blobs) AS there,
+    'blob:text/plain;resolve,' || to_base64(unhex(CASE c.arrival % 4 WHEN 0 THEN c.digest WHEN 1 THEN sha256('blob:text/plain;resolve,' || to_base64(unhex(c.digest)))
+      ELSE sha256('blob:text/plain;resolve,' || to_base64(unhex(sha256('blob:text/plain;resolve,' || to_base64(unhex(c.digest)))))) END)) AS uri FROM contents c)
+  SELECT arrival AS id, sha256(CASE WHEN arrival % 4 = 3 THEN content WHEN arrival % 5 = 0 AND arrival % 4 <> 3 THEN 'blob:text/plain;resolve,' || to_base64(unhex(sha256('ring' || arrival % 7)))
+      WHEN there THEN content ELSE uri END) AS value_digest,
+    CASE WHEN arrival % 4 = 3 THEN 'plain' WHEN arrival % 5 = 0 THEN 'cycle' WHEN there THEN 'resolved' ELSE 'missing' END AS outcome FROM asked""")
 def resolve_nested(spark: SparkSession, sf: str) -> DataFrame:
-    """Every text by reference; a reference to what is not stored stays one."""
-    contents = fx.values(spark, sf)
-    asked = contents.select(
-        F.col("arrival").alias("id"), X.blob_uri(F.lit("text/plain;resolve"), F.col("digest")).alias("value")
+    """Texts themselves, and by one, two or three references one behind the other. Some of the texts are not stored; every
+    fifth value leads to a ring of seven references. Stored rows are there twice."""
+    contents, doc = fx.values(spark, sf), F.col("arrival")
+    named = F.lit("text/plain;resolve")
+
+    def reference(digest: Column) -> Column:
+        return X.blob_uri(named, digest)
+
+    once = F.sha2(reference(F.col("digest")), 256)
+    twice = F.sha2(reference(once), 256)
+    ring = F.sha2(F.concat(F.lit("ring"), (doc % 7).cast("string")), 256)
+    uri = F.when(doc % 5 == 0, reference(ring)).when(doc % 4 == 0, reference(F.col("digest"))).when(doc % 4 == 1, reference(once)).otherwise(reference(twice))
+    asked = contents.select(doc.alias("id"), F.when(doc % 4 == 3, F.col("content")).otherwise(uri).alias("value"))
+    base = contents.join(fx.known_blobs(spark, sf), "digest", "left_semi").groupBy("digest").agg(F.min("content").alias("content"))
+    first = contents.select(once.alias("digest"), reference(F.col("digest")).alias("content"))
+    second = contents.select(twice.alias("digest"), reference(once).alias("content"))
+    rings = contents.select(
+        ring.alias("digest"), reference(F.sha2(F.concat(F.lit("ring"), ((doc + 1) % 7).cast("string")), 256)).alias("content")
     )
-    stored = contents.join(fx.known_blobs(spark, sf), "digest", "left_semi").groupBy("digest").agg(F.min("content").alias("content"))
-    found = blobs.resolve_nested(asked, stored, depth=2)
-    return found.select("id", F.sha2("value", 256).alias("value_digest"), "unresolved")
+    stored = reduce(DataFrame.unionByName, [base, base, first, second, rings])
+    return blobs.resolve_nested(asked, stored).select("id", F.sha2("value", 256).alias("value_digest"), "outcome")
 
 
 @query("""SELECT doc_id, replace(uri, ';resolve', '') AS base, contains(uri, ';resolve') AS resolve, 'text/plain' AS mime_type FROM uris""")
@@ -400,10 +415,15 @@ def tail_filtered(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_CURSORS} SELECT e.run_id, e.stream, e.ord + 1 AS seq, e.key, e.value FROM log_entries e
   JOIN cursors c USING (run_id, stream) WHERE e.ord + 1 > c.after_seq AND starts_with(e.key, c.prefix)""")
 def resume_tail(spark: SparkSession, sf: str) -> DataFrame:
-    path, checkpoint = _places(spark, "resume")
-    cursors = _cursors(spark, sf)
-    live.resume_tail(_live_records(spark, sf), cursors, path, checkpoint)
-    return _text_key(live.resume_tail(_live_records(spark, sf), cursors, path, checkpoint))
+    """Half of the events are there in a first run, the others arrive before the second, which goes on."""
+    (path, checkpoint), source = _places(spark, "resume"), fresh_path(spark, "arriving")
+    cursors, events = _cursors(spark, sf), source_table(spark, sf, "events")
+    for half in (0, 1):
+        events.filter(F.col("event_id") % 2 == half).write.parquet(f"{source}/half={half}")
+        arriving = fx.shape_log_entries(log_source_stream(spark, f"{source}/*", events.schema))
+        tail = arriving.select("run_id", "stream", (F.col("ord") + 1).alias("seq"), "key", "value")
+        seen = live.resume_tail(tail, cursors, path, checkpoint)
+    return _text_key(seen)
 
 
 @query("""WITH ends AS (SELECT run_id, stream, (min(ord) + max(ord)) // 2 AS end_seq FROM log_entries GROUP BY ALL)
@@ -425,14 +445,14 @@ def stream_assign_sequence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _append(spark: SparkSession, sf: str, sink=live.append_log_sink) -> str:
-    """Append the events in several micro-batches: one folder for each attempt, so replays come after the first."""
+    """Append the events attempt by attempt, so replays come after the first. All entries of a batch are in one file."""
     source, (target, checkpoint) = fresh_path(spark, "arriving"), _places(spark, "append")
     entries = fx.log_batches_in(spark, sf)
     schema = entries.schema
     parts = [r[0] for r in entries.select("attempt").distinct().orderBy("attempt").collect()]
     for part in parts:  # a handful of attempts
-        entries.filter(F.col("attempt") == part).coalesce(1).write.parquet(f"{source}/part={part}")
-        sink(log_source_stream(spark, f"{source}/*", schema, files_per_trigger=1), target, checkpoint).awaitTermination()
+        entries.filter(F.col("attempt") == part).repartition("run_id", "stream", "append_id").write.parquet(f"{source}/part={part}")
+        sink(log_source_stream(spark, f"{source}/*", schema), target, checkpoint).awaitTermination()
     return target
 
 

@@ -210,13 +210,14 @@ def verify_digests(spark: SparkSession, sf: str) -> DataFrame:
     return blobs.verify_digests(docs, max_size=20000).select("arrival", "verdict")
 
 
-@query("""WITH bad AS (SELECT doc_id FROM manifest WHERE doc_id % 89 = 0 OR start < 0 UNION SELECT doc_id FROM overlap_rows)
+@query("""WITH bad AS (SELECT doc_id FROM manifest WHERE doc_id % 89 = 0 OR start < 0 UNION SELECT doc_id FROM overlap_rows
+    UNION SELECT doc_id FROM manifest WHERE archive IN (SELECT archive FROM manifest GROUP BY archive HAVING count(*) > 100000 OR sum(size) > 2147483648))
   SELECT archive, count(*) FILTER (doc_id NOT IN (FROM bad)) AS good, count(*) FILTER (doc_id IN (FROM bad)) AS quarantined
   FROM manifest GROUP BY archive""")
 def split_valid(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of each archive that pass and that are set aside, under the per-entry rules and overlaps."""
+    """Rows of each archive that pass and that are set aside."""
     entries = fx.manifest(spark, sf)
-    found = ops.validate_manifest(entries).filter(~F.col("rule").isin("entry count", "archive size"))
+    found = ops.validate_manifest(entries)
     good, bad = ops.split_valid(entries, found, ["archive", "doc_id"])
     marked = good.select("archive", F.lit(1).alias("ok")).unionByName(bad.select("archive", F.lit(0).alias("ok")))
     return marked.groupBy("archive").agg(

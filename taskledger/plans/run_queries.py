@@ -347,25 +347,45 @@ def fold_transitions_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return _folded(spark, sf)[1].select("action_id", "seq", "verdict")
 
 
-def _promoted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as uploads; pending ones were not sent, low priority ones are one byte off, urgent ones lack a digest."""
+def _promoted(spark: SparkSession, sf: str):
+    """Orders as uploads; those with an even number have parts, their lines, and as many bytes as 1 to 7 parts.
+
+    Pending ones were not sent, low priority ones are one byte off, urgent ones lack a digest. Some lines have no etag or the
+    number of the next one; some orders without parts got their lines sent nevertheless.
+    """
+    key, line = F.col("o_orderkey"), F.col("l_orderkey")
     orders = source_table(spark, sf, "orders")
-    sessions = fx.uploads(spark, sf).withColumn("arrival", F.col("session"))
-    objects = orders.filter("o_orderstatus <> 'P'").select(
-        F.concat(F.lit("obj-"), F.col("o_orderkey").cast("string")).alias("object_key"),
-        (F.col("o_custkey") * 100000 + F.when(F.col("o_orderpriority") == "5-LOW", 1).otherwise(0)).alias("stored_size"),
-        F.when(F.col("o_orderpriority") != "1-URGENT", F.sha2(F.col("o_custkey").cast("string"), 256)).alias("stored_sha256"),
+    parted = F.col("session") % 2 == 0
+    size = F.when(parted, (F.col("session") % 7 + 1) * 8388608 - F.col("session") % 1000).otherwise(F.col("size"))
+    sessions = fx.uploads(spark, sf).withColumns({
+        "arrival": F.col("session"), "multipart_id": F.when(parted, F.concat(F.lit("parts-"), F.col("session").cast("string"))), "size": size,
+    })
+    lines = source_table(spark, sf, "lineitem").filter((line % 2 == 0) | (line % 9 == 0)).select(
+        line.alias("session"), (F.col("l_linenumber") + F.when(F.col("l_suppkey") % 13 == 0, 1).otherwise(0)).alias("number"),
+        F.when(F.col("l_partkey") % 11 == 0, " ").otherwise(F.concat(F.lit("e"), F.col("l_partkey").cast("string"))).alias("etag"),
+    )
+    sent = sessions.join(orders.select(key.alias("session"), "o_orderstatus", "o_orderpriority"), "session").filter("o_orderstatus <> 'P'")
+    objects = sent.select(
+        "object_key", (F.col("size") + F.when(F.col("o_orderpriority") == "5-LOW", 1).otherwise(0)).alias("stored_size"),
+        F.when((F.col("o_orderpriority") != "1-URGENT") & ~parted, F.col("sha256")).alias("stored_sha256"),
     )
     stored = source_table(spark, sf, "customer").filter("c_acctbal < 0").select(
         F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"),
         F.concat(F.lit("old-"), F.col("c_custkey").cast("string")).alias("object_key"),
     )
-    return tables.promote_uploads(sessions, objects, None, stored)
-
-
-_PROMOTE = """WITH checked AS (SELECT o_orderkey AS session, sha256(o_custkey::VARCHAR) AS sha256, 'obj-' || o_orderkey AS object_key,
-    CASE WHEN o_orderstatus = 'P' THEN 'not uploaded' WHEN o_orderpriority = '5-LOW' THEN 'size mismatch'
-      WHEN o_orderpriority = '1-URGENT' THEN 'digest mismatch' ELSE 'ok' END AS verdict FROM orders),
+    return tables.promote_uploads(sessions, objects, lines, stored)
+
+
+_PROMOTE = """WITH sent_parts AS (SELECT l_orderkey AS session, l_linenumber + CASE WHEN l_suppkey % 13 = 0 THEN 1 ELSE 0 END AS number,
+    l_partkey % 11 = 0 AS blank FROM lineitem WHERE l_orderkey % 2 = 0 OR l_orderkey % 9 = 0),
+ per AS (SELECT session, count(*) AS n, count(DISTINCT number) AS d, min(number) AS low, max(number) AS high, bool_or(blank) AS blank FROM sent_parts GROUP BY session),
+ checked AS (SELECT o_orderkey AS session, sha256(o_custkey::VARCHAR) AS sha256, 'obj-' || o_orderkey AS object_key,
+    CASE WHEN o_orderkey % 2 <> 0 AND coalesce(n, 0) > 0 THEN 'single upload takes no parts'
+      WHEN o_orderkey % 2 = 0 AND coalesce(n, 0) <> o_orderkey % 7 + 1 THEN 'incorrect part count'
+      WHEN o_orderkey % 2 = 0 AND (blank OR low <> 1 OR high <> n OR d <> n) THEN 'invalid part list'
+      WHEN o_orderstatus = 'P' THEN 'not uploaded' WHEN o_orderpriority = '5-LOW' THEN 'size mismatch'
+      WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 <> 0 THEN 'digest mismatch' ELSE 'ok' END AS verdict
+    FROM orders LEFT JOIN per ON session = o_orderkey),
  stored AS (SELECT sha256(c_custkey::VARCHAR) AS sha256, 'old-' || c_custkey AS object_key FROM customer WHERE c_acctbal < 0),
  firsts AS (SELECT sha256, min(session) AS session FROM checked WHERE verdict = 'ok' AND sha256 NOT IN (SELECT sha256 FROM stored)
    GROUP BY sha256)"""

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from taskledger.functions import expr as X
-from taskledger.operators.logs import append_reconcile, assign_sequence, batch_digest, batch_limits, spill_large_values
+from taskledger.operators.logs import append_reconcile, assign_sequence, batch_digest, batch_limits, check_cursors, spill_large_values
 from taskledger.operators.scale import running
 from taskledger.session import written
 
@@ -90,11 +90,9 @@ def _each_batch(
 def tail_filtered(stream: DataFrame, cursors: DataFrame) -> DataFrame:
     """Records after each cursor (run_id, stream, after_seq, prefix; null prefix: all keys).
 
-    The cursors are a static table joined to the stream; two cursors for one stream are refused.
+    The cursors are a static table joined to the stream; `check_cursors` refuses those that break a rule.
     """
-    twice = cursors.groupBy("run_id", "stream").count().filter("count > 1")
-    if not twice.isEmpty():
-        raise ValueError("duplicate stream cursor")
+    check_cursors(cursors)
     prefix = F.coalesce("prefix", F.lit(b""))
     return (
         stream.join(cursors.select("run_id", "stream", "after_seq", prefix.alias("_prefix")), ["run_id", "stream"])
@@ -103,7 +101,7 @@ def tail_filtered(stream: DataFrame, cursors: DataFrame) -> DataFrame:
     )
 
 
-APPEND = ["run_id", "stream", "append_id", "attempt"]
+APPEND = ["run_id", "stream", "append_id", "attempt", "_own"]
 
 
 def _judge(entries: DataFrame) -> DataFrame:
@@ -127,9 +125,9 @@ def _decide(entries: DataFrame, target: str, epoch: int) -> tuple[DataFrame, Dat
     heads = good.groupBy(*APPEND).agg(F.min("ord").alias("_low"))
     # Attempts come in order; within one, the batch with the lowest entry came first.
     arrivals = written(
-        running(heads, ["run_id", "stream"], ["attempt", "_low", "append_id"], count="arrival").drop("_low"), "arrivals"
+        running(heads, ["run_id", "stream"], ["attempt", "_low", "append_id", "_own"], count="arrival").drop("_low"), "arrivals"
     )
-    batches = batch_digest(good, APPEND, ["ord"]).join(arrivals, APPEND).drop("attempt")
+    batches = batch_digest(good, APPEND, ["ord"]).join(arrivals, APPEND).drop("attempt", "_own")
     known_ends = _ends_before(spark, f"{target}/ends", epoch)
     ledger = _ledger_before(spark, f"{target}/ledger", epoch, arrivals)
     decided = written(append_reconcile(batches, ledger, known_ends), "decided")
@@ -151,10 +149,12 @@ def _decide(entries: DataFrame, target: str, epoch: int) -> tuple[DataFrame, Dat
 
 
 def _entries(batch: DataFrame) -> DataFrame:
-    """The micro-batch, stored; an append without a name or attempt has an empty name and attempt 0."""
-    return written(
-        batch.withColumns({"append_id": F.coalesce("append_id", F.lit("")), "attempt": F.coalesce("attempt", F.lit(0))}), "append"
-    )
+    """The micro-batch, stored; an append without a name or attempt has an empty name and attempt 0.
+
+    `_own` tells appends without a name apart: each of their entries is a batch of its own.
+    """
+    named = batch.withColumns({"append_id": F.coalesce("append_id", F.lit("")), "attempt": F.coalesce("attempt", F.lit(0))})
+    return written(named.withColumn("_own", F.when(F.col("append_id") == "", F.col("ord").cast("string")).otherwise("")), "append")
 
 
 def append_log_sink(
@@ -163,8 +163,8 @@ def append_log_sink(
     """Append batches exactly once per append id, numbering records without gaps.
 
     `stream`: run_id, stream, append_id, attempt, ord, key, value. All entries of one attempt must come in one
-    micro-batch (write each batch as one file); a later part would be another batch under the same name. An append
-    without a name is one batch for each attempt. Batches that break a rule are rejected as a whole and get no numbers.
+    micro-batch (write each batch as one file); a later part would be another batch under the same name. An entry
+    without an append id is a batch of its own. Batches that break a rule are rejected as a whole and get no numbers.
     Below `target`: records, outcomes (one per batch and attempt, with the reason of a rejection), ledger (accepted
     batches), ends and blobs (spilled values), each in folders `epoch=N`.
     """

@@ -100,11 +100,14 @@ def test_latest_state_default(spark, rows):
     assert rows(logs.latest_state(saved, wanted, "none"), "name", "found", "value") == [("a", True, "y"), ("b", False, "none")]
 
 
-def test_check_cursors():
-    logs.check_cursors([{"stream": "a"}, {"stream": "b", "after_seq": 3}])
-    for bad in ([], [{"stream": "a"}, {"stream": "a"}], [{"stream": "9"}], [{"stream": "a", "after_seq": -1}]):
-        with pytest.raises(ValueError):
-            logs.check_cursors(bad)
+def test_check_cursors(spark):
+    def given(*rows):
+        return spark.createDataFrame([(1, *r) for r in rows], "run_id bigint, stream string, after_seq bigint")
+
+    logs.check_cursors(given(("a", 0), ("b", 3)))
+    for bad, said in (([], "at least one"), ([("a", 0), ("a", 1)], "duplicate"), ([("9", 0)], "invalid stream"), ([(None, 0)], "invalid stream"), ([("a", -1)], "negative")):
+        with pytest.raises(ValueError, match=said):
+            logs.check_cursors(given(*bad))
 
 
 def test_render(spark):

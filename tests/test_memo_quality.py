@@ -30,11 +30,19 @@ def test_nested_references(spark, rows):
     uri = lambda d: f"blob:text/plain;resolve,{base64.b64encode(d).decode()}"
     outer_text = uri(inner)
     outer = hashlib.sha256(outer_text.encode()).digest()
-    stored = spark.createDataFrame([(inner.hex(), "inner"), (outer.hex(), outer_text)], "digest string, content string")
-    values = spark.createDataFrame([(1, uri(outer)), (2, "plain"), (3, uri(b"\0" * 32))], "id int, value string")
-    assert rows(blobs.resolve_nested(values, stored, 2), "id", "unresolved") == [(1, False), (2, False), (3, True)]
-    assert rows(blobs.resolve_nested(values, stored, 2), "id", "value")[0] == (1, "inner")
-    assert rows(blobs.resolve_nested(values, stored, 1), "id", "unresolved")[0] == (1, True)
+    deep = [hashlib.sha256(f"deep{i}".encode()).digest() for i in range(70)]
+    ring = [hashlib.sha256(f"ring{i}".encode()).digest() for i in range(3)]
+    content = [(inner.hex(), "inner"), (outer.hex(), outer_text), (outer.hex(), outer_text), (deep[69].hex(), "bottom")]
+    content += [(d.hex(), uri(n)) for d, n in zip(deep, deep[1:], strict=False)] + [(ring[i].hex(), uri(ring[(i + 1) % 3])) for i in range(3)]
+    stored = spark.createDataFrame(content, "digest string, content string")
+    lost = uri(b"\0" * 32)
+    values = spark.createDataFrame(
+        [(1, uri(outer)), (2, "plain"), (3, lost), (4, uri(deep[0])), (5, uri(ring[1])), (6, None), (7, uri(outer))], "id int, value string"
+    )
+    assert rows(blobs.resolve_nested(values, stored), "id", "value", "outcome") == [
+        (1, "inner", "resolved"), (2, "plain", "plain"), (3, lost, "missing"), (4, "bottom", "resolved"), (5, uri(ring[1]), "cycle"),
+        (6, None, "plain"), (7, "inner", "resolved"),
+    ]
 
 
 def test_blob_source(spark, tmp_path):
@@ -153,3 +161,24 @@ def test_whole_numbers_stay_whole_beside_nulls_and_failures(spark, rows):
     assert got[0] == (1, big, None, 2 * big, None)
     assert got[1] == (2, None, big, None, "nothing")
     assert got[2][:4] == (3, 2**62, big, None) and got[2][4]
+
+
+def test_constraints_meet_in_one_shuffle(spark):
+    runs = spark.createDataFrame([("a", "n1", "a1"), ("b", "n2", None), ("b", "n1", "b1")], "id string, namespace_id string, root_action_id string")
+    actions = spark.createDataFrame(
+        [("a1", "a", None, "x"), ("a2", "a", "a1", "queued"), ("a3", "a", "zz", "queued"), ("a|4", "c", None, "queued"), ("a4", "c", None, "queued")],
+        "id string, run_id string, caller_action_id string, status string",
+    )
+    spaces = spark.createDataFrame([("n1", "s"), ("n3", "s")], "id string, slug string")
+    tables = {"runs": runs, "task_actions": actions, "namespaces": spaces}
+    got = {tuple(r) for r in quality.check_table_constraints(tables).collect()}
+    assert got == {
+        ("namespaces", "unique slug", "s"), ("runs", "primary key", "b"), ("runs", "namespace exists", "b"), ("runs", "root exists", "b"),
+        ("task_actions", "one root", "c"), ("task_actions", "status", "a1"), ("task_actions", "caller exists", "a3"),
+        ("task_actions", "run exists", "a|4"), ("task_actions", "run exists", "a4"),
+    }
+    rules = quality._Constraints(tables)
+    rules.unique("runs", ["id"])
+    rules.refers("task_actions", ["id"], "runs", {"run_id": "id"}, "run exists")
+    plan = rules.met()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

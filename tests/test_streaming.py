@@ -120,12 +120,16 @@ def test_bad_and_unnamed_batches(spark, tmp_path):
     src, target, state = (str(tmp_path / n) for n in ("src", "out", "state"))
     put(spark, src, ENTRY, [
         entry(1, "s", None, 1, 1, "x"), entry(1, "s", "a", 1, 2, "y"), entry(1, "bad stream!", "b", 1, 3, "z"),
-        entry(1, "s", "c", 1, 4, ""), entry(1, "s", "d" * 201, 1, 5, "w"), (1, "s", "e", 1, 6, bytearray(b"k" * 2000), "v"),
+        entry(1, "s", "c", 1, 4, ""), entry(2, "s", None, 1, 9, "good"), entry(2, "s", None, 1, 10, ""), entry(2, "s", "", 1, 11, "too"), entry(1, "s", "d" * 201, 1, 5, "w"), (1, "s", "e", 1, 6, bytearray(b"k" * 2000), "v"),
     ], 1)
     put(spark, src, ENTRY, [entry(1, "s", None, 2, 7, "x"), entry(1, "s", "a", None, 8, "y")], 2)
     live.append_log_sink(open_stream(spark, src, ENTRY), target, state).awaitTermination()
-    assert sorted((r.seq, r.value) for r in spark.read.parquet(f"{target}/records").collect()) == [(1, "x"), (2, "y"), (3, "x")]
-    got = sorted((r.append_id[:1], r.epoch, r.outcome, r.reason or "") for r in spark.read.parquet(f"{target}/outcomes").collect())
+    stored = spark.read.parquet(f"{target}/records")
+    assert sorted((r.seq, r.value) for r in stored.filter("run_id = 1").collect()) == [(1, "x"), (2, "y"), (3, "x")]
+    assert sorted((r.seq, r.value) for r in stored.filter("run_id = 2").collect()) == [(1, "good"), (2, "too")]
+    outcomes = spark.read.parquet(f"{target}/outcomes")
+    assert sorted(r.outcome for r in outcomes.filter("run_id = 2").collect()) == ["appended", "appended", "rejected"]
+    got = sorted((r.append_id[:1], r.epoch, r.outcome, r.reason or "") for r in outcomes.filter("run_id = 1").collect())
     assert got == [
         ("", 0, "appended", ""), ("", 1, "appended", ""), ("a", 0, "appended", ""), ("a", 1, "replay", ""),
         ("b", 0, "rejected", "invalid stream name"), ("c", 0, "rejected", "record too large or empty"),
