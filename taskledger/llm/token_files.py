@@ -408,8 +408,8 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32 bit), ids_crc32 of every document in the files."""
+def read_ids(spark: SparkSession, folder: str, *, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned 32 bit) of every document in the files."""
     ship_package(spark)
     listed = spark.read.parquet(f"{folder}/code").orderBy("id").toArrow()  # one row for each entry of the vocabulary at most
     table = (listed.column("id").to_numpy(), listed.column("size").to_numpy())
@@ -418,6 +418,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = stored.groupBy("piece").agg(F.sum("n_tokens").alias("n")).select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(*table)
         for batch in batches:
@@ -430,15 +432,17 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 start = ends - sizes
                 for at in range(0, len(sizes), 1024):
                     spans = list(zip((4 * start[at: at + 1024]).tolist(), (4 * ends[at: at + 1024]).tolist(), strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.values[at: at + 1024], pa.array(first.as_py() + start[at: at + 1024]), pa.array(sizes[at: at + 1024]),
-                         pa.array([data[a:b] for a, b in spans], pa.binary()), pa.array([zlib.crc32(data[a:b]) for a, b in spans], pa.int64())],
-                        names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
-                    )
+                    columns = [
+                        ids.values[at: at + 1024], pa.array(first.as_py() + start[at: at + 1024]), pa.array(sizes[at: at + 1024]),
+                        pa.array([zlib.crc32(data[a:b]) for a, b in spans], pa.int64()),
+                    ]
+                    if with_ids:
+                        columns.append(pa.array([data[a:b] for a, b in spans], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return stored.join(F.broadcast(starts), "piece").select(
         (F.col("first") + F.col("place")).alias("first"), "n_tokens", "doc_ids", "sizes", "stream", "checkpoints"
-    ).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary, ids_crc32 long")
+    ).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 @query()
@@ -446,4 +450,4 @@ def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents written below the shared folder and read back."""
     target = fresh_path(spark, "token-files")
     write_ids(token_ids(documents(spark, folder), path=vocabulary_path(VOCABULARY)), target)
-    return read_ids(spark, target).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_ids(spark, target, with_ids=False)
