@@ -219,41 +219,42 @@ def release() -> None:
 
 
 def token_ids(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian, unsigned), width (their bytes: two if the vocabulary allows) for every row."""
+    """doc_id, ids (little-endian, unsigned), width (their bytes: two if the vocabulary allows) for every row, and a row with the
+    counts of all ids for every task."""
     ship_package(docs.sparkSession)
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = part_ids(path)
+        encode, counts = part_ids(path), np.zeros(0, dtype=np.int64)
         for block in blocks(batches, "_text", TEXT_BYTES):
             ids, sizes = encode(block.column(1))
             n = block.num_rows
+            own = np.bincount(ids, minlength=len(counts))
+            own[: len(counts)] += counts
+            counts = own
             offsets = np.append(0, np.cumsum(sizes) * encode.width).astype(np.int64)
             stored = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{encode.width}"))])
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), stored.cast(pa.binary()), pa.array([encode.width] * n, pa.int32())], names=["doc_id", "ids", "width"],
+                [block.column(0), stored.cast(pa.binary()), pa.array([encode.width] * n, pa.int32()), pa.nulls(n, counted)], schema=schema,
+            )
+        there = np.flatnonzero(counts)
+        if len(there):
+            both = pa.StructArray.from_arrays([pa.array(there), pa.array(counts[there])], ["id", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, schema.field(0).type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()),
+                 pa.ListArray.from_arrays(pa.array([0, len(there)], pa.int32()), both)], schema=schema,
             )
         release()  # the store serves one task: what a worker keeps between tasks is the tokenizer
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary, width int")
+    counted = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+    schema = pa.schema([("doc_id", _arrow(narrow, "doc_id")), ("ids", pa.binary()), ("width", pa.int32()), ("counts", counted)])
+    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary, width int, counts array<struct<id:bigint,n:bigint>>")
 
 
 def count_ids(tokens: DataFrame) -> list[tuple[int, int]]:
     """(id, how often it occurs) for all ids: at most one for each entry of the vocabulary comes to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, dtype=np.int64)
-        for block in blocks(batches, "ids", 16 << 20):
-            for width in set(block.column(1).to_pylist()):
-                there = block.filter(pc.equal(block.column(1), width)).column(0)
-                own = np.bincount(np.frombuffer(b"".join(there.to_pylist()), dtype=f"<u{width}"), minlength=len(counts))
-                own[: len(counts)] += counts
-                counts = own
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["id", "n"])
-
-    summed = tokens.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    summed = tokens.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
     return sorted((r["id"], r["n"]) for r in summed.collect())
 
 
@@ -358,50 +359,72 @@ def write_ids(tokens: DataFrame, folder: str, *, limit: int = LIMIT, block_token
     ).coalesce(1).write.parquet(f"{folder}/code")
     table = (np.array([i for i, _ in counts], dtype=np.int64), np.array(lengths, dtype=np.int64))
     kind = stored.schema["doc_id"].dataType.simpleString()
-    id_type = pa.schema([("x", _arrow(stored, "doc_id"))]).field("x").type
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(n for _, n in counts) / RANGE_TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, place, number = Code(*table), 0, 0
-        held: list[tuple[pa.Scalar, np.ndarray]] = []
-
-        def block() -> pa.RecordBatch:
-            nonlocal place, number
-            ids = np.concatenate([own for _, own in held])
+        for piece, doc_ids, sizes, ids in _in_blocks(batches, block_tokens):
             stream, offsets = code.encode(ids)
-            sizes = [len(own) for _, own in held]
-            made = pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array([piece], pa.int32()), pa.array([number], pa.int64()), pa.array([place], pa.int64()), pa.array([len(ids)], pa.int64()),
-                 pa.array([[i.as_py() for i, _ in held]], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())),
+                 pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
+                 pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes)),
                  pa.array([stream], pa.binary()), pa.array([offsets.astype("<i8").tobytes()], pa.binary())], names=names,
             )
             place, number = place + len(ids), number + 1
-            held.clear()
-            return made
-
-        waiting, piece = 0, 0
-        for batch in batches:
-            for part in blocks([batch], "ids", 4 << 20):
-                piece = part.column(2)[0].as_py()
-                for own, data, width in zip(part.column(0), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    ids = np.frombuffer(data, dtype=f"<u{width}")
-                    if held and waiting + len(ids) > block_tokens:
-                        yield block()
-                        waiting = 0
-                    held.append((own, ids))
-                    waiting += len(ids)
-        if held:
-            yield block()
 
     names = ["piece", "number", "place", "n_tokens", "doc_ids", "sizes", "stream", "checkpoints"]
     order = ["doc_id", "_hash", "_row"]
-    stored.withColumns({"_hash": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()}).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
+    stored.filter("counts IS NULL").withColumns({"_hash": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()}).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
         "doc_id", "ids", F.spark_partition_id().alias("piece"), "width"
     ).mapInArrow(
         run, f"piece int, number long, place long, n_tokens long, doc_ids array<{kind}>, sizes array<bigint>, stream binary, checkpoints binary"
     ).write.parquet(f"{folder}/blocks")
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """piece, document ids, sizes and ids of runs of whole documents with at most `most` ids (a longer one is alone)."""
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    waiting, piece = 0, 0
+
+    def block() -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
+        docs, sizes, ids = zip(*held, strict=True)
+        held.clear()
+        return piece, pa.concat_arrays(docs), np.concatenate(sizes), np.concatenate(ids)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        piece = batch.column(2)[0].as_py()
+        widths = batch.column(3).to_numpy()
+        lengths = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+        # rows of one width follow each other as one stretch of bytes
+        for first, last in _runs(widths):
+            part = batch.slice(first, last - first)
+            column = part.column(1)
+            begin = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
+            width, size = int(widths[first]), lengths[first:last] // int(widths[first])
+            whole = np.frombuffer(column.buffers()[2], dtype=f"<u{width}", count=int(size.sum()), offset=int(begin))
+            at, upto = 0, np.cumsum(size)
+            while at < len(size):
+                done = int(upto[at - 1]) if at else 0
+                end = max(int(np.searchsorted(upto, done + most - waiting, side="right")), at if held else at + 1)
+                if end > at:
+                    held.append((part.column(0).slice(at, end - at), size[at:end], whole[done: int(upto[end - 1])]))
+                    waiting += int(upto[end - 1]) - done
+                at = end
+                if at < len(size):  # the next document does not fit in
+                    yield block()
+                    waiting = 0
+    if held:
+        yield block()
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True))
+
+
 def _arrow(df: DataFrame, column: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
