@@ -86,15 +86,16 @@ def per_text(
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[bytes | None]], list[bool]], text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text `keep` accepts."""
+    """The rows, with all their columns, whose text `keep` accepts. Columns go by number, so they may have any names."""
     ship_package(docs.sparkSession)
+    at = docs.columns.index(text)
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
-            column = block.column(block.schema.get_field_index(text))
-            yield block.filter(pa.array(keep(binary(column)), pa.bool_()))
+        for block in blocks(batches, f"_{at}"):
+            yield block.filter(pa.array(keep(binary(block.column(at))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3) -> np.ndarray:

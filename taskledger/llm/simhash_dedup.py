@@ -9,7 +9,8 @@ returns one link from each fingerprint to the smallest one it is connected with
 pairs, so components stay whole. Components are then found over all links by alternating star contraction.
 
 Exact copies have one fingerprint and take part once. Texts without a word have fingerprint zero. Rows with a null id
-are linked like others but name no component; a component of such rows only has a null component_id.
+are linked like others but name no component; a component of such rows only has a null component_id. Texts are read in
+full, however long; an empty table has no components, and columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -197,41 +198,43 @@ def dedup_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def row_hashes(docs: DataFrame, text: str) -> tuple[Column, Column]:
-    """Hash of the text, and hash of all columns with which of them are null: together the key of a row's content."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    nested = [isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in docs.schema]
-    plain = [F.to_json(F.struct(c)) if deep else c for c, deep in zip(columns, nested, strict=True)]
-    return F.xxhash64(F.col(text)), F.xxhash64(*[c.isNull() for c in columns], *plain)
+def row_hashes(row: Column, schema: StructType, text: str) -> tuple[Column, Column]:
+    """Hash of the text, and hash of all fields of a row with which of them are null: together the key of its content."""
+    fields = [(row.getField(f.name), isinstance(f.dataType, (ArrayType, MapType, StructType))) for f in schema]
+    plain = [F.to_json(F.struct(c.alias("v"))) if deep else c for c, deep in fields]
+    return F.xxhash64(row.getField(text)), F.xxhash64(*[c.isNull() for c, _ in fields], *plain)
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest id, and of several with that id the
-    one with the smallest hashes of its text and of its columns. A null id comes after all others."""
-    by_text, by_row = row_hashes(docs, text)
+    one with the smallest hashes of its text and of its columns. A null id comes after all others.
+
+    Rows travel as one struct, so their columns may have any names. An empty table stays one.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = F.col("row")
+    by_text, by_row = row_hashes(whole, docs.schema, text)
+    keyed = packed.select("row", by_text.alias("by_text"), by_row.alias("by_row"))
     prints = written(
         per_text(
-            docs, lambda texts: [pa.array([fingerprint(t) for t in texts], pa.int64())], "fp long",
-            doc_id=doc_id, text=text, carry={"by_text": by_text, "by_row": by_row},
+            keyed.select(whole.getField(doc_id).alias("doc_id"), whole.getField(text).alias("text"), "by_text", "by_row"),
+            lambda texts: [pa.array([fingerprint(t) for t in texts], pa.int64())], "fp long",
+            carry={"by_text": F.col("by_text"), "by_row": F.col("by_row")},
         ).groupBy("fp", "doc_id", "by_text", "by_row").agg(F.count(F.lit(1)).alias("n")), "prints",
     )
-    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "by_text", "by_row", "n")
-    keys = ["_text_of_row", "_hash_of_row"]
+    least = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "by_text", "by_row", "n")
+    keys = ["by_text", "by_row"]
     first = written(
-        _classes(prints, row).groupBy("root").agg(F.min("first").alias("first")).select(
-            F.col("first.by_text").alias(keys[0]), F.col("first.by_row").alias(keys[1]), F.col("first.n").alias("n")
+        _classes(prints, least).groupBy("root").agg(F.min("first").alias("first")).select(
+            F.col("first.by_text").alias("by_text"), F.col("first.by_row").alias("by_row"), F.col("first.n").alias("n")
         ), "first-of-groups",
     )
     several = written(first.filter("n > 1").select(*keys), "first-of-copies")
-    keyed = docs.select("*", by_text.alias(keys[0]), by_row.alias(keys[1]))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     # one way of joining at every size: the keys of a small table would be broadcast, those of a large one not
-    once = keyed.join(first.filter("n = 1").select(*keys).hint("merge"), keys, "left_semi")
+    once = keyed.join(first.filter("n = 1").select(*keys).hint("merge"), keys, "left_semi").select("row")
     # equal rows: grouped by one value of both keys, so that they are combined before they are sent
-    copies = keyed.join(several, keys, "left_semi").groupBy(F.struct(*keys).alias("_key")).agg(
-        F.first(F.struct(*columns)).alias("_row")
-    ).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
-    return once.select(*columns).unionByName(copies)
+    copies = keyed.join(several, keys, "left_semi").groupBy(F.struct(*keys).alias("key")).agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(copies).select(*[whole.getField(c).alias(c) for c in docs.columns])
 
 
 @query()

@@ -55,6 +55,29 @@ def stage_last(spark, docs):
     return corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
 
 
+NAMES = ["meta.src", "_key_of_span", "_text_of_row", "_hash_of_row", "row", "key", "seeds", "contexts", "masked", "by_text", "_text", "_row", "value", "fp", "a b", "`x`"]
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = [n for n in NAMES if "`" not in n]
+    wide = docs.select("*", *[F.concat(F.lit(f"{i}-"), F.col("doc_id")).alias(n) for i, n in enumerate(names)], F.array("doc_id").alias("list"))
+    odd = wide.filter("doc_id % 20 = 0")
+    odd = odd.unionByName(odd.withColumn("text", F.lit(None).cast("string")).limit(3)).unionByName(odd.limit(2)).unionByName(
+        odd.withColumn("doc_id", F.lit(None).cast("long")).limit(2))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, FOLDER)
+        assert got.columns == odd.columns, name
+        rows = got.collect()
+        assert rows, name
+        for r in rows:
+            assert r["doc_id"] is None or all(r[n] == f"{i}-{r['doc_id']}" for i, n in enumerate(names)), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, FOLDER)
+    assert packed.count() >= odd.count()
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
