@@ -546,6 +546,85 @@ def test_jensen_shannon_bounds():
     assert quality_rules.jensen_shannon(p, p) == 0 and quality_rules.jensen_shannon(p, q) == 1
 
 
+def plain_distances(rows, least_documents):
+    """doc number -> {language: (class distance, word distance)}, counted without the document itself."""
+    vowels, consonants = "aeiou", "bcdfghjklmnpqrstvwxyz"
+
+    def kind(c):
+        for i, own in enumerate((vowels, consonants, vowels.upper() + consonants.upper())):
+            if c in own:
+                return i
+        for name, own in (("digit", "0123456789"), ("space", " \t\n\r\x0b\x0c"), ("end mark", ".!?"), ("punctuation", ",;:'\"()-"),
+                          ("symbol", "#*$%&|<>=+/\\_~^@[]{}`")):
+            if c in own:
+                return quality_rules.CLASSES.index(name)
+        return quality_rules.CLASSES.index("other letter" if ord(c) > 127 else "rest")
+
+    def distance(p, q):
+        def part(a, b):
+            return sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x > 0)
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        return math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+    chars, found = {}, {}
+    for i, text, lang, *_ in rows:
+        chars[i] = Counter(map(kind, text))
+        found[i] = Counter(WORD.findall(lower(text)))
+    langs = {lang for _, _, lang, *_ in rows if lang}
+    langs = {g for g in langs if sum(r[2] == g for r in rows) >= least_documents}
+    made = {}
+    for i, text, lang, *_ in rows:
+        made[i] = {}
+        for g in langs:
+            of = [r[0] for r in rows if r[2] == g]
+            all_chars, all_words = sum((chars[j] for j in of), Counter()), sum((found[j] for j in of), Counter())
+            common = sorted(all_words, key=lambda w: (-all_words[w], w.encode()))[: quality_rules.COMMON_WORDS]
+            out = lang == g
+            c = [all_chars[k] - out * chars[i][k] for k in range(len(quality_rules.CLASSES))]
+            w = [all_words[x] - out * found[i][x] for x in common]
+            w.append(sum(all_words.values()) - out * sum(found[i].values()) - sum(w))
+            own = [found[i][x] for x in common]
+            by_word = distance(w, [*own, sum(found[i].values()) - sum(own)]) if sum(found[i].values()) >= quality_rules.MIN_WORDS else None
+            by_class = distance(c, [chars[i][k] for k in range(len(quality_rules.CLASSES))]) if len(text) >= quality_rules.MIN_CHARS else None
+            made[i][g] = (by_class, by_word)
+    return made
+
+
+def test_distances_to_references(spark):
+    rng = random.Random(21)
+    rows = [(i, sentence(rng, ENGLISH if i % 2 else GERMAN, rng.randint(20, 150)), "en" if i % 2 else "de") for i in range(80)]
+    junk = "=+/ 0x7f %% {} qq zz" * 60
+    rows += [(100, junk, "en"), (101, junk, "zz"), (102, "the fox " * 40, None), (103, rows[3][1], "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality_rules.references(docs)
+    assert sorted(refs.languages) == ["de", "en"]
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, refs).collect()}
+    for i, by_language in plain_distances(rows, quality_rules.MIN_DOCUMENTS).items():
+        r = got[i]
+        if i in (101, 103):  # a language without a reference: by the base rules alone
+            assert r["nearest_language"] is None and r["class_distance"] is None and r["kept"] == (not r["base_failed"])
+            continue
+        near = min(by_language, key=lambda g: sum(x or 0 for x in by_language[g]))
+        assert r["nearest_language"] == near or by_language[near] == by_language[r["nearest_language"]]
+        for have, want in zip((r["class_distance"], r["word_distance"]), by_language[r["nearest_language"]], strict=True):
+            assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9)
+    assert not got[100]["kept"]  # also with the same text as the only one of its language
+
+
+def test_limits_are_fitted_to_good_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LEAST_GOOD", 20)
+    rng = random.Random(22)
+    rows = [(i, sentence(rng, ENGLISH, rng.randint(60, 150)), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (7, 1)], "doc_id long, quality int")
+    refs = quality_rules.references(docs)
+    good = [r for r in quality_rules.judge(docs, refs).collect() if r["doc_id"] % 2 and not r["base_failed"]]
+    for fitted, column in zip(quality_rules.fit_limits(docs, refs, labels), ("class_distance", "word_distance"), strict=True):
+        most = max(r[column] for r in good if r[column] is not None)
+        assert 0.9 * most < fitted <= most * quality_rules.MARGIN
+    assert quality_rules.fit_limits(docs, refs, labels.filter("quality = 0")) == (quality_rules.MAX_CLASS_DISTANCE, quality_rules.MAX_WORD_DISTANCE)
+
+
 def test_word_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 

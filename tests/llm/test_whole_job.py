@@ -105,7 +105,9 @@ def test_steps_of_training_in_parts_are_those_of_one(monkeypatch):
     assert np.allclose(whole.weights, parts.weights, atol=1e-5) and np.allclose(whole.transitions, parts.transitions)
 
 
-def test_every_language_has_a_reference_for_its_texts(spark):
+def test_every_language_has_a_reference_for_its_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MIN_DOCUMENTS", 3)
+    monkeypatch.setattr(quality_rules, "MIN_REFERENCE_CHARS", 500)
     rows = many_languages(70)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     refs = quality_rules.references(docs)
