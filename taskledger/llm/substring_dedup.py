@@ -11,7 +11,9 @@ A very frequent window is one entry for each block, however often it occurs. Has
 64-bit word hashes; two different windows among n collide with probability of about n^2 / 2^65.
 
 Null texts have no words. Texts shorter than a window lose nothing. Rows with the same id do not remove each other's
-windows. A null id counts as larger than all ids.
+windows. A null id counts as larger than all ids. Ids of any type that Spark orders will do; those that are no whole numbers
+are numbered first, which joins the texts with the numbers once. An empty table gives no rows; columns other than id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +28,17 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from taskledger.llm.common import binary, documents
+from taskledger.llm.merkle_manifest import numbered
 from taskledger.llm.registry import query
 from taskledger.session import ship_package
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
 BUCKET_WINDOWS = 1 << 21
+GROWS_FROM, MOST_GROWTH = 10 << 30, 4.0
 BYTES_PER_WORD = 6  # only to choose the number of buckets
 NO_ID = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -93,6 +98,25 @@ def _texts(column: pa.ChunkedArray) -> list[bytes | None]:
     return [t for chunk in column.chunks for t in binary(chunk)]
 
 
+def layout(total: int) -> tuple[int, int]:
+    """Number of blocks for so many bytes of text, and leading bits that choose a bucket.
+
+    A block sends an entry to each bucket. Both grow with the root of the input, to four times their size, so entries
+    stay long: beyond `GROWS_FROM` bytes their number grows with the input, not with its square, up to 16 times that.
+    """
+    factor = min(MOST_GROWTH, max(1.0, math.sqrt(total / GROWS_FROM)))
+    blocks = max(1, math.ceil(total / (BLOCK_BYTES * factor)))
+    return blocks, max(0, math.ceil(math.log2(max(1, total / BYTES_PER_WORD / (BUCKET_WINDOWS * factor)))))
+
+
+def _placed(narrow: DataFrame) -> DataFrame:
+    """id, doc_id (the id as a number, or its place among all ids in ascending order), _text."""
+    if isinstance(narrow.schema["id"].dataType, IntegralType):
+        return narrow.withColumn("doc_id", F.col("id").cast("long"))
+    ids = numbered(narrow.select("id").filter("id IS NOT NULL").distinct(), ["id"], "doc_id")
+    return narrow.join(ids, "id", "left")
+
+
 def remove_repeats(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, with_text: bool = False
 ) -> DataFrame:
@@ -100,10 +124,9 @@ def remove_repeats(
     exclusive) and, if asked for, kept_text (kept words joined by one space)."""
     spark = docs.sparkSession
     ship_package(spark)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    narrow = _placed(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("_text")))
     total = narrow.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    bits = max(0, math.ceil(math.log2(max(1, total / BYTES_PER_WORD / BUCKET_WINDOWS))))
+    n_blocks, bits = layout(total)
     dealt = narrow.withColumn("_block", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(n_blocks)).cast("long"))
 
     def send(table: pa.Table) -> pa.Table:
@@ -152,7 +175,7 @@ def remove_repeats(
         if known:
             elsewhere[np.searchsorted(distinct, np.concatenate(known))] = True
         rows = [_row(own, t, distinct, smallest, elsewhere, size, with_text) for own, t in zip(ids.tolist(), texts, strict=True)]
-        columns = [table.column("doc_id").combine_chunks()]
+        columns = [table.column("id").combine_chunks()]
         for i, kind in enumerate(_KINDS if with_text else _KINDS[:-1]):
             columns.append(pa.array([r[i] for r in rows], kind))
         return pa.Table.from_arrays(columns, names=_NAMES if with_text else _NAMES[:-1])
@@ -160,7 +183,8 @@ def remove_repeats(
     flags = dealt.groupBy("_block").applyInArrow(
         send, "bucket long, block long, floor long, hashes binary, ids binary"
     ).groupBy("bucket").applyInArrow(compare, "block long, earlier binary")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:long,last:long>>"
+    kind = narrow.schema["id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:long,last:long>>"
     return dealt.groupBy("_block").cogroup(flags.groupBy("block")).applyInArrow(
         settle, schema + (", kept_text string" if with_text else "")
     )

@@ -205,6 +205,21 @@ def test_repeats_are_removed_as_defined(docs, rows, nothing, monkeypatch):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_with_text_ids(docs, rows):
+    named = docs.selectExpr("'n' || lpad(doc_id, 9, '0') AS doc_id", "text", "lang AS `meta.lang`")
+    got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(named).collect()}
+    plain = substring_dedup.remove_repeats(docs).collect()
+    assert got == {(None if r["doc_id"] is None else f"n{r['doc_id']:09d}", r["n_words"], r["n_removed"], r["kept_sha256"]) for r in plain}
+
+
+def test_blocks_and_buckets_grow_with_the_root_of_the_input():
+    entries = []
+    for total in (1 << 30, 30 << 30, 160 << 30):
+        blocks, bits = substring_dedup.layout(total)
+        entries.append(blocks * 2**bits / total)
+    assert entries[2] < 12 * entries[1] and substring_dedup.layout(0) == (1, 0)
+
+
 # --- test items
 
 
