@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,24 +151,37 @@ class WordIds:
             for word, low in zip(text.split(), small.split(), strict=True)
         ]
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words one after the other, and how many each text has."""
+        small = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string()), ""))
+        if any(pc.any(pc.match_substring(small, a.decode())).as_py() for a in self.added):
+            split = [self._words(t) if t else [] for t in binary(texts)]
+            flat = list(itertools.chain.from_iterable(split))
+            rows = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+            return rows, np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        # each distinct word of the block is looked up once; white space at the start makes an empty word, which has no ids
+        lists = pc.ascii_split_whitespace(small)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        known = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        return known[coded.indices.to_numpy()], pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+    def __call__(self, texts: pa.Array | list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with its end id, and the number of ids of each."""
         if len(self.index) > CACHED_WORDS:
             self._forget()
-        split = [self._words(t) if t else [] for t in texts]
-        before, flat = len(self.index), list(itertools.chain.from_iterable(split))
-        rows = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        before = len(self.index)
+        rows, n_words = self._numbered(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
         if len(self.index) > before:
             self._learn(before)
         self.met += np.bincount(rows, minlength=len(self.met))
-        n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         size = self.size[rows]
         last = np.cumsum(size)
         ends = np.append(0, np.cumsum(n_words))
         per_text = np.diff(np.append(0, last)[ends])
         # every id moves on by the end ids of the texts before it
-        shift = np.repeat(np.arange(len(split)), per_text)
-        ids = np.full(int(size.sum()) + len(split), END_ID, dtype=np.uint32)
+        shift = np.repeat(np.arange(len(n_words)), per_text)
+        ids = np.full(int(size.sum()) + len(n_words), END_ID, dtype=np.uint32)
         at = np.arange(len(shift))
         ids[at + shift] = self.flat[np.repeat(self.begin[rows] - (last - size), size) + at]
         return ids, per_text + 1
@@ -194,7 +208,7 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(path)
         for block in blocks(batches, "_text", 2 << 20):
-            ids, sizes = encode(binary(block.column(1)))
+            ids, sizes = encode(block.column(1))
             data = memoryview(ids.astype("<u4").tobytes())
             counts = -(-sizes // sequence)
             row = np.repeat(np.arange(len(sizes)), counts)
