@@ -225,13 +225,16 @@ def split_valid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""SELECT s_suppkey AS id, sha256(s_name || chr(10)) AS digest, octet_length(encode(s_name)) + 1 AS size,
-  'text/plain' AS mime_type FROM supplier""", name="blob_source")
+@query("""SELECT s_suppkey AS id, sha256(s_suppkey || ' ' || s_name || chr(10)) AS digest,
+    octet_length(encode(s_suppkey || ' ' || s_name)) + 1 AS size, 'text/plain' AS mime_type FROM supplier
+  UNION ALL SELECT NULL, sha256(''), 0, 'text/plain'""", name="blob_source")
 def blob_source_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier names written as one text file each, and read back as content-addressed rows."""
+    """Suppliers written as one text file each in one folder, and a file without content, read back as content-addressed
+    rows."""
     folder = fresh_path(spark, "files")
-    source_table(spark, sf, "supplier").select("s_suppkey", "s_name").repartition("s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    lines = source_table(spark, sf, "supplier").select(F.concat_ws(" ", "s_suppkey", "s_name").alias("line"))
+    lines.write.option("maxRecordsPerFile", 1).text(f"{folder}/names")
+    lines.limit(0).write.text(f"{folder}/none")
     found = blob_source(spark, f"{folder}/*/*.txt")
-    return found.select(
-        F.regexp_extract("path", "s_suppkey=([0-9]+)/", 1).cast("long").alias("id"), "digest", "size", "mime_type"
-    )
+    number = F.nullif(F.regexp_extract(F.col("content").cast("string"), "^([0-9]+) ", 1), F.lit(""))
+    return found.select(number.cast("long").alias("id"), "digest", "size", "mime_type")

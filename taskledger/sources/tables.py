@@ -80,23 +80,31 @@ def log_source_stream(
     return reader.parquet(path)
 
 
+def empty_files(spark: SparkSession, glob: str) -> list[str]:
+    """Paths of the files of zero length that a glob of files names, on whatever store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [f.getPath().toString() for f in found if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._"]
+
+
 def blob_source(spark: SparkSession, glob: str) -> DataFrame:
-    """Files as content-addressed rows. Spark splits the work by file; content stays in its task.
+    """Files as content-addressed rows. Small files share a task, and content stays in it.
 
-    As with all of Spark's file sources, files of zero length do not show up.
+    Spark's file source leaves out files of zero length; they are rows from the listing.
     """
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     # File name endings with a known type.
     known = {"txt": "text/plain", "json": "application/json", "html": "text/html", "csv": "text/csv",
              "png": "image/png", "cbor": "application/cbor"}
     types = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return (
-        spark.read.format("binaryFile").load(glob)
-        .select(
-            "path",
-            F.sha2("content", 256).alias("digest"),
-            F.col("length").alias("size"),
-            F.coalesce(F.try_element_at(types, ext), F.lit("application/octet-stream")).alias("mime_type"),
-            "content",
-        )
+    files = spark.read.format("binaryFile").load(glob).select("path", "length", "content")
+    empty = spark.createDataFrame([(p,) for p in empty_files(spark, glob)], "path string").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")
+    )
+    return files.unionByName(empty).select(
+        "path",
+        F.sha2("content", 256).alias("digest"),
+        F.col("length").alias("size"),
+        F.coalesce(F.try_element_at(types, ext), F.lit("application/octet-stream")).alias("mime_type"),
+        "content",
     )

@@ -148,6 +148,20 @@ def _decide(entries: DataFrame, target: str, epoch: int) -> tuple[DataFrame, Dat
     return arrivals, accepted
 
 
+def _digest_bucket() -> Column:
+    return F.substring("digest", 1, 2)
+
+
+def _not_stored(blobs: DataFrame, path: str, epoch: int) -> DataFrame:
+    """Blobs whose content no earlier micro-batch has stored: only digests are read, of the buckets asked for."""
+    asked = [r[0] for r in blobs.select(_digest_bucket()).distinct().collect()]  # 256 at most
+    if epoch == 0 or not asked:
+        return blobs
+    stored = blobs.sparkSession.read.schema("digest string, epoch bigint, bucket string").option("basePath", path).parquet(path)
+    known = stored.filter((F.col("epoch") < epoch) & F.col("bucket").isin(asked)).select("digest")
+    return blobs.join(known, "digest", "left_anti")
+
+
 def _entries(batch: DataFrame) -> DataFrame:
     """The micro-batch, stored; an append without a name or attempt has an empty name and attempt 0.
 
@@ -166,7 +180,7 @@ def append_log_sink(
     micro-batch (write each batch as one file); a later part would be another batch under the same name. An entry
     without an append id is a batch of its own. Batches that break a rule are rejected as a whole and get no numbers.
     Below `target`: records, outcomes (one per batch and attempt, with the reason of a rejection), ledger (accepted
-    batches), ends and blobs (spilled values), each in folders `epoch=N`.
+    batches), ends and blobs (spilled values, each content once), each in folders `epoch=N`.
     """
 
     def append(batch: DataFrame, epoch: int) -> None:
@@ -181,7 +195,8 @@ def append_log_sink(
         )
         inline, blobs = spill_large_values(records, "value", inline_limit)
         inline.write.mode("overwrite").parquet(f"{target}/records/epoch={epoch}")
-        blobs.write.mode("overwrite").parquet(f"{target}/blobs/epoch={epoch}")
+        fresh = _not_stored(written(blobs, "spilled"), f"{target}/blobs", epoch)
+        fresh.withColumn("bucket", _digest_bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/blobs/epoch={epoch}")
 
     return _each_batch(stream, checkpoint, append)
 

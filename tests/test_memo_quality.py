@@ -48,9 +48,12 @@ def test_nested_references(spark, rows):
 def test_blob_source(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"hello")
     (tmp_path / "b").write_bytes(b"\0\1")
+    (tmp_path / "none.json").write_bytes(b"")
+    (tmp_path / "_hidden").write_bytes(b"")
     got = {r.path.rsplit("/", 1)[1]: (r.digest, r.size, r.mime_type) for r in blob_source(spark, f"{tmp_path}/*").collect()}
     assert got == {"a.txt": (hashlib.sha256(b"hello").hexdigest(), 5, "text/plain"),
-                   "b": (hashlib.sha256(b"\0\1").hexdigest(), 2, "application/octet-stream")}
+                   "b": (hashlib.sha256(b"\0\1").hexdigest(), 2, "application/octet-stream"),
+                   "none.json": (hashlib.sha256(b"").hexdigest(), 0, "application/json")}
 
 
 def test_load_tables(spark, tmp_path):

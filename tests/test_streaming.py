@@ -27,15 +27,17 @@ def test_append_sink_over_several_batches_and_a_restart(spark, tmp_path):
     live.append_log_sink(open_stream(spark, src, ENTRY), target, state, inline_limit=3).awaitTermination()
     # A replay, a conflict, an unnamed batch and a large value come in later micro-batches.
     put(spark, src, ENTRY, [entry(1, "s", "a", 2, 3, "x"), entry(1, "s", "a", 2, 4, "y"), entry(1, "s", "b", 1, 5, "long value")], 2)
-    put(spark, src, ENTRY, [entry(1, "s", "a", 3, 6, "other"), entry(2, "s", "", 1, 7, "z")], 3)
+    put(spark, src, ENTRY, [entry(1, "s", "a", 3, 6, "other"), entry(2, "s", "", 1, 7, "z"), entry(1, "s", "c", 1, 8, "long value"),
+                            entry(1, "s", "d", 1, 9, "long other")], 3)
     live.append_log_sink(open_stream(spark, src, ENTRY), target, state, inline_limit=3).awaitTermination()
     live.append_log_sink(open_stream(spark, src, ENTRY), target, state, inline_limit=3).awaitTermination()
     records = {(r.run_id, r.seq): (r.value, r.value_uri is not None) for r in spark.read.parquet(f"{target}/records").collect()}
-    assert records == {(1, 1): ("x", False), (1, 2): ("y", False), (1, 3): (None, True), (2, 1): ("z", False), (2, 2): ("z", False)}
+    assert records == {(1, 1): ("x", False), (1, 2): ("y", False), (1, 3): (None, True), (1, 4): (None, True), (1, 5): (None, True), (2, 1): ("z", False), (2, 2): ("z", False)}
     outcomes = sorted((r.append_id, r.epoch, r.outcome, r.first_seq or 0) for r in spark.read.parquet(f"{target}/outcomes").collect())
     assert ("a", 1, "replay", 1) in outcomes and ("a", 2, "conflict", 0) in outcomes
-    assert [o for *_, o, _ in outcomes].count("appended") == 4
-    assert spark.read.parquet(f"{target}/blobs").count() == 1
+    assert [o for *_, o, _ in outcomes].count("appended") == 6
+    # content of an earlier micro-batch is not stored again
+    assert sorted((r.epoch, r.content) for r in spark.read.parquet(f"{target}/blobs").collect()) == [(1, "long value"), (2, "long other")]
 
 
 def test_numbers_go_on_across_batches(spark, tmp_path):
