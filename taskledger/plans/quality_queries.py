@@ -9,6 +9,7 @@ from taskledger.functions import expr as X
 from taskledger.operators import blobs
 from taskledger.operators import quality as ops
 from taskledger.plans.registry import query
+from taskledger.plans.relations import frame
 from taskledger.session import fresh_path, written
 from taskledger.sources import fixtures as fx
 from taskledger.sources.tables import blob_source, source_table
@@ -144,6 +145,52 @@ def validate_environments(spark: SparkSession, sf: str) -> DataFrame:
     return ops.validate_environments(declared, ["k"])
 
 
+def _f(expr: str) -> str:
+    return frame(f"({expr})::VARCHAR")
+
+
+_EMPTY = "''"
+_CANONICAL = " || ".join([
+    _f("s_nationkey"), _f("name"), _f("uri"), _f("'docker'"), _f("reference"), _f("cpu"), _f("memory"),
+    _f("2"), _f("'A_' || k"), _f("s_name"), _f("'B'"), _f(_EMPTY), _f(_EMPTY), _f("0"), _f(_EMPTY),
+    _f("2"), _f("'env-1'"), _f("s_nationkey"), _f("digest"), _f("'env-2'"), _f("s_nationkey"), _f("digest"),
+    _f("1"), _f("2"), _f("'python'"), _f("s_name"), _f("k % 3"), _f("'false'"), _f(_EMPTY),
+])
+
+
+@query(f"""WITH declared AS (SELECT *, s_suppkey AS k, lower(s_name) AS name, sha256(s_name) AS digest,
+    'blob:{ops.ARCHIVE_MIME},' || to_base64(unhex(sha256(s_name))) AS uri, CASE WHEN s_acctbal >= 0 THEN 'image:' || s_suppkey ELSE '' END AS reference,
+    CASE WHEN s_suppkey % 4 = 0 THEN 1000 ELSE s_suppkey % 4 END AS cpu, CASE WHEN s_suppkey % 5 = 0 THEN 1073741824 ELSE s_suppkey % 5 END AS memory FROM supplier)
+  SELECT k, sha256(unhex({_CANONICAL})) AS version, 1 AS versions, 2 AS spellings FROM declared""")
+def canonical_environment(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier as an environment in two spellings: variables and dependencies in another order, defaults given or not."""
+    k, space, digest = F.col("s_suppkey"), F.col("s_nationkey").cast("string"), F.sha2("s_name", 256)
+    deps = [F.struct(space.alias("namespace_id"), F.lit(f"env-{i}").alias("name"), digest.alias("version")) for i in (1, 2)]
+    a, b = (F.concat(F.lit("A_"), k.cast("string")), F.col("s_name")), (F.lit("B"), F.lit(""))
+    entry = F.struct(F.array(F.lit("python"), F.col("s_name")).alias("command"), F.lit(None).cast("boolean").alias("cache"),
+                     F.lit(None).cast("string").alias("task_version"), (k % 3).alias("max_attempts"))
+    source = X.blob_uri(F.lit(ops.ARCHIVE_MIME), digest)
+
+    def spelled(first: bool) -> DataFrame:
+        none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+        reference = F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("image:"), k.cast("string")))
+        cpu, memory = k % 4, k % 5
+        return source_table(spark, sf, "supplier").select(
+            k.alias("k"), space.alias("namespace_id"), F.lower("s_name").alias("name"), source.alias("source_uri"), F.lit("docker").alias("provider"),
+            (reference if first else F.coalesce(reference, F.lit(""))).alias("reference"), (none if first else F.lit("")).alias("build_context_uri"),
+            (F.lit(None).cast("array<string>") if first else F.array().cast("array<string>")).alias("build_command"), (none if first else F.lit("")).alias("workdir"),
+            (F.nullif(cpu, zero) if first else F.when(cpu == 0, ops.DEFAULT_CPU).otherwise(cpu)).alias("cpu_millis"),
+            (memory if first else F.when(memory == 0, ops.DEFAULT_MEMORY).otherwise(memory)).cast("long").alias("memory_bytes"),
+            (F.create_map(*a, *b) if first else F.create_map(*b, *a)).alias("env_vars"), F.array(*(deps if first else reversed(deps))).alias("dependencies"),
+            F.array(entry).alias("entrypoints"),
+        )
+
+    both = spelled(True).unionByName(spelled(False))
+    return ops.canonical_environment(both).groupBy("k").agg(
+        F.min("version").alias("version"), F.count_distinct("version").cast("int").alias("versions"), F.count(F.lit(1)).cast("int").alias("spellings"),
+    )
+
+
 @query("""WITH listed AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer) """ + rules_sql("listed", "c_custkey", {
     "slug": "true", "path": "c_mktsegment = 'BUILDING'", "value size": "c_acctbal < 0", "name": "c_mktsegment = 'MACHINERY'",
 }))

@@ -185,3 +185,22 @@ def test_constraints_meet_in_one_shuffle(spark):
     rules.refers("task_actions", ["id"], "runs", {"run_id": "id"}, "run exists")
     plan = rules.met()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_environments_spelled_in_two_ways_have_one_version(spark):
+    name = "blob:" + quality.ARCHIVE_MIME + "," + base64.b64encode(hashlib.sha256(b"a").digest()).decode()
+    schema = (
+        "id int, namespace_id string, name string, source_uri string, provider string, reference string, build_context_uri string, "
+        "build_command array<string>, workdir string, cpu_millis bigint, memory_bytes bigint, env_vars map<string,string>, "
+        "dependencies array<struct<namespace_id:string,name:string,version:string>>, "
+        "entrypoints array<struct<command:array<string>,cache:boolean,task_version:string,max_attempts:bigint>>"
+    )
+    entry, deps = [(["run", "x"], None, None, 2)], [("n", "a", "1"), ("n", "b", "2")]
+    first = (1, "n", "env", name, "local", None, name, ["make"], ".", None, 0, {"A": "1", "B": "2"}, deps, entry)
+    same = (2, "n", "env", name, "local", "", name, ["make"], ".", 1000, 2**30, {"B": "2", "A": "1"}, deps[::-1], [(["run", "x"], False, "", 2)])
+    others = [
+        (3, *first[1:7], ["ma", "ke"], *first[8:]), (4, *first[1:11], {"A": "12", "B": ""}, *first[12:]), (5, *first[1:9], 1001, *first[10:]),
+        (6, *first[1:13], [*entry, *entry]), (7, *first[1:12], None, entry), (8, *first[1:5], "r", *first[6:]),
+    ]
+    got = {r["id"]: r["version"] for r in quality.canonical_environment(spark.createDataFrame([first, same, *others], schema)).collect()}
+    assert got[1] == got[2] and len(set(got.values())) == 7 and None not in got.values()
