@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from taskledger.llm import (
     decontamination, language_id, lm_scoring, packing, pii, quality_classifier, quality_rules, simhash_dedup,
@@ -389,6 +390,59 @@ def test_base_scores_and_counts_are_exact(docs, rows, nothing):
     assert all(r["score"] < 0 and r["n_known"] == 0 for r in lm_scoring.score(docs, empty).collect())
 
 
+def plain_repeats(tokens, prior):
+    """log10 cost of the repeat bits, and which tokens are spelled, token by token."""
+    last, tried, right, state, cost, spelled = {}, Counter(), Counter(), (0, 0), 0.0, []
+    for i, token in enumerate(tokens):
+        at = last.get(tokens[i - 1]) if i else None
+        bit = 0
+        if at is not None:
+            agree = 1
+            while agree < lm_scoring.MATCHES and i > agree and at > agree and tokens[i - agree - 1] == tokens[at - agree - 1]:
+                agree += 1
+            cell = (agree - 1) * 4 + state[0] * 2 + state[1]
+            p = (lm_scoring.OWN_WEIGHT * prior[cell] + right[cell]) / (lm_scoring.OWN_WEIGHT + tried[cell])
+            bit = int(tokens[at] == token)
+            cost += math.log10(p if bit else 1 - p)
+            tried[cell] += 1
+            right[cell] += bit
+        if not bit:
+            spelled.append(i)
+        if i:
+            last[tokens[i - 1]] = i
+        state = (bit, state[0])
+    return cost, spelled
+
+
+def test_repeat_bits_against_a_plain_version():
+    rng = np.random.default_rng(5)
+    lengths = np.array([1, 40, 0, 300, 2, 90])
+    ids = rng.integers(0, 7, lengths.sum())
+    prior = rng.uniform(0.05, 0.9, lm_scoring.REPEAT_CELLS)
+    there, hit, cell = lm_scoring.repeats(ids, lengths)
+    chance = lm_scoring.repeat_chances(there, hit, cell, lengths, prior)
+    ends = np.cumsum(lengths)
+    for a, b in zip(ends - lengths, ends, strict=True):
+        cost, spelled = plain_repeats(ids[a:b].tolist(), prior)
+        own = np.where(there[a:b], np.log10(np.where(hit[a:b], chance[a:b], 1 - chance[a:b])), 0).sum()
+        assert abs(own - cost) < 1e-9
+        assert np.flatnonzero(~hit[a:b]).tolist() == spelled
+
+
+def test_the_order_of_words_counts(spark):
+    rng = random.Random(30)
+    phrase = [f"w{i}" for i in range(12)]
+    texts = [" ".join(phrase * 4), " ".join(rng.sample(phrase * 4, 48)), " ".join(f"z{i}" for i in range(48))]
+    learned = [(100 + i, sentence(rng, ENGLISH, 40)) for i in range(30)]
+    docs = spark.createDataFrame([*enumerate(texts), *learned], "doc_id long, text string")
+    counted = lm_scoring.learn(docs, F.col("doc_id") >= 100)
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, counted).collect()}
+    assert got[0]["score"] > got[1]["score"] + 5
+    for i, text in enumerate(texts):
+        size = sum(len(w) + 1 for w in text.split()) + 1
+        assert abs(got[i]["bits_per_byte"] * size + got[i]["score"] * math.log2(10)) < 1e-6
+
+
 def test_bytes_share_a_probability_of_one():
     rng = np.random.default_rng(3)
     tables = {name: rng.integers(0, 1 << 16, 1 << bits, dtype=np.uint16) for name, bits in lm_scoring.TABLES.items()}
