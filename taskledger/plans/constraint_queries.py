@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from taskledger.operators import quality as ops
 from taskledger.plans.registry import query
-from taskledger.session import written
+from taskledger.session import fresh_path, written
 from taskledger.sources import fixtures as fx
-from taskledger.sources.tables import source_table
+from taskledger.sources.tables import SCHEMAS, source_table
+from taskledger.sources.tables import load_tables as read_tables
 
 #: Each relation as the check sees it.
 STORED = """WITH s_env AS (SELECT id, CASE WHEN id % 23 = 3 THEN -1 ELSE namespace_id END AS namespace_id, name,
@@ -93,9 +97,8 @@ _RULES = [
 ]
 
 
-@query(STORED + " UNION ALL ".join(_RULES))
-def check_table_constraints(spark: SparkSession, sf: str) -> DataFrame:
-    """All thirteen relations, every row of them."""
+def stored_relations(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The thirteen relations of STORED."""
     number = F.col("id")
     environments = fx.environments(spark, sf).select(
         "id", F.when(number % 23 == 3, -1).otherwise(F.col("namespace_id")).alias("namespace_id"), "name",
@@ -155,9 +158,44 @@ def check_table_constraints(spark: SparkSession, sf: str) -> DataFrame:
         "id", "image_key", F.when(number % 43 == 0, "lost").otherwise(status).alias("status"),
         F.when(number % 47 == 0, "").otherwise(F.col("artifact_uri")).alias("artifact_uri"),
     )
-    return ops.check_table_constraints({
+    return {
         "namespaces": fx.namespaces(spark, sf), "settings": fx._setting_rows(spark, sf), "task_environments": environments,
         "image_builds": images, "task_cache": cache, "runs": written(runs, "runs"), "task_actions": actions, "task_action_edges": edges,
         "run_log_streams": written(streams, "streams"), "run_log_records": stored, "run_log_appends": written(appends, "appends"),
         "blobs": blobs, "blob_uploads": uploads,
-    })
+    }
+
+
+@query(STORED + " UNION ALL ".join(_RULES))
+def check_table_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    """All thirteen relations, every row of them."""
+    return ops.check_table_constraints(stored_relations(spark, sf))
+
+
+#: Where the check has each relation, and a column to compare.
+_PLACES = {
+    "namespaces": ("namespaces", "id"), "settings": ("setting_rows", "path"), "task_environments": ("s_env", "id"),
+    "image_builds": ("s_images", "id"), "task_cache": ("s_cache", "cache_key"), "runs": ("s_runs", "id"),
+    "task_actions": ("s_actions", "id"), "task_action_edges": ("s_edges", "source_action_id"), "run_log_streams": ("s_streams", "stream"),
+    "run_log_records": ("s_records", "stream"), "run_log_appends": ("s_appends", "append_id"), "blobs": ("s_blobs", "sha256"),
+    "blob_uploads": ("s_uploads", "session_id"),
+}
+
+
+@query(STORED + " UNION ALL ".join(
+    f"SELECT '{relation}' AS relation, count(*) AS n, min({key}::VARCHAR) AS first, max({key}::VARCHAR) AS last FROM {source}"
+    for relation, (source, key) in _PLACES.items()))
+def load_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """All relations stored in their own types, one folder each, and loaded again."""
+    folder = fresh_path(spark, "relations")
+    for relation, df in stored_relations(spark, sf).items():
+        df.select(*[
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in StructType.fromDDL(SCHEMAS[relation]).fields
+        ]).write.parquet(f"{folder}/{relation}")
+    loaded = read_tables(spark, folder)
+    return reduce(DataFrame.unionByName, [
+        loaded[relation].agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).select(
+            F.lit(relation).alias("relation"), "n", "first", "last")
+        for relation, (_, key) in _PLACES.items()
+    ])

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from taskledger.functions import expr as X
 from taskledger.operators import blobs, logs
@@ -14,8 +13,7 @@ from taskledger.plans.registry import query
 from taskledger.plans.relations import frame
 from taskledger.session import fresh_path, written
 from taskledger.sources import fixtures as fx
-from taskledger.sources.tables import SCHEMAS, log_source_batch, log_source_stream, source_table
-from taskledger.sources.tables import load_tables as read_tables
+from taskledger.sources.tables import log_source_batch, log_source_stream, source_table
 from taskledger.streaming import logs as live
 
 
@@ -23,39 +21,6 @@ def _text_key(df: DataFrame) -> DataFrame:
     return df.withColumn("key", F.decode("key", "UTF-8"))
 
 
-_STORED = {
-    "namespaces": ("namespaces", "id"), "settings": ("settings", "path"), "environments": ("task_environments", "id"),
-    "runs": ("runs", "id"), "actions": ("task_actions", "id"), "edges": ("task_action_edges", "source_action_id"),
-    "image_builds": ("image_builds", "id"),
-}
-
-
-@query(" UNION ALL ".join(
-    f"SELECT '{stored}' AS relation, count(*) AS n, min({key}::VARCHAR) AS first, max({key}::VARCHAR) AS last FROM {name}"
-    for name, (stored, key) in _STORED.items()))
-def load_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The relations stored in their own types, one folder each, and loaded again."""
-    makers = {
-        "namespaces": fx.namespaces, "settings": fx.settings, "environments": fx.environments, "runs": fx.runs,
-        "actions": fx.actions, "edges": fx.edges, "image_builds": fx.image_builds,
-    }
-    folder = fresh_path(spark, "relations")
-    for name, make in makers.items():
-        stored = _STORED[name][0]
-        df = make(spark, sf)
-        df.select(*[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in StructType.fromDDL(SCHEMAS[stored]).fields
-        ]).write.parquet(f"{folder}/{stored}")
-    loaded = read_tables(spark, folder, [stored for stored, _ in _STORED.values()])
-    parts = [
-        loaded[stored].agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).select(
-            F.lit(stored).alias("relation"), "n", "first", "last")
-        for stored, key in _STORED.values()
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @query("SELECT run_id, stream, ord, key, value FROM log_entries WHERE stream IN ('click', 'view')", name="log_source_batch")
 def log_source_batch_streams(spark: SparkSession, sf: str) -> DataFrame:
     found = log_source_batch(fx.log_entries(spark, sf), streams=["click", "view"])
@@ -369,6 +334,16 @@ def checkpoint_keys(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""WITH timed AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * (epoch_us(ts) * 1000 + event_id % 1000) AS nanos FROM events)
+  SELECT event_id, (nanos - (nanos % 1000 + 1000) % 1000) // 1000 AS micros FROM timed""")
+def event_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of nanoseconds, some of them before 1970."""
+    number = F.col("event_id")
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + number % 1000
+    time = X.nanos_to_time(F.when(number % 3 == 0, -nanos).otherwise(nanos))
+    return source_table(spark, sf, "events").select("event_id", F.unix_micros(time).alias("micros"))
+
+
 # Streams ---------------------------------------------------------------------------------------------
 
 
