@@ -159,8 +159,10 @@ class WordIds:
             flat = list(itertools.chain.from_iterable(split))
             rows = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
             return rows, np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        # each distinct word of the block is looked up once; white space at the start makes an empty word, which has no ids
-        lists = pc.ascii_split_whitespace(small)
+        # each distinct word of the block is looked up once; white space beside other makes empty words, which have no ids
+        for white in "\t\n\x0b\x0c\r":
+            small = pc.replace_substring(small, white, " ")
+        lists = pc.split_pattern(small, " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary()).to_pylist()
         known = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))

@@ -421,6 +421,11 @@ def test_repeat_bits_against_a_plain_version():
     prior = rng.uniform(0.05, 0.9, lm_scoring.REPEAT_CELLS)
     there, hit, cell = lm_scoring.repeats(ids, lengths)
     chance = lm_scoring.repeat_chances(there, hit, cell, lengths, prior)
+    cut = list(lm_scoring.text_parts(lengths, 60))
+    assert [t for texts, _ in cut for t in range(texts.start, texts.stop)] == list(range(6)) and len(cut) > 2
+    for texts, tokens in cut:
+        part = lm_scoring.repeats(ids[tokens], lengths[texts])
+        assert all((p == whole[tokens]).all() for p, whole in zip(part, (there, hit, cell), strict=True))
     ends = np.cumsum(lengths)
     for a, b in zip(ends - lengths, ends, strict=True):
         cost, spelled = plain_repeats(ids[a:b].tolist(), prior)
@@ -701,7 +706,7 @@ def test_word_ids_are_those_of_the_tokenizer():
     tokenizer, store = Tokenizer.from_file(path), packing.WordIds(path)
     assert store.plain_letters
     rng = random.Random(12)
-    parts = ["thing", "É", "é", "ß", "İ", "ſ", "ñ", "ª", "é", "中", "9", "42", ".", ",", "..", "'s", "'LL", "don't", "A", "|", "#", " ", "ŉ", "ǆ", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>"]
+    parts = ["thing", "É", "é", "à", "\u0085", "Å\u00a0", "\t", "\n", "ß", "İ", "ſ", "ñ", "ª", "é", "中", "9", "42", ".", ",", "..", "'s", "'LL", "don't", "A", "|", "#", " ", "ŉ", "ǆ", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>"]
     texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(30)) for _ in range(300)]
     ids, sizes = store([t.encode() for t in texts])
     at = 0
