@@ -153,7 +153,9 @@ class WordIds:
 
     def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words one after the other, and how many each text has."""
-        small = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string()), ""))
+        plain = pc.fill_null(texts if pa.types.is_large_string(texts.type) else texts.cast(pa.string()).cast(pa.large_string()), "")
+        # copied first: the kernel misplaces the characters of an array that is a slice of another
+        small = pc.ascii_lower(pa.concat_arrays([plain, pa.array([], pa.large_string())]))
         if any(pc.any(pc.match_substring(small, a.decode())).as_py() for a in self.added):
             split = [self._words(t) if t else [] for t in binary(texts)]
             flat = list(itertools.chain.from_iterable(split))

@@ -15,8 +15,6 @@ longer document is alone in one, and is coded and decoded in slices. Other colum
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import itertools
 import math
 import os
@@ -30,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskledger.llm.common import blocks, documents
+from taskledger.llm.common import blocks, documents, give_back_memory
 from taskledger.llm.packing import vocabulary_path
 from taskledger.llm.registry import query
 from taskledger.session import fresh_path, ship_package, written
@@ -211,11 +209,7 @@ def release() -> None:
     """Clear the stores of this worker and give their memory back to the system."""
     for store in _stores.values():
         store.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    give_back_memory()
 
 
 def token_ids(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -708,6 +709,14 @@ def test_word_ids_are_those_of_the_tokenizer():
     rng = random.Random(12)
     parts = ["thing", "É", "é", "à", "\u0085", "Å\u00a0", "\t", "\n", "ß", "İ", "ſ", "ñ", "ª", "é", "中", "9", "42", ".", ",", "..", "'s", "'LL", "don't", "A", "|", "#", " ", "ŉ", "ǆ", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>"]
     texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(30)) for _ in range(300)]
+    column = pa.array(texts)
+    for first, n in ((0, 300), (7, 41), (291, 9)):
+        ids, sizes = packing.WordIds(path)(column.slice(first, n))
+        assert ids.tolist() == [i for t in texts[first: first + n] for i in (*tokenizer.encode(t, add_special_tokens=False).ids, 0)]
+    plain = pa.array([t.replace("<|", "<") for t in texts])  # without added tokens: words by columns
+    for first, n in ((0, 300), (7, 41), (291, 9)):
+        ids, sizes = packing.WordIds(path)(plain.slice(first, n))
+        assert ids.tolist() == [i for t in plain.slice(first, n).to_pylist() for i in (*tokenizer.encode(t, add_special_tokens=False).ids, 0)]
     ids, sizes = store([t.encode() for t in texts])
     at = 0
     for text, size in zip(texts, sizes.tolist(), strict=True):

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,17 @@ def test_files_give_back_all_ids_in_order(spark, tmp_path):
         place, last = place + n, doc_id
 
 
+def test_part_ids_of_slices():
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path(token_files.VOCABULARY)
+    tokenizer, texts = Tokenizer.from_file(path), [r[1] for r in token_rows()[:250]]
+    column = pa.array(texts)
+    for first, n in ((0, 250), (13, 60), (240, 10)):
+        ids, _ = token_files.PartIds(path)(column.slice(first, n))
+        assert ids.tolist() == [i for t in texts[first: first + n] for i in (*tokenizer.encode(t, add_special_tokens=False).ids, 0)]
+
+
 def test_files_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     token_files.write_ids(token_files.token_ids(table(spark, []), path=vocabulary_path(token_files.VOCABULARY)), path)
