@@ -700,6 +700,38 @@ def test_limits_are_fitted_to_good_texts(spark, monkeypatch):
     assert quality_rules.fit_limits(docs, refs, labels.filter("quality = 0")) == (quality_rules.MAX_CLASS_DISTANCE, quality_rules.MAX_WORD_DISTANCE)
 
 
+def test_limits_come_from_all_good_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "GOOD_SAMPLE", 5, raising=False)
+    monkeypatch.setattr(quality_rules, "LEAST_GOOD", 20)
+    monkeypatch.setattr(quality_rules, "FEW_VALUES", 3, raising=False)
+    monkeypatch.setattr(quality_rules, "RANGES", 4, raising=False)
+    rng = random.Random(23)
+    rows = [(i, sentence(rng, ENGLISH, rng.randint(60, 150)), "en") for i in range(50)] + [(3, "too short", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(50)], "doc_id long, quality int")
+    refs = quality_rules.references(docs)
+    judged = quality_rules.judge(docs, refs)
+    good = [r for r in judged.collect() if r["doc_id"] < 40 and not r["base_failed"]]
+    expected = tuple(
+        float(np.quantile([r[c] for r in good if r[c] is not None], quality_rules.KEPT_SHARE)) * quality_rules.MARGIN
+        for c in ("class_distance", "word_distance")
+    )
+    assert quality_rules.fit_limits(docs, refs, labels) == pytest.approx(expected, rel=1e-12)
+    assert quality_rules.fit_limits(docs, refs, labels, judged=judged) == pytest.approx(expected, rel=1e-12)
+    limits = dict(zip(("max_class_distance", "max_word_distance"), (0.05, 0.3), strict=True))
+    assert found(quality_rules.within(judged, *limits.values())) == found(quality_rules.judge(docs, refs, **limits))
+
+
+@pytest.mark.parametrize("values", [[], [None, 1.0], [0.5] * 30, [0.0, 1.0], [i % 7 / 7 for i in range(40)] + [None] * 5])
+def test_quantiles_are_exact(spark, monkeypatch, values):
+    monkeypatch.setattr(quality_rules, "FEW_VALUES", 2)
+    monkeypatch.setattr(quality_rules, "RANGES", 4)
+    have = [v for v in values if v is not None]
+    for share in (0.0, 0.6, 0.999):
+        n, got = quality_rules.quantile(spark.createDataFrame([(v,) for v in values], "x double"), "x", share)
+        assert n == len(have) and (math.isnan(got) if not have else got == pytest.approx(np.quantile(have, share)))
+
+
 def test_word_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
