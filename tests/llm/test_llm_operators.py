@@ -449,6 +449,57 @@ def test_the_order_of_words_counts(spark):
         assert abs(got[i]["bits_per_byte"] * size + got[i]["score"] * math.log2(10)) < 1e-6
 
 
+def test_mixing_is_fitted_to_all_pairs(spark):
+    rng = random.Random(31)
+    rows = {(bytes(rng.choices(b"abcd", k=rng.randint(1, 6))), rng.randint(0, 2)): rng.randint(1, 30) for _ in range(300)}
+    rows |= {("größe".encode(), 0): 1, (b"\n", 0): 40, (b"\n", 2): 5}
+    pairs = spark.createDataFrame([(w, c, n, n > 5) for (w, c), n in rows.items()], "word binary, class int, n long, frequent boolean")
+    code = lm_scoring.bit_code(np.arange(256))
+    made = lm_scoring.tables(pairs.repartition(3), code)
+    words, classes = [w for w, _ in rows], np.array([c for _, c in rows])
+    hashed, text, starts = lm_scoring.contexts(words, classes)
+    place, node, y, _ = lm_scoring.bits(text, code)
+    n = np.repeat(np.array([*rows.values()]), np.diff(np.append(starts, len(text))))[place]
+    _, _, counts = lm_scoring._lookups()
+    x, seen = [], {}
+    for name, size in lm_scoring.TABLES.items():
+        kept = made[name][lm_scoring.slots(hashed[name][place], node, size)]
+        own = n > 5 if name in ("word", "class_word") else True
+        zeros, ones = np.maximum(counts[0][kept] - own * (y == 0), 0), np.maximum(counts[1][kept] - own * (y == 1), 0)
+        x.append(np.log((ones + 0.4) / (zeros + 0.4)))
+        seen[name] = np.minimum(np.ceil(np.log2(1 + zeros + ones) / 2), 7).astype(int)
+    x, gate = np.stack([*x, np.ones(len(y))], axis=1), seen["word"] * 8 + seen["last5"]
+    start = lm_scoring.Model(made).weights.astype(float)
+    weights = start.copy()
+    for _ in range(lm_scoring.ROUNDS):
+        p = 1 / (1 + np.exp(-(weights[gate] * x).sum(axis=1)))
+        for g in range(lm_scoring.GATES):
+            own = gate == g
+            curve = (x[own].T * (n * p * (1 - p))[own]) @ x[own] + lm_scoring.RIDGE * np.eye(x.shape[1])
+            step = np.linalg.solve(curve, x[own].T @ (n * (y - p))[own] - lm_scoring.RIDGE * (weights - start)[g])
+            weights[g] += step / max(1, np.abs(step).max() / lm_scoring.MOST_STEP)
+    for parts in (1, 4):
+        model = lm_scoring.fit_mixing(pairs.repartition(parts), made, code)
+        assert np.abs(model.weights - weights).max() < 1e-3
+        cell = lm_scoring._cell(gate, (model.weights[gate] * x).sum(axis=1))
+        every = np.bincount(cell, weights=n, minlength=model.refined.size)
+        prior = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, lm_scoring.REFINE_STEPS), lm_scoring.GATES)))
+        share = (np.bincount(cell, weights=n * y, minlength=len(every)) + 20 * prior) / (every + 20)
+        near = np.isclose(model.refined.reshape(-1), np.log(share / (1 - share)), atol=1e-3)
+        assert near.mean() > 0.99  # a logit on the border of two cells may fall to either
+    apart = np.add.reduceat(model.log10_bytes(hashed, text), starts)
+    assert np.abs(model.log10(words, classes) - apart).max() < 1e-5  # as without bytes taken together
+
+
+def test_codes_come_from_the_bytes_of_all_words(spark):
+    docs = spark.createDataFrame([(1, "a a a bc bc zebra"), (2, None)], "doc_id long, text string")
+    counted = lm_scoring.learn(docs, F.lit(True), frequent_words=1)
+    every = Counter(b"a a a bc bc zebra \n \n ")
+    assert lm_scoring.byte_counts(counted.words).tolist() == [every[b] for b in range(256)]
+    expected = lm_scoring.bit_code(np.array([every[b] for b in range(256)]))
+    assert all((have == want).all() for have, want in zip(counted.model.code, expected, strict=True))
+
+
 def test_bytes_share_a_probability_of_one():
     rng = np.random.default_rng(3)
     tables = {name: rng.integers(0, 1 << 16, 1 << bits, dtype=np.uint16) for name, bits in lm_scoring.TABLES.items()}
