@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taskledger.functions import expr as X
 from taskledger.operators.scale import first_rows, read_after, running
+from taskledger.session import written
 
 
 
@@ -163,7 +164,7 @@ def keyset_page(actions: DataFrame, requests: DataFrame) -> DataFrame:
     `requests`: request_id, run_id, created_at and id (the cursor; null for the first page), size. Use
     `with_page_tokens` for requests that carry tokens.
     """
-    asked = requests.withColumn("size", page_size(F.col("size")))
+    asked = written(requests.withColumn("size", page_size(F.col("size"))), "asked")
     page = read_after(
         actions, asked, keys=["run_id"], order=["created_at", "id"], request_id="request_id", limit="size"
     )

@@ -156,6 +156,7 @@ def read_after(
     request id, the row's columns, `position` (1-based within the request) and `more` (rows remain).
     """
     keys, order = list(keys), list(order)
+    requests = _once(requests)
     payload = [c for c in rows.columns if c not in keys and c not in order]
     as_row = rows.select(
         *keys, *order, F.struct(*payload).alias("_row") if payload else F.lit(None).alias("_row"),
@@ -168,9 +169,10 @@ def read_after(
         F.lit(1).alias("_mark"), F.lit(0).cast("long").alias("_one"),
         F.col(request_id).alias("_request"),
     )
-    placed = running(
+    # stored, since rows and cursors are taken from it apart
+    placed = written(running(
         as_row.unionByName(as_mark), keys, [*order, "_mark", "_request"], sums={"_at": "_one"}
-    )
+    ), "placed")
     block = F.lit(READ_BUCKET)
     found = placed.filter("_mark = 0").withColumn("_block", F.floor((F.col("_at") - 1) / block))
     starts = (

@@ -155,7 +155,7 @@ def active_uploads(spark: SparkSession, sf: str) -> DataFrame:
 def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     """Two actions of every run: by the token of the root for claimed runs, without one for the others. Some tokens are
     malformed and get no page."""
-    acts = fx.actions(spark, sf).select("run_id", "id", "created_at", "status")
+    acts = written(fx.actions(spark, sf).select("run_id", "id", "created_at", "status"), "actions")
     claimed = F.col("claim_token").isNotNull()
     asked = fx.runs(spark, sf).select("claim_token", F.col("root_action_id").alias("id")).join(acts, "id").select(
         F.col("run_id").alias("request_id"), "run_id", F.lit(2).alias("size"),

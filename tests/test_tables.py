@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,19 @@ def test_page_tokens_lead_through_all_rows(spark, rows):
     assert runs.with_page_tokens(bad).first().bad_token
 
 
+def test_requests_of_pages_are_computed_once(spark):
+    acts = spark.range(40).select(
+        (F.col("id") % 4).alias("run_id"), "id", F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at")
+    )
+    named = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()  # other names whenever it is computed again
+    asked = spark.range(4).select(
+        named().alias("request_id"), F.col("id").alias("run_id"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        F.lit(None).cast("long").alias("id"), F.lit(3).alias("size"),
+    )
+    page = runs.keyset_page(acts, asked).collect()
+    assert sorted((r.run_id, r.id) for r in page) == [(k, k + 4 * i) for k in range(4) for i in range(3)]
+
+
 def test_every_upstream_has_a_row(spark, rows):
     acts = spark.createDataFrame([(1,), (2,)], "id bigint")
     edges = spark.createDataFrame([(1, 10 + i) for i in range(7)], "dependent_action_id bigint, source_action_id bigint")
