@@ -280,7 +280,8 @@ def blob_source_files(spark: SparkSession, sf: str) -> DataFrame:
     rows."""
     folder = fresh_path(spark, "files")
     lines = source_table(spark, sf, "supplier").select(F.concat_ws(" ", "s_suppkey", "s_name").alias("line"))
-    lines.write.option("maxRecordsPerFile", 1).text(f"{folder}/names")
+    writers = 1 + lines.count() // 1000  # a file each is slow work for one task
+    lines.repartition(writers).write.option("maxRecordsPerFile", 1).text(f"{folder}/names")
     lines.limit(0).write.text(f"{folder}/none")
     found = blob_source(spark, f"{folder}/*/*.txt")
     number = F.nullif(F.regexp_extract(F.col("content").cast("string"), "^([0-9]+) ", 1), F.lit(""))

@@ -80,11 +80,25 @@ def log_source_stream(
     return reader.parquet(path)
 
 
+def _matches(spark: SparkSession, glob: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+
+
 def empty_files(spark: SparkSession, glob: str) -> list[str]:
     """Paths of the files of zero length that a glob of files names, on whatever store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return [f.getPath().toString() for f in found if f.isFile() and f.getLen() == 0 and f.getPath().getName()[0] not in "._"]
+    return [f.getPath().toString() for f in _matches(spark, glob)
+            if f.getLen() == 0 and f.isFile() and f.getPath().getName()[0] not in "._"]
+
+
+def _load_files(spark: SparkSession, glob: str) -> DataFrame:
+    """Files of a glob. Where their folders hold only files, the folders are listed, since every path Spark is given apart costs the
+    driver time, more than in proportion to their number."""
+    reader = spark.read.format("binaryFile")
+    folder, _, name = glob.rpartition("/")
+    if not folder or name.count("{") != name.count("}") or not len(_matches(spark, glob)) or len(_matches(spark, f"{folder}/*/*")):
+        return reader.load(glob)
+    return reader.option("pathGlobFilter", name).load(folder)
 
 
 def blob_source(spark: SparkSession, glob: str) -> DataFrame:
@@ -97,7 +111,7 @@ def blob_source(spark: SparkSession, glob: str) -> DataFrame:
     known = {"txt": "text/plain", "json": "application/json", "html": "text/html", "csv": "text/csv",
              "png": "image/png", "cbor": "application/cbor"}
     types = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    files = spark.read.format("binaryFile").load(glob).select("path", "length", "content")
+    files = _load_files(spark, glob).select("path", "length", "content")
     empty = spark.createDataFrame([(p,) for p in empty_files(spark, glob)], "path string").select(
         "path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")
     )

@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from taskledger.operators import blobs, memo, quality
@@ -204,3 +205,25 @@ def test_environments_spelled_in_two_ways_have_one_version(spark):
     ]
     got = {r["id"]: r["version"] for r in quality.canonical_environment(spark.createDataFrame([first, same, *others], schema)).collect()}
     assert got[1] == got[2] and len(set(got.values())) == 7 and None not in got.values()
+
+
+def test_blob_source_lists_folders(spark, tmp_path, monkeypatch):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        for i in range(3):
+            (tmp_path / name / f"{i}.txt").write_text(f"{name}{i}" if i else "")
+        (tmp_path / name / "other.json").write_text("{}")
+    asked, load = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, **more: asked.append(path) or load(self, path, **more))
+
+    def sizes(glob):
+        return sorted(("/".join(r.path.rsplit("/", 2)[1:]), r.size) for r in blob_source(spark, glob).collect())
+
+    expected = [(f"{d}/{i}.txt", 2 * (i > 0)) for d in "ab" for i in range(3)]
+    assert sizes(f"{tmp_path}/*/*.txt") == expected and asked == [f"{tmp_path}/*"]
+    assert sizes(f"{tmp_path}/b/[12].txt") == [("b/1.txt", 2), ("b/2.txt", 2)]
+    assert ("b/other.json", 2) in sizes(f"{tmp_path}/*")  # a glob of folders reads what is in them
+    (tmp_path / "a" / "k=1").mkdir()
+    (tmp_path / "a" / "k=1" / "deep.txt").write_text("deep")
+    assert sizes(f"{tmp_path}/a/*.txt") == expected[:3]
+    assert sizes(f"{tmp_path}/b/1.txt") == [("b/1.txt", 2)]
