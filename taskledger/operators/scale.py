@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskledger.session import max_group_rows, written
 
 READ_BUCKET = 1024
+TASK_ROWS = 250_000
+TASK_BYTES = 8 << 20
 
 
 _COSTLY = re.compile(r"\b(Join|Aggregate|Window|Generate|Repartition\w*|Sort|Union|Distinct|MapIn\w+|FlatMap\w+)\b")
@@ -42,6 +45,29 @@ def _large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFra
     return None if total is None else (large.drop("_rows"), int(total))
 
 
+@contextmanager
+def tasks_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of what is written inside have a partition for each TASK_ROWS of `rows` at least, and those that adaptive
+    execution puts together stay below TASK_BYTES. So a task's rows do not grow with the input.
+
+    Adaptive execution still cuts skewed partitions, which it would not do with a number of partitions given to repartition.
+    """
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    usual = spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = {
+        first: str(max(int(usual), math.ceil(rows / TASK_ROWS))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
