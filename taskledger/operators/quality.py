@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from taskledger.functions import expr as X
 from taskledger.operators.blobs import parse_blob_uri
@@ -333,10 +334,13 @@ class _Constraints:
     left out.
     """
 
+    KEY, OWNER, REFERENCE = range(3)
+
     def __init__(self, tables: dict[str, DataFrame]):
         self.tables = tables
         self.spaces: list[tuple[str, str]] = []
-        self.tags: dict[str, list[Column]] = {}
+        self.tags: dict[str, list[tuple[int, list[str], int, Column]]] = {}
+        self.whole: dict[int, bool] = {}
         self.references: list[tuple[str, list[str], list[str], int, str]] = []
         self.rows: list[DataFrame] = []
         self.owners: dict[tuple[str, ...], int] = {}
@@ -348,23 +352,26 @@ class _Constraints:
     def shown(keys: Sequence[str]) -> Column:
         return F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
 
-    @staticmethod
-    def key(columns: Sequence[str]) -> Column:
-        """One text for the values of the columns; no two lists of values have the same."""
-        return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+    def key(self, space: int, columns: Sequence[str]) -> list[Column]:
+        """numbers, texts: the values of the columns, as numbers where all that meet in the space are whole ones, else as
+        texts; the other is null. Numbers are a third of the bytes of their texts."""
+        long, text = "array<bigint>", "array<string>"
+        values = F.array(*[F.col(c) for c in columns]).cast(long) if self.whole[space] else F.array(*[F.col(c).cast("string") for c in columns])
+        return [(values if whole == self.whole[space] else F.lit(None).cast(kind)).alias(name)
+                for name, kind, whole in (("numbers", long, True), ("texts", text, False))]
 
     def _space(self, table: str, rule: str) -> int:
         self.spaces.append((table, rule))
         return len(self.spaces) - 1
 
-    def _tag(self, table: str, space: int, columns: Sequence[str], side: str, shown: Column, where: Column) -> None:
-        self.tags.setdefault(table, []).append(F.when(where, F.struct(
-            F.lit(space).alias("space"), self.key(columns).alias("key"), F.lit(side).alias("side"), shown.alias("row_key")
-        )))
+    def _tag(self, table: str, space: int, columns: list[str], side: int, where: Column) -> None:
+        types = [self.tables[table].schema[c].dataType for c in columns]
+        self.whole[space] = self.whole.get(space, True) and all(isinstance(t, IntegralType) for t in types)
+        self.tags.setdefault(table, []).append((space, columns, side, where))
 
     def unique(self, table: str, keys: list[str], rule: str = "primary key", where: str = "true", needs: Sequence[str] = ()) -> None:
         if self.has(table, *keys, *needs):
-            self._tag(table, self._space(table, rule), keys, "key", self.shown(keys), F.expr(where))
+            self._tag(table, self._space(table, rule), keys, self.KEY, F.expr(where))
 
     def refers(self, table: str, keys: list[str], parent: str, on: dict[str, str], rule: str) -> None:
         """`on`: child column to parent column. A null in a child column refers to nothing."""
@@ -373,12 +380,11 @@ class _Constraints:
         pairs = sorted(on.items(), key=lambda x: x[1])
         mine, theirs = [m for m, _ in pairs], [t for _, t in pairs]
         place = (parent, *theirs)
-        nothing = F.lit(None).cast("string")
         if place not in self.owners:
             self.owners[place] = self._space(parent, "")
-            self._tag(parent, self.owners[place], theirs, "owner", nothing, F.lit(True))
+            self._tag(parent, self.owners[place], theirs, self.OWNER, F.lit(True))
         set_ = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in mine])
-        self._tag(table, self.owners[place], mine, "reference", nothing, set_)
+        self._tag(table, self.owners[place], mine, self.REFERENCE, set_)
         self.references.append((table, keys, mine, self.owners[place], rule))
 
     def check(self, table: str, keys: list[str], rules: dict[str, tuple[str, ...]]) -> None:
@@ -386,34 +392,44 @@ class _Constraints:
         own = {rule: bad for rule, (bad, *columns) in rules.items() if self.has(table, *keys, *columns)}
         if own:
             marks = F.array(*[F.when(F.expr(bad), F.lit(rule)) for rule, bad in own.items()])
-            self.rows.append(self.tables[table].select(
+            broken = self.tables[table].filter(" OR ".join(f"({bad})" for bad in own.values()))
+            self.rows.append(broken.select(
                 F.lit(table).alias("table_name"), F.explode(F.array_compact(marks)).alias("rule"), self.shown(keys).alias("row_key")
             ))
 
     def met(self) -> DataFrame:
-        """space, key, keys, owners, row_key: all tags of all relations in one shuffle, summed before it.
+        """space, numbers, texts, keys, owners, references: all tags of all relations in one shuffle, summed before it.
 
-        However many rows refer to one key, a task sends one row for it.
+        However many rows refer to one key, a task sends one row for it. Only numbers are summed: with the smallest of some
+        texts beside them Spark would sort all tags instead of hashing them.
         """
-        tagged = [self.tables[t].select(F.explode(F.array_compact(F.array(*tags))).alias("t")).select("t.*") for t, tags in self.tags.items()]
-        return reduce(DataFrame.unionByName, tagged).groupBy("space", "key").agg(
-            F.count_if(F.col("side") == "key").alias("keys"), F.count_if(F.col("side") == "owner").alias("owners"),
-            F.count_if(F.col("side") == "reference").alias("references"), F.min("row_key").alias("row_key"),
+        def tag(space: int, columns: list[str], side: int, where: Column) -> Column:
+            return F.when(where, F.struct(F.lit(space).alias("space"), *self.key(space, columns), F.lit(side).alias("side")))
+
+        tagged = [self.tables[t].select(F.explode(F.array(*[tag(*x) for x in tags])).alias("t")).filter("t IS NOT NULL").select("t.*")
+                  for t, tags in self.tags.items()]
+        return reduce(DataFrame.unionByName, tagged).groupBy("space", "numbers", "texts").agg(
+            F.count_if(F.col("side") == self.KEY).alias("keys"), F.count_if(F.col("side") == self.OWNER).alias("owners"),
+            F.count_if(F.col("side") == self.REFERENCE).alias("references"),
         ).filter("keys > 1 OR (references > 0 AND owners = 0)")
 
     def violations(self) -> DataFrame:
         bad = written(self.met(), "broken-keys")
         names = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(r).alias("rule")) for t, r in self.spaces])
         name = F.get(names, F.col("space"))
-        found = [*self.rows, bad.filter("keys > 1").select(name["table_name"].alias("table_name"), name["rule"].alias("rule"), "row_key")]
-        lost = bad.filter("keys = 0").select("space", "key")
+        shown = F.coalesce(F.col("numbers").cast("array<string>"), "texts")
+        found = [*self.rows, bad.filter("keys > 1").select(name["table_name"].alias("table_name"), name["rule"].alias("rule"), F.concat_ws("|", shown).alias("row_key"))]
+        lost = bad.filter("keys = 0")
         # only the relations that have such references are looked at again, for the rows they are in
         spaces = {r["space"] for r in lost.select("space").distinct().collect()}
         for table, keys, mine, space, rule in self.references:
             if space in spaces:
-                rows = self.tables[table].select(F.lit(space).alias("space"), self.key(mine).alias("key"), F.lit(table).alias("table_name"),
-                                                 F.lit(rule).alias("rule"), self.shown(keys).alias("row_key"))
-                found.append(rows.join(lost, ["space", "key"], "left_semi").select("table_name", "rule", "row_key"))
+                kind, values = ("bigint", "numbers") if self.whole[space] else ("string", "texts")
+                at = [f"_{i}" for i in range(len(mine))]
+                rows = self.tables[table].select(*keys, *[F.col(c).cast(kind).alias(a) for a, c in zip(at, mine, strict=True)])
+                gone = lost.filter(F.col("space") == space).select(*[F.col(values)[i].alias(a) for i, a in enumerate(at)])
+                found.append(rows.join(gone, at, "left_semi").select(
+                    F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), self.shown(keys).alias("row_key")))
         return reduce(DataFrame.unionByName, found)
 
 

@@ -227,3 +227,27 @@ def test_blob_source_lists_folders(spark, tmp_path, monkeypatch):
     (tmp_path / "a" / "k=1" / "deep.txt").write_text("deep")
     assert sizes(f"{tmp_path}/a/*.txt") == expected[:3]
     assert sizes(f"{tmp_path}/b/1.txt") == [("b/1.txt", 2)]
+
+
+def test_constraint_keys_are_hashed_and_compared_by_value(spark):
+    runs = spark.createDataFrame([(7, "n|1"), (8, "n|1"), (8, None)], "id int, namespace_id string")
+    actions = spark.createDataFrame(
+        [(1, 7, None, "a|b", "queued"), (2, 7, 1, "a|b", "queued"), (3, 9, 1, None, "queued"), (4, 9, 2, "c", "lost"), (5, 8, 10**12, "c", "queued")],
+        "id bigint, run_id bigint, caller_action_id bigint, idempotency_key string, status string",
+    )
+    spaces = spark.createDataFrame([("n", "s")], "id string, slug string")
+    tables = {"runs": runs, "task_actions": actions, "namespaces": spaces}
+    got = sorted(tuple(r) for r in quality.check_table_constraints(tables).collect())
+    assert got == sorted([
+        ("runs", "primary key", "8"), ("runs", "namespace exists", "7"), ("runs", "namespace exists", "8"),
+        ("task_actions", "unique idempotency key", "7|a|b"), ("task_actions", "run exists", "3"), ("task_actions", "run exists", "4"),
+        ("task_actions", "caller exists", "3"), ("task_actions", "caller exists", "4"), ("task_actions", "caller exists", "5"), ("task_actions", "status", "4"),
+    ])
+    texts = actions.withColumn("run_id", F.concat(F.lit("0"), F.col("run_id").cast("string")))  # 07 is not 7
+    found = quality.check_table_constraints({"runs": runs, "task_actions": texts}).filter("rule = 'run exists'")
+    assert sorted(r["row_key"] for r in found.collect()) == ["1", "2", "3", "4", "5"]
+    rules = quality._Constraints(tables)
+    rules.unique("runs", ["id"])
+    rules.refers("task_actions", ["id"], "runs", {"run_id": "id"}, "run exists")
+    plan = rules.met()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
