@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taskledger.llm import decontamination, language_id, quality_rules, simhash_dedup
+from taskledger.llm import decontamination, language_id, lm_scoring, quality_rules, simhash_dedup
 
 TEXTS = {
     "a": " ".join(f"alpha{i}" for i in range(60)), "b": " ".join(f"beta{i}" for i in range(60)),
@@ -115,3 +116,18 @@ def test_every_language_has_a_reference_for_its_texts(spark, monkeypatch):
     by_id = {r["doc_id"]: r for r in quality_rules.judge(docs, refs).collect()}
     assert all(by_id[i]["nearest_language"] == lang for i, _, lang in rows)
     assert all(r["kept"] for r in by_id.values() if not r["base_failed"])
+
+
+def test_an_idle_worker_gives_back_its_scores(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "IDLE_SECONDS", 0.2)
+    store = lm_scoring._store("model")
+    lm_scoring.forget_when_idle()
+    assert lm_scoring._store("model") is store  # the next task comes in time and keeps it
+    time.sleep(0.5)
+    assert lm_scoring._store("model") is store
+    lm_scoring.forget_when_idle()
+    for _ in range(100):
+        if not lm_scoring._stores:
+            break
+        time.sleep(0.1)
+    assert not lm_scoring._stores
