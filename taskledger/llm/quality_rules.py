@@ -14,6 +14,7 @@ they are there. An empty table gives no rows; without any reference only the bas
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taskledger.llm.common import binary, blocks, documents, words
+from taskledger.llm.common import binary, blocks, documents, tidy, words
 from taskledger.llm.registry import query
 from taskledger.session import ship_package, written
 
@@ -37,6 +38,8 @@ LEAST_GOOD = 200
 RANGES, FEW_VALUES = 4_096, 10_000
 KEPT_SHARE, MARGIN = 0.999, 1.2
 CELLS = 1 << 22
+#: Different words, over all languages, that a task counts before it sends them.
+COUNTED_AT_ONCE = 400_000
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 CLASSES = ("vowel", "consonant", "upper", "other letter", "digit", "space", "end mark", "punctuation", "symbol", "rest")
 _RULES = [  # the class of a character is the first of these that has it; the patterns of Spark and Python agree
@@ -119,25 +122,33 @@ def _counted(docs: DataFrame, language: str, text: str) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches):
-        for block in blocks(batches, "_text", 16 << 20):
-            counts: dict[str, Counter] = {}
-            kinds: dict[str, np.ndarray] = {}
-            for lang, raw in zip(block.column(0).to_pylist(), binary(block.column(1)), strict=True):
+        counts: dict[str, Counter] = {}
+        kinds: dict[str, np.ndarray] = {}
+        texts: Counter = Counter()
+        for block in blocks(batches, "_text"):
+            langs = block.column(0).to_pylist()
+            texts.update(langs)
+            for lang, raw in zip(langs, binary(block.column(1)), strict=True):
                 counts.setdefault(lang, Counter()).update(words(raw.lower()))
                 kinds[lang] = kinds.get(lang, 0) + class_counts(raw)
-            rows = [(lang, 0, b"%d" % i, int(n)) for lang, all_n in kinds.items() for i, n in enumerate(all_n) if n]
-            rows += [(lang, 1, item, n) for lang, found in counts.items() for item, n in found.items()]
-            rows += [(lang, 2, b"", n) for lang, n in Counter(block.column(0).to_pylist()).items()]
-            for at in range(0, len(rows), 50_000):
-                part = rows[at: at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int32()),
-                     pa.array([r[2] for r in part], pa.binary()), pa.array([r[3] for r in part], pa.int64())],
-                    names=["lang", "kind", "item", "n"],
-                )
+            if sum(map(len, counts.values())) > COUNTED_AT_ONCE:
+                yield from sent((lang, 1, item, n) for lang, found in counts.items() for item, n in found.items())
+                counts.clear()
+        yield from sent((lang, 0, b"%d" % i, int(n)) for lang, all_n in kinds.items() for i, n in enumerate(all_n) if n)
+        yield from sent((lang, 2, b"", n) for lang, n in texts.items())
+        yield from sent((lang, 1, item, n) for lang, found in counts.items() for item, n in found.items())
+        counts.clear()
+
+    def sent(rows):
+        while part := list(itertools.islice(rows, 20_000)):  # never all rows of a task beside its counts
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int32()),
+                 pa.array([r[2] for r in part], pa.binary()), pa.array([r[3] for r in part], pa.int64())],
+                names=["lang", "kind", "item", "n"],
+            )
 
     narrow = docs.select(F.col(language).cast("string").alias("_lang"), F.col(text).alias("_text"))
-    return narrow.mapInArrow(run, "lang string, kind int, item binary, n long")
+    return narrow.mapInArrow(tidy(run), "lang string, kind int, item binary, n long")
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -238,7 +249,7 @@ def judge(
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
              "nearest_language", "class_distance", "word_distance"]
     kinds = [kind, *["long"] * 5, *["boolean"] * 2, "string", "double", "double"]
-    return packed.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return packed.mapInArrow(tidy(run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def quantile(rows: DataFrame, column: str, share: float) -> tuple[int, float]:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +134,36 @@ def test_an_idle_worker_gives_back_its_scores(monkeypatch):
             break
         time.sleep(0.1)
     assert not lm_scoring._stores
+
+
+class Rows:
+    """Stands for a DataFrame and keeps the function that its tasks run."""
+
+    sparkSession = None
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_counts_for_references_are_sent_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "ship_package", lambda session: None)
+    monkeypatch.setattr(quality_rules, "COUNTED_AT_ONCE", 50_000, raising=False)
+    rows = Rows()
+    quality_rules._counted(rows, "lang", "text")
+    texts = [" ".join(f"{i:02d}-{k:037d}" for k in range(60_000)) for i in range(8)]  # all words differ
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 4), pa.array(texts)], names=["_lang", "_text"])
+    sums, many = Counter(), 0
+    tracemalloc.start()
+    try:
+        for out in rows.run(iter([batch])):
+            for lang, kind, n in zip(*(out.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                sums[lang, kind] += n
+            many = max(many, tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert sums == {(lang, kind): n for lang in ("en", "de") for kind, n in ((0, 4 * (60_000 * 41 - 1)), (1, 240_000), (2, 4))}
+    assert many < 50 << 20
