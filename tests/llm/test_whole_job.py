@@ -167,3 +167,59 @@ def test_counts_for_references_are_sent_piece_by_piece(spark, monkeypatch):
         tracemalloc.stop()
     assert sums == {(lang, kind): n for lang in ("en", "de") for kind, n in ((0, 4 * (60_000 * 41 - 1)), (1, 240_000), (2, 4))}
     assert many < 50 << 20
+
+
+def test_bytes_of_the_same_beginning_are_coded_once():
+    rng = random.Random(31)
+    pairs = sorted({(rng.randrange(3), bytes(rng.choices(b"abc", k=rng.randint(1, 6)))) for _ in range(500)})
+    for listed in (pairs, rng.sample(pairs, len(pairs)), pairs[:1]):
+        text, starts = lm_scoring.coded([w for _, w in listed])
+        first, same = lm_scoring.distinct_bytes(text, starts, np.array([k for k, _ in listed]))
+        beginnings = [(k, (w + b" ")[: i + 1]) for k, w in listed for i in range(len(w) + 1)]
+        assert [beginnings[i] for i in first[same]] == beginnings
+        assert listed is not pairs or len(first) == len(set(beginnings))
+    assert [len(x) for x in lm_scoring.distinct_bytes(*lm_scoring.coded([]), np.zeros(0))] == [0, 0]
+
+
+def test_classes_and_numbers_of_words_in_blocks():
+    found = ["plain", "über", "naïveté", "日本語", "слово", "mixed日x", "😀", "a😀é", "plain", "é"] * 3
+    marked = [w.encode() for w in found if not w.isascii()]
+    assert lm_scoring.word_classes(marked).tolist() == [lm_scoring.word_class(w) for w in marked]
+    reader, texts = lm_scoring.Reader(), ["A b\t\tc", None, "", " b  über \n", "c a d 日本語"]
+    for _ in range(2):  # the second time all words are known
+        ids, _, lengths = reader(pa.array(texts))
+        assert [reader.words[i].decode() for i in ids] == [*"abc", "\n", "\n", "\n", "b", "über", "\n", *"cad", "日本語", "\n"]
+        assert lengths.tolist() == [4, 1, 1, 3, 5]
+    assert reader.sizes.tolist() == [1, *(len(w) + 1 for w in reader.words[1:])]
+    assert reader.marks.tolist() == [lm_scoring.word_class(w) for w in reader.words]
+
+
+def test_repeats_of_words_with_large_numbers():
+    rng = np.random.default_rng(32)
+    ids, lengths = rng.integers(0, 5, 300), np.array([100, 1, 0, 150, 49])
+    for plain, large in zip(lm_scoring.repeats(ids, lengths), lm_scoring.repeats(ids << 52, lengths), strict=True):
+        assert plain.tolist() == large.tolist()
+
+
+def test_frequent_words_keep_their_scores_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CACHED_WORDS", 12)
+    asked = []
+    model = lm_scoring.Model({name: np.zeros(1 << size, dtype=np.uint16) for name, size in lm_scoring.TABLES.items()})
+    log10 = lm_scoring.Model.log10
+    monkeypatch.setattr(lm_scoring.Model, "log10", lambda self, words, classes: asked.append(sorted(words)) or log10(self, words, classes))
+    store, frequent = lm_scoring.Store(), {b"often": 9, b"more": 7}
+
+    def meet(text):
+        ids, classes, _ = store.reader(pa.array([text]))
+        pairs = ids * lm_scoring.CLASSES + classes
+        scores, counts, base = store.meet(frequent, model, [pairs])
+        return [(store.reader.words[i], scores[p], counts[i], base[i]) for i, p in zip(ids, pairs, strict=True)]
+
+    before = meet("rare often words more")
+    store.shrink()
+    after = meet("often new more")
+    assert after[0] == before[1] and after[2:] == before[3:] and asked == [[b"\n", b"more", b"often", b"rare", b"words"], [b"new"]]
+    assert [count for _, _, count, _ in after] == [9, 0, 7, 0] and after[1][3] == 0.0
+    monkeypatch.setattr(lm_scoring, "CACHED_WORDS", 2)
+    store.shrink()
+    assert store.reader.words == [b"\n"] and not len(store.counts)
