@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from taskledger.llm import decontamination, language_id, lm_scoring, quality_rules, simhash_dedup
+from taskledger.llm import common, decontamination, language_id, lm_scoring, quality_rules, simhash_dedup
 
 TEXTS = {
     "a": " ".join(f"alpha{i}" for i in range(60)), "b": " ".join(f"beta{i}" for i in range(60)),
@@ -223,3 +223,40 @@ def test_frequent_words_keep_their_scores_when_others_are_forgotten(monkeypatch)
     monkeypatch.setattr(lm_scoring, "CACHED_WORDS", 2)
     store.shrink()
     assert store.reader.words == [b"\n"] and not len(store.counts)
+
+
+def test_a_batch_is_let_go_before_the_next_is_read():
+    held = []
+
+    def batches():
+        for _ in range(4):
+            held.append(pa.total_allocated_bytes())
+            yield pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 4000)], names=["_text"])
+
+    begin = pa.total_allocated_bytes()
+    for _ in common.blocks(batches(), "_text", 1 << 20):
+        del _
+    assert max(held) - begin < 4_000_000  # the four million letters of the batch before are gone
+
+
+def test_blocks_are_scored_together_over_the_borders_of_batches():
+    parts = [pa.RecordBatch.from_arrays([pa.array(["x" * n, None])], names=["t"]) for n in (3, 4, 3, 20, 0, 10, 1)]
+    sizes = [[len(p.column(0)[0].as_py()) for p in g] for g in common.groups(iter(parts), "t", 10)]
+    assert sizes == [[3, 4, 3], [20], [0, 10], [1]]
+    assert list(common.groups(iter([]), "t", 10)) == []
+
+
+@pytest.mark.parametrize(("usual", "inside"), [(None, "1000"), ("20", "20"), ("0", "1000")])
+def test_texts_reach_the_language_model_in_small_batches(spark, monkeypatch, usual, inside):
+    name, met, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df, label: met.append((label, spark.conf.get(name))) or plain(df, label))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.col("id")).alias("text"))
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name) if usual is None else spark.conf.set(name, usual)
+        found = lm_scoring.score(docs, lm_scoring.learn(docs, F.col("doc_id") % 2 == 0))
+        assert dict(met)["pairs"] == dict(met)["scored"] == inside
+        assert spark.conf.get(name, None) == (usual or before)
+        assert found.count() == 60  # the model is not needed any more
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
