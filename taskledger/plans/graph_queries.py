@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taskledger.operators import graph as ops
 from taskledger.plans.registry import query
 from taskledger.plans.relations import AS_OF, TERMINAL
-from taskledger.session import written
+from taskledger.session import discard, packed, written
 from taskledger.sources import fixtures as fx
 
 
@@ -30,8 +30,11 @@ def _prereqs(nodes: DataFrame) -> DataFrame:
     UNION ALL SELECT t.run_id, t.seed_id, a.id, t.depth + 1 FROM tree t JOIN actions a ON a.caller_action_id = t.node_id)
   SELECT run_id, seed_id, node_id, depth FROM tree""", recursive=True)
 def descendants(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = _nodes(spark, sf)
-    return ops.descendants(nodes, nodes.filter("caller_action_id IS NULL"))
+    with packed(spark):
+        nodes = written(fx.actions(spark, sf).select("run_id", "id", "caller_action_id"), "nodes")
+    found = ops.descendants(nodes, nodes.filter("caller_action_id IS NULL"))
+    discard(nodes)
+    return found
 
 
 @query("""WITH RECURSIVE up AS (
