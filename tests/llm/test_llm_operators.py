@@ -500,6 +500,19 @@ def test_codes_come_from_the_bytes_of_all_words(spark):
     assert all((have == want).all() for have, want in zip(counted.model.code, expected, strict=True))
 
 
+@pytest.mark.parametrize("frequent_words", [1, 150_000])
+def test_pairs_met_once_teach_the_whole_word_contexts(spark, frequent_words):
+    docs = spark.createDataFrame([(1, "often often often bc bc zebra"), (2, "über quagga"), (3, None)], "doc_id long, text string")
+    model = lm_scoring.learn(docs, F.lit(True), frequent_words=frequent_words).model
+    pairs = [(b"zebra", 0), (b"bc", 0), ("über".encode(), 0), (b"quagga", lm_scoring.word_class("über".encode()))]
+    hashed, text, _ = lm_scoring.contexts([w for w, _ in pairs], np.array([c for _, c in pairs]))
+    place, node, y, _ = lm_scoring.bits(text, model.code)
+    _, _, counts = lm_scoring._lookups()
+    for name, size in lm_scoring.TABLES.items():
+        kept = model.tables[name][lm_scoring.slots(hashed[name][place], node, size)]
+        assert (counts[y, kept] > 0.9).all(), name  # the count of what each bit was
+
+
 def test_bytes_share_a_probability_of_one():
     rng = np.random.default_rng(3)
     tables = {name: rng.integers(0, 1 << 16, 1 << bits, dtype=np.uint16) for name, bits in lm_scoring.TABLES.items()}
